@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .near_dedup import op2_minhash_near_dedup
 from .packing import op3_best_fit_packing
 from .token_files import op10_token_files
 
 QUERIES = {
+    "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op10_token_files": op10_token_files,
 }
