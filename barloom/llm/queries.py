@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .fingerprints import op5_multiset_fingerprint
+from .html_text import op6_html_extraction
 from .near_dedup import op2_minhash_near_dedup
 from .packing import op3_best_fit_packing
 from .token_files import op10_token_files
@@ -9,6 +11,8 @@ from .token_files import op10_token_files
 QUERIES = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op5_multiset_fingerprint": op5_multiset_fingerprint,
+    "op6_html_extraction": op6_html_extraction,
     "op10_token_files": op10_token_files,
 }
 
