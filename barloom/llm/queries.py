@@ -7,12 +7,14 @@ from .html_text import op6_html_extraction
 from .near_dedup import op2_minhash_near_dedup
 from .packing import op3_best_fit_packing
 from .token_files import op10_token_files
+from .toxicity import op9_toxicity
 
 QUERIES = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_multiset_fingerprint": op5_multiset_fingerprint,
     "op6_html_extraction": op6_html_extraction,
+    "op9_toxicity": op9_toxicity,
     "op10_token_files": op10_token_files,
 }
 
