@@ -170,7 +170,7 @@ def token_pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int =
     return texts_of(docs).mapInArrow(cut, PIECES + (", ids binary" if with_ids else ""))
 
 
-def pack(pieces: DataFrame, capacity: int = 4096, rows_per_group: int = 50_000) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 4096, rows_per_group: int = 2_000) -> DataFrame:
     """Add sequence_id and offset to pieces (columns length, doc_id, piece and any more).
 
     The driver sees only the histogram (capacity rows at most) and makes a table of slots whose size depends on it alone. A
