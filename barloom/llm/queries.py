@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .fingerprints import op5_multiset_fingerprint
 from .html_text import op6_html_extraction
+from .line_dedup import op8_line_dedup
 from .near_dedup import op2_minhash_near_dedup
 from .packing import op3_best_fit_packing
 from .token_files import op10_token_files
@@ -14,6 +15,7 @@ QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_multiset_fingerprint": op5_multiset_fingerprint,
     "op6_html_extraction": op6_html_extraction,
+    "op8_line_dedup": op8_line_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_token_files": op10_token_files,
 }
