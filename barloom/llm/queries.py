@@ -7,10 +7,12 @@ from .html_text import op6_html_extraction
 from .line_dedup import op8_line_dedup
 from .near_dedup import op2_minhash_near_dedup
 from .packing import op3_best_fit_packing
+from .pii import op1_personal_data
 from .token_files import op10_token_files
 from .toxicity import op9_toxicity
 
 QUERIES = {
+    "op1_personal_data": op1_personal_data,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_multiset_fingerprint": op5_multiset_fingerprint,
