@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontaminate import op7_decontamination
 from .fingerprints import op5_multiset_fingerprint
 from .html_text import op6_html_extraction
 from .line_dedup import op8_line_dedup
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_multiset_fingerprint": op5_multiset_fingerprint,
     "op6_html_extraction": op6_html_extraction,
+    "op7_decontamination": op7_decontamination,
     "op8_line_dedup": op8_line_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_token_files": op10_token_files,
