@@ -9,6 +9,7 @@ from .line_dedup import op8_line_dedup
 from .near_dedup import op2_minhash_near_dedup
 from .packing import op3_best_fit_packing
 from .pii import op1_personal_data
+from .suffix_dedup import op4_suffix_dedup
 from .token_files import op10_token_files
 from .toxicity import op9_toxicity
 
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_personal_data": op1_personal_data,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_multiset_fingerprint": op5_multiset_fingerprint,
     "op6_html_extraction": op6_html_extraction,
     "op7_decontamination": op7_decontamination,
