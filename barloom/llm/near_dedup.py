@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .common import U64, distinct_per_row, mix, seeds, shingles, slices, stored, texts_of, utf8
 from .components import components
 
-SIDES, PIECES, WIDTH = 2, 8, 2
+SIDES, PIECES, WIDTH = 2, 11, 3
 
 
 def min_hashes(h: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
@@ -102,7 +102,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int, parts: i
     return rows.repartition(n, "a", "part").sortWithinPartitions("a", "part", "role").mapInArrow(_confirm(k, percent), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, pieces: int = PIECES, width: int = WIDTH, least_alike: int = 17) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, pieces: int = PIECES, width: int = WIDTH, least_alike: int = 40) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable over links) and kept.
 
     Texts are lower-cased (A-Z) and cut at ASCII white space; a set holds the distinct k-word shingles, or the whole sequence if
@@ -110,10 +110,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, pieces: int
 
     1. Equal sets collapse to their smallest doc_id.
     2. pieces**2 tables are keyed by pairs of pieces from two collections of pieces * width minima each. Keys held by one
-       document alone go at once.
-    3. In each bucket the document with most bucket mates is held against the others; links join components.
-    4. Buckets that still hold several components give every pair across components whose sketches agree in least_alike of
-       their bytes (32 at pieces 8, width 2; a pair at the threshold fails that once in ten thousand). No bucket is capped.
+       document alone go at once. A pair at the threshold shares a key but for 8 cases in ten thousand.
+    3. In each bucket the document with most bucket mates is the centre. Each document is held against the best of its centres;
+       links join components.
+    4. In buckets that still hold several components, documents are held against the centres of other components, and then
+       pairs across components are compared by set sizes and by their sketches, which must agree in least_alike of their bytes
+       (66 at pieces 11, width 3; a pair at the threshold fails that once in ten thousand). No bucket is capped.
     5. All pairs are confirmed on whole sets before they count.
 
     Null text is empty; an empty set is linked with nothing; repeated rows are one another's copies. doc_id should not be null:
@@ -128,33 +130,47 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, pieces: int
     keys = same.select("doc_id", F.explode(table_keys("halves", pieces)).alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     buckets = stored(keys.join(shared, "key"), "buckets")
-    mates = buckets.groupBy("doc_id").agg(F.sum("n").alias("mates"))
-    weighed = buckets.join(mates, "doc_id")
-    centres = weighed.groupBy("key").agg(F.max(F.struct("mates", F.negative("doc_id").alias("low"))).alias("c")).select("key", F.negative("c.low").alias("a"))
-    spokes = buckets.join(centres, "key").filter("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
+    mates = stored(buckets.groupBy("doc_id").agg(F.sum("n").alias("mates")), "mates")
     texts = stored(docs.join(mates.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "candidates")
     sketches = same.select("doc_id", "n_shingles", "sketch")
 
-    def alike(pairs: DataFrame) -> DataFrame:
-        """Pairs whose set sizes and sketches allow a link."""
-        x = sketches.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"))
-        y = sketches.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"))
-        agree = sum((F.substring("sa", i + 1, 1) == F.substring("sb", i + 1, 1)).cast("int") for i in range(SIDES * pieces * width))
-        sized = pairs.join(x, "a").join(y, "b").filter(F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb"))
-        return sized.filter(agree >= least_alike).select("a", "b")
-
-    tried = stored(alike(spokes), "spokes")
-    links = stored(confirmed(tried, texts, k, percent), "links")
-    roots = components(links)
-    rooted = buckets.join(roots, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
-    open_keys = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
-    left = stored(rooted.join(open_keys, "key"), "open")
-    x = left.select("key", F.col("doc_id").alias("a"), F.col("root").alias("ra"))
-    y = left.select("key", F.col("doc_id").alias("b"), F.col("root").alias("rb"))
-    across = x.join(y, "key").filter("ra < rb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = confirmed(stored(alike(across.join(done, ["a", "b"], "left_anti")), "across"), texts, k, percent)
-    roots = components(links.union(more))
+    def side(name: str) -> DataFrame:
+        return sketches.select(F.col("doc_id").alias(name), F.col("n_shingles").alias(f"n{name}"), F.col("sketch").alias(f"s{name}"))
+
+    agree = sum((F.substring("sa", i + 1, 1) == F.substring("sb", i + 1, 1)).cast("int") for i in range(SIDES * pieces * width))
+    #: Set sizes and sketches allow a link.
+    possible = (F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb")) & (agree >= least_alike)
+
+    def centres(rows: DataFrame) -> DataFrame:
+        """The document of each key that has the most bucket mates."""
+        best = rows.join(mates, "doc_id").groupBy("key").agg(F.max(F.struct("mates", F.negative("doc_id").alias("low"))).alias("c"))
+        return best.select("key", "c.mates", F.negative("c.low").alias("a"))
+
+    def linked(pairs: DataFrame, name: str) -> DataFrame:
+        alike = pairs.join(side("a"), "a").join(side("b"), "b").filter(possible).select("a", "b")
+        return stored(confirmed(stored(alike, f"{name}-pairs"), texts, k, percent), name)
+
+    def open_rows(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Components so far, and the rows of the buckets that hold several of them."""
+        roots = components(links)
+        rooted = buckets.join(roots, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
+        keys = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
+        return roots, stored(rooted.join(keys, "key"), "open")
+
+    # one pair a document: the centre with most mates among those of its buckets
+    spokes = buckets.select("key", "doc_id").join(centres(buckets.select("key", "doc_id")), "key").filter("doc_id <> a")
+    links = linked(spokes.groupBy(F.col("doc_id").alias("b")).agg(F.max_by("a", F.struct("mates", F.negative("a"))).alias("a")).select("a", "b"), "links")
+    # what that leaves apart: all centres of its open buckets
+    _, left = open_rows(links)
+    hubs = left.select("key", F.col("doc_id").alias("b"), F.col("root").alias("rb")).join(centres(left.select("key", "doc_id")), "key")
+    hubs = hubs.join(left.select("key", F.col("doc_id").alias("a"), F.col("root").alias("ra")), ["key", "a"]).filter("ra <> rb").select("a", "b").distinct()
+    links = stored(links.union(linked(hubs, "hub-links")), "links")
+    # and pairs across the components of buckets that still hold several, where sizes and sketches allow a link
+    _, left = open_rows(links)
+    x = left.select("key", F.col("doc_id").alias("a"), F.col("root").alias("ra")).join(side("a"), "a")
+    y = left.select("key", F.col("doc_id").alias("b"), F.col("root").alias("rb")).join(side("b"), "b")
+    across = x.join(y, (x["key"] == y["key"]) & (F.col("ra") < F.col("rb")) & possible).select("a", "b").distinct()
+    roots = components(links.union(stored(confirmed(stored(across, "across"), texts, k, percent), "across-links")))
     # membership: the document that stands for the equal sets, then its root; copied classes are spread over the salts
     member = some.select("doc_id", "n_shingles", "h0", "h1", F.pmod(F.hash("doc_id"), F.lit(16)).alias("salt"))
     spread = same.filter("copies > 1").select("n_shingles", "h0", "h1", F.col("doc_id").alias("rep"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt"))
