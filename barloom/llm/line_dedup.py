@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import stored
+
 #: A boundary follows a line if the rolling hash over it and the line before is 0 modulo this: chunks of so many lines on average.
 MEAN_LINES = 3
 SALTS = 16
@@ -29,8 +31,9 @@ def repeated_chunks(docs: DataFrame, mean_lines: int = MEAN_LINES) -> DataFrame:
     """Row key (_id, _hash), n_chunks, and n_removed, text after removal, for every different row of doc_id and text.
 
     1. Hashes of eligible chunks are counted without their bytes; those seen once go at once.
-    2. Rows that hold a repeated hash get its places. Texts are shuffled once, by row key, and that exchange serves 3 as well.
-    3. The bytes of such chunks are grouped; of equal ones the first by doc_id, then row, then place stays, and all others are
+    2. Rows that hold a repeated hash get its places, and the bytes of such chunks are written to the shared folder: one shuffle of
+       the texts, by row key.
+    3. Those bytes are grouped; of equal ones the first by doc_id, then row, then place stays, and all others are
        found by a join on hash and bytes. That join is salted, so a chunk that a third of all rows have is spread out.
     """
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST).cast("long")).alias("_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -40,7 +43,7 @@ def repeated_chunks(docs: DataFrame, mean_lines: int = MEAN_LINES) -> DataFrame:
     places = marks.join(seen, "_key").groupBy("_id", "_hash").agg(F.array_sort(F.collect_set("_at")).alias("_places"))
     placed = rows.join(places, ["_id", "_hash"])
     bodies = with_chunks(placed, mean_lines).select("_id", "_hash", F.explode("_places").alias("_at"), "_chunks")
-    bodies = bodies.select("_id", "_hash", "_at", F.get("_chunks", F.col("_at")).alias("_body")).withColumn("_salt", F.pmod(F.xxhash64("_id", "_hash", "_at"), F.lit(SALTS)))
+    bodies = stored(bodies.select("_id", "_hash", "_at", F.get("_chunks", F.col("_at")).alias("_body")), "bodies").withColumn("_salt", F.pmod(F.xxhash64("_id", "_hash", "_at"), F.lit(SALTS)))
     first = bodies.groupBy("_body").agg(F.min(F.struct("_id", "_hash", "_at")).alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
     first = first.select("_body", "_first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
     return bodies.join(first, ["_body", "_salt"]).filter(F.struct("_id", "_hash", "_at") != F.col("_first")).groupBy("_id", "_hash").agg(F.collect_set("_at").alias("_gone"))
