@@ -64,7 +64,10 @@ def dedup_lines(docs: DataFrame, mean_lines: int = MEAN_LINES, drop_emptied: boo
     cut = with_chunks(both.withColumn("_had", F.col("text")), mean_lines)
     left = "array_join(filter(_chunks, (c, i) -> not array_contains(_gone, i)), '\\n')"
     lost = "aggregate(filter(_chunks, (c, i) -> array_contains(_gone, i)), 0, (n, c) -> n + size(split(c, '\\n', -1)))"
-    out = cut.withColumn("text", F.when(F.col("_gone").isNull(), F.col("_had")).otherwise(F.expr(left))).withColumn("_lost", F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.expr(lost)).cast("long"))
+    text = F.when(F.col("_gone").isNull(), F.col("_had")).otherwise(F.expr(left))
+    gone_lines = F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.expr(lost)).cast("long")
+    # a generated row of its own: a filter on it isn't pushed into the chunks' lambdas, where it would be worked out line by line
+    out = cut.select(*[F.col(f"`{c}`") for c in names if c != "text"], F.inline(F.array(F.struct(text.alias("text"), gone_lines.alias("_lost")))))
     if drop_emptied:
         out = out.filter((F.col("_lost") == 0) | (F.length(F.trim("text")) > 0))
     if "n_chars" in names:
