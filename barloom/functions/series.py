@@ -153,7 +153,8 @@ def signals(df: DataFrame, machines: Callable[[pd.DataFrame], Iterator[Event]],
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         events = list(machines(pdf))
         at = [e[0] for e in events]
-        return pd.DataFrame({"symbol": pdf["symbol"].iloc[:1].repeat(len(at)).to_numpy(), "i": pdf["i"].to_numpy()[at] if at else [], "dt": pdf["dt"].to_numpy()[at] if at else [], "type": [e[1] for e in events], "value": [e[2] for e in events], "score": [float(e[3]) for e in events]})
+        out = pdf[["symbol", "i", "dt"]].iloc[at].reset_index(drop=True)
+        return out.assign(type=[e[1] for e in events], value=[e[2] for e in events], score=[float(e[3]) for e in events]).astype({"type": str, "value": str, "score": float})
 
     return by_symbol(df.select("symbol", "i", "dt", *columns), run, SIGNALS)
 
