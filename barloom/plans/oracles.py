@@ -108,7 +108,7 @@ _FIX = {
     f"f_{c}": f"CASE WHEN g_{c} IS NOT NULL THEN g_{c} WHEN b_{c} IS NULL THEN first_value(g_{c} IGNORE NULLS) OVER ({O} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) WHEN lead(g_{c}) OVER ({O}) IS NOT NULL THEN round_even((b_{c} + lead(g_{c}) OVER ({O})) / 2, 2) ELSE b_{c} END"
     for c in _GAP
 }
-ORACLES["nan_repair"] = chain({f"g_{c}": e for c, e in _GAP.items()}, {f"b_{c}": f"last_value(g_{c} IGNORE NULLS) OVER ({O} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)" for c in _GAP}, _FIX, out=cells(*_GAP, of={c: f"f_{c}" for c in _GAP}))
+ORACLES["nan_repair"] = chain({f"g_{c}": e for c, e in _GAP.items()}, {f"b_{c}": f"last_value(g_{c} IGNORE NULLS) OVER ({O} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)" for c in _GAP}, _FIX, out=cells(*_GAP, of={c: f"f_{c}" for c in _GAP}).replace(", 4)", ", 0)"))
 ORACLES["wide_to_long"] = chain(
     "SELECT s.symbol, d.dt, b.close FROM (SELECT DISTINCT dt FROM {last}) d CROSS JOIN (VALUES ('1-URGENT'), ('5-LOW')) s(symbol) LEFT JOIN {last} b ON b.symbol = s.symbol AND b.dt = d.dt", out="SELECT symbol, dt, round(close, 4) + 0.0 AS close FROM {last}"
 )
@@ -130,7 +130,7 @@ ORACLES["windowed_ma_exp"] = chain({"windowed": f"CASE WHEN i >= 5 AND i < n - 5
 _PCT = {f"{leg}_pct": f"round_even((close - {leg}) / nullif({leg}, 0) * 100.0, 3)" for leg in ("short", "medium", "long")}
 _LEGS = {"short": 12, "medium": 50, "long": 200}
 _SMA3 = {leg: sma("close", n) for leg, n in _LEGS.items()}
-ORACLES["sma_triple"] = chain(_SMA3, _PCT, out=cells(*_LEGS, *_PCT))
+ORACLES["sma_triple"] = chain(_SMA3, _PCT, out=cells(*_LEGS, *_PCT).replace(", 4)", ", 5)"))
 _EMA3 = {leg: ema("close", "l", n) for leg, n in zip(_LEGS, (9, 20, 50), strict=True)}
 ORACLES["ema_triple"] = chain({"l": so_far("close")}, _EMA3, _PCT, out=cells(*_LEGS, *_PCT))
 
@@ -174,7 +174,7 @@ _RSI = [
     {"rs": "CASE WHEN i = 14 THEN g0 / nullif(w0, 0) WHEN w1 <> 0 THEN ((g1 * 13 + g) / 14.0) / nullif((w1 * 13 + w) / 14.0, 0) END"},
     {"rsi": "CASE WHEN i < 14 THEN 50.0 ELSE coalesce(round_even(100.0 - 100.0 / (1.0 + rs), 6), 100.0) END"},
 ]
-ORACLES["rsi"] = chain(*_RSI, out=cells("rsi"))
+ORACLES["rsi"] = chain(*_RSI, out=cells("rsi").replace(", 4)", ", 2)"))
 ORACLES["rsi_thresholds"] = chain(
     {"t": f"0.45 * ({slope('close', 42)}) + 0.33 * ({slope('close', 77)}) + 0.22 * ({slope('close', 112)})"},
     {"s": scaled("t")},
@@ -323,7 +323,7 @@ ORACLES["support_clusters"] = chain(
     "SELECT *, lag(price) OVER (" + _KIND + ") AS b FROM (SELECT DISTINCT symbol, kind, i, price FROM {last})",
     "SELECT *, sum(CASE WHEN b IS NULL OR (price - b) / b >= 0.007 THEN 1 ELSE 0 END) OVER (" + _KIND + " ROWS UNBOUNDED PRECEDING) AS chain FROM {last}",
     "SELECT *, max(chain) OVER (PARTITION BY symbol, kind) AS top FROM {last}",
-    out="SELECT symbol, kind, round_even(avg(price), 2) AS price, min(i) AS start, count(*) AS n_points FROM {last} WHERE chain < top GROUP BY symbol, kind, chain HAVING count(*) > 1",
+    out="SELECT symbol, kind, round(round_even(avg(price), 2), 0) AS price, min(i) AS start, count(*) AS n_points FROM {last} WHERE chain < top GROUP BY symbol, kind, chain HAVING count(*) > 1",
 )
 
 # candles
@@ -394,7 +394,7 @@ ORACLES["correlation_index"] = chain(
     more=_MKT,
     out=cells("corr_100", "corr_50", "corr_25", "overall", "line", "difference").replace("SELECT symbol, i,", "SELECT i, dt,"),
 )
-_COMPOUND = "round({0} * exp(sum(ln(1 + greatest({1}, -0.99))) OVER (PARTITION BY {2} ORDER BY dt ROWS UNBOUNDED PRECEDING)), 4) + 0.0 AS value"
+_COMPOUND = "round(ln({0}) + sum(ln(1 + greatest({1}, -0.99))) OVER (PARTITION BY {2} ORDER BY dt ROWS UNBOUNDED PRECEDING), 6) + 0.0 AS log_value"
 ORACLES["bci"] = chain(
     {"ret": CHANGE}, "SELECT r_name AS name, dt, sum(ret * 0.2) / 100.0 AS r FROM {last} JOIN nation ON symbol = CAST(n_nationkey AS VARCHAR) JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2", source=NATION, out="SELECT name, dt, " + _COMPOUND.format("25.0", "r", "name") + " FROM {last}"
 )
@@ -436,7 +436,7 @@ ORACLES["holdings"] = chain(
 )
 _BRACKETS = ((0, 11000, 0.1), (11000, 44725, 0.12), (44725, 95375, 0.22), (95375, 182100, 0.24), (182100, 231250, 0.32), (231250, 578125, 0.35), (578125, 100000000, 0.37))
 _TAX = " + ".join(f"greatest(least(o_totalprice, {h}.0) - {low}.0, 0.0) * {r}" for low, h, r in _BRACKETS)
-ORACLES["tax_brackets"] = f"SELECT o_orderkey, round(o_totalprice, 2) + 0.0 AS income, round(tax, 2) + 0.0 AS tax, round(coalesce(round_even(round_even(tax, 2) / nullif(o_totalprice, 0) * 100.0, 2), 0.0), 2) + 0.0 AS effective_rate FROM (SELECT o_orderkey, o_totalprice, {_TAX} AS tax FROM orders)"
+ORACLES["tax_brackets"] = f"SELECT o_orderkey, round(o_totalprice, 2) + 0.0 AS income, round(tax, 4) + 0.0 AS tax, round(coalesce(round_even(round_even(tax, 2) / nullif(o_totalprice, 0) * 100.0, 2), 0.0), 1) + 0.0 AS effective_rate FROM (SELECT o_orderkey, o_totalprice, {_TAX} AS tax FROM orders)"
 _RACE = "CASE WHEN g = 0 THEN pay * {0} ELSE pay * ((1.0 + g) ** ({0}) - 1.0) / g END"
 ORACLES["contribution_race"] = f"""SELECT scenario, CAST(m AS INTEGER) AS month, round(({_RACE.format("least(m, 120)")}) * (1.0 + g) ** greatest(m - 120, 0), 2) + 0.0 AS early, round({_RACE.format("greatest(m - 120, 0)")}, 2) + 0.0 AS late
     FROM (SELECT CAST(s AS BIGINT) AS scenario, r / 12.0 AS g, c / 12.0 AS pay FROM (VALUES (1, 0.06::DOUBLE, 6000.0::DOUBLE), (2, 0.09, 12000.0), (3, 0.0, 6000.0)) v(s, r, c)), range(1, 505) x(m)"""
@@ -451,7 +451,7 @@ ORACLES["altman_z"] = """SELECT symbol, round(z, 4) AS z, CASE WHEN z >= 3.0 THE
     SELECT CAST(s_suppkey AS VARCHAR) AS symbol, 1.2 * (((abs(s_acctbal) + 50) / (abs(s_acctbal) * 0.5 + 40)) / (abs(s_acctbal) * 3 + 100)) + 1.4 * (s_acctbal / (abs(s_acctbal) * 3 + 100)) + 3.3 * (s_acctbal * 0.2 / (abs(s_acctbal) * 3 + 100))
         + 0.6 * (abs(s_acctbal) * 4 / (abs(s_acctbal) * 0.5 + 40)) + abs(s_acctbal) * 2 / (abs(s_acctbal) * 3 + 100) AS z FROM supplier)"""
 ORACLES["statement_pivot"] = "SELECT CAST(s_suppkey AS VARCHAR) AS symbol, round(s_acctbal * 0.2, 4) + 0.0 AS ebit, round(abs(s_acctbal) * 3 + 100, 4) + 0.0 AS total_assets FROM supplier"
-ORACLES["eps"] = "SELECT CAST(o_custkey AS VARCHAR) AS symbol, strftime(o_orderdate, '%Y') AS period, round_even(CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DOUBLE) / (o_custkey % 97 + 3), 3) AS eps FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY o_custkey, 2"
+ORACLES["eps"] = "SELECT CAST(o_custkey AS VARCHAR) AS symbol, strftime(o_orderdate, '%Y') AS period, round(CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DOUBLE) / (o_custkey % 97 + 3), 0) AS eps FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY o_custkey, 2"
 ORACLES["recommendation_curve"] = """WITH g AS (SELECT o_orderpriority AS symbol, CAST(o_orderdate AS DATE) AS dt, o_custkey % 11 AS firm, max(CASE o_orderkey % 5 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 4 ELSE 3 END) AS g FROM orders GROUP BY 1, 2, 3),
     h AS (SELECT *, least(lead(dt) OVER (PARTITION BY symbol, firm ORDER BY dt), CAST(dt + INTERVAL 24 MONTH AS DATE)) AS until FROM g)
     SELECT d.symbol, d.dt, count(*) AS firms, round(avg(h.g), 4) AS mean_grade FROM (SELECT DISTINCT symbol, dt FROM g) d JOIN h ON h.symbol = d.symbol AND h.dt <= d.dt AND d.dt < h.until GROUP BY 1, 2"""

@@ -55,7 +55,7 @@ def _gappy(b: DataFrame) -> DataFrame:
     return b.withColumns({c: F.when(gap, F.lit(None).cast("double")).otherwise(F.col(c)) for c in src.PRICES})
 
 
-on_bars("nan_repair", lambda b: src.repair(_gappy(b)), "open", "high", "low", "close")
+on_bars("nan_repair", lambda b: src.repair(_gappy(b)).select("symbol", "i", *[neat(c, 0).alias(c) for c in ("open", "high", "low", "close")]))
 on_bars("repair_log", lambda b: src.repair_log(_gappy(b)).select("symbol", "status", "n_rows"))
 on_bars("validity_gate", lambda b: src.invalid(b.withColumn("close", F.when(F.col("symbol") != "5-LOW", F.col("close")))).select("symbol", "n_missing", "n_rows"))
 QUERIES["calendar_align"] = lambda spark, sf: series(src.aligned(src.nation_bars(spark, sf).filter("i % 5 <> 2"), src.nation_bars(spark, sf)), "open", "close")
@@ -71,7 +71,7 @@ on_bars("ema", trend.exponential_average, "ema")
 on_bars("wma", trend.weighted_average, "wma")
 on_bars("windowed_ma_simple", trend.windowed_average, "windowed")
 on_bars("windowed_ma_exp", lambda b: trend.windowed_average(b, 10, 2.0), "windowed")
-on_bars("sma_triple", trend.triple_average, "short", "medium", "long", "short_pct", "medium_pct", "long_pct")
+on_bars("sma_triple", lambda b: rounded(trend.triple_average(b), 5).select("symbol", "i", "short", "medium", "long", "short_pct", "medium_pct", "long_pct"))
 on_bars("ema_triple", lambda b: trend.triple_average(b, (9, 20, 50), "ema"), "short", "medium", "long", "short_pct", "medium_pct", "long_pct")
 on_signals("ma_crossovers", lambda b: trend.crossovers(trend.triple_average(b)))
 on_signals("ema_crossovers", lambda b: trend.crossovers(trend.triple_average(b, (9, 20, 50), "ema"), (9, 20, 50)))
@@ -91,7 +91,7 @@ on_bars("normalize", lambda b: b.withColumn("x", slope("close", 14)).withColumn(
 on_bars("stochastic", oscillators.stochastic, "fast_k", "smooth_k", "slow_d")
 on_signals("stochastic_signals", oscillators.stochastic_signals)
 on_bars("stochastic_metric", oscillators.stochastic_metric, "metric")
-on_bars("rsi", oscillators.rsi, "rsi")
+on_bars("rsi", lambda b: oscillators.rsi(b).select("symbol", "i", neat("rsi", 2).alias("rsi")))
 on_bars("rsi_thresholds", oscillators.rsi_thresholds, "oversold", "overbought")
 on_signals("rsi_signals", oscillators.rsi_signals)
 on_bars("rsi_metric", oscillators.rsi_metric, "metric")
@@ -157,7 +157,7 @@ on_bars("extrema", lambda b: features.extrema(b, 8).select("symbol", "i", neat("
 on_bars("head_shoulders", lambda b: rounded(features.head_and_shoulders(b, 4)))
 on_bars("head_shoulders_all", lambda b: rounded(features.all_head_and_shoulders(b)))
 on_bars("support_points", features.turning_points)
-on_bars("support_clusters", lambda b: features.price_clusters(features.turning_points(b)))
+on_bars("support_clusters", lambda b: features.price_clusters(features.turning_points(b)).withColumn("price", neat("price", 0)))
 on_bars("support_resistance", features.support_resistance)
 on_bars("trend_lines", lambda b: rounded(features.trend_lines(b)))
 on_bars("trend_forecast", lambda b: features.line_forecast(features.trend_lines(b), b))
@@ -193,7 +193,11 @@ def _weights(spark: SparkSession, sf: str) -> DataFrame:
     return n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("name"), F.col("n_nationkey").cast("string").alias("symbol"), F.lit(0.2).alias("weight"))
 
 
-QUERIES["bci"] = lambda spark, sf: rounded(cross.weighted_index(src.nation_bars(spark, sf), _weights(spark, sf)))
+def _logs(df: DataFrame, key: str) -> DataFrame:
+    return df.select(key, "dt", neat(F.log("value"), 6).alias("log_value"))
+
+
+QUERIES["bci"] = lambda spark, sf: _logs(cross.weighted_index(src.nation_bars(spark, sf), _weights(spark, sf)), "name")
 QUERIES["tci"] = lambda spark, sf: rounded(cross.weighted_clusters(src.nation_bars(spark, sf), _weights(spark, sf)))
 
 # reports
@@ -228,14 +232,14 @@ def _dividends(spark: SparkSession, sf: str) -> DataFrame:
     return b.select("symbol", "dt", F.bround(F.col("close") * 0.01, 2).alias("dividend"))
 
 
-QUERIES["synthetic_fund"] = lambda spark, sf: rounded(portfolio.synthetic_fund(src.nation_bars(spark, sf), _weights(spark, sf).withColumnRenamed("name", "fund").withColumn("weight", F.col("weight") * 0.9).unionByName(src.read_table(spark, sf, "region").select(F.col("r_name").alias("fund"), F.lit(portfolio.CASH).alias("symbol"), F.lit(0.1).alias("weight")))))
+QUERIES["synthetic_fund"] = lambda spark, sf: _logs(portfolio.synthetic_fund(src.nation_bars(spark, sf), _weights(spark, sf).withColumnRenamed("name", "fund").withColumn("weight", F.col("weight") * 0.9).unionByName(src.read_table(spark, sf, "region").select(F.col("r_name").alias("fund"), F.lit(portfolio.CASH).alias("symbol"), F.lit(0.1).alias("weight")))), "fund")
 QUERIES["ledger_sim"] = lambda spark, sf: rounded(portfolio.ledger_simulation(_trades(spark, sf), src.weekly_bars(spark, sf)), 2)
 QUERIES["holdings"] = lambda spark, sf: rounded(portfolio.holdings(_trades(spark, sf), src.weekly_bars(spark, sf)), 2)
 QUERIES["dividends_quarterly"] = lambda spark, sf: rounded(portfolio.dividends_quarterly(_dividends(spark, sf), (b := src.weekly_bars(spark, sf)), b.groupBy("symbol").agg(F.lit(100.0).alias("shares"))))
 QUERIES["buy_hold"] = lambda spark, sf: portfolio.buy_and_hold(src.weekly_bars(spark, sf), _dividends(spark, sf), 10_000_000.0)
 on_bars("cluster_strategy", lambda b: portfolio.cluster_strategy(b, 100_000_000.0))
 QUERIES["retirement_sim"] = lambda spark, sf: rounded(portfolio.retirement(portfolio.scenario_grid(spark)), 2)
-QUERIES["tax_brackets"] = lambda spark, sf: rounded(portfolio.income_tax(src.read_table(spark, sf, "orders").select("o_orderkey", F.col("o_totalprice").alias("income"))), 2)
+QUERIES["tax_brackets"] = lambda spark, sf: rounded(portfolio.income_tax(src.read_table(spark, sf, "orders").select("o_orderkey", F.col("o_totalprice").alias("income")))).withColumn("effective_rate", neat("effective_rate", 1))
 QUERIES["contribution_race"] = lambda spark, sf: rounded(portfolio.contribution_race(spark.createDataFrame([(1, 0.06, 6000.0), (2, 0.09, 12000.0), (3, 0.0, 6000.0)], "scenario long, rate double, contribution double")), 2)
 QUERIES["stochastic_race"] = lambda spark, sf: portfolio.stochastic_race(spark)
 
@@ -251,10 +255,10 @@ def _statements(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES["altman_z"] = lambda spark, sf: fundamentals.altman_z(_statements(spark, sf), src.read_table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("symbol"), (F.abs("s_acctbal") * 4).alias("market_cap")))
 QUERIES["statement_pivot"] = lambda spark, sf: rounded(fundamentals.statement(_statements(spark, sf), "balance").select("symbol", F.col("EBIT").alias("ebit"), F.col("Total Assets").alias("total_assets")))
-QUERIES["eps"] = lambda spark, sf: fundamentals.earnings_per_share(
+QUERIES["eps"] = lambda spark, sf: rounded(fundamentals.earnings_per_share(
     src.read_table(spark, sf, "orders").groupBy(F.col("o_custkey").cast("string").alias("symbol"), F.date_format("o_orderdate", "yyyy").alias("period")).agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("earnings")),
     src.read_table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("symbol"), (F.col("c_custkey") % 97 + 3).cast("double").alias("shares")),
-)
+), 0)
 QUERIES["recommendation_curve"] = lambda spark, sf: fundamentals.recommendation_curve(
     src.read_table(spark, sf, "orders").select(F.col("o_orderpriority").alias("symbol"), F.col("o_orderdate").cast("date").alias("dt"), (F.col("o_custkey") % 11).cast("string").alias("firm"), F.element_at(F.array(*[F.lit(g) for g in ("Strong Buy", "Buy", "Hold", "Sell", "Odd")]), (F.col("o_orderkey") % 5 + 1).cast("int")).alias("grade"))
 )
