@@ -511,7 +511,7 @@ def _twin_peaks(x: list[float]) -> Iterator[Event]:
             if d * v < 0:
                 d = -d
             elif d * (v - was) < 0:
-                top, step = v, "saddle"
+                top, step = was, "saddle"
         elif d * v < 0:
             d, step = -d, "move"
         elif step == "saddle":

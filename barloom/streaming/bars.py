@@ -20,7 +20,7 @@ def batch_bars(events: DataFrame, size: str = "6 hours") -> DataFrame:
 
 def stream_bars(events: DataFrame, size: str = "6 hours", late: str = "1 hour") -> DataFrame:
     """The same over a stream: a window comes out once the watermark has passed its end; later ticks are dropped."""
-    return window_bars(events.withWatermark("ts", late), "event_type", "ts", "value", size)
+    return window_bars(events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late), "event_type", "ts", "value", size)
 
 
 def write_bars(bars: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
