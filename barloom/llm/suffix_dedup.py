@@ -1,7 +1,7 @@
 """Operator 4: removal of repeated 50-byte strings by suffix arrays that are built by induced sorting.
 
-Equal windows of 50 bytes must meet in one shard. Each window is anchored at the smallest of the hashes of its 16-byte grams, so
-equal windows have equal anchors; consecutive windows with one anchor form a piece (50 to 84 bytes). Pieces whose anchor occurs in
+Equal windows of 50 bytes must meet in one shard. Each window is anchored at the smallest of the hashes of its 32-byte grams, so
+equal windows have equal anchors; consecutive windows with one anchor form a piece (50 to 68 bytes). Pieces whose anchor occurs in
 one document alone are dropped. The different pieces that are left are dealt by anchor, and each shard sorts their suffixes.
 """
 
@@ -12,14 +12,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, mix, seeds, slices, span_hashes, stored, texts_of, utf8
+from .common import U64, mix, seeds, slices, stored, texts_of, utf8
 
-WINDOW, GRAM = 50, 16
-#: Bytes of pieces that one suffix array holds. An anchor with more different pieces than HOT has its windows compared one by one.
-SHARD_BYTES, HOT = 1 << 20, 8_192
+WINDOW, GRAM = 50, 32
+#: Bytes of pieces, and places of pieces, that one suffix array stands for. An anchor in more documents than HOT has its windows
+#: compared one by one, and up to so many of such anchors are broadcast.
+SHARD_BYTES, SHARD_ROWS, HOT, MOST_HOT = 1 << 20, 200_000, 20_000, 50_000
+BUCKETS = 8
 _LOWEST = -(1 << 63)
 _A, _B, _C = seeds(3, 41) | U64(1)
 
@@ -200,14 +203,17 @@ def lowest_holders(pieces: list[bytes], low: np.ndarray, window: int = WINDOW) -
 
 
 def anchored(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First bytes of the pieces, last bytes plus one, and their anchors (64-bit hashes). Windows don't cross rows."""
+    """First bytes of the pieces, last bytes plus one, and their anchors (48-bit hashes). Windows don't cross rows."""
     n, span = len(data), window - gram + 1
     if n < window:
         z = np.zeros(0, np.int64)
         return z, z, z
     w = words_at(data)
     h = w[: n - gram + 1] * _A
-    h ^= (w[gram - 8 : n - 7] ^ (h >> U64(29))) * _B
+    for j in (*range(8, gram - 7, 8), gram - 8)[: -(-gram // 8) - 1]:
+        h ^= h >> U64(29)
+        h += w[j : j + len(h)]
+        h *= _B
     h ^= h >> U64(32)
     h *= _C
     h ^= h >> U64(29)
@@ -228,60 +234,94 @@ def anchored(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, gram:
     final = ok.copy()
     final[:-1] &= (place[1:] != place[:-1]) | ~ok[1:]
     starts = np.flatnonzero(fresh)
-    return starts, np.flatnonzero(final) + window, h[place[starts]]
+    return starts, np.flatnonzero(final) + window, h[place[starts]] >> U64(16)
 
 
-def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Anchors by document: kind 2 where several documents of the slice hold it, with one row of kind 0 to tell; else kind 1."""
-    for batch in batches:
-        for s in slices(batch):
-            data, offsets = utf8(s.column("text"))
-            starts, _, anchor = anchored(data, offsets)
-            if not len(starts):
-                continue
-            doc = s.column("k").to_numpy()[np.searchsorted(offsets, starts, "right") - 1]
-            order = np.lexsort((doc, anchor))
-            anchor, doc = anchor[order], doc[order]
-            new = np.append(True, (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1]))
-            anchor, doc = anchor[new], doc[new]
-            group = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
-            n = np.diff(np.append(group, len(anchor)))
-            told = group[n > 1]
-            kind = np.repeat(np.where(n > 1, 2, 1), n)
-            cols = [np.append(anchor, anchor[told]).view(np.int64), np.append(doc, doc[told]), np.append(kind, np.zeros(len(told), np.int64)).astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["m", "k", "kind"])
+def _marks(n_buckets: int):
+    """Anchors of slices of documents, in blocks for each bucket of anchors.
+
+    An entry of data is an anchor (48 bits) and the place in ks of the only document of the slice that holds it (16 bits), or 65535
+    where several do. Those are known to share it: their pairs go along in known_k and known_m, in any block.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn = 0
+        for batch in batches:
+            for s in slices(batch, max_bytes=4 << 20, max_rows=4096):
+                data, offsets = utf8(s.column("text"))
+                starts, _, m = anchored(data, offsets)
+                if not len(starts):
+                    continue
+                k = s.column("k").to_numpy()[np.searchsorted(offsets, starts, "right") - 1]
+                ks, place = np.unique(k, return_inverse=True)
+                both = np.unique(m | place.astype(U64) << U64(48))
+                m, place = both & U64((1 << 48) - 1), both >> U64(48)
+                order = np.argsort(m, kind="stable")
+                m, place = m[order], place[order]
+                group = np.flatnonzero(np.append(True, m[1:] != m[:-1]))
+                n = np.diff(np.append(group, len(m)))
+                several = np.repeat(n > 1, n)
+                known_m, known_k = m[several], ks[place[several].astype(np.int64)]
+                m, place = m[group], np.where(n > 1, U64(65535), place[group])
+                bucket = ((m >> U64(16)) * U64(n_buckets) >> U64(32)).astype(np.int64)
+                cuts = np.searchsorted(bucket, np.arange(n_buckets + 1))
+                turn = (turn + 1) % n_buckets
+                blocks, used, mine = [], [], []
+                for j in range(n_buckets):
+                    a, b = cuts[j], cuts[j + 1]
+                    if a < b or j == turn:
+                        here, at = np.unique(place[a:b][place[a:b] < 65535], return_inverse=True)
+                        entry = place[a:b].copy()
+                        entry[entry < 65535] = at.astype(U64)
+                        blocks.append((m[a:b] | entry << U64(48)).tobytes())
+                        used.append(ks[here.astype(np.int64)])
+                        mine.append(j)
+                longs = pa.list_(pa.int64())
+                at = [known_k if j == turn else [] for j in mine], [known_m.view(np.int64) if j == turn else [] for j in mine]
+                yield pa.RecordBatch.from_arrays([pa.array(mine, pa.int32()), pa.array(used, longs), pa.array(blocks, pa.binary()), pa.array(at[0], longs), pa.array(at[1], longs)], ["bucket", "ks", "data", "known_k", "known_m"])
+
+    return run
+
+
+def _by_document(k: np.ndarray, m: np.ndarray) -> pa.RecordBatch:
+    order = np.argsort(k, kind="stable")
+    k, m = k[order], m[order]
+    at = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(k[at]), pa.ListArray.from_arrays(pa.array(np.append(at, len(k)), pa.int32()), pa.array(m))], ["k", "ms"])
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows by m, kind and k: those of kind 2, and those of kind 1 whose m is told or occurs with several k."""
-    none = np.zeros(0, np.int64)
-    m0, met0, k0 = none, False, none  # the last m so far, whether it is met, and its one k if not
-    for batch in batches:
-        m, k, kind = (batch.column(c).to_numpy() for c in ("m", "k", "kind"))
-        out_m, out_k = [m[kind == 2]], [k[kind == 2]]
-        m, k, kind = m[kind < 2], k[kind < 2], kind[kind < 2]
+    """Of blocks in the order of buckets: documents with those of their anchors that other documents hold as well."""
+
+    def shared(held: list) -> pa.RecordBatch:
+        entries = [np.frombuffer(data, U64) for _, data in held]
+        m = np.concatenate([e & U64((1 << 48) - 1) for e in entries]).view(np.int64)
+        place = [(e >> U64(48)).astype(np.int64) for e in entries]
+        told = np.concatenate(place) == 65535
+        k = np.concatenate([np.append(ks, 0)[np.minimum(p, len(ks))] for (ks, _), p in zip(held, place, strict=True)])
+        order = np.lexsort((k, m))
+        m, k, told = m[order], k[order], told[order]
         if not len(m):
-            yield pa.RecordBatch.from_arrays([pa.array(out_m[0]), pa.array(out_k[0])], ["m", "k"])
-            continue
-        carried = len(m0) > 0 and m[0] == m0[0]
+            return _by_document(k, m)
         group = np.flatnonzero(np.append(True, m[1:] != m[:-1]))
         n = np.diff(np.append(group, len(m)))
-        met = np.bitwise_or.reduceat(kind == 0, group)
-        met |= np.maximum.reduceat(k, group) > np.minimum.reduceat(k, group)
-        if carried:
-            if not met0 and (met[0] or len(k0) == 0 or k[0] != k0[0]):
-                out_m.append(m0[: len(k0)])
-                out_k.append(k0)
-                met0, k0 = True, none
-            met[0] |= met0
-        take = np.repeat(met, n) & (kind == 1)
-        out_m.append(m[take])
-        out_k.append(k[take])
-        last = group[-1]
-        if not (carried and len(group) == 1 and not met[-1]):
-            k0 = none if met[-1] else k[last : last + 1]
-        m0, met0 = m[last : last + 1], bool(met[-1])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_m)), pa.array(np.concatenate(out_k))], ["m", "k"])
+        met = np.bitwise_or.reduceat(told, group) | (np.maximum.reduceat(k, group) > np.minimum.reduceat(k, group))
+        take = np.repeat(met, n) & ~told
+        return _by_document(k[take], m[take])
+
+    held, last = [], None
+    for batch in batches:
+        lists = [batch.column(c) for c in ("ks", "known_k", "known_m")]
+        if len(known := lists[1].flatten()):
+            yield _by_document(known.to_numpy(), lists[2].flatten().to_numpy())
+        for i, (bucket, data) in enumerate(zip(batch.column("bucket").to_pylist(), batch.column("data").to_pylist(), strict=True)):
+            if bucket != last and held:
+                yield shared(held)
+                held = []
+            last = bucket
+            held.append((lists[0][i].values.to_numpy(), data))
+    if held:
+        yield shared(held)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,44 +335,65 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             holder = np.repeat(np.arange(s.num_rows, dtype=U64), np.diff(ms.offsets.to_numpy()))
             at = np.flatnonzero(np.isin(mix(anchor + row.astype(U64) * _A), mix(ms.flatten().to_numpy().view(U64) + holder * _A)))
             starts, ends, row = starts[at], ends[at], row[at]
-            content = span_hashes(data, starts, ends).view(np.int64)
             whole = data.tobytes()
             body = [whole[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-            cols = [anchor[at].view(np.int64), content, s.column("k").to_numpy()[row], s.column("row").to_numpy()[row], starts - offsets[row]]
-            yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in cols], pa.array(body, pa.binary())], ["m", "c", "k", "row", "start", "body"])
+            cols = [anchor[at].view(np.int64), s.column("k").to_numpy()[row], s.column("row").to_numpy()[row], starts - offsets[row]]
+            yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in cols], pa.array(body, pa.binary())], ["m", "k", "row", "start", "body"])
+
 
+SPANS = ["k", "row", "a", "b"]
 
-def _runs(lows: np.ndarray, n_windows: np.ndarray) -> tuple[pa.Array, pa.Array]:
-    """Per piece, the first window of each run of equal lows, and that low."""
+
+def _spans(k: np.ndarray, row: np.ndarray, start: np.ndarray, content: np.ndarray, lows: np.ndarray, n_windows: np.ndarray) -> pa.RecordBatch:
+    """Bytes from a to b of documents whose windows a lower document holds. content: the piece at each place; lows: by its windows."""
     begins = np.cumsum(n_windows) - n_windows
-    new = np.ones(len(lows), bool)
-    new[1:] = lows[1:] != lows[:-1]
-    new[begins] = True
-    at = np.flatnonzero(new)
-    ends = np.append(0, np.cumsum(np.bincount(np.repeat(np.arange(len(n_windows)), n_windows)[at], minlength=len(n_windows))))
-    first = at - np.repeat(begins, np.diff(ends))
-    edges = pa.array(ends, pa.int32())
-    return pa.ListArray.from_arrays(edges, pa.array(first, pa.int32())), pa.ListArray.from_arrays(edges, pa.array(lows[at]))
+    least, most = np.minimum.reduceat(lows, begins), np.maximum.reduceat(lows, begins)
+    every = k > most[content]
+    out = [np.stack([k[every], row[every], start[every], start[every] + n_windows[content[every]] - 1 + WINDOW])]
+    for i in np.flatnonzero(~every & (k > least[content])).tolist():
+        c = content[i]
+        gone = np.diff(np.concatenate([[0], (lows[begins[c] : begins[c] + n_windows[c]] < k[i]).astype(np.int8), [0]]))
+        a, b = np.flatnonzero(gone > 0), np.flatnonzero(gone < 0)
+        out.append(np.stack([np.full(len(a), k[i]), np.full(len(a), row[i]), start[i] + a, start[i] + b - 1 + WINDOW]))
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(out, axis=1)], SPANS)
 
 
 def _sorted_shards(limit: int):
-    """Lowest holders for rows (m, c, body, low) in the order of m: one suffix array for so many whole anchors as limit allows."""
-
-    def shard(held: list) -> pa.RecordBatch:
-        m, c, body, low = zip(*held, strict=True)
-        first, lows = _runs(*lowest_holders(list(body), np.array(low, np.int64)))
-        return pa.RecordBatch.from_arrays([pa.array(m, pa.int64()), pa.array(c, pa.int64()), first, lows], ["m", "c", "first", "lows"])
+    """Spans for pieces in the order of m, body and k: one suffix array for so many whole anchors as limit allows."""
+
+    def shard(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        m, k, row, start = (rows.column(c).to_numpy() for c in ("m", "k", "row", "start"))
+        body = rows.column("body").to_pylist()
+        new = np.array([True, *[a != b for a, b in zip(body[1:], body[:-1], strict=True)]]) | np.append(True, m[1:] != m[:-1])
+        first = np.flatnonzero(new)
+        content, low, owner = np.cumsum(new) - 1, k[first], m[first]
+        pieces = [body[i] for i in first.tolist()]
+        n_windows = np.array([len(p) for p in pieces]) - WINDOW + 1
+        # a piece that its anchor has alone is compared with nothing
+        alone = np.append(True, owner[1:] != owner[:-1]) & np.append(owner[1:] != owner[:-1], True)
+        lows = np.repeat(low, n_windows)
+        if not alone.all():
+            some = np.flatnonzero(~alone)
+            lows[np.repeat(~alone, n_windows)] = lowest_holders([pieces[i] for i in some.tolist()], low[some])[0]
+        return _spans(k, row, start, content, lows, n_windows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, last = [], 0, None
+        held, size, n = [], 0, 0
         for batch in batches:
-            for r in zip(*(batch.column(x).to_pylist() for x in ("m", "c", "body", "low")), strict=True):
-                if r[0] != last and size >= limit:
-                    yield shard(held)
-                    held, size = [], 0
-                held.append(r)
-                size += len(r[2]) + 1
-                last = r[0]
+            m = batch.column("m").to_numpy()
+            sizes = np.cumsum(pc.binary_length(batch.column("body")).to_numpy(zero_copy_only=False))
+            begin = done = 0
+            for i in [*np.flatnonzero(m[1:] != m[:-1]) + 1] if len(m) else []:
+                if size + sizes[i - 1] - done >= limit or n + i - begin >= SHARD_ROWS:
+                    yield shard([*held, batch.slice(begin, i - begin)])
+                    held, size, n, begin, done = [], 0, 0, i, sizes[i - 1]
+            if held and len(m) and held[-1].column("m")[-1].as_py() != m[0] and begin == 0 and size >= limit:
+                yield shard(held)
+                held, size, n = [], 0, 0
+            if begin < len(m):
+                held.append(batch.slice(begin))
+                size, n = size + int(sizes[-1]) - int(done), n + len(m) - int(begin)
         if held:
             yield shard(held)
 
@@ -340,14 +401,13 @@ def _sorted_shards(limit: int):
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every window of rows (m, c, body, low) on its own."""
+    """Every window of pieces on its own."""
     for batch in batches:
         for s in slices(batch, "body"):
-            m, c, body, low = (s.column(x).to_pylist() for x in ("m", "c", "body", "low"))
+            k, row, start, body = (s.column(x).to_pylist() for x in ("k", "row", "start", "body"))
             at = [(i, j) for i, b in enumerate(body) for j in range(len(b) - WINDOW + 1)]
-            cols = [pa.array([m[i] for i, _ in at], pa.int64()), pa.array([c[i] for i, _ in at], pa.int64()), pa.array([j for _, j in at], pa.int32())]
-            cols += [pa.array([body[i][j : j + WINDOW] for i, j in at], pa.binary()), pa.array([low[i] for i, _ in at], pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, ["m", "c", "at", "window", "low"])
+            cols = [pa.array([k[i] for i, _ in at], pa.int64()), pa.array([row[i] for i, _ in at], pa.int64()), pa.array([start[i] + j for i, j in at], pa.int64()), pa.array([body[i][j : j + WINDOW] for i, j in at], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["k", "row", "a", "window"])
 
 
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
@@ -361,13 +421,12 @@ def _removed(with_text: bool):
             for s in slices(batch):
                 data, offsets = utf8(s.column("text"))
                 depth = np.zeros(len(data) + 1, np.int64)
-                for i, (k, row, found) in enumerate(zip(s.column("k").to_pylist(), s.column("row").to_pylist(), s.column("found").to_pylist(), strict=True)):
-                    for f in found or ():
-                        if f["row"] == row:
-                            for a, b, low in zip(f["first"], [*f["first"][1:], f["n"]], f["lows"], strict=True):
-                                if low < k:
-                                    depth[offsets[i] + f["start"] + a] += 1
-                                    depth[offsets[i] + f["start"] + b - 1 + WINDOW] -= 1
+                found = s.column("found")
+                at = found.flatten()
+                owner = np.repeat(np.arange(s.num_rows), np.diff(found.offsets.to_numpy()))
+                own = pc.struct_field(at, "row").to_numpy() == s.column("row").to_numpy()[owner]
+                for name, step in (("a", 1), ("b", -1)):
+                    np.add.at(depth, offsets[owner[own]] + pc.struct_field(at, name).to_numpy()[own], step)
                 gone = np.cumsum(depth)[:-1] > 0
                 before = np.append(0, np.cumsum(gone))
                 fresh = gone.copy()
@@ -390,38 +449,36 @@ def dedup_substrings(docs: DataFrame, with_text: bool = False, hot: int = HOT, s
     whole; a cut character is replaced in kept only. Null text is empty, a null doc_id is the lowest of all, rows with equal doc_id
     don't count as copies of each other, an empty table gives no row, and other columns are ignored.
 
-    1. Anchors by document: one shuffle. An anchor that several documents of a slice hold is known as shared at once, so a very
-       common one sends one row a slice to where it is decided, and its documents' rows are dealt at random.
-    2. Pieces at shared anchors are cut out of the texts; equal ones collapse to their lowest document before the shuffle.
-    3. Different pieces go to the shard of their anchor, where suffix arrays and their common prefixes give each window's lowest
-       document. An anchor with more than hot different pieces (the edges of a passage that very many documents share) has its
-       windows grouped by their bytes instead, with the same result.
-    4. All holders of a piece join those, and each text loses the bytes of windows whose lowest document is lower than its own.
+    1. Anchors by document, packed in blocks of 8 bytes an anchor: one shuffle. An anchor that several documents of a slice hold is
+       known as shared at once, so a very common one sends one entry a slice to where it is decided.
+    2. Texts are shuffled once, by document; that exchange serves this step and 4. Pieces at shared anchors are cut out and dealt by
+       anchor, equal ones side by side.
+    3. Suffix arrays over the different pieces of many anchors at a time and their common prefixes give each window's lowest
+       document. Anchors in more than hot documents (a passage that very many share) have their windows grouped by their bytes
+       instead, with the same result, so that no task gets all of them.
+    4. Each text loses the bytes of windows whose lowest document is lower than its own.
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = texts_of(docs).withColumn("k", F.coalesce("doc_id", F.lit(_LOWEST).cast("long")))
-    marks = rows.select("k", "text").mapInArrow(_marks, "m long, k long, kind int")
-    dealt = marks.repartition(n, F.when(F.col("kind") == 2, F.xxhash64("m", "k")).otherwise(F.col("m")))
-    shared = dealt.sortWithinPartitions("m", "kind", "k").mapInArrow(_met, "m long, k long")
-    wanted = stored(shared.groupBy("k").agg(F.collect_set("m").alias("ms")), "anchors")
-    rows = rows.withColumn("row", F.xxhash64("text"))
-    pieces = stored(rows.select("k", "row", "text").join(wanted, "k").mapInArrow(_cut, "m long, c long, k long, row long, start long, body binary"), "pieces")
-    # all but the size of a group is decided on contents: one row for each different piece
-    contents = stored(pieces.groupBy("m", "c", "body").agg(F.min("k").alias("low")), "contents")
-    several = contents.groupBy("m").agg(F.count("*").alias("n"))
-    sized = contents.join(several, "m")
-    alone = sized.filter("n = 1").select("m", "c", F.array(F.lit(0)).alias("first"), F.array("low").alias("lows"))
-    some = sized.filter(f"n between 2 and {hot}").select("m", "c", "body", "low").repartition(n, "m").sortWithinPartitions("m")
-    by_order = some.mapInArrow(_sorted_shards(shard_bytes), "m long, c long, first array<int>, lows array<bigint>")
-    windows = sized.filter(f"n > {hot}").select("m", "c", "body", "low").mapInArrow(_windows, "m long, c long, at int, window binary, low long")
-    lowest = windows.groupBy("window").agg(F.min("low").alias("low"))
-    by_window = windows.drop("low").join(lowest, "window").groupBy("m", "c").agg(F.array_sort(F.collect_list(F.struct("at", "low"))).alias("w"))
-    by_window = by_window.select("m", "c", F.expr("transform(w, x -> x.at)").alias("first"), F.expr("transform(w, x -> x.low)").alias("lows"))
-    found = stored(alone.union(by_order).union(by_window), "lowest")
-    held = pieces.select("m", "c", "k", "row", "start", (F.octet_length("body") - WINDOW + 1).alias("n")).join(found, ["m", "c"]).filter(F.array_min("lows") < F.col("k"))
-    spans = held.groupBy("k").agg(F.collect_list(F.struct("row", "start", "n", "first", "lows")).alias("found"))
-    return rows.join(spans, "k", "left").select("doc_id", "k", "row", "text", "found").mapInArrow(_removed(with_text), OUT)
+    rows = texts_of(docs).withColumn("k", F.coalesce("doc_id", F.lit(_LOWEST).cast("long"))).withColumn("row", F.xxhash64("text")).select("doc_id", "k", "row", "text")
+    blocks = rows.select("k", "text").mapInArrow(_marks(n * BUCKETS), "bucket int, ks array<long>, data binary, known_k array<long>, known_m array<long>")
+    shared = blocks.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_met, "k long, ms array<long>")
+    wanted = stored(shared.groupBy("k").agg(F.array_distinct(F.flatten(F.collect_list("ms"))).alias("ms")), "anchors")
+    often = stored(wanted.select(F.explode("ms").alias("m")).groupBy("m").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("m"), "hot-anchors")
+    n_often = often.count()
+    pieces = rows.join(wanted, "k").select("doc_id", "k", "row", "text", "ms").mapInArrow(_cut, "m long, k long, row long, start long, body binary")
+    cold, spans = pieces, "k long, row long, a long, b long"
+    if n_often:
+        known = F.broadcast(often) if n_often <= MOST_HOT else often
+        cold = pieces.join(known, "m", "left_anti")
+    found = cold.repartition(n, "m").sortWithinPartitions("m", "body", "k").mapInArrow(_sorted_shards(shard_bytes), spans)
+    if n_often:
+        windows = pieces.join(known, "m", "left_semi").select("k", "row", "start", "body").mapInArrow(_windows, "k long, row long, a long, window binary")
+        lowest = windows.groupBy("window").agg(F.min("k").alias("low"))
+        found = found.union(windows.join(lowest, "window").filter("low < k").select("k", "row", "a", (F.col("a") + WINDOW).alias("b")))
+    by_row = found.groupBy("k").agg(F.collect_list(F.struct("row", "a", "b")).alias("found"))
+    none = F.expr("cast(array() as array<struct<row: bigint, a: bigint, b: bigint>>)")
+    return rows.join(by_row, "k", "left").select("doc_id", "k", "row", "text", F.coalesce("found", none).alias("found")).mapInArrow(_removed(with_text), OUT)
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
