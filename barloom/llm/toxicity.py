@@ -31,7 +31,7 @@ class Model:
             at = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
             value = np.where(self.vocabulary[at] == h, self.weights[at], 0.0)
             z += np.bincount(np.repeat(np.arange(len(counts)), counts), weights=value, minlength=len(counts))
-        return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
+        return np.where(z == -np.inf, 0.0, 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40))))
 
 
 def word_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
