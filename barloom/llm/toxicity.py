@@ -46,7 +46,8 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     """Minimise prior * E_P[l(+)] + max(0, E_U[l(-)] - prior * E_P[l(-)]) for the logistic loss, by Adam on the whole sample.
 
     Where the estimate of the negative part falls below zero the step goes up that part instead, as the estimator demands. Only
-    words that occur in least toxic texts, and there oftener than in unlabelled ones by apart standard errors, have a weight.
+    words that occur in least toxic texts, and there oftener than in unlabelled ones by apart standard errors, have a weight. The
+    intercept is at most the prior's.
     """
     if not positive or not unlabelled or not 0 < prior < 1:
         return Model(np.zeros(0, U64), np.zeros(0), -np.inf if not positive else float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))))
@@ -84,6 +85,8 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
         a, d = 1 - 0.9**t, 1 - 0.999**t
         w -= rate * (g1 / a) / (np.sqrt(g2 / d) + 1e-4)
         b -= rate * (c1 / a) / (np.sqrt(c2 / d) + 1e-4)
+    # a text without any of these words is no likelier toxic than the prior; the risk alone leaves that loose where the sample is small
+    b = min(b, float(np.log(prior / (1 - prior))))
     return Model(vocabulary, w, b)
 
 
