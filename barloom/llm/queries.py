@@ -7,6 +7,7 @@ from .fingerprints import op5_multiset_fingerprint
 from .html_text import op6_html_extraction
 from .line_dedup import op8_line_dedup
 from .near_dedup import op2_minhash_near_dedup
+from .oracles import ORACLES as ORACLES
 from .packing import op3_best_fit_packing
 from .pii import op1_personal_data
 from .suffix_dedup import op4_suffix_dedup
@@ -25,6 +26,3 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_token_files": op10_token_files,
 }
-
-#: DuckDB SQL of those that SQL can express.
-ORACLES: dict[str, str] = {}
