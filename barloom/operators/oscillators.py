@@ -453,7 +453,7 @@ def _macd_crossings(m: list[float], bar: list[float], first: int, compat: bool)
 
 def macd_signals(bars: DataFrame, slow: int = 26, compat: bool = False) -> DataFrame:
     """Divergences, zero crossings of the line, and crossings of the bars. With compat a negative bar after a bearish one counts as
-    bullish, as the reference semantics have it."""
+    bullish again."""
 
     def machines(p: pd.DataFrame) -> Iterator[Event]:
         m, b, c = _v(p.fillna(0.0), "macd", "bar", "close")
