@@ -102,7 +102,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int, parts: i
     return rows.repartition(n, "a", "part").sortWithinPartitions("a", "part", "role").mapInArrow(_confirm(k, percent), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, pieces: int = PIECES, width: int = WIDTH, least_alike: int = 40) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, pieces: int = PIECES, width: int = WIDTH, least_alike: int = 40, centres_each: int = 8) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable over links) and kept.
 
     Texts are lower-cased (A-Z) and cut at ASCII white space; a set holds the distinct k-word shingles, or the whole sequence if
@@ -111,8 +111,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, pieces: int
     1. Equal sets collapse to their smallest doc_id.
     2. pieces**2 tables are keyed by pairs of pieces from two collections of pieces * width minima each. Keys held by one
        document alone go at once. A pair at the threshold shares a key but for 8 cases in ten thousand.
-    3. In each bucket the document with most bucket mates is the centre. Each document is held against the best of its centres;
-       links join components.
+    3. In each bucket the document with most bucket mates is the centre. Each document is held against the centres_each best
+       of its centres; links join components.
     4. In buckets that still hold several components, documents are held against the centres of other components, and then
        pairs across components are compared by set sizes and by their sketches, which must agree in least_alike of their bytes
        (66 at pieces 11, width 3; a pair at the threshold fails that once in ten thousand). No bucket is capped.
@@ -157,9 +157,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, pieces: int
         keys = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
         return roots, stored(rooted.join(keys, "key"), "open")
 
-    # one pair a document: the centre with most mates among those of its buckets
+    # a few pairs a document: the centres with most mates among those of its buckets, of which it has one for each table at most
     spokes = buckets.select("key", "doc_id").join(centres(buckets.select("key", "doc_id")), "key").filter("doc_id <> a")
-    links = linked(spokes.groupBy(F.col("doc_id").alias("b")).agg(F.max_by("a", F.struct("mates", F.negative("a"))).alias("a")).select("a", "b"), "links")
+    best = spokes.groupBy(F.col("doc_id").alias("b")).agg(F.slice(F.array_sort(F.collect_set(F.struct(F.negative("mates").alias("m"), "a"))), 1, centres_each).alias("c"))
+    links = linked(best.select(F.explode("c.a").alias("a"), "b"), "links")
     # what that leaves apart: all centres of its open buckets
     _, left = open_rows(links)
     hubs = left.select("key", F.col("doc_id").alias("b"), F.col("root").alias("rb")).join(centres(left.select("key", "doc_id")), "key")
