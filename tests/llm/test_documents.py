@@ -106,6 +106,28 @@ def test_planted_items_are_found_and_clean_texts_left(spark):
     assert contamination(docs.limit(0), bench).count() == 0
 
 
+def test_edited_and_cut_items_are_found_by_alignment_alone(spark):
+    rng = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(400)]
+    items = [(i, [rng.choice(vocabulary) for _ in range(rng.randrange(40, 101))]) for i in range(20)]
+    rows = []
+    for k in range(100):
+        part, kind = list(items[k % 20][1]), k // 20
+        if kind < 2:
+            for at in rng.sample(range(len(part)), len(part) * (10 + 10 * kind) // 100):
+                part[at] = rng.choice(vocabulary)
+        elif kind < 4:
+            part = part[len(part) // 3 :] if kind == 2 else part[: -(len(part) // 3)]
+        else:
+            part = [x for j, w in enumerate(part) for x in ([w, "new"] if j % 2 else [w])]
+        rows.append((k, rng.choices(vocabulary, k=60) + part + rng.choices(vocabulary, k=60)))
+    want = {k: {i for i, w in items if align(np.array(w), np.array(t)) >= 0.65} for k, t in rows}
+    assert sum(k % 20 in w for k, w in want.items()) > 75
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in rows], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    assert {r["row"]["doc_id"]: set(r["item_ids"]) for r in contamination(docs, bench).collect()} == want
+
+
 def test_decontamination_query(spark, sf):
     got = op7_decontamination(spark, sf)
     texts = {r["doc_id"]: " ".join((r["text"] or "").lower().split()) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
