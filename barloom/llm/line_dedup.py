@@ -1,4 +1,4 @@
-"""Operator 8: removal of repeated multi-line chunks at content-defined boundaries, with DataFrame functions only."""
+"""Operator 8: removal of repeated runs of two or more lines, with DataFrame functions only."""
 
 from __future__ import annotations
 
@@ -11,15 +11,14 @@ from .common import stored
 MEAN_LINES = 3
 SALTS = 16
 _LOWEST = -(1 << 63)
-#: Chunks that may go: two lines at least that aren't blank.
-_ELIGIBLE = r"c rlike r'\A\s*+\S[^\n]*+\n\s*+\S'"
 
 
 def with_chunks(rows: DataFrame, mean_lines: int = MEAN_LINES) -> DataFrame:
     """Add _chunks, the lines of text in chunks; joined by line feeds they are the text again.
 
     A rolling hash over two line hashes chooses the boundaries. Whether one stands before a line depends on the two lines before
-    it alone, so an insertion moves no boundary beyond the next two lines.
+    it alone, so an insertion moves no boundary beyond the next two lines. dedup_lines doesn't use it: repeated runs that are shorter
+    than the chunks around them would stay.
     """
     step = rows.withColumn("_lines", F.split("text", "\n", -1)).withColumn("_h", F.transform("_lines", lambda x: F.xxhash64(x)))
     step = step.withColumn("_cuts", F.expr(f"filter(sequence(0, size(_h) - 1), i -> i = 0 or pmod(xxhash64(get(_h, i - 2), get(_h, i - 1)), {mean_lines}) = 0)"))
@@ -27,56 +26,70 @@ def with_chunks(rows: DataFrame, mean_lines: int = MEAN_LINES) -> DataFrame:
     return step.drop("_lines", "_h", "_cuts")
 
 
-def repeated_chunks(docs: DataFrame, mean_lines: int = MEAN_LINES) -> DataFrame:
-    """Row key (_id, _hash), n_chunks, and n_removed, text after removal, for every different row of doc_id and text.
+def with_pairs(rows: DataFrame) -> DataFrame:
+    """Add _lines, the lines of text, and _pairs: (_at, _to), numbers of each line that isn't blank and of the next such line."""
+    step = rows.withColumn("_lines", F.split("text", "\n", -1)).withColumn("_solid", F.expr(r"filter(sequence(0, size(_lines) - 1), i -> get(_lines, i) rlike '\\S')"))
+    return step.withColumn("_pairs", F.expr("transform(slice(_solid, 1, greatest(size(_solid) - 1, 0)), (a, k) -> struct(a as _at, get(_solid, k + 1) as _to))")).drop("_solid")
 
-    1. Hashes of eligible chunks are counted without their bytes; those seen once go at once.
-    2. Rows that hold a repeated hash get its places, and the bytes of such chunks are written to the shared folder: one shuffle of
+
+#: The bytes of a pair p with the blank lines within.
+_BODY = "array_join(slice(_lines, p._at + 1, p._to - p._at + 1), '\\n')"
+
+
+def repeated_lines(docs: DataFrame) -> DataFrame:
+    """Row key (_id, _hash) and _gone, the numbers of the lines to remove, for rows of doc_id and text that lose any.
+
+    A run of two or more lines stood before just if all of its pairs of lines did, so that pairs find all of every such run.
+    1. Hashes of all pairs are counted without their bytes; those seen once go at once.
+    2. Rows that hold a repeated hash get its places, and the bytes of such pairs are written to the shared folder: one shuffle of
        the texts, by row key.
-    3. Those bytes are grouped; of equal ones the first by doc_id, then row, then place stays, and all others are
-       found by a join on hash and bytes. That join is salted, so a chunk that a third of all rows have is spread out.
+    3. Those bytes are grouped; of equal ones the first by doc_id, then row, then place stays, and all others that don't overlap it
+       are found by a join on their hash, and on the bytes too where different ones share a hash. That join is salted, so a pair
+       that a third of all rows have is spread out.
     """
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST).cast("long")).alias("_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("_hash", F.xxhash64("text"))
-    marks = with_chunks(rows, mean_lines).select("_id", "_hash", F.posexplode(F.expr(f"transform(_chunks, c -> if({_ELIGIBLE}, xxhash64(c), null))")).alias("_at", "_key")).filter("_key is not null")
+    marks = with_pairs(rows).select("_id", "_hash", F.expr(f"inline(transform(_pairs, p -> struct(p._at, p._to, xxhash64({_BODY}) as _key)))"))
     seen = marks.groupBy("_key").agg(F.count("*").alias("_n")).filter("_n > 1").select("_key")
-    places = marks.join(seen, "_key").groupBy("_id", "_hash").agg(F.array_sort(F.collect_set("_at")).alias("_places"))
-    placed = rows.join(places, ["_id", "_hash"])
-    bodies = with_chunks(placed, mean_lines).select("_id", "_hash", F.explode("_places").alias("_at"), "_chunks")
-    bodies = stored(bodies.select("_id", "_hash", "_at", F.get("_chunks", F.col("_at")).alias("_body")), "bodies").withColumn("_salt", F.pmod(F.xxhash64("_id", "_hash", "_at"), F.lit(SALTS)))
-    first = bodies.groupBy("_body").agg(F.min(F.struct("_id", "_hash", "_at")).alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
-    first = first.select("_body", "_first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    return bodies.join(first, ["_body", "_salt"]).filter(F.struct("_id", "_hash", "_at") != F.col("_first")).groupBy("_id", "_hash").agg(F.collect_set("_at").alias("_gone"))
-
-
-def dedup_lines(docs: DataFrame, mean_lines: int = MEAN_LINES, drop_emptied: bool = True) -> DataFrame:
-    """docs without repeated multi-line chunks, with the columns of docs plus n_lines_removed; n_chars follows where it is there.
-
-    A chunk with two lines that aren't blank goes wherever the same bytes stood before, by doc_id, in the whole table (its own
-    document included). The rest stays as it was, line for line. A document that loses its whole text goes, unless drop_emptied
-    is False; texts that are empty or null from the start stay as they are. Rows with equal doc_id and text share one fate. A null
-    doc_id counts as the lowest. An empty table gives an empty one.
+    places = marks.join(seen, "_key").groupBy("_id", "_hash").agg(F.array_sort(F.collect_set(F.struct("_at", "_to"))).alias("_places"))
+    placed = rows.join(places, ["_id", "_hash"]).withColumn("_lines", F.split("text", "\n", -1))
+    bodies = placed.select("_id", "_hash", F.expr(f"inline(transform(_places, p -> struct(p._at, p._to, {_BODY} as _body)))"))
+    bodies = stored(bodies, "bodies").withColumn("_key", F.xxhash64("_body")).withColumn("_salt", F.pmod(F.xxhash64("_id", "_hash", "_at"), F.lit(SALTS)))
+    first = bodies.groupBy("_body").agg(F.min(F.struct("_id", "_hash", "_at", "_to")).alias("_first"), F.count("*").alias("_n"))
+    same = first.groupBy(F.xxhash64("_body").alias("_key")).agg(F.collect_list(F.struct("_body", "_first", "_n")).alias("_same"))
+    first = same.select("_key", F.expr("inline(transform(_same, x -> struct(if(size(_same) > 1, x._body, null) as _only, x._first, x._n)))")).filter("_n > 1")
+    first = first.select("_key", "_only", "_first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    again = bodies.join(first, ["_key", "_salt"]).filter("(_only is null or _only = _body) and (_id != _first._id or _hash != _first._hash or _at > _first._to)")
+    return again.groupBy("_id", "_hash").agg(F.collect_set(F.struct("_at", "_to")).alias("_gone")).withColumn("_gone", F.expr("array_distinct(flatten(transform(_gone, p -> sequence(p._at, p._to))))"))
+
+
+def dedup_lines(docs: DataFrame, drop_emptied: bool = True) -> DataFrame:
+    """docs without repeated runs of lines, with the columns of docs plus n_lines_removed; n_chars follows where it is there.
+
+    Every run of two or more lines that aren't blank goes, with the blank lines within, wherever the same bytes stood before in docs,
+    by doc_id, in the whole table (its own document included, but for a run that overlaps the first). The rest stays as it was, line
+    for line. A document that keeps no line but blank ones goes, unless drop_emptied is False; texts that are empty or null from the
+    start stay as they are. Rows with equal doc_id and text share one fate. A null doc_id counts as the lowest. An empty table gives
+    an empty one.
     """
-    gone = repeated_chunks(docs, mean_lines)
+    gone = repeated_lines(docs)
     keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST).cast("long"))).withColumn("_hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     both = keyed.join(gone, ["_id", "_hash"], "left")
     names = docs.columns
-    cut = with_chunks(both.withColumn("_had", F.col("text")), mean_lines)
-    left = "array_join(filter(_chunks, (c, i) -> not array_contains(_gone, i)), '\\n')"
-    lost = "aggregate(filter(_chunks, (c, i) -> array_contains(_gone, i)), 0, (n, c) -> n + size(split(c, '\\n', -1)))"
-    text = F.when(F.col("_gone").isNull(), F.col("_had")).otherwise(F.expr(left))
-    gone_lines = F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.expr(lost)).cast("long")
-    # a generated row of its own: a filter on it isn't pushed into the chunks' lambdas, where it would be worked out line by line
+    cut = both.withColumn("_lines", F.when(F.col("_gone").isNotNull(), F.split("text", "\n", -1))).withColumn("_left", F.expr("array_except(sequence(0, size(_lines) - 1), _gone)"))
+    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.expr("array_join(transform(_left, i -> get(_lines, i)), '\\n')"))
+    gone_lines = F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.size("_lines") - F.size("_left")).cast("long")
+    # a generated row of its own: a filter on it isn't pushed into the lines' lambdas, where it would be worked out line by line
     out = cut.select(*[F.col(f"`{c}`") for c in names if c != "text"], F.inline(F.array(F.struct(text.alias("text"), gone_lines.alias("_lost")))))
     if drop_emptied:
-        out = out.filter((F.col("_lost") == 0) | (F.length(F.trim("text")) > 0))
+        out = out.filter((F.col("_lost") == 0) | F.col("text").rlike(r"\S"))
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.when(F.col("_lost") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*names, F.col("_lost").alias("n_lines_removed"))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents without repeated multi-line chunks: doc_id, lines removed, characters left, and sha256 of the text left."""
+    """documents without repeated runs of lines: doc_id, lines removed, characters left, and sha256 of the text left."""
     out = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"), drop_emptied=False)
     text = F.coalesce("text", F.lit(""))
     return out.select(F.col("doc_id").cast("long").alias("doc_id"), "n_lines_removed", F.length(text).cast("long").alias("n_chars"), F.sha2(text.cast("binary"), 256).alias("text_sha256"))

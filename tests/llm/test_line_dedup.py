@@ -62,3 +62,36 @@ def test_odd_rows(spark):
     assert next(r for r in got if r["doc_id"] == 3)["text"] is None
     assert dedup_lines(docs.limit(0)).count() == 0
     assert {r["doc_id"] for r in dedup_lines(docs).collect()} >= {1, 3, 4, None, 5, 6}
+
+
+def all_runs(rows):
+    """Lines left of each text: a line goes with a neighbour if both stood together before, and not in an overlapping place."""
+    first, left = {}, {}
+    for d, t in sorted(rows):
+        lines = t.split("\n")
+        solid, gone = [i for i, x in enumerate(lines) if x.strip()], set()
+        for a, b in zip(solid, solid[1:]):
+            at = first.setdefault("\n".join(lines[a : b + 1]), (d, a, b))
+            if at[0] != d or at[2] < a:
+                gone |= set(range(a, b + 1))
+        left[d] = [x for i, x in enumerate(lines) if i not in gone]
+    return left
+
+
+def test_every_repeated_run_of_two_lines_or_more_goes(spark):
+    rng = random.Random(3)
+    runs = [[f"run {k} line {i}" for i in range(2 + k % 4)] for k in range(40)]
+    rows = []
+    for d in range(200):
+        lines = []
+        for n in range(rng.randrange(1, 5)):
+            lines += [f"own {d} {n}", *rng.choice(runs), *rng.choice([[], [""], ["", "  "]])]
+        rows.append((d, "\n".join(lines)))
+    rows += [(300, "x\nx\nx"), (301, "y\n\ny\ny\n\ny"), (302, rows[0][1] + "\n"), (303, "p\nq\np\nq\nr"), (304, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in dedup_lines(docs, drop_emptied=False).collect()}
+    want = all_runs(rows)
+    assert {d: r["text"] for d, r in got.items()} == {d: "\n".join(x) for d, x in want.items()}
+    assert all(r["n_lines_removed"] == dict(rows)[d].count("\n") + 1 - len(want[d]) for d, r in got.items())
+    assert got[300]["n_lines_removed"] == 0 and got[303]["text"] == "p\nq\nr"
+    assert 302 not in {r["doc_id"] for r in dedup_lines(docs).collect()}
