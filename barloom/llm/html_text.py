@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 # Element kinds, and words in class, id or role that mark what isn't the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
-DROPPED = frozenset("head script style noscript template iframe object svg canvas nav header footer aside form button select textarea dialog menu title".split())
+DROPPED = frozenset("head script style noscript template iframe object svg canvas nav header footer aside button select textarea dialog menu title".split())
 BLOCKS = frozenset("html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 CLOSED_BY = {
     "p": BLOCKS - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"},
@@ -32,7 +32,7 @@ CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "chars", "tags", "link_chars", "link_tags", "density", "sum", "kids", "last")
+    __slots__ = ("tag", "parent", "chars", "tags", "link_chars", "link_tags", "density", "sum", "kids", "last", "doubtful")
 
     def __init__(self, tag: str, parent: _Node | None):
         self.tag, self.parent = tag, parent
@@ -40,10 +40,14 @@ class _Node:
         self.density = self.sum = 0.0
         self.kids: list[_Node] = []
         self.last = 0
+        self.doubtful = False
 
 
 def _parse(page: str) -> tuple[list[_Node], list[tuple[int, str]]]:
-    """Nodes in page order, and items (node number, text) with "" for the edge of a block. Dropped elements leave nothing."""
+    """Nodes in page order, and items (node number, text) with "" for the edge of a block. Dropped elements leave nothing.
+
+    Forms and elements with a name that articles don't have are doubtful: _settle keeps or drops them.
+    """
     nodes = [_Node("body", None)]
     items: list[tuple[int, str]] = []
     stack: list[tuple[str, int]] = [("body", 0)]  # -1: inside a dropped element
@@ -85,8 +89,10 @@ def _parse(page: str) -> tuple[list[_Node], list[tuple[int, str]]]:
                 break
         inside = stack[-1][1]
         dropped = inside < 0 or tag in DROPPED
+        doubtful = tag == "form"
         if not dropped and attrs and tag not in ("article", "main"):
-            dropped = bool(HIDDEN.search(attrs)) or any(NOT_ARTICLE.search(CAMEL.sub("-", a or b or c).replace("_", "-").lower()) for a, b, c in NAMED.findall(attrs))
+            dropped = bool(HIDDEN.search(attrs))
+            doubtful |= any(NOT_ARTICLE.search(CAMEL.sub("-", a or b or c).replace("_", "-").lower()) for a, b, c in NAMED.findall(attrs))
         if inside >= 0 and tag in BLOCKS:
             items.append((inside, ""))
         if tag == "br" and inside >= 0:
@@ -96,19 +102,68 @@ def _parse(page: str) -> tuple[list[_Node], list[tuple[int, str]]]:
             at = close.end() if close else end
             continue
         if tag in VOID or attrs.endswith("/") and tag not in BLOCKS:
-            if not dropped:
+            if not dropped and not doubtful:
                 nodes[inside].tags += 1
             continue
         if dropped:
             stack.append((tag, -1))
         else:
             node = _Node(tag, nodes[inside])
+            node.doubtful = doubtful
             nodes[inside].kids.append(node)
             stack.append((tag, len(nodes)))
             nodes.append(node)
     return nodes, items
 
 
+def _settle(nodes: list[_Node], items: list[tuple[int, str]]) -> tuple[list[_Node], list[tuple[int, str]]]:
+    """Nodes and items without those doubtful nodes that don't hold the article, by characters outside links.
+
+    The largest are settled first. One that holds article or main stays, unless others that stand in no doubtful node, or in one
+    that stays, hold over twice as much. Any other stays if it holds the greater part of the page and over four times as much as they.
+    """
+    if not any(n.doubtful for n in nodes):
+        return nodes, items
+    number = {id(n): k for k, n in enumerate(nodes)}
+    above = [number[id(n.parent)] if n.parent else -1 for n in nodes]
+    linked, inside = [False] * len(nodes), [False] * len(nodes)
+    nearest = [-1] * len(nodes)
+    for k, n in enumerate(nodes):
+        up = above[k]
+        linked[k] = n.tag == "a" or up >= 0 and linked[up]
+        inside[k] = n.tag in ("article", "main") or up >= 0 and inside[up]
+        nearest[k] = k if n.doubtful else nearest[up] if up >= 0 else -1
+    size, article, direct = [0] * len(nodes), [0] * len(nodes), {-1: 0}
+    for k, text in items:
+        if not linked[k]:
+            chars = len(SPACE.sub("", text))
+            size[k] += chars
+            if inside[k]:
+                direct[nearest[k]] = direct.get(nearest[k], 0) + chars
+    for k in range(len(nodes) - 1, -1, -1):
+        if nodes[k].tag in ("article", "main"):
+            article[k] = size[k]
+        if above[k] >= 0:
+            size[above[k]] += size[k]
+            article[above[k]] += article[k]
+    most, stays = direct[-1], set()
+    for k in sorted((k for k, n in enumerate(nodes) if n.doubtful), key=lambda k: (-article[k], -size[k], k)):
+        outer = nearest[above[k]]
+        if outer >= 0 and outer not in stays:
+            continue
+        if article[k] and 2 * article[k] >= most or 2 * size[k] > size[0] and size[k] > 4 * most:
+            stays.add(k)
+            most = max(most, direct.get(k, 0))
+    to, left = [-1] * len(nodes), []
+    for k, n in enumerate(nodes):
+        if (above[k] < 0 or to[above[k]] >= 0) and (not n.doubtful or k in stays):
+            to[k] = len(left)
+            left.append(n)
+    for n in left:
+        n.kids = [x for x in n.kids if to[number[id(x)]] >= 0]
+    return left, [(to[k], text) for k, text in items if to[k] >= 0]
+
+
 def _weigh(nodes: list[_Node], items: list[tuple[int, str]]) -> None:
     """Composite text density of every node: characters for each tag, lowered where links take a large part of either."""
     for k, text in items:
@@ -139,7 +194,7 @@ def main_text(page: str | None) -> str:
     """Blocks of the article, joined by line feeds; empty if there is none."""
     if not page:
         return ""
-    nodes, items = _parse(page)
+    nodes, items = _settle(*_parse(page))
     _weigh(nodes, items)
     number = {id(n): k for k, n in enumerate(nodes)}
     best = max(nodes, key=lambda n: (n.sum, n.chars))

@@ -49,6 +49,18 @@ def test_main_text_of_a_page():
     assert main_text(PAGE) == "Big & bold\nFirst paragraph with several words, and a link in it.\nSecond one é <tag>. After break."
 
 
+@pytest.mark.parametrize("wrap", ['<div class="content-sidebar-wrap">', '<div class="with-sidebar">', '<section id="page-with-header">', "<form>"])
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+def test_a_wrapper_with_a_doubtful_name_keeps_its_article(wrap, tag):
+    text = "Words of the article that go on for quite some time, with more words after them."
+    article = f"<{tag}>" + f"<p>{text}</p>" * 5 + f"</{tag}>"
+    boxes = '<div class="sidebar"><p>A box beside it.</p></div><div class="related"><article><p>Another story.</p></article></div>'
+    page = f"<html><body><p>Top</p>{wrap}{boxes}{article}</{wrap[1:].split()[0].rstrip('>')}></body></html>"
+    got = main_text(page)
+    assert got.count(text) == 5 and "beside" not in got
+    assert tag == "div" or "Another" not in got
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "<p", "</p></div>", "<div>" * 3000, "plain words only", "<!-- open", "<p>a<p>b<li>c", "<script>x", "<a href='\"'>q</a>", "\x00�<p>x</p>"])
 def test_broken_pages_dont_fail(page):
     assert isinstance(main_text(page), str)
