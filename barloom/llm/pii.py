@@ -30,7 +30,7 @@ OCTETS = r"\A0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?:\.0*(?:25[0-5]|
 # 40 characters before.
 CANDIDATES = {
     "email_spelled": {
-        "find": r"[A-Za-z0-9._%+-]{1,64}+ ?(?:\(at\)|\[at\]|\{at\}| at ) ?[A-Za-z0-9-]{2,63}(?: ?(?:\.|\(dot\)|\[dot\]| dot ) ?[A-Za-z0-9-]{2,24}){1,4}",
+        "find": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++ ?(?:\(at\)|\[at\]|\{at\}| at ) ?[A-Za-z0-9-]{2,63}(?: ?(?:\.|\(dot\)|\[dot\]| dot ) ?[A-Za-z0-9-]{2,24}){1,4}",
         "format": r"(?i)(?:\(at\)|\[at\]|\{at\}).*(?:\(dot\)|\[dot\]|\.)|\bat\b.*\bdot\b",
         "known": r"(?i)(?:\.|dot\W{0,3})(?:com|org|net|edu|gov|io|de|fr|es|uk|info|example)\z",
         "context": r"(?i)e-?mail|contact|reach|write|correo|courriel|kontakt",
@@ -54,7 +54,7 @@ CANDIDATES = {
         "context": r"(?i)iban|account|bank|konto|compte|cuenta",
     },
     "secret": {
-        "find": r"(?i)(?<![a-z0-9_])(?:api[_-]?key|token|secret|password|passwd|pwd)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_/+=-]{8,256}+[\"']?",
+        "find": r"(?i)(?<![a-z0-9_])(?:api[_-]?key|token|secret|password|passwd|pwd)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_/+=-]{8,}+[\"']?",
         "format": r"(?i)[0-9a-f]{16,}+|(?=[A-Za-z]*[0-9])[A-Za-z0-9_/+=-]{12,}",
         "known": r"(?i)\A(?:api[_-]?key|token|secret)",
         "context": r"(?i)config|export|set|login|user|auth|###|\$\$\$|&&&",

@@ -82,3 +82,15 @@ def test_reliabilities_follow_agreement():
     assert sum(w) > 0 and w[0] - w[1] - w[2] - w[4] < 0
     assert estimate([]) == {} and train_classifier([], {}) == {}
     assert post == pytest.approx(estimate(patterns))
+
+
+def test_candidates_of_any_length_are_whole(spark):
+    from pyspark.sql import functions as F
+
+    from barloom.llm.pii import CANDIDATES, spans_of
+
+    found = {"secret": "token=" + "aB3/" * 500, "email_spelled": "ab.c" * 50 + " (at) example (dot) com"}
+    for kind, text in found.items():
+        docs = spark.createDataFrame([(f"see {text}; {text}",), ("x" * 200_000,)], "text string")
+        got = [[(x["start"], x["end"]) for x in r["s"]] for r in docs.select(F.expr(spans_of("text", CANDIDATES[kind]["find"])).alias("s")).collect()]
+        assert got == [[(4, 4 + len(text)), (6 + len(text), 6 + 2 * len(text))], []]
