@@ -21,12 +21,15 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the folder that the driver and all executors share.
 
-    The folder is the one in spark.checkpoint.dir; where that is unset (a local session) a temporary one is set.
+    The folder is the one in spark.checkpoint.dir. Where that is unset, a local session gets a temporary one; a cluster is an error,
+    since no folder of one machine would do.
     """
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
         top = spark.sparkContext.getCheckpointDir()
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = tempfile.mkdtemp(prefix="barloom-")
         spark.sparkContext.setCheckpointDir(top)
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -39,6 +42,15 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that stored() wrote and that nothing reads any more."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        for place in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(place)
+            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -160,6 +172,9 @@ def shingles(data: np.ndarray, offsets: np.ndarray, k: int, fold: bool = True) -
 
 
 def distinct_per_row(h: np.ndarray, row: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct 56-bit hashes of each row (n_rows: 256 at most) one after the other, and how many each row has."""
+    """Sorted distinct 56-bit hashes of each row (n_rows: 256 at most) one after the other, and how many each row has.
+
+    A row of a million hashes has two alike by chance once in a hundred thousand times.
+    """
     both = np.unique((h >> U64(8)) | (row.astype(U64) << U64(56)))
     return both & U64((1 << 56) - 1), np.bincount((both >> U64(56)).astype(np.int64), minlength=n_rows)

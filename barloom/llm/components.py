@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -19,17 +19,18 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return star.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def components(links: DataFrame, rounds: int = 50) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """node and root (the smallest node reachable) for every node of links (columns a, b); roots themselves aren't listed.
 
-    Each step is a join and an aggregation over the links, written to the shared folder. Links between equal nodes are left out.
+    Each step is a join and an aggregation over the links, written to the shared folder, until a step changes nothing; the steps of
+    a path follow the logarithm of its length. Links between equal nodes are left out.
     """
     edges = stored(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = None
-    for _ in range(rounds):
-        edges = stored(_star(_star(edges, large=True), large=False), "edges")
+    while True:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        state = now
-    raise RuntimeError("components didn't settle")
+        state, before = now, edges
+        edges = stored(_star(_star(before, large=True), large=False), "edges")
+        discard(before)

@@ -81,3 +81,38 @@ def test_odd_rows(spark):
     assert got == {1: (0, 1, True), 2: (0, 2, True), 3: (0, 3, True), 4: (1, 4, True), 5: (1, 4, False), 6: (3, 6, True), None: (3, None, True), 7: (1, 7, True), 8: (1, 7, False)}
     assert near_duplicates(docs.limit(0)).count() == 0
     assert np.all(near_duplicates(docs, k=4).count() == len(rows))
+
+
+def groups_around(rng, size, n, edits):
+    """n documents, each the same text with edits of its own."""
+    base = [f"w{rng.randrange(9000)}" for _ in range(size)]
+    out = []
+    for _ in range(n):
+        words = list(base)
+        for i in rng.sample(range(size), rng.choice(edits)):
+            words[i] = f"w{rng.randrange(9000)}"
+        out.append(" ".join(words))
+    return out
+
+
+@pytest.mark.parametrize("edits", [(2, 3, 5), (6, 8, 10, 12), (4, 6, 8, 16)])
+def test_large_groups_lose_no_link(spark, edits):
+    """Near copies, copies just below the threshold, and both: every component is found."""
+    rng = random.Random(sum(edits))
+    texts = groups_around(rng, 150, 300, edits) + groups_around(rng, 60, 100, [e // 2 for e in edits])
+    pool = [f"line {i} of {rng.randrange(9)} common ones" for i in range(40)]
+    texts += [" ".join(sorted(rng.sample(pool, 32))) for _ in range(120)]  # parts of one whole, with nothing of their own
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert result(near_duplicates(docs, k=4)) == brute(rows, 4)
+
+
+def test_rows_of_one_document_with_different_texts(spark):
+    rows = [(1, "a b c d e f g"), (1, "q r s t u v w"), (2, "q r s t u v w"), (3, "a b c d e f g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = None
+    for parts in (1, 3):
+        got = result(near_duplicates(docs.repartition(parts), k=4))
+        assert [r[0] for r in got] == [1, 1, 2, 3]
+        want = want or got
+        assert got == want
