@@ -149,7 +149,7 @@ def token_pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int =
         for batch in batches:
             for s in slices(batch, max_bytes=2 << 20, max_rows=4096):
                 doc, piece, start, length, crc, ids = [], [], [], [], [], []
-                for d, b in zip(s.column("doc_id").to_pylist(), enc.encode(s.column("text").to_pylist()), strict=True):
+                for d, b in zip(s.column("doc_id").to_pylist(), enc.encode(s.column("text")), strict=True):
                     b += end
                     for k, at in enumerate(range(0, len(b), 4 * capacity)):
                         part = b[at : at + 4 * capacity]

@@ -158,8 +158,8 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
     """Encode every whole text, append end_id, and write ids in ascending doc_id order to path.
 
     One range shuffle of the texts, then each task streams its range: segments of about segment_ids ids are all it holds.
-    Null text is empty (just end_id); null doc_id comes first; rows with the same doc_id all stay, in the order of their texts.
-    Other columns are ignored; an empty table gives no segment.
+    Null text is empty (just end_id); null doc_id comes first; rows with the same doc_id all stay, in the order of their texts'
+    hashes. Texts may be of any length. Other columns are ignored; an empty table gives no segment.
     """
     vocabulary = vocabulary or default_vocabulary()
 
@@ -181,7 +181,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
 
         for batch in batches:
             for s in slices(batch, max_bytes=2 << 20, max_rows=4096):
-                for d, b in zip(s.column("doc_id").to_pylist(), enc.encode(s.column("text").to_pylist()), strict=True):
+                for d, b in zip(s.column("doc_id").to_pylist(), enc.encode(s.column("text")), strict=True):
                     doc_ids.append(d)
                     parts.append(b + end)
                     held += len(b) // 4 + 1
@@ -190,7 +190,9 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
         if doc_ids:
             yield flush()
 
-    ordered = texts_of(docs).repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    # ranges are taken from samples of the sort keys, which the driver gathers: a hash of each text, never the text
+    keyed = texts_of(docs).withColumn("h", F.xxhash64("text"))
+    ordered = keyed.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
     ordered.mapInArrow(encode, SEGMENTS).write.option("compression", "zstd").parquet(path)
 
 

@@ -3,24 +3,41 @@
 from __future__ import annotations
 
 import os
+from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "'<|>")
 _MARK = "\x1e"
 
 
+def _cut(chunk: str) -> tuple[str, str]:
+    """A chunk as its word and the ASCII signs behind, where these are always apart; else the whole chunk and nothing.
+
+    The word has to be letters alone once it is in lower case: dotted capital I becomes i and a combining dot, which belongs to the
+    signs that follow. Beyond Latin letters, which signs are letters depends on the library's tables, so those stay whole.
+    """
+    core = chunk.rstrip(_MARKS)
+    if not core.isalpha():
+        return chunk, ""
+    if core.isascii():
+        return core.lower(), chunk[len(core) :]
+    return (core, chunk[len(core) :]) if max(core) < "\u0250" and core.lower().isalpha() else (chunk, "")
+
+
 class WordEncoder:
     """Encodes texts chunk by chunk, where a chunk stands between spaces and line feeds.
 
     Neither the normaliser nor the pre-tokeniser of this kind of vocabulary (lower case, white space dropped, letters apart
-    from other signs) looks across white space, and it always cuts between letters and the ASCII signs that follow them. So
+    from other signs) looks across white space, and it cuts between Latin letters and the ASCII signs that follow them. So
     the ids of a text are those of its chunks one after the other, and those of "word.," are those of "word" and ".,".
     Tests compare both with encoding the whole text. Ids are kept as little-endian unsigned 32-bit integers.
-    Two generations of at most ``keep`` words bound the memory; words in use move to the younger one.
+    Two generations of at most about ``keep`` chunks bound the memory; chunks in use move to the younger one.
     """
 
-    def __init__(self, path: str, keep: int = 300_000, longest: int = 40):
+    def __init__(self, path: str, keep: int = 400_000, longest: int = 40):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -29,10 +46,16 @@ class WordEncoder:
         self.young: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
         self.mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
+        self.direct = self.tokenizer.model.tokenize
 
     def _learn(self, fresh: list[str], group: int = 64) -> dict[str, bytes]:
-        """Ids of words from the library, many words to a call with a mark between them; any that hold the mark go alone."""
-        out: dict[str, bytes] = {}
+        """Ids of words from the library, many words to a call with a mark between them; any that hold the mark go alone.
+
+        Words of the letters a to z are left as they are by the normaliser and the pre-tokeniser, and go to the model directly.
+        """
+        plain = [w for w in fresh if w.isascii() and w.isalpha() and w.islower()]
+        out = {w: array("I", [t.id for t in self.direct(w)]).tobytes() for w in plain}
+        fresh = [w for w in fresh if w not in out]
         alone = [w for w in fresh if _MARK in w or "<|" in w or len(w) > self.longest or len(self.mark) != 1]
         together = list(set(fresh).difference(alone)) if alone else fresh
         for w, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
@@ -47,40 +70,44 @@ class WordEncoder:
                 out[w] = raw[4 * a : 4 * b]
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        chunks = set().union(*split)
-        parts: dict[str, tuple[str, str]] = {}
-        known = self.young
-        now: dict[str, bytes] = {}
-        need: set[str] = set()
-        for w in chunks:
-            core = w.rstrip(_MARKS)
-            if core.isalpha():
-                tail = w[len(core) :]
-                if core.isascii():
-                    core = core.lower()
-            else:
-                core, tail = w, ""
-            a, b = known.get(core), known.get(tail)
-            if a is None or b is None:
-                parts[w] = (core, tail)
-                need.add(core)
-                need.add(tail)
-            else:
-                now[w] = a + b
-        if need:
-            old = self.old
-            again = {w: old[w] for w in need if w in old}
-            got = self._learn([w for w in need if w not in known and w not in again]) | again
-            known.update((w, b) for w, b in got.items() if len(w) <= self.longest)
-            for w, (core, tail) in parts.items():
-                now[w] = (known.get(core) or got.get(core, b"")) + (known.get(tail) or got.get(tail, b""))
-        out = [b"".join(map(now.__getitem__, ws)) for ws in split]
+    def _know(self, words: list[str]) -> list[bytes]:
+        """Ids of chunks, all different."""
+        known, old = self.young, self.old
+        fresh = [w for w in words if w not in known]
+        again = {w: old[w] for w in fresh if w in old}
+        known.update(again)
+        parts = {w: _cut(w) for w in fresh if w not in again}
+        need = {x for p in parts.values() for x in p}.difference(known)
+        known.update([(w, old[w]) for w in need if w in old])
+        known.update(self._learn([w for w in need if w not in known]))
+        known.update([(w, known[core] + known[tail]) for w, (core, tail) in parts.items() if tail or w != core])
+        out = [known[w] for w in words]
+        for w in [w for w in need.union(fresh) if len(w) > self.longest]:
+            known.pop(w, None)
         if len(known) > self.keep:
             self.old, self.young = known, {"": b""}
         return out
 
+    def ids(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all rows one after the other, and where each row's begin. Null is empty."""
+        split = pc.split_pattern(pc.replace_substring(pc.fill_null(column, ""), "\n", " "), " ")
+        flat = split.flatten().dictionary_encode()
+        bodies = self._know(flat.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, bodies), np.int64, len(bodies)) // 4
+        starts = np.cumsum(sizes) - sizes
+        which = flat.indices.to_numpy()
+        n = sizes[which]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        at = np.repeat(starts[which] - ends[:-1], n) + np.arange(ends[-1])
+        offsets = split.offsets.to_numpy()
+        return np.frombuffer(b"".join(bodies), "<u4")[at], ends[offsets - offsets[0]]
+
+    def encode(self, column: pa.Array) -> list[bytes]:
+        """Ids of each row."""
+        ids, at = self.ids(column)
+        raw = ids.tobytes()
+        return [raw[4 * a : 4 * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
 
 _encoders: dict[str, WordEncoder] = {}
 

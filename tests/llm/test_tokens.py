@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -28,10 +29,21 @@ def test_words_encode_as_whole_texts(plain, spark, sf):
     texts = [r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
     texts += ["", " ", "a.b,c!", "It's  the\tDOG's \n\n <|endoftext|> x<|y", "é😀ß 漢字 1234 a1b2", "don't 're", "x" * 500, "\x1e mark \x1e", "İstanbul ǅ ſ", "a b c", "…—“q”", "..,," * 40]
     enc = WordEncoder(str(public_tokenizers.path("word_bpe_49k.json")))
-    for t, b in zip(texts, enc.encode(texts), strict=True):
+    for t, b in zip(texts, enc.encode(pa.array(texts)), strict=True):
         assert np.frombuffer(b, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, t[:80]
 
 
+def test_random_texts_encode_as_whole_texts(plain):
+    rng = random.Random(7)
+    alphabet = list("abcXYZ  \n\t.,;:()\"'-_<|>@#0123456789") + list("éßñüİıſǅøŁʼªº") + ["\u0301", "\u0307", "\u00a0", "\u2028", "\u200b", "漢", "ж", "ا", "ก", "\u0e34", "😀", "ﬁ", "Ω", "\u1e9e", "\x1e", "\x00", "'s", "'RE", "<|endoftext|>"]
+    texts = ["".join(rng.choices(alphabet, k=rng.randrange(40))) for _ in range(12_000)]
+    enc = WordEncoder(str(public_tokenizers.path("word_bpe_49k.json")), keep=500, longest=12)
+    for at in range(0, len(texts), 700):
+        part = texts[at : at + 700]
+        for t, b in zip(part, enc.encode(pa.array(part)), strict=True):
+            assert np.frombuffer(b, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, t
+
+
 def test_simple8b_round_trip():
     rng = random.Random(1)
     for n in (0, 1, 59, 128, 129, 5000):
