@@ -200,14 +200,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, pieces: int
     best = buckets.join(mates, "doc_id").groupBy("key").agg(F.max(F.struct("mates", F.negative("doc_id").alias("low"))).alias("c"))
     spokes = buckets.select("key", "doc_id").join(best.select("key", "c.mates", F.negative("c.low").alias("a")), "key").filter("doc_id <> a")
     few = spokes.groupBy(F.col("doc_id").alias("b")).agg(F.slice(F.array_sort(F.collect_set(F.struct(F.negative("mates").alias("m"), "a"))), 1, centres_each).alias("c"))
-    pairs = stored(few.select(F.explode("c.a").alias("a"), "b").join(side("a"), "a").join(side("b"), "b").filter(possible).select("a", "b"), "pairs")
+    dealt = stored(few.select(F.explode("c.a").alias("a"), "b").withColumn("salt", F.pmod(F.hash("b"), F.lit(16))), "spokes")
+    # a centre may have very many spokes, so its side goes to each salt that they have
+    hubs = dealt.select("a", "salt").distinct().join(side("a"), "a")
+    pairs = stored(dealt.join(hubs, ["a", "salt"]).join(side("b"), "b").filter(possible).select("a", "b"), "pairs")
     links = stored(confirmed(pairs, texts, k, percent), "links")
     roots = components(links)
     # what that leaves apart: the documents of buckets that hold several components
     rooted = buckets.join(roots, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
     several = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
     opened = stored(rooted.join(several, "key").select("doc_id", "root").distinct(), "open")
-    discard(buckets, mates, pairs, links)
+    discard(buckets, mates, dealt, pairs, links)
     pairs = stored(across(opened, texts, sides, possible, k, percent), "across")
     links = stored(confirmed(pairs, texts, k, percent), "links")
     roots = components(links.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))

@@ -6,109 +6,166 @@ import os
 from array import array
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 
-_MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "'<|>")
-_MARK = "\x1e"
+from .common import U64, span_hashes, utf8
 
+SPACE, LETTER, DIGIT, MARK, OTHER = range(5)
+#: Kinds of bytes. Quotes and the signs of special tokens, control characters and all bytes from 128 on are OTHER.
+_KINDS = np.full(256, OTHER, np.uint8)
+_KINDS[[9, 10, 11, 12, 13, 32]] = SPACE
+for _c in range(33, 127):
+    _KINDS[_c] = LETTER if chr(_c).isalpha() else DIGIT if chr(_c).isdigit() else OTHER if chr(_c) in "'<|>" else MARK
+#: Bytes as the characters that stand for them in the vocabulary: printable ones of Latin-1 as they are, the others from 256 on.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_CHARACTERS = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+#: Bytes of units that are hashed at once.
+BLOCK = 1 << 22
 
-def _cut(chunk: str) -> tuple[str, str]:
-    """A chunk as its word and the ASCII signs behind, where these are always apart; else the whole chunk and nothing.
 
-    The word has to be letters alone once it is in lower case: dotted capital I becomes i and a combining dot, which belongs to the
-    signs that follow. Beyond Latin letters, which signs are letters depends on the library's tables, so those stay whole.
+def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First bytes of the units that encode on their own, last bytes plus one, whether each is plain, and the text as it is looked up.
+
+    Nothing in this kind of vocabulary (normal form, white space dropped, lower case; runs of letters, single digits and runs of other
+    signs apart) looks across white space. Chunks between white space that hold only ASCII and the letters of Latin-1 are cut further:
+    letters from signs, and digits one by one. These units are plain; their A to Z are looked up as a to z. All other chunks stay whole.
     """
-    core = chunk.rstrip(_MARKS)
-    if not core.isalpha():
-        return chunk, ""
-    if core.isascii():
-        return core.lower(), chunk[len(core) :]
-    return (core, chunk[len(core) :]) if max(core) < "\u0250" and core.lower().isalpha() else (chunk, "")
+    n = len(data)
+    kind = _KINDS[data]
+    lead = np.flatnonzero(data[:-1] == 0xC3) if n else np.zeros(0, np.int64)
+    lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]
+    kind[lead] = kind[lead + 1] = LETTER
+    solid = kind != SPACE
+    edge = np.zeros(n + 1, bool)
+    edge[offsets] = True
+    edge[n] = True
+    first = solid.copy()
+    first[1:] &= ~solid[:-1] | edge[1:n]
+    chunk = np.cumsum(first, dtype=np.int32)
+    odd = np.zeros(int(chunk[-1]) + 1 if n else 1, bool)
+    odd[chunk[kind == OTHER]] = True
+    plain = ~odd[chunk]
+    first[1:] |= solid[1:] & plain[1:] & ((kind[1:] != kind[:-1]) | (kind[1:] == DIGIT))
+    last = solid.copy()
+    last[:-1] &= ~solid[1:] | edge[1:n] | first[1:]
+    low = data + np.uint8(32) * (plain & (data >= 65) & (data <= 90)).astype(np.uint8)
+    starts = np.flatnonzero(first)
+    return starts, np.flatnonzero(last) + 1, plain[starts], low
 
 
 class WordEncoder:
-    """Encodes texts chunk by chunk, where a chunk stands between spaces and line feeds.
+    """Encodes texts unit by unit (see units), each distinct one once as long as it is kept.
 
-    Neither the normaliser nor the pre-tokeniser of this kind of vocabulary (lower case, white space dropped, letters apart
-    from other signs) looks across white space, and it cuts between Latin letters and the ASCII signs that follow them. So
-    the ids of a text are those of its chunks one after the other, and those of "word.," are those of "word" and ".,".
-    Tests compare both with encoding the whole text. Ids are kept as little-endian unsigned 32-bit integers.
-    Two generations of at most about ``keep`` chunks bound the memory; chunks in use move to the younger one.
+    Tests compare the ids with those of whole texts. Units are known by 64-bit hashes together with their first 8 bytes; those of more
+    than ``longest`` bytes are encoded each time. At most ``keep`` are kept; beyond that the half that was used last stays. Ids are
+    unsigned 32-bit integers.
     """
 
-    def __init__(self, path: str, keep: int = 400_000, longest: int = 40):
+    def __init__(self, path: str, keep: int = 600_000, longest: int = 40):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.keep, self.longest = keep, longest
-        self.young: dict[str, bytes] = {"": b""}
-        self.old: dict[str, bytes] = {}
-        self.mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
         self.direct = self.tokenizer.model.tokenize
-
-    def _learn(self, fresh: list[str], group: int = 64) -> dict[str, bytes]:
-        """Ids of words from the library, many words to a call with a mark between them; any that hold the mark go alone.
-
-        Words of the letters a to z are left as they are by the normaliser and the pre-tokeniser, and go to the model directly.
-        """
-        plain = [w for w in fresh if w.isascii() and w.isalpha() and w.islower()]
-        out = {w: array("I", [t.id for t in self.direct(w)]).tobytes() for w in plain}
-        fresh = [w for w in fresh if w not in out]
-        alone = [w for w in fresh if _MARK in w or "<|" in w or len(w) > self.longest or len(self.mark) != 1]
-        together = list(set(fresh).difference(alone)) if alone else fresh
-        for w, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
-            out[w] = np.array(e.ids, "<u4").tobytes()
-        groups = [together[i : i + group] for i in range(0, len(together), group)]
-        for ws, e in zip(groups, self.tokenizer.encode_batch_fast([f" {_MARK} ".join(ws) for ws in groups], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, "<u4")
-            cuts = np.flatnonzero(ids == self.mark[0])
-            assert len(cuts) == len(ws) - 1, "the mark isn't unique in this vocabulary"
-            raw = ids.tobytes()
-            for w, a, b in zip(ws, [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)], strict=True):
-                out[w] = raw[4 * a : 4 * b]
-        return out
-
-    def _know(self, words: list[str]) -> list[bytes]:
-        """Ids of chunks, all different."""
-        known, old = self.young, self.old
-        fresh = [w for w in words if w not in known]
-        again = {w: old[w] for w in fresh if w in old}
-        known.update(again)
-        parts = {w: _cut(w) for w in fresh if w not in again}
-        need = {x for p in parts.values() for x in p}.difference(known)
-        known.update([(w, old[w]) for w in need if w in old])
-        known.update(self._learn([w for w in need if w not in known]))
-        known.update([(w, known[core] + known[tail]) for w, (core, tail) in parts.items() if tail or w != core])
-        out = [known[w] for w in words]
-        for w in [w for w in need.union(fresh) if len(w) > self.longest]:
-            known.pop(w, None)
-        if len(known) > self.keep:
-            self.old, self.young = known, {"": b""}
-        return out
+        self.keep, self.longest, self.turn = keep, longest, 0
+        self.hashes, self.heads = np.zeros(0, U64), np.zeros(0, U64)
+        self.first, self.size, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool = np.zeros(0, np.uint32)
+
+    def _learn(self, words: list[bytes], plain: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units, and how many each has. Plain ones go to the model as they would come from the pre-tokeniser."""
+        out: list[array] = [array("I")] * len(words)
+        rest = []
+        for i, (w, p) in enumerate(zip(words, plain, strict=True)):
+            if p:
+                shown = w.decode() if w.isascii() else w.decode().lower().encode().decode("latin-1").translate(_CHARACTERS)
+                out[i] = array("I", [t.id for t in self.direct(shown)])
+            else:
+                rest.append(i)
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([words[i].decode() for i in rest], add_special_tokens=False), strict=True):
+            out[i] = array("I", e.ids)
+        return np.frombuffer(b"".join([x.tobytes() for x in out]), np.uint32), np.array([len(x) for x in out], np.int64)
+
+    def _look_up(self, hashes: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the table, and which of them hold."""
+        if not len(self.hashes):
+            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return at, (self.hashes[at] == hashes) & (self.heads[at] == heads)
+
+    def _keep(self, hashes: np.ndarray, heads: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Add units to the table, and let go of the half that wasn't used for longest when it is full."""
+        first = len(self.pool) + np.cumsum(sizes) - sizes
+        both = np.concatenate([self.hashes, hashes])
+        order = np.argsort(both, kind="stable")
+        self.pool = np.concatenate([self.pool, ids])
+        more = {"hashes": hashes, "heads": heads, "first": first, "size": sizes, "used": np.full(len(hashes), self.turn)}
+        if len(both) > self.keep:
+            used = np.concatenate([self.used, more["used"]])
+            order = order[used[order] > np.sort(used)[len(used) - max(1, self.keep // 2)] - 1]
+            order = order if len(order) <= self.keep else order[used[order] == self.turn][: self.keep]
+        for name, x in more.items():
+            setattr(self, name, np.concatenate([getattr(self, name), x])[order])
+        if len(both) > self.keep:
+            self.pool, self.first = _gather(self.pool, self.first, self.size)[0], np.cumsum(self.size) - self.size
 
     def ids(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows one after the other, and where each row's begin. Null is empty."""
-        split = pc.split_pattern(pc.replace_substring(pc.fill_null(column, ""), "\n", " "), " ")
-        flat = split.flatten().dictionary_encode()
-        bodies = self._know(flat.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, bodies), np.int64, len(bodies)) // 4
-        starts = np.cumsum(sizes) - sizes
-        which = flat.indices.to_numpy()
-        n = sizes[which]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        at = np.repeat(starts[which] - ends[:-1], n) + np.arange(ends[-1])
-        offsets = split.offsets.to_numpy()
-        return np.frombuffer(b"".join(bodies), "<u4")[at], ends[offsets - offsets[0]]
+        data, offsets = utf8(column)
+        starts, ends, plain, low = units(data, offsets)
+        self.turn += 1
+        hashes, at = np.arange(len(starts), dtype=U64), 0  # what is too long to hash is a number of its own
+        while at < len(starts):
+            to = max(at + 1, int(np.searchsorted(ends, starts[at] + BLOCK, "right")))
+            a, b = int(starts[at]), int(ends[to - 1])
+            if to > at + 1 or b - a <= BLOCK:
+                hashes[at:to] = span_hashes(low[a:b], starts[at:to] - a, ends[at:to] - a)
+            at = to
+        long = np.flatnonzero(ends - starts > self.longest)
+        # a plain unit is looked up in lower case, so it isn't the unit of the same bytes in a chunk that stays whole
+        hashes[plain] ^= U64(1)
+        code, distinct = pd.factorize(hashes)
+        one = np.empty(len(distinct), np.int64)
+        one[code[::-1]] = np.arange(len(code))[::-1]
+        padded = np.append(low, np.zeros(8, np.uint8))
+        size = np.minimum(ends[one] - starts[one], 8)
+        heads = np.zeros(len(one), U64)
+        for j in range(8):
+            heads |= np.where(j < size, padded[starts[one] + j], 0).astype(U64) << U64(8 * j)
+        place, known = self._look_up(distinct, heads)
+        self.used[place[known]] = self.turn
+        short = ends[one] - starts[one] <= self.longest
+        first, sizes = np.zeros(len(one), np.int64), np.zeros(len(one), np.int64)
+        first[known], sizes[known] = self.first[place[known]], self.size[place[known]]
+        fresh = np.flatnonzero(~known & short)
+        raw = low.tobytes()
+        got, n = self._learn([raw[a:b] for a, b in zip(starts[one[fresh]].tolist(), ends[one[fresh]].tolist(), strict=True)], plain[one[fresh]].tolist())
+        first[fresh], sizes[fresh] = len(self.pool) + np.cumsum(n) - n, n
+        pool = np.concatenate([self.pool, got])
+        unit_first, unit_size = first[code], sizes[code]
+        if len(long):
+            words, n_long = self._learn([raw[a:b] for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)], plain[long].tolist())
+            unit_first[long], unit_size[long] = len(pool) + np.cumsum(n_long) - n_long, n_long
+            pool = np.concatenate([pool, words])
+        out, begins = _gather(pool, unit_first, unit_size)
+        if len(fresh):
+            self._keep(distinct[fresh], heads[fresh], got, n)
+        return out, begins[np.searchsorted(starts, offsets)]
 
     def encode(self, column: pa.Array) -> list[bytes]:
-        """Ids of each row."""
+        """Ids of each row as little-endian bytes."""
         ids, at = self.ids(column)
-        raw = ids.tobytes()
+        raw = ids.astype("<u4").tobytes()
         return [raw[4 * a : 4 * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
+def _gather(pool: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches of pool one after the other, and where each begins (and the last ends)."""
+    begins = np.concatenate([[0], np.cumsum(size)])
+    return pool[np.repeat(first - begins[:-1], size) + np.arange(begins[-1])], begins
+
+
 _encoders: dict[str, WordEncoder] = {}
 
 
