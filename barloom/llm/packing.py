@@ -177,7 +177,7 @@ def token_pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int =
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(vocabulary), np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for s in slices(batch, max_bytes=2 << 20, max_rows=4096):
+            for s in slices(batch, max_rows=2048):
                 doc, piece, start, length, crc, ids = [], [], [], [], [], []
                 for d, b in zip(s.column("doc_id").to_pylist(), enc.encode(s.column("text")), strict=True):
                     b += end

@@ -180,7 +180,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
             return row
 
         for batch in batches:
-            for s in slices(batch, max_bytes=2 << 20, max_rows=4096):
+            for s in slices(batch, max_rows=2048):
                 for d, b in zip(s.column("doc_id").to_pylist(), enc.encode(s.column("text")), strict=True):
                     doc_ids.append(d)
                     parts.append(b + end)

@@ -6,7 +6,6 @@ import os
 from array import array
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 
 from .common import U64, span_hashes, utf8
@@ -21,7 +20,7 @@ for _c in range(33, 127):
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _CHARACTERS = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 #: Bytes of units that are hashed at once.
-BLOCK = 1 << 22
+BLOCK = 1 << 20
 
 
 def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -62,7 +61,7 @@ class WordEncoder:
     unsigned 32-bit integers.
     """
 
-    def __init__(self, path: str, keep: int = 600_000, longest: int = 40):
+    def __init__(self, path: str, keep: int = 400_000, longest: int = 40):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -125,7 +124,8 @@ class WordEncoder:
         long = np.flatnonzero(ends - starts > self.longest)
         # a plain unit is looked up in lower case, so it isn't the unit of the same bytes in a chunk that stays whole
         hashes[plain] ^= U64(1)
-        code, distinct = pd.factorize(hashes)
+        both = pa.array(hashes).dictionary_encode()
+        code, distinct = both.indices.to_numpy(), both.dictionary.to_numpy()
         one = np.empty(len(distinct), np.int64)
         one[code[::-1]] = np.arange(len(code))[::-1]
         padded = np.append(low, np.zeros(8, np.uint8))
