@@ -12,6 +12,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Signals of an operator: place, bullish or bearish, what was seen, and the score that its metrics spread.
 SIGNALS = "symbol string, i long, dt date, type string, value string, score double"
@@ -122,8 +124,14 @@ def ema(x: np.ndarray, n: int, factor: float = 2.0) -> np.ndarray:
 
 
 def by_symbol(df: DataFrame, run: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """run over the rows of each symbol in the order of i."""
-    return df.groupBy("symbol").applyInPandas(lambda pdf: run(pdf.sort_values("i", kind="stable", ignore_index=True)), schema)
+    """run over the rows of each symbol in the order of i. What run gives for a symbol may be empty, whatever its column types."""
+    none = to_arrow_schema(StructType.fromDDL(schema)).empty_table().to_pandas()
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = run(pdf.sort_values("i", kind="stable", ignore_index=True))
+        return out if len(out) else none
+
+    return df.groupBy("symbol").applyInPandas(whole, schema)
 
 
 def with_recurrences(df: DataFrame, **made: Callable[[pd.DataFrame], np.ndarray]) -> DataFrame:

@@ -230,68 +230,103 @@ def ultimate(bars: DataFrame, config: tuple[int, int, int] = (7, 14, 28)) -> Dat
 
 
 def bounces(close: list[float], start: int, d: int) -> list[tuple[float, int]]:
-    """Lower lows (d = 1) or higher highs (-1) after start that were followed by a bounce: price and row."""
-    out, track, step, own = [], 0.0, 0, close[start]
+    """Lower lows (d = 1) or higher highs (-1) after start that were followed by a bounce: price and row of the low."""
+    out: list[tuple[float, int]] = []
+    extreme, at, seen = close[start], start, "nothing"
     for i in range(start, len(close)):
-        c = close[i]
-        if d * (c - own) < 0 and step < 2:
-            track, step = c, 1
-        if d * (c - track) > 0 and step == 1:
-            step = 2
-        if d * (c - track) < 0 and step > 1:
-            step, track = 3, c
-        if d * (c - track) > 0 and step == 3:
-            step = 4
-            out.append((track, i))
+        below = d * (close[start] - close[i]) > 0
+        if below and seen in ("nothing", "descent"):
+            extreme, at, seen = close[i], i, "descent"
+        step = d * (close[i] - extreme)
+        if step > 0 and seen == "descent":
+            seen = "bounce"
+        elif step < 0 and seen in ("bounce", "lower", "told"):
+            extreme, at, seen = close[i], i, "lower"
+        elif step > 0 and seen == "lower":
+            out.append((extreme, at))
+            seen = "told"
     return out
 
 
-def _ultimate_events(x: list[float], close: list[float], lo: float, hi: float) -> Iterator[Event]:
-    n = len(x)
-    for i, v in enumerate(x):  # a zone, then a lower low of the close (higher high), then beyond the extreme in between
+def _original_divergences(x: list[float], close: list[float], lo: float, hi: float) -> Iterator[Event]:
+    """A zone, then a lower low of the close at which the oscillator is above its value in the zone, then a break through the
+    oscillator's extreme in between (all upside down from the upper zone)."""
+    for i, v in enumerate(x):
         d = 1 if v < lo else -1 if v > hi else 0
-        if d and (lows := bounces(close, i, d)):
-            end = lows[-1][1]
-            extreme = max(d * y for y in x[i : end + 1])
-            found = next((j for j in range(end, n) if d * x[j] > extreme), None)
-            if found is not None:
-                yield found, BULLISH if d > 0 else BEARISH, "divergence (original)", float(d)
-    for d in (1, -1):
-        near, far = (lo, hi) if d > 0 else (hi, lo)
-        step = 0
-        v0 = v1 = v2 = p0 = p1 = 0.0
-        for i, v in enumerate(x):
-            if step == 0:
-                if d * (v - near) <= 0:
-                    step, v0 = 1, v
-            elif step == 1:
-                if d * (v - v0) < 0:
-                    v0 = v
-                else:
-                    p0, step = close[i - 1], 2
-            elif step == 2:
-                if d * (v - near) > 0:
-                    step, v1 = 3, v
-            elif step == 3:
-                if d * (v - v1) > 0:
-                    v1 = v
-                else:
-                    step, v2 = 4, v
-            elif step == 4:
-                if d * (v2 - v) >= 0:
-                    v2 = v
-                else:
-                    p1, step = close[i - 1], 5
-            elif d * (v - v1) > 0:
-                if d * (p0 - p1) > 0:
-                    yield i, BULLISH if d > 0 else BEARISH, "divergence", float(d)
-                    step = 0
-                else:
-                    step, v1 = 3, v
-            elif d * (v - v2) < 0:
-                v2, step = v, 4
-            if step and d * (v - far) >= 0:  # the opposite zone ends the search
-                step = 0
+        lows = bounces(close, i, d) if d else []
+        if not lows or d * (x[lows[-1][1]] - v) <= 0:
+            continue
+        low = lows[-1][1]
+        barrier = max(d * y for y in x[i : low + 1])
+        broken = next((j for j in range(low, len(x)) if d * x[j] > barrier), None)
+        if broken is not None:
+            yield broken, BULLISH if d > 0 else BEARISH, "divergence (original)", float(d)
+
+
+class _Swing:
+    """Search for a low in a zone, a peak outside, a second low, and a break through the peak. Values are turned by d, so that the
+    search from the upper zone is the same one upside down."""
+
+    def __init__(self, d: int, zone: float, v: float):
+        self.d, self.zone = d, d * zone
+        self.stage, self.low, self.peak, self.dip = "falling", d * v, 0.0, 0.0
+
+    def broken(self, v: float, price: float, at: list[float]) -> bool:
+        """One row further; price is the close before, at holds the closes of the two lows. True if the peak is broken through and the
+        close of the second low lies beyond that of the first."""
+        y = self.d * v
+        if self.stage == "falling":
+            if y < self.low:
+                self.low = y
+            else:
+                at[0], self.stage = price, "turned"
+        elif self.stage == "turned":
+            if y > self.zone:
+                self.peak, self.stage = y, "climbing"
+        elif self.stage == "climbing":
+            if y > self.peak:
+                self.peak = y
+            else:
+                self.dip, self.stage = y, "dip"
+        elif self.stage == "dip":
+            if y <= self.dip:
+                self.dip = y
+            else:
+                at[1], self.stage = price, "ready"
+        elif y > self.peak:
+            if self.d * (at[0] - at[1]) > 0:
+                return True
+            self.peak, self.stage = y, "climbing"
+        elif y < self.dip:
+            self.dip, self.stage = y, "dip"
+        return False
+
+
+def _swing_divergences(x: list[float], close: list[float], lo: float, hi: float) -> Iterator[Event]:
+    """One search at a time. A row in either zone begins a new one, but for those that only a search from the upper zone is on: it goes
+    on through the lower zone, and begins anew in its own only while it waits to leave it."""
+    search: _Swing | None = None
+    at = [0.0, 0.0]
+    for i, v in enumerate(x):
+        if search is not None and search.d < 0:
+            if search.stage == "turned" and v >= hi:
+                search = _Swing(-1, hi, v)
+            elif search.broken(v, close[i - 1], at):
+                yield i, BEARISH, "divergence", -1.0
+                search = None
+            continue
+        if search is not None and search.broken(v, close[i - 1], at):
+            yield i, BULLISH, "divergence", 1.0
+            search = None
+        if v >= hi:
+            search = _Swing(-1, hi, v)
+        elif v <= lo:
+            search = _Swing(1, lo, v)
+
+
+def _ultimate_events(x: list[float], close: list[float], lo: float, hi: float) -> Iterator[Event]:
+    yield from _original_divergences(x, close, lo, hi)
+    yield from _swing_divergences(x, close, lo, hi)
 
 
 def ultimate_signals(bars: DataFrame, config: tuple[int, int, int] = (7, 14, 28), lo: float = 30.0, hi: float = 70.0) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom.functions import series as s
-from barloom.operators import oscillators, trend, volatility
+from barloom.operators import features, oscillators, trend, volatility
 from barloom.sources.bars import aligned, from_wide, invalid, numbered, repair, resample
 
 
@@ -97,8 +97,8 @@ def test_stop_and_reverse_turns_once(spark):
 
 def test_spread_and_zigzag():
     assert [e[:2] for e in oscillators.zigzag([1, 5, 10, 4, 3, 9, 20, 5], 0.5)] == [(2, 10), (4, 3), (6, 20)]
-    assert oscillators.bounces([10, 8, 11, 7, 9], 0, 1) == [(7, 4)]
-    assert oscillators.bounces([10, 12, 9, 13, 11], 0, -1) == [(13, 4)]
+    assert oscillators.bounces([10, 8, 11, 7, 9], 0, 1) == [(7, 3)]  # the row of the low, as the survey has it, not of the bounce
+    assert oscillators.bounces([10, 12, 9, 13, 11], 0, -1) == [(13, 3)]
 
 
 def test_state_machines_by_hand():
@@ -139,3 +139,104 @@ def test_empty_bars(spark):
 
 def test_ema_helper_is_nan_for_short_series():
     assert math.isnan(s.ema(np.arange(5.0), 3)[0])
+
+
+def test_symbols_without_a_result_row(spark):
+    flat = bars(spark, [5.0] * 200, spread=0.0)
+    rng = np.random.default_rng(2)
+    both = flat.unionByName(bars(spark, (100 + rng.normal(0, 2, 200).cumsum()).tolist(), "b"))
+    for make in (
+        lambda b: features.trend_lines(b), lambda b: features.trend_lines(b, windows=(1000,)), lambda b: features.zigzag_extrema(b, threshold=1e9), lambda b: features.zigzag_extrema(b),
+        lambda b: features.channel_lines(b, (64,)), lambda b: features.line_forecast(features.trend_lines(b), b), lambda b: features.line_touches(features.trend_lines(b), b), oscillators.ultimate_signals,
+        oscillators.rsi_signals, oscillators.macd_signals, volatility.bollinger_signals,
+    ):
+        make(flat).collect()
+        make(both).collect()
+
+
+def survey_swings(x, c, lo, hi):
+    """The second search of the ultimate oscillator, state by state as the survey lists it."""
+    state, p, u, out = "n", [0.0, 0.0], [0.0] * 3, []
+    for i, v in enumerate(x):
+        if state == "n" and v <= lo:
+            state, u[0] = "u1", v
+        elif state == "u1" and v < u[0]:
+            u[0] = v
+        elif state == "u1":
+            p[0], state = c[i - 1], "u2"
+        elif state == "u2" and v > lo:
+            state, u[1] = "u3", v
+        elif state == "u3" and v > u[1]:
+            u[1] = v
+        elif state == "u3":
+            state, u[2] = "u4", v
+        elif state == "u4" and u[2] >= v:
+            u[2] = v
+        elif state == "u4":
+            p[1], state = c[i - 1], "u5"
+        elif state == "u5" and v > u[1]:
+            if p[0] > p[1]:
+                out.append((i, 1))
+                state = "n"
+            else:
+                state, u[1] = "u3", v
+        elif state == "u5" and v < u[2]:
+            state, u[2] = "u4", v
+        if state == "n" and v >= hi:
+            state, u[0] = "e1", v
+        elif state == "e1":
+            if v > u[0]:
+                u[0] = v
+            else:
+                p[0], state = c[i - 1], "e2"
+        elif state == "e2" and v < hi:
+            state, u[1] = "e3", v
+        elif state == "e3":
+            if v < u[1]:
+                u[1] = v
+            else:
+                state, u[2] = "e4", v
+        elif state == "e4":
+            if u[2] <= v:
+                u[2] = v
+            else:
+                p[1], state = c[i - 1], "e5"
+        elif state == "e5":
+            if v < u[1]:
+                if p[0] < p[1]:
+                    out.append((i, -1))
+                    state = "n"
+                else:
+                    state, u[1] = "e3", v
+            elif v > u[2]:
+                state, u[2] = "e4", v
+        elif v >= hi:
+            state, u[0] = "e1", v
+        elif v <= lo:
+            state, u[0] = "u1", v
+    return out
+
+
+def test_ultimate_searches_follow_the_survey():
+    rng = np.random.default_rng(5)
+    events = 0
+    for _ in range(400):
+        x = np.clip(np.round(50 + 8 * rng.normal(0, 1, 120).cumsum() / 3), 0, 100).tolist()
+        c = np.round(100 + rng.normal(0, 1, 120).cumsum(), 1).tolist()
+        got = [(e[0], int(e[3])) for e in oscillators._swing_divergences(x, c, 30, 70)]
+        assert got == survey_swings(x, c, 30, 70)
+        events += len(got)
+        for i, kind, _, score in oscillators._original_divergences(x, c, 30, 70):
+            assert (kind == "BULLISH") == (score > 0) and 0 <= i < 120
+    assert events > 100
+
+
+def test_lows_after_a_bounce():
+    assert oscillators.bounces([5, 4, 5, 3, 4, 2, 3], 0, 1) == [(3, 3), (2, 5)]
+    assert oscillators.bounces([5, 6, 5, 7, 6], 0, -1) == [(7, 3)]
+    assert oscillators.bounces([5, 4, 3, 2], 0, 1) == []
+    # the oscillator at the lower low has to be above its value in the zone
+    x, c = [50, 20, 40, 35, 25, 45, 60], [10, 9, 10, 9, 8, 9, 10]
+    assert [e[0] for e in oscillators._original_divergences(x, c, 30, 70)] == [5]
+    x[4] = 15
+    assert [e for e in oscillators._original_divergences(x, c, 16, 70)] == []
