@@ -1,52 +1,42 @@
 import random
 
-from barloom.llm.line_dedup import dedup_lines, op8_line_dedup, with_chunks
+from barloom.llm.line_dedup import dedup_lines, op8_line_dedup, with_runs
 
 
 def chunks_of(spark, texts):
+    """For each text its lines' numbers where chunks begin and end."""
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    return {r["doc_id"]: r["_chunks"] for r in with_chunks(df).collect()}
-
-
-def brute(rows, chunks):
-    """What is left of each text: chunks of two solid lines that stood before, by doc_id, text's row hash and place, go."""
-    order = sorted(range(len(rows)), key=lambda i: (rows[i][0], chunks["hash"][i]))
-    seen, left = set(), {}
-    for i in order:
-        out = []
-        for c in chunks["of"][i]:
-            solid = [x for x in c.split("\n") if x.strip()]
-            lines = c.split("\n")
-            eligible = len(solid) >= 2 and len(lines[0].strip()) + len("".join(lines[1:]).strip()) > 0
-            if eligible and c in seen:
-                continue
-            if eligible:
-                seen.add(c)
-            out.append(c)
-        left[rows[i][0]] = "\n".join(out)
-    return left
+    return {r["doc_id"]: r for r in with_runs(df).collect()}
 
 
-def test_chunks_join_to_the_text_and_shift_with_it(spark):
+def test_runs_cover_every_pair_and_shift_with_the_text(spark):
     rng = random.Random(1)
-    lines = [f"line {rng.randrange(10**6)}" for _ in range(60)]
-    texts = ["\n".join(lines), "\n".join(["new", *lines]), "", "one", "\n\n"]
+    lines = [rng.choice(["", "  "]) if rng.random() < 0.2 else f"line {rng.randrange(10**6)}" for _ in range(200)]
+    texts = ["\n".join(lines), "\n".join(["new", *lines]), "", "one", "\n\n", "a\nb"]
     got = chunks_of(spark, texts)
-    assert ["\n".join(got[i]) for i in range(5)] == texts
-    assert len(set(got[0]) & set(got[1])) >= len(got[0]) - 2
+    for i, t in enumerate(texts):
+        own = t.split("\n")
+        solid = [k for k, x in enumerate(own) if x.strip()]
+        pairs = set(zip(solid, solid[1:]))
+        runs = {(r["_at"], r["_to"]) for r in got[i]["_runs"]}
+        chunks = [(r["_at"], r["_to"]) for r in got[i]["_runs"] if r["_chunk"]]
+        assert pairs <= runs and runs - pairs <= set(chunks)
+        assert all(a[1] < b[0] for a, b in zip(sorted(chunks), sorted(chunks)[1:]))
+        for r in got[i]["_runs"]:
+            inside = [c for c in chunks if c[0] <= r["_at"] and r["_to"] <= c[1]]
+            assert r["_in"] in ((inside[0][0],) if inside else (-1, r["_at"]))
+    chunks = [{(r["_at"] - i, r["_to"] - i) for r in got[i]["_runs"] if r["_chunk"]} for i in (0, 1)]
+    assert len(chunks[0]) > 20 and len(chunks[0] & chunks[1]) >= len(chunks[0]) - 2
 
 
 def test_query_matches_brute_force(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("doc_id", "text", "xxhash64(coalesce(text, '')) h")
-    rows = docs.collect()
-    df = spark.createDataFrame([(i, r["text"] or "") for i, r in enumerate(rows)], "doc_id long, text string")
-    of = {r["doc_id"]: r["_chunks"] for r in with_chunks(df).collect()}
-    want = brute([(r["doc_id"], r["text"]) for r in rows], {"of": of, "hash": [r["h"] for r in rows]})
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    want = {d: "\n".join(x) for d, x in all_runs([(d, t or "") for d, t in rows]).items()}
     got = {r["doc_id"]: r for r in dedup_lines(spark.read.parquet(f"{sf}/documents.parquet"), drop_emptied=False).collect()}
     assert {d: r["text"] or "" for d, r in got.items()} == want
     out = {r["doc_id"]: r for r in op8_line_dedup(spark, sf).collect()}
     assert {d: r["n_chars"] for d, r in out.items()} == {d: len(t) for d, t in want.items()}
-    assert all((r["n_lines_removed"] > 0) == (want[d] != (next(x["text"] for x in rows if x["doc_id"] == d) or "")) for d, r in out.items())
+    assert all((r["n_lines_removed"] > 0) == (want[d] != (dict(rows)[d] or "")) for d, r in out.items())
 
 
 def test_odd_rows(spark):
@@ -95,3 +85,18 @@ def test_every_repeated_run_of_two_lines_or_more_goes(spark):
     assert all(r["n_lines_removed"] == dict(rows)[d].count("\n") + 1 - len(want[d]) for d, r in got.items())
     assert got[300]["n_lines_removed"] == 0 and got[303]["text"] == "p\nq\nr"
     assert 302 not in {r["doc_id"] for r in dedup_lines(docs).collect()}
+
+
+def test_columns_of_any_name(spark):
+    block = "first line here\nsecond line here\nthird line here"
+    docs = spark.createDataFrame([(1, block, -5, "h", [7], "x"), (2, "own\n" + block, -6, "i", [8], None)], "doc_id long, text string, _id long, _hash string, _gone array<int>, `a.b` string")
+    got = {r["doc_id"]: r for r in dedup_lines(docs).collect()}
+    assert got[2]["text"] == "own" and got[2]["_id"] == -6 and got[2]["_hash"] == "i" and got[2]["_gone"] == [8] and got[1]["a.b"] == "x"
+    assert dedup_lines(docs).columns == [*docs.columns, "n_lines_removed"]
+
+
+def test_one_very_long_text(spark):
+    lines = [f"line {i % 4000} of many" for i in range(12_000)]
+    docs = spark.createDataFrame([(1, "\n".join(lines)), (2, "y" * 2_000_000), (3, "y" * 2_000_000)], "doc_id long, text string")
+    got = {r["doc_id"]: (len(r["text"]), r["n_lines_removed"]) for r in dedup_lines(docs).collect()}
+    assert got == {1: (len("\n".join(lines[:4000])), 8000), 2: (2_000_000, 0), 3: (2_000_000, 0)}
