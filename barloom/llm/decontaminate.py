@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from .common import U64, seeds, mix, slices, span_hashes, texts_of, utf8, words
 
-N, SEEDS, MIN_WORDS, THRESHOLD = 2, 4, 8, 0.65
+N, SEEDS, THRESHOLD = 2, 4, 0.65
+#: Items of fewer words are copied only where all of their words stand in a row.
+SHORT = 8
 MATCH, MISMATCH, GAP = 2.0, -1.0, -1.0
 #: Words of test items in one block: each block is broadcast, and a larger benchmark takes several passes.
 BLOCK_WORDS = 1_000_000
@@ -20,10 +22,24 @@ PAIRS = 2_000_000
 
 
 def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of words in order, and where each row's begin: runs of letters and digits, ASCII ones in lower case."""
+    """Hashes of words in order, and where each row's begin: runs of letters and digits, ASCII ones in lower case.
+
+    Characters of scripts without spaces (kana and ideographs, that is lead bytes E3 to E9; Thai and Lao, E0 B8 to E0 BB) are a word
+    each.
+    """
     data, offsets = utf8(column)
     solid = (data >= 128) | ((data >= 48) & (data <= 57)) | ((data >= 65) & (data <= 90)) | ((data >= 97) & (data <= 122))
     s, e, row = words(np.where(solid, data, 32).astype(np.uint8), offsets)
+    lead = (data >= 0xE3) & (data <= 0xE9)
+    lead[:-1] |= (data[:-1] == 0xE0) & (data[1:] >= 0xB8) & (data[1:] <= 0xBB)
+    if lead.any():
+        at = np.flatnonzero(lead)
+        begins = np.zeros(len(data) + 1, bool)
+        begins[s] = begins[at] = True
+        begins[at[solid[np.minimum(at + 3, len(data) - 1)]] + 3] = True
+        starts = np.flatnonzero(begins[:-1])
+        run = np.searchsorted(s, starts, "right") - 1
+        s, e, row = starts, np.minimum(np.append(starts[1:], len(data)), e[run]), row[run]
     return span_hashes(data, s, e, fold=True), np.searchsorted(row, np.arange(len(offsets)))
 
 
@@ -63,12 +79,12 @@ class Block:
     least * size of them. So many n-grams of every item stand in each copy: its most common ones but for these needn't be looked up.
     """
 
-    def __init__(self, rows: list[tuple[int, str]], threshold: float, min_words: int):
+    def __init__(self, rows: list[tuple[int, str]], threshold: float, short: int):
         h, begins = word_hashes(pa.array([t for _, t in rows], pa.large_string()))
-        items = [(i, h[a:b]) for (i, _), a, b in zip(rows, begins[:-1].tolist(), begins[1:].tolist(), strict=True) if b - a >= min_words]
+        items = [(i, h[a:b]) for (i, _), a, b in zip(rows, begins[:-1].tolist(), begins[1:].tolist(), strict=True) if b > a]
         self.ids, self.items = [i for i, _ in items], [w for _, w in items]
         self.sizes = np.array([len(w) for w in self.items], np.int64)
-        self.least = np.full(len(items), threshold)
+        self.least = np.where(self.sizes < short, 1.0, threshold)
         flat = np.concatenate(self.items) if items else np.zeros(0, U64)
         starts = np.concatenate([[0], np.cumsum(self.sizes)]).astype(np.int64)
         pairs = np.ceil((2 * self.least - 1) * self.sizes - 1 - 1e-9).astype(np.int64)
@@ -158,14 +174,14 @@ class Block:
         return best
 
 
-def item_blocks(benchmark: DataFrame, threshold: float, min_words: int, block_words: int) -> Iterator[Block]:
+def item_blocks(benchmark: DataFrame, threshold: float, short: int, block_words: int) -> Iterator[Block]:
     """The benchmark in blocks of about block_words words, one in the driver at a time. Null and repeated rows count once or not at all."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text is not null").distinct()
     total = rows.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
     blocks = max(1, -(-int(total) // block_words))
     for k in range(blocks):
         part = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else rows
-        yield Block(sorted((r["item_id"], r["text"]) for r in part.collect()), threshold, min_words)
+        yield Block(sorted((r["item_id"], r["text"]) for r in part.collect()), threshold, short)
 
 
 def _known(block: Block, h: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -220,18 +236,20 @@ def _search(docs: DataFrame, block: Block) -> DataFrame:
     return docs.mapInArrow(run, docs.schema)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, short: int = SHORT, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row per row of docs: row (a struct of its columns), item_ids and scores of the test items that its text holds a copy of.
 
     Of every item so many pairs of words, those that the fewest documents hold, are looked up in all whole texts that no copy can be
     without them, wherever its edits are. Around these seeds the item is aligned with the text, by words; a copy scores threshold
-    or more of a verbatim one. Items of fewer than min_words words are never found. A null text is empty and holds nothing; nulls elsewhere don't matter. Empty tables are fine on
-    either side. Texts aren't shuffled: each block of the benchmark takes two scans, the second of which adds to the arrays.
+    or more of a verbatim one. Items of fewer than short words must stand there word for word; items without words are in no text.
+    A null text is empty and holds nothing; nulls elsewhere don't matter; repeated rows and items have equal results. Texts may be of
+    any length, columns of docs may have any name, and empty tables are fine on either side. Texts aren't shuffled: each block of the
+    benchmark takes two scans, the second of which adds to the arrays.
     """
     out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     texts = out.select("text")
     out = out.withColumn("item_ids", F.expr("cast(array() as array<bigint>)")).withColumn("scores", F.expr("cast(array() as array<double>)"))
-    for block in item_blocks(benchmark, threshold, min_words, block_words):
+    for block in item_blocks(benchmark, threshold, short, block_words):
         block.keep_seeds(_frequencies(texts, block))
         out = _search(out, block)
     return out.select("row", "item_ids", "scores")

@@ -140,6 +140,15 @@ def test_edited_and_cut_items_are_found_by_alignment_alone(spark):
     assert {r["row"]["doc_id"]: set(r["item_ids"]) for r in contamination(docs, bench).collect()} == want
 
 
+def test_short_items_and_scripts_without_spaces(spark):
+    zh = "机器学习是人工智能的一个分支，它研究如何让计算机从数据中学习规律并做出预测"
+    docs = [(1, "He said: What is the capital of France? Paris."), (2, "what is the big capital of france"), (3, "前文。" + zh + "。后文"), (4, "另一段关于天气的文字，今天天气很好，我们去公园散步吧，明天可能会下雨"), (5, "yes no"), (6, "前" + zh.replace("计算机", "电脑") + "后"), (7, "yes")]
+    items = [(10, "what is the capital of france"), (11, zh), (12, "no"), (13, "..."), (14, "ab")]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["row"]["doc_id"]: r["item_ids"] for r in contamination(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {1: [10], 2: [], 3: [11], 4: [], 5: [12], 6: [11], 7: []}
+
+
 def test_decontamination_query(spark, sf):
     got = op7_decontamination(spark, sf)
     texts = {r["doc_id"]: " ".join((r["text"] or "").lower().split()) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
