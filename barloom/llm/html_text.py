@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import html
 import math
 import re
@@ -21,14 +22,44 @@ CLOSED_BY = {
     "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}),
     "tr": frozenset({"tr", "tbody", "tfoot"}), "td": frozenset({"td", "th", "tr", "tbody", "tfoot"}), "th": frozenset({"td", "th", "tr", "tbody", "tfoot"}), "option": frozenset({"option"}),
 }
-NOT_ARTICLE = re.compile(
-    r"(?<![a-z])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed|s)?|promo(?:tion)?s?|banners?|cookies?|consent|gdpr|notices?|popups?|modal|sidebars?|side-bar|side|rail|menus?|nav|navbar|navigation|breadcrumbs?|footers?|headers?|masthead|comments?|comment-list|disqus|respond|replies|share|sharing|social|related|recommend(?:ed|ations)?|newsletter|subscribe|subscription|signup|widgets?|pagination|pager|toolbar|skip|legal|copyright)(?![a-z])"
+# Words that name what isn't the article, and words that may stand beside them in such a name.
+NOT_ARTICLE = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising sponsor sponsored sponsors promo promos promotion banner banners cookie cookies consent gdpr notice notices popup popups modal "
+    "sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs footer footers header masthead comment comments commentlist disqus respond replies share sharing social related "
+    "recommended recommendations newsletter subscribe subscription signup widget widgets pagination pager toolbar skip legal copyright".split()
 )
-NAMED = re.compile(r"""(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none|type\s*=\s*["']?hidden""", re.I)
-TAG = re.compile(r"""<(?:!--.*?(?:--!?>|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]++|"[^"]*+"|'[^']*+')*+)>|(/?)([a-zA-Z][^\s/>]*)([^>]*)>)""", re.S)
+BESIDE = frozenset(
+    "site page global main primary secondary top bottom left right side inner outer box bar block list item items section area container wrapper wrap panel slot unit group row col column links link posts post "
+    "articles stories news buttons button icons form text message policy thread reader user users to a the and us box1 box2 banner ad1 ad2 ad3".split()
+)
+WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
+NAME = re.compile(r"</?([a-zA-Z][^\s/>]*+)")
+ATTRIBUTE = re.compile(r"""[\s/]*+(?:([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?)?""")
 SPACE = re.compile(r"\s+")
-CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+
+
+def named_otherwise(names: str) -> bool:
+    """Whether a class, id or role has a name made of words for what isn't the article and of words that go with them."""
+    for name in names.split():
+        words = [w.lower() for w in WORD.findall(name)]
+        if not NOT_ARTICLE.isdisjoint(words) and all(w in NOT_ARTICLE or w in BESIDE or w.isdigit() for w in words):
+            return True
+    return False
+
+
+def attributes(page: str, at: int) -> tuple[dict[str, str], int, bool]:
+    """Attributes of a tag from its name's end on, where the tag ends (after its >, or with the page), and whether it closes itself.
+    The first of each name counts."""
+    out: dict[str, str] = {}
+    slash = True
+    while at < len(page):
+        m = ATTRIBUTE.match(page, at)
+        at = m.end()
+        if not m[1]:
+            return out, at + 1, slash and page[at - 1] == "/"
+        out.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+        slash = not (m[4] or "").endswith("/")  # else the slash is the value's
+    return out, at, False
 
 
 class _Node:
@@ -43,79 +74,128 @@ class _Node:
         self.doubtful = False
 
 
+class _Open:
+    """The open elements, innermost last, with the places of each tag and of the blocks among them."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, int]] = []
+        self.of: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.walls: list[int] = []
+
+    def push(self, tag: str, node: int) -> None:
+        k = len(self.stack)
+        self.stack.append((tag, node))
+        self.of.setdefault(tag, []).append(k)
+        if tag in BLOCKS:
+            self.blocks.append(k)
+        if tag in WALLS:
+            self.walls.append(k)
+
+    def cut(self, k: int) -> bool:
+        """Close all from place k on; whether a block was among them."""
+        for tag, _ in self.stack[k:]:
+            self.of[tag].pop()
+        del self.stack[k:]
+        block = False
+        for places in (self.blocks, self.walls):
+            while places and places[-1] >= k:
+                places.pop()
+                block = True
+        return block
+
+
+#: An end tag of an inline element doesn't close these.
+WALLS = frozenset("td th table article section div main".split())
+
+
 def _parse(page: str) -> tuple[list[_Node], list[tuple[int, str]]]:
     """Nodes in page order, and items (node number, text) with "" for the edge of a block. Dropped elements leave nothing.
 
-    Forms and elements with a name that articles don't have are doubtful: _settle keeps or drops them.
+    Forms and elements with a name that articles don't have are doubtful: _settle keeps or drops them. The page is passed once.
     """
     nodes = [_Node("body", None)]
     items: list[tuple[int, str]] = []
-    stack: list[tuple[str, int]] = [("body", 0)]  # -1: inside a dropped element
-    at, end = 0, len(page)
+    opened = _Open()
+    opened.push("body", 0)  # -1: inside a dropped element
+    stack, at, end, text = opened.stack, 0, len(page), 0
+
+    def told(upto: int) -> None:
+        if upto > text and stack[-1][1] >= 0:
+            items.append((stack[-1][1], html.unescape(page[text:upto])))
+
     while at < end:
-        m = TAG.search(page, at)
-        stop = m.start() if m else end
-        if stop > at and stack[-1][1] >= 0:
-            items.append((stack[-1][1], html.unescape(page[at:stop])))
-        if not m:
+        start = page.find("<", at)
+        if start < 0:
             break
-        at = m.end()
-        name = m[2] or m[5]
-        if not name:
+        if page.startswith(("<!", "<?"), start):
+            told(start)
+            mark = "-->" if page.startswith("<!--", start) else ">"
+            close = page.find(mark, start + 2)
+            at = text = close + len(mark) if close >= 0 else end
+            continue
+        m = NAME.match(page, start)
+        if not m:
+            at = start + 1
             continue
-        tag, attrs = name.lower(), m[3] or m[6] or ""
-        if m[1] or m[4]:
-            if tag == "p" and all(t != "p" for t, _ in stack):
-                items.append((stack[-1][1], "")) if stack[-1][1] >= 0 else None
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    if stack[k - 1][1] >= 0 and any(t in BLOCKS for t, _ in stack[k:]):
-                        items.append((stack[k - 1][1], ""))
-                    del stack[k:]
-                    break
-                if stack[k][0] in ("td", "th", "table", "article", "section", "div", "main") and tag not in BLOCKS:
-                    break  # a stray inline end tag doesn't close a block
+        told(start)
+        tag = m[1].lower()
+        attrs, at, closed = attributes(page, m.end())
+        text = at
+        if page[start + 1] == "/":
+            places = opened.of.get(tag)
+            if tag == "p" and not places and stack[-1][1] >= 0:
+                items.append((stack[-1][1], ""))
+            if places and places[-1] > 0 and (tag in BLOCKS or not opened.walls or opened.walls[-1] < places[-1]):
+                block = opened.cut(places[-1])
+                if block and stack[-1][1] >= 0:
+                    items.append((stack[-1][1], ""))
             continue
         if tag in ("html", "body"):
             continue
-        if tag != "head" and len(stack) > 1 and stack[1][0] == "head" and tag in BLOCKS | {"a", "span"}:
-            del stack[1:]
-        for k in range(len(stack) - 1, 0, -1):
-            t = stack[k][0]
-            if t in CLOSED_BY and tag in CLOSED_BY[t]:
-                del stack[k:]
-                break
-            if t in BLOCKS:
-                break
+        if tag != "head" and len(stack) > 1 and stack[1][0] == "head" and (tag in BLOCKS or tag in ("a", "span")):
+            opened.cut(1)
+        block = opened.blocks[-1]
+        if tag in CLOSED_BY.get(stack[block][0], ()):
+            opened.cut(block)
+        elif tag == "option" and opened.of.get("option") and opened.of["option"][-1] > block:
+            opened.cut(opened.of["option"][-1])
         inside = stack[-1][1]
         dropped = inside < 0 or tag in DROPPED
         doubtful = tag == "form"
         if not dropped and attrs and tag not in ("article", "main"):
-            dropped = bool(HIDDEN.search(attrs))
-            doubtful |= any(NOT_ARTICLE.search(CAMEL.sub("-", a or b or c).replace("_", "-").lower()) for a, b, c in NAMED.findall(attrs))
+            style = "".join(attrs.get("style", "").lower().split())
+            dropped = "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or "display:none" in style
+            doubtful |= any(named_otherwise(attrs[a]) for a in ("class", "id", "role", "aria-label") if a in attrs)
         if inside >= 0 and tag in BLOCKS:
             items.append((inside, ""))
         if tag == "br" and inside >= 0:
             items.append((inside, " "))
-        if tag in RAW and not attrs.endswith("/"):
-            close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            at = close.end() if close else end
+        if tag in RAW and not closed:
+            shut = _closing(tag).search(page, at)
+            at = text = shut.end() if shut else end
             continue
-        if tag in VOID or attrs.endswith("/") and tag not in BLOCKS:
+        if tag in VOID or closed and tag not in BLOCKS:
             if not dropped and not doubtful:
                 nodes[inside].tags += 1
             continue
         if dropped:
-            stack.append((tag, -1))
+            opened.push(tag, -1)
         else:
             node = _Node(tag, nodes[inside])
             node.doubtful = doubtful
             nodes[inside].kids.append(node)
-            stack.append((tag, len(nodes)))
+            opened.push(tag, len(nodes))
             nodes.append(node)
+    told(end)
     return nodes, items
 
 
+@functools.cache
+def _closing(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I)
+
+
 def _settle(nodes: list[_Node], items: list[tuple[int, str]]) -> tuple[list[_Node], list[tuple[int, str]]]:
     """Nodes and items without those doubtful nodes that don't hold the article, by characters outside links.
 
@@ -165,12 +245,16 @@ def _settle(nodes: list[_Node], items: list[tuple[int, str]]) -> tuple[list[_Nod
 
 
 def _weigh(nodes: list[_Node], items: list[tuple[int, str]]) -> None:
-    """Composite text density of every node: characters for each tag, lowered where links take a large part of either."""
+    """Composite text density of every node: characters for each tag, lowered where links take a large part of either.
+
+    The sum of a node adds up the densities of its children; inline elements stand for their own children there, since their text is
+    their parents'.
+    """
     for k, text in items:
         nodes[k].chars += len(SPACE.sub("", text))
     for k in range(len(nodes) - 1, -1, -1):
         n = nodes[k]
-        n.last = max([k, *(x.last for x in n.kids)])
+        n.last = max(k, n.last)
         if n.tag == "a":
             n.link_chars, n.link_tags = n.chars, n.tags + 1
         if n.parent:
@@ -179,6 +263,7 @@ def _weigh(nodes: list[_Node], items: list[tuple[int, str]]) -> None:
             p.tags += n.tags + 1
             p.link_chars += n.link_chars
             p.link_tags += n.link_tags
+            p.last = max(p.last, n.last)
     body = nodes[0]
     share = body.link_chars / max(1, body.chars)
     for n in nodes:
@@ -186,59 +271,68 @@ def _weigh(nodes: list[_Node], items: list[tuple[int, str]]) -> None:
             c, t, lc, lt = n.chars, max(1, n.tags), max(1, n.link_chars), max(1, n.link_tags)
             base = math.log(c / max(1, c - n.link_chars) * n.link_chars + share * c + math.e)
             n.density = c / t * math.log(max(1.0 + 1e-9, c / lc * t / lt)) / math.log(max(base, 1.0) + 1.0)
-    for n in nodes:
-        n.sum = sum(x.density for x in n.kids)
+    for n in reversed(nodes):
+        if n.parent:
+            n.parent.sum += n.density if n.tag in BLOCKS else n.sum
 
 
 def main_text(page: str | None) -> str:
-    """Blocks of the article, joined by line feeds; empty if there is none."""
+    """Blocks of the article, joined by line feeds; empty if there is none.
+
+    The node with the greatest sum of densities is where the article is densest, and the least density on the path from there to the
+    body is the threshold: every branch that reaches it counts as content, by its own node of the greatest sum. The article is the
+    smallest node around the densest one that holds four fifths of the content. Of equal sums the one with more text counts, and
+    article or main before others.
+    """
     if not page:
         return ""
     nodes, items = _settle(*_parse(page))
     _weigh(nodes, items)
+    rank = [(n.sum, n.chars, n.tag in ("article", "main"), -k) for k, n in enumerate(nodes)]
     number = {id(n): k for k, n in enumerate(nodes)}
-    best = max(nodes, key=lambda n: (n.sum, n.chars))
-    threshold, n = best.density, best
-    while n.parent is not None:
-        n = n.parent
-        threshold = min(threshold, n.density)
-    keep = bytearray(len(nodes))
-
-    def mark(n: _Node) -> None:
-        top = n
-        while n is not None:  # the article that holds it, whole
-            if n.tag in ("article", "main"):
-                top = n
-            n = n.parent
-        k = number[id(top)]
-        for j in range(k, top.last + 1):
-            keep[j] = 1
-
-    waiting = [nodes[0]]
+    best = list(range(len(nodes)))  # in each node's subtree
+    for k in range(len(nodes) - 1, 0, -1):
+        up = number[id(nodes[k].parent)]
+        if rank[best[k]] > rank[best[up]]:
+            best[up] = best[k]
+    path = [nodes[best[0]]]
+    while path[-1].parent is not None:
+        path.append(path[-1].parent)
+    threshold = min(n.density for n in path)
+    content = bytearray(len(nodes))
+    waiting = [0]
     while waiting:
-        n = waiting.pop()
-        k = number[id(n)]
-        if keep[k] or n.density < threshold or not n.chars:
+        k = waiting.pop()
+        n = nodes[k]
+        if content[k] or n.density < threshold or not n.chars:
             continue
-        top = max(nodes[k : n.last + 1], key=lambda x: (x.sum, x.chars))
-        if not top.sum:
-            top = n
-        mark(top)
-        if not keep[k]:
-            waiting.extend(n.kids)
+        top = best[k] if nodes[best[k]].sum else k
+        if not content[top]:
+            last = nodes[top].last
+            content[top : last + 1] = b"\1" * (last + 1 - top)
+        if not content[k]:
+            waiting.extend(number[id(x)] for x in n.kids)
+    held = [0] * len(nodes)
+    for k, text in items:
+        held[k] += len(SPACE.sub("", text)) if content[k] else 0
+    for k in range(len(nodes) - 1, 0, -1):
+        held[number[id(nodes[k].parent)]] += held[k]
+    root = next(number[id(n)] for n in path if 5 * held[number[id(n)]] >= 4 * held[0])
     blocks, parts = [], []
     for k, text in [*items, (0, "")]:
         if text == "":
             if parts:
                 blocks.append("".join(parts))
                 parts = []
-        elif keep[k]:
+        elif root <= k <= nodes[root].last:
             parts.append(text)
     return "\n".join(b for b in (SPACE.sub(" ", x).strip() for x in blocks) if b)
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text and n_chars for every row. Null or empty html gives empty text; nulls in other columns stay; more columns are ignored."""
+    """page_id, url, text and n_chars for every row. Null or empty html gives empty text; nulls in other columns stay; repeated rows have
+    equal results, an empty table gives no row, and more columns are ignored, whatever their names. A page is parsed in one pass, so
+    that long ones and bad ones take time in proportion."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,6 +1,8 @@
 import hashlib
 import random
+import time
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -66,6 +68,77 @@ def test_broken_pages_dont_fail(page):
     assert isinstance(main_text(page), str)
 
 
+class Plain(HTMLParser):
+    """The article of pages that mark it, by the standard library's parser: what stands in it, without boxes of class ad."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.off, self.blocks = 0, 0, [""]
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "article":
+            self.inside += 1
+        if self.off or tag in ("script", "style") or ("class", "ad") in attrs and tag == "div":
+            self.off += tag not in ("br", "img")
+        elif tag == "br":
+            self.blocks[-1] += " "
+        elif tag not in ("b", "a", "i", "em", "strong", "span"):
+            self.blocks.append("")
+
+    def handle_endtag(self, tag):
+        if tag == "article":
+            self.inside -= 1
+        if self.off:
+            self.off -= 1
+        elif tag not in ("b", "a", "i", "em", "strong", "span"):
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        if self.inside and not self.off:
+            self.blocks[-1] += data
+
+    def text(self):
+        return "\n".join(b for b in (" ".join(x.split()) for x in self.blocks) if b)
+
+
+def test_pages_hold_their_articles(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    assert len(rows) > 200 and all("<article>" in r["html"] for r in rows)
+    assert {r["page_id"]: main_text(r["html"]) for r in rows} == {r["page_id"]: Plain(r["html"]).text() for r in rows}
+
+
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+def test_density_finds_the_article_under_any_tag(spark, tag):
+    """Without article or main the density alone has to find it."""
+    for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect():
+        page = r["html"].replace("<article>", f"<{tag}>").replace("</article>", f"</{tag}>")
+        want = Plain(r["html"]).text()
+        if tag != "div" or len(want) >= 100:  # of two short boxes without a sign the longer one is the article
+            assert main_text(page) == want
+
+
+@pytest.mark.parametrize("start", ['<p title="a hidden gem">', '<p data-widget-id="related-1">', '<p class="side-effect">', '<p id="legal-history">', '<p data-x="display:none">', "<p class='shared-values'>", '<p class="header-image-caption-story">', "<p title=hidden/>"])
+def test_paragraphs_with_innocent_attributes_stay(start):
+    page = "<body><nav><a href=/>x</a></nav><article><h1>Title</h1>" + "<p>Some words of the article, more of them.</p>" * 3 + start + "Kept words of this one.</p></article><footer>f</footer></body>"
+    assert main_text(page).split("\n")[-1] == "Kept words of this one."
+
+
+@pytest.mark.parametrize("start", ["<div hidden>", '<div style="color: red; display : none">', '<div aria-hidden="true">', '<div class="related-posts">', '<div id="comments">', '<div class="shareButtons">', '<section class="newsletter-signup box">', '<div role="navigation">', '<div class="cookie_notice">', '<ol class="commentlist">'])
+def test_boxes_go(start):
+    tag = start[1:].split()[0].rstrip(">")
+    page = "<body><article><h1>Title</h1>" + "<p>Some words of the article, more of them.</p>" * 3 + f"{start}<p>Words that aren't its own.</p></{tag}><p>Last.</p></article></body>"
+    assert main_text(page).split("\n")[-1] == "Last." and "own" not in main_text(page)
+
+
+@pytest.mark.parametrize("page", ['<p a="' * 200_000, "<b>" * 100_000 + "</p>" * 200_000, "<div>" * 200_000, "<b>" * 100_000 + "<hr>" * 100_000, "<div>" + "<b>" * 50_000 + "<div></i>" * 50_000, "<" * 1_000_000, "<!--" * 200_000, "<p a='\">" * 100_000, "<script>" * 100_000, "<p>" + "x" * 2_000_000, "<a =" * 200_000, "<p " + " " * 500_000, "<li><ul>" * 60_000])
+def test_bad_pages_take_time_in_proportion(page):
+    began = time.process_time()
+    assert isinstance(main_text(page), str)
+    assert time.process_time() - began < 15
+
+
 def test_pages_query(spark, sf):
     got = op6_html_extraction(spark, sf).collect()
     assert len(got) == spark.read.parquet(f"{sf}/pages.parquet").count()
