@@ -95,21 +95,28 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
+def lowest_ids(ids: DataFrame, most: int) -> DataFrame:
+    """The most doc_ids of ids with the lowest hashes, each once. All but about 1.5 * most are left out by a bound on the hash before
+    anything is sorted, so that no task gets more than these."""
+    n = max(1, ids.agg(F.approx_count_distinct("doc_id", 0.02)).first()[0])
+    bound = min((1 << 63) - 1, -(1 << 63) + (3 * most * (1 << 64)) // (2 * n))
+    return ids.filter(F.xxhash64("doc_id") <= F.lit(bound)).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+
+
 def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> Model:
     """Fit on documents that aren't held out: toxic ones by label, and any others as unlabelled text.
 
-    The driver gathers the word hashes of max_positive and max_unlabelled texts at most, chosen by the hash of doc_id; the class
-    prior is the toxic share of all labels that aren't held out. Null labels, and labels of no document, don't count. With no
-    toxic document every score is 0.
+    The driver gathers the word hashes of max_positive and max_unlabelled texts at most, chosen by the hash of doc_id, one for each
+    (the smallest of several); the class prior is the toxic share of all labels that aren't held out. Null labels, and labels of no
+    document, don't count. With no toxic document every score is 0.
     """
     free = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic is not null").filter(~held_out())
     prior = free.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0] or 0.0
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
     rows = texts_of(docs)
-    toxic = free.filter("toxic = 1").select("doc_id").distinct().orderBy(*order).limit(max_positive).select("doc_id", F.lit(1).alias("side"))
-    others = rows.select("doc_id").filter(~held_out()).orderBy(*order).limit(max_unlabelled).select("doc_id", F.lit(0).alias("side"))
+    toxic = lowest_ids(free.filter("toxic = 1").select("doc_id"), max_positive).withColumn("side", F.lit(1))
+    others = lowest_ids(rows.select("doc_id").filter(~held_out()), max_unlabelled).withColumn("side", F.lit(0))
     # both sides of the union are bounded by the two limits
-    sample = rows.join(F.broadcast(toxic.union(others)), "doc_id").select("doc_id", "side", "text")
+    sample = rows.join(F.broadcast(toxic.union(others)), "doc_id").groupBy("doc_id", "side").agg(F.min("text").alias("text"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,7 +148,8 @@ def score_column(spark: SparkSession, model: Model, text: str = "text") -> F.Col
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score and predicted for every row. Empty tables give no rows; repeated rows have equal scores."""
+    """doc_id, held_out, score and predicted for every row. A null text is scored as an empty one, texts may be of any length, repeated
+    rows have equal scores, an empty table gives no row, and other columns are ignored, whatever their names."""
     model = train(docs, labels)
     scored = texts_of(docs).withColumn("score", score_column(docs.sparkSession, model))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
