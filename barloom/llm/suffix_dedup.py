@@ -1,8 +1,9 @@
 """Operator 4: removal of repeated 50-byte strings by suffix arrays that are built by induced sorting.
 
-Equal windows of 50 bytes must meet in one shard. Each window is anchored at the smallest of the hashes of its 32-byte grams, so
-equal windows have equal anchors; consecutive windows with one anchor form a piece (50 to 68 bytes). Pieces whose anchor occurs in
-one document alone are dropped. The different pieces that are left are dealt by anchor, and each shard sorts their suffixes.
+Equal windows of 50 bytes must meet in one shard. Each window is anchored at the smallest of the hashes of its 24-byte grams, so
+equal windows have equal anchors; consecutive windows with one anchor form a piece (50 to 76 bytes). Pieces whose anchor occurs in
+one document alone are dropped. The different pieces that are left are dealt by anchor, and each shard sorts their suffixes. Whole
+copies of a text with a smaller doc_id hold nothing that it doesn't hold, and take no part.
 """
 
 from __future__ import annotations
@@ -18,11 +19,11 @@ from pyspark.sql import functions as F
 
 from .common import U64, mix, seeds, slices, stored, texts_of, utf8
 
-WINDOW, GRAM = 50, 32
+WINDOW, GRAM = 50, 24
 #: Bytes of pieces, and places of pieces, that one suffix array stands for. An anchor in more documents than HOT has its windows
 #: compared one by one, and up to so many of such anchors are broadcast.
 SHARD_BYTES, SHARD_ROWS, HOT, MOST_HOT = 1 << 20, 200_000, 20_000, 50_000
-BUCKETS = 8
+BUCKETS, SALTS = 8, 16
 _LOWEST = -(1 << 63)
 _A, _B, _C = seeds(3, 41) | U64(1)
 
@@ -237,6 +238,28 @@ def anchored(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, gram:
     return starts, np.flatnonzero(final) + window, h[place[starts]] >> U64(16)
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed, for the one exchange that they go through."""
+    for batch in batches:
+        for s in slices(batch):
+            data, offsets = utf8(s.column("text"))
+            whole = memoryview(np.ascontiguousarray(data))
+            packed = [pa.compress(whole[a:b], "zstd", asbytes=True) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([s.column("doc_id"), s.column("k"), s.column("row"), pa.array(np.diff(offsets)), pa.array(packed, pa.binary())], ["doc_id", "k", "row", "n", "packed"])
+
+
+def _unpacked(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Pieces of a batch with the bytes of their texts, and where each begins; memory follows the sizes of the texts."""
+    sizes = batch.column("n").to_numpy()
+    start = 0
+    while start < len(sizes):
+        end = start + max(1, int(np.searchsorted(np.cumsum(sizes[start : start + 256]), 1 << 20, "right")))
+        s = batch.slice(start, end - start)
+        texts = [pa.decompress(p.as_buffer(), n, "zstd", asbytes=True) for p, n in zip(s.column("packed"), sizes[start:end].tolist(), strict=True)]
+        yield s, np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum(sizes[start:end])])
+        start = end
+
+
 def _marks(n_buckets: int):
     """Anchors of slices of documents, in blocks for each bucket of anchors.
 
@@ -247,8 +270,7 @@ def _marks(n_buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = 0
         for batch in batches:
-            for s in slices(batch, max_bytes=4 << 20, max_rows=4096):
-                data, offsets = utf8(s.column("text"))
+            for s, data, offsets in _unpacked(batch):
                 starts, _, m = anchored(data, offsets)
                 if not len(starts):
                     continue
@@ -325,10 +347,10 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pieces of rows (k, row, text, ms) whose anchors are among ms."""
+    """Pieces of rows (k, row, n, packed, ms) whose anchors are among ms. Of equal ones that begin one after the other, as in a text of
+    one letter, the first goes, with the number of the others in more."""
     for batch in batches:
-        for s in slices(batch):
-            data, offsets = utf8(s.column("text"))
+        for s, data, offsets in _unpacked(batch):
             starts, ends, anchor = anchored(data, offsets)
             row = np.searchsorted(offsets, starts, "right") - 1
             ms = s.column("ms")
@@ -337,19 +359,23 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             starts, ends, row = starts[at], ends[at], row[at]
             whole = data.tobytes()
             body = [whole[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+            follows = np.flatnonzero((np.diff(starts) == 1) & (np.diff(ends) == 1) & (np.diff(row) == 0)) + 1
+            follows = follows[[body[i] == body[i - 1] for i in follows.tolist()]] if len(follows) else follows
+            first = np.delete(np.arange(len(at)), follows)
+            more = np.diff(np.append(first, len(at))) - 1
             cols = [anchor[at].view(np.int64), s.column("k").to_numpy()[row], s.column("row").to_numpy()[row], starts - offsets[row]]
-            yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in cols], pa.array(body, pa.binary())], ["m", "k", "row", "start", "body"])
+            yield pa.RecordBatch.from_arrays([*[pa.array(c[first]) for c in cols], pa.array(more), pa.array([body[i] for i in first.tolist()], pa.binary())], ["m", "k", "row", "start", "more", "body"])
 
 
 SPANS = ["k", "row", "a", "b"]
 
 
-def _spans(k: np.ndarray, row: np.ndarray, start: np.ndarray, content: np.ndarray, lows: np.ndarray, n_windows: np.ndarray) -> pa.RecordBatch:
+def _spans(k: np.ndarray, row: np.ndarray, start: np.ndarray, more: np.ndarray, content: np.ndarray, lows: np.ndarray, n_windows: np.ndarray) -> pa.RecordBatch:
     """Bytes from a to b of documents whose windows a lower document holds. content: the piece at each place; lows: by its windows."""
     begins = np.cumsum(n_windows) - n_windows
     least, most = np.minimum.reduceat(lows, begins), np.maximum.reduceat(lows, begins)
     every = k > most[content]
-    out = [np.stack([k[every], row[every], start[every], start[every] + n_windows[content[every]] - 1 + WINDOW])]
+    out = [np.stack([k[every], row[every], start[every], start[every] + more[every] + n_windows[content[every]] - 1 + WINDOW])]
     for i in np.flatnonzero(~every & (k > least[content])).tolist():
         c = content[i]
         gone = np.diff(np.concatenate([[0], (lows[begins[c] : begins[c] + n_windows[c]] < k[i]).astype(np.int8), [0]]))
@@ -363,7 +389,7 @@ def _sorted_shards(limit: int):
 
     def shard(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         rows = pa.Table.from_batches(held).combine_chunks()
-        m, k, row, start = (rows.column(c).to_numpy() for c in ("m", "k", "row", "start"))
+        m, k, row, start, more = (rows.column(c).to_numpy() for c in ("m", "k", "row", "start", "more"))
         body = rows.column("body").to_pylist()
         new = np.array([True, *[a != b for a, b in zip(body[1:], body[:-1], strict=True)]]) | np.append(True, m[1:] != m[:-1])
         first = np.flatnonzero(new)
@@ -376,7 +402,7 @@ def _sorted_shards(limit: int):
         if not alone.all():
             some = np.flatnonzero(~alone)
             lows[np.repeat(~alone, n_windows)] = lowest_holders([pieces[i] for i in some.tolist()], low[some])[0]
-        return _spans(k, row, start, content, lows, n_windows)
+        return _spans(k, row, start, more, content, lows, n_windows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, n = [], 0, 0
@@ -404,22 +430,22 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every window of pieces on its own."""
     for batch in batches:
         for s in slices(batch, "body"):
-            k, row, start, body = (s.column(x).to_pylist() for x in ("k", "row", "start", "body"))
+            k, row, start, more, body = (s.column(x).to_pylist() for x in ("k", "row", "start", "more", "body"))
             at = [(i, j) for i, b in enumerate(body) for j in range(len(b) - WINDOW + 1)]
-            cols = [pa.array([k[i] for i, _ in at], pa.int64()), pa.array([row[i] for i, _ in at], pa.int64()), pa.array([start[i] + j for i, j in at], pa.int64()), pa.array([body[i][j : j + WINDOW] for i, j in at], pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["k", "row", "a", "window"])
+            cols = [pa.array([x[i] + j * y for i, j in at], pa.int64()) for x, y in ((k, 0), (row, 0), (start, 1))]
+            ends = [start[i] + j + WINDOW + more[i] for i, j in at]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(ends, pa.int64()), pa.array([body[i][j : j + WINDOW] for i, j in at], pa.binary())], ["k", "row", "a", "b", "window"])
 
 
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
 
 
 def _removed(with_text: bool):
-    """Rows (doc_id, k, row, text, found) without the bytes of windows that a lower document holds."""
+    """Rows (doc_id, k, row, n, packed, found) without the bytes of windows that a lower document holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s in slices(batch):
-                data, offsets = utf8(s.column("text"))
+            for s, data, offsets in _unpacked(batch):
                 depth = np.zeros(len(data) + 1, np.int64)
                 found = s.column("found")
                 at = found.flatten()
@@ -449,36 +475,48 @@ def dedup_substrings(docs: DataFrame, with_text: bool = False, hot: int = HOT, s
     whole; a cut character is replaced in kept only. Null text is empty, a null doc_id is the lowest of all, rows with equal doc_id
     don't count as copies of each other, an empty table gives no row, and other columns are ignored.
 
-    1. Anchors by document, packed in blocks of 8 bytes an anchor: one shuffle. An anchor that several documents of a slice hold is
+    1. Texts are compressed and shuffled once, by document; that exchange serves all steps but the last of them. Copies of a whole
+       text (by its length and 128 bits of hashes) lose all of it if it has a window, and are left out from here on.
+    2. Anchors by document, packed in blocks of 8 bytes an anchor: one shuffle. An anchor that several documents of a slice hold is
        known as shared at once, so a very common one sends one entry a slice to where it is decided.
-    2. Texts are shuffled once, by document; that exchange serves this step and 4. Pieces at shared anchors are cut out and dealt by
-       anchor, equal ones side by side.
-    3. Suffix arrays over the different pieces of many anchors at a time and their common prefixes give each window's lowest
+    3. Pieces at shared anchors are cut out and dealt by anchor, equal ones side by side.
+    4. Suffix arrays over the different pieces of many anchors at a time and their common prefixes give each window's lowest
        document. Anchors in more than hot documents (a passage that very many share) have their windows grouped by their bytes
        instead, with the same result, so that no task gets all of them.
-    4. Each text loses the bytes of windows whose lowest document is lower than its own.
+    5. Each text loses the bytes of windows whose lowest document is lower than its own.
+
+    Texts may be of any length.
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = texts_of(docs).withColumn("k", F.coalesce("doc_id", F.lit(_LOWEST).cast("long"))).withColumn("row", F.xxhash64("text")).select("doc_id", "k", "row", "text")
-    blocks = rows.select("k", "text").mapInArrow(_marks(n * BUCKETS), "bucket int, ks array<long>, data binary, known_k array<long>, known_m array<long>")
+    plain = texts_of(docs).withColumn("k", F.coalesce("doc_id", F.lit(_LOWEST).cast("long"))).withColumn("row", F.xxhash64("text"))
+    # copies: equal texts of a larger k; a group's lowest goes to each of its salts, so that a large one is spread out
+    keys = plain.select("k", "row", F.xxhash64("text", F.lit(7)).alias("other"), F.octet_length("text").cast("long").alias("n"))
+    groups = keys.groupBy("row", "other", "n").agg(F.min("k").alias("low"), F.max("k").alias("high")).filter("low < high")
+    groups = groups.select("row", "other", "n", "low", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    copied = keys.withColumn("salt", F.pmod(F.hash("k"), F.lit(SALTS))).join(groups, ["row", "other", "n", "salt"]).filter("k > low")
+    copies = stored(copied.select("k", "row", "n").distinct(), "copies")
+    rows = plain.select("doc_id", "k", "row", "text").mapInArrow(_packed, "doc_id long, k long, row long, n long, packed binary")
+    own = rows.join(copies.groupBy("k").agg(F.collect_set("row").alias("copied")), "k", "left").filter("copied is null or not array_contains(copied, row)").drop("copied")
+    blocks = own.mapInArrow(_marks(n * BUCKETS), "bucket int, ks array<long>, data binary, known_k array<long>, known_m array<long>")
     shared = blocks.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_met, "k long, ms array<long>")
     wanted = stored(shared.groupBy("k").agg(F.array_distinct(F.flatten(F.collect_list("ms"))).alias("ms")), "anchors")
     often = stored(wanted.select(F.explode("ms").alias("m")).groupBy("m").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("m"), "hot-anchors")
     n_often = often.count()
-    pieces = rows.join(wanted, "k").select("doc_id", "k", "row", "text", "ms").mapInArrow(_cut, "m long, k long, row long, start long, body binary")
+    pieces = own.join(wanted, "k").mapInArrow(_cut, "m long, k long, row long, start long, more long, body binary")
     cold, spans = pieces, "k long, row long, a long, b long"
     if n_often:
         known = F.broadcast(often) if n_often <= MOST_HOT else often
         cold = pieces.join(known, "m", "left_anti")
     found = cold.repartition(n, "m").sortWithinPartitions("m", "body", "k").mapInArrow(_sorted_shards(shard_bytes), spans)
     if n_often:
-        windows = pieces.join(known, "m", "left_semi").select("k", "row", "start", "body").mapInArrow(_windows, "k long, row long, a long, window binary")
+        windows = pieces.join(known, "m", "left_semi").select("k", "row", "start", "more", "body").mapInArrow(_windows, "k long, row long, a long, b long, window binary")
         lowest = windows.groupBy("window").agg(F.min("k").alias("low"))
-        found = found.union(windows.join(lowest, "window").filter("low < k").select("k", "row", "a", (F.col("a") + WINDOW).alias("b")))
+        found = found.union(windows.join(lowest, "window").filter("low < k").select("k", "row", "a", "b"))
+    found = found.union(copies.filter(F.col("n") >= WINDOW).select("k", "row", F.lit(0).cast("long"), "n"))
     by_row = found.groupBy("k").agg(F.collect_list(F.struct("row", "a", "b")).alias("found"))
     none = F.expr("cast(array() as array<struct<row: bigint, a: bigint, b: bigint>>)")
-    return rows.join(by_row, "k", "left").select("doc_id", "k", "row", "text", F.coalesce("found", none).alias("found")).mapInArrow(_removed(with_text), OUT)
+    return rows.join(by_row, "k", "left").withColumn("found", F.coalesce("found", none)).mapInArrow(_removed(with_text), OUT)
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -92,3 +92,11 @@ def test_odd_rows(spark):
 
 def test_query_columns(spark, sf):
     assert op4_suffix_dedup(spark, sf).columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+
+
+def test_copies_and_texts_of_one_letter(spark):
+    rng = random.Random(9)
+    base = "".join(rng.choices("abcdefgh ", k=600))
+    rows = [(d, base) for d in range(40, 90)] + [(d, base[:300] + f"own {d}" + base[300:]) for d in range(30, 45)] + [(d, "z" * (200 + d % 3)) for d in range(20)] + [(d, "short") for d in range(100, 120)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(5)
+    assert result(dedup_substrings(docs)) == brute(rows)
