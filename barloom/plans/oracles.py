@@ -5,7 +5,8 @@ chain() builds one statement: bars, then a stage for each dict of new columns, t
 
 from __future__ import annotations
 
-from ..operators.candles import PATTERNS, condition
+from ..sources.bars import SCRIPTS
+from .candle_sql import OUTCOMES, seen
 
 ORACLES: dict[str, str] = {}
 P = "PARTITION BY symbol"
@@ -335,20 +336,30 @@ _CLASS = [
     {"doji": "size <= pd AND shadow_ratio >= 8.0"},
 ]
 ORACLES["candle_class"] = chain(*_CLASS, out="SELECT symbol, i, trend, body, vol_body, white, doji, round(shadow_ratio, 4) + 0.0 AS shadow_ratio FROM {last}")
-_LAGS = {f"{k}_{j}": (f if j == 0 else lag(f, j)) for k, f in {"o": "open", "h": "high", "l": "low", "c": "close", "w": "white", "q": "body", "v": "vol_body", "d": "doji", "s": "shadow_ratio", "t": "trend"}.items() for j in range(5)}
-
-
-def pattern_case(name: str, body: str, what: int) -> str:
-    days, weight, rules = PATTERNS[name]
-    value = lambda r: f"'{r[1]}'" if what else str(weight if r[0] == "bullish" else -weight)
-    return "CASE " + " ".join(f"WHEN i >= {days - 1} AND {condition(r[2], days, body)} THEN {value(r)}" for r in rules) + ("" if what else " ELSE 0") + " END"
-
-
-for _p in PATTERNS:
-    _row = {"a": pattern_case(_p, "body", 1), "b": pattern_case(_p, "vol_body", 1), "x": f"{pattern_case(_p, 'body', 0)} + {pattern_case(_p, 'vol_body', 0)}"}
-    ORACLES[f"candle_{_p.replace(' ', '_')}"] = chain(*_CLASS, _LAGS, {f"z{k}": e for k, e in _row.items()}, out="SELECT symbol, i, zx AS value, coalesce(za, zb) AS style FROM {last} WHERE za IS NOT NULL OR zb IS NOT NULL")
-_ALL = " UNION ALL ".join(f"SELECT symbol, i, '{p}' AS pattern, {pattern_case(p, 'body', 0)} + {pattern_case(p, 'vol_body', 0)} AS value FROM {{last}}" for p in PATTERNS)
-ORACLES["candle_patterns"] = chain(*_CLASS, _LAGS, _ALL, out="SELECT symbol, i, pattern, CAST(value AS BIGINT) AS value FROM {last} WHERE value <> 0")
+_SCRIPTS = ", ".join(f"({k}, {j}, {level}, {', '.join(map(str, c))})" for k, (level, cs) in enumerate(SCRIPTS) for j, c in enumerate(cs))
+LINES = f"""SELECT CAST(g AS VARCHAR) AS symbol, DATE '1990-01-01' + CAST(t AS INTEGER) AS dt, CASE WHEN so IS NULL THEN o ELSE base + lv + so END AS open, CASE WHEN so IS NULL THEN greatest(o, c) + up ELSE base + lv + sh END AS high,
+    CASE WHEN so IS NULL THEN least(o, c) - down ELSE base + lv + sl END AS low, CASE WHEN so IS NULL THEN c ELSE base + lv + sc END AS close, 1.0::DOUBLE AS volume FROM (
+  SELECT *, o + turn * size AS c, CASE WHEN r5 % 100 < bare THEN 0.0 WHEN r5 % 3 = 1 THEN 0.25 ELSE 1.5 END::DOUBLE AS up, CASE WHEN r6 % 100 < bare THEN 0.0 WHEN r6 % 3 = 1 THEN 0.25 ELSE 1.5 END::DOUBLE AS down FROM (
+    SELECT *, base + ((r4 % (5 + 4 * (g % 3)) - (2 + 2 * (g % 3))) * 0.25)::DOUBLE AS o, 30 + g % 5 * 15 AS bare,
+      CASE WHEN r % 200 = 0 THEN 0.0 WHEN r % 10 < 2 THEN 0.0625 WHEN r % 10 < 4 THEN 0.5 WHEN r % 10 < 7 THEN 1.5 ELSE 3.0 END::DOUBLE AS size,
+      CASE WHEN r2 % 100 < 50 + (10 + 15 * (g % 3)) * (CASE WHEN t % 24 < 12 THEN -1 ELSE 1 END) THEN 1.0 ELSE -1.0 END::DOUBLE AS turn FROM (
+      SELECT *, (100 + abs(t % 24 - 12) * 0.75 * (g % 4))::DOUBLE AS base, r * 48271 % 2147483647 AS r2, r * 69621 % 2147483647 AS r4, r * 16807 % 2147483647 AS r5, r * 39373 % 2147483647 AS r6 FROM (
+        SELECT l_suppkey % 60 AS g, row_number() OVER (PARTITION BY l_suppkey % 60 ORDER BY l_orderkey, l_linenumber, l_partkey) - 1 AS t, (l_orderkey * 7919 + l_linenumber * 104729 + l_partkey * 1299709) % 2147483647 * 48271 % 2147483647 AS r FROM lineitem)))
+  ) LEFT JOIN (VALUES {_SCRIPTS}) AS x(script, step, lv, so, sh, sl, sc) ON script = t // 50 % {len(SCRIPTS)} AND step = t % 50 - 30"""
+_CANDLES = "SELECT symbol, i, dt, struct_pack(open := open, high := high, low := low, close := close, white := white, body := body, vol := vol_body, doji := doji, ratio := shadow_ratio, trend := trend) AS k FROM {last}"
+
+
+def candle_sql(out: str, source: str | None = None) -> str:
+    return chain(*_CLASS, _CANDLES, out=f", candles AS (SELECT * FROM {{last}}) {out}", source=source).replace("\n, candles", ",\ncandles")
+
+
+_EVERY = " UNION ALL ".join(f"SELECT symbol, i, '{p}' AS pattern, value FROM ({seen(p)})" for p in OUTCOMES)
+for _p in OUTCOMES:
+    ORACLES[f"candle_{_p.replace(' ', '_')}"] = candle_sql(seen(_p), LINES)
+for _name, _source in (("candle_patterns", None), ("candle_patterns_line", LINES)):
+    ORACLES[_name] = candle_sql(f"SELECT symbol, i, pattern, CAST(value AS BIGINT) AS value FROM ({_EVERY}) WHERE value <> 0", _source)
+_STYLES = " UNION ALL ".join(f"SELECT symbol, i, '{p}: ' || s AS style, coalesce(v, 0) AS v FROM ({seen(p, True)}) WHERE s IS NOT NULL" for p in OUTCOMES)
+ORACLES["candle_signals"] = candle_sql(f", styles AS ({_STYLES}) SELECT DISTINCT symbol, i, dt, CASE WHEN net > 0 THEN 'bullish' ELSE 'bearish' END AS type, style AS value FROM (SELECT *, sum(v) OVER (PARTITION BY symbol, i) AS net FROM styles) JOIN (SELECT symbol, i, dt FROM candles) USING (symbol, i) WHERE net <> 0")
 
 # across symbols
 _MKT = numbered("market", MARKET) + f",\nmr AS (SELECT dt, adj_close AS market_adj, {CHANGE} AS market_ret FROM market)"

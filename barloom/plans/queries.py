@@ -168,9 +168,10 @@ on_bars("channel_lines", lambda b: rounded(features.channel_lines(b)))
 # candles
 on_bars("candle_class", lambda b: candles.classify(b).select("symbol", "i", "trend", "body", "vol_body", "white", "doji", neat("shadow_ratio").alias("shadow_ratio")))
 on_bars("candle_patterns", candles.all_patterns)
+on_bars("candle_patterns_line", candles.all_patterns, find=src.line_candles)
 on_signals("candle_signals", candles.candle_signals)
 for _p in candles.PATTERNS:
-    on_bars(f"candle_{_p.replace(' ', '_')}", lambda b, p=_p: candles.pattern(b, p))
+    on_bars(f"candle_{_p.replace(' ', '_')}", lambda b, p=_p: candles.pattern(b, p), find=src.line_candles)
 
 # across symbols
 on_market("beta", lambda b, m: rounded(cross.beta(b, m)))
