@@ -347,8 +347,8 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pieces of rows (k, row, n, packed, ms) whose anchors are among ms. Of equal ones that begin one after the other, as in a text of
-    one letter, the first goes, with the number of the others in more."""
+    """Pieces of rows (k, row, n, packed, ms) whose anchors are among ms. Of equal ones that follow one another, as in a text of one
+    word, the first goes, with the number of the others in more."""
     for batch in batches:
         for s, data, offsets in _unpacked(batch):
             starts, ends, anchor = anchored(data, offsets)
@@ -359,7 +359,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             starts, ends, row = starts[at], ends[at], row[at]
             whole = data.tobytes()
             body = [whole[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-            follows = np.flatnonzero((np.diff(starts) == 1) & (np.diff(ends) == 1) & (np.diff(row) == 0)) + 1
+            follows = np.flatnonzero((np.diff(starts) == (ends - starts)[:-1] - WINDOW + 1) & (np.diff(ends - starts) == 0) & (np.diff(row) == 0)) + 1
             follows = follows[[body[i] == body[i - 1] for i in follows.tolist()]] if len(follows) else follows
             first = np.delete(np.arange(len(at)), follows)
             more = np.diff(np.append(first, len(at))) - 1
@@ -375,12 +375,13 @@ def _spans(k: np.ndarray, row: np.ndarray, start: np.ndarray, more: np.ndarray,
     begins = np.cumsum(n_windows) - n_windows
     least, most = np.minimum.reduceat(lows, begins), np.maximum.reduceat(lows, begins)
     every = k > most[content]
-    out = [np.stack([k[every], row[every], start[every], start[every] + more[every] + n_windows[content[every]] - 1 + WINDOW])]
+    out = [np.stack([k[every], row[every], start[every], start[every] + (more[every] + 1) * n_windows[content[every]] - 1 + WINDOW])]
     for i in np.flatnonzero(~every & (k > least[content])).tolist():
         c = content[i]
         gone = np.diff(np.concatenate([[0], (lows[begins[c] : begins[c] + n_windows[c]] < k[i]).astype(np.int8), [0]]))
-        a, b = np.flatnonzero(gone > 0), np.flatnonzero(gone < 0)
-        out.append(np.stack([np.full(len(a), k[i]), np.full(len(a), row[i]), start[i] + a, start[i] + b - 1 + WINDOW]))
+        each = start[i] + np.arange(more[i] + 1)[:, None] * n_windows[c]
+        a, b = ((each + np.flatnonzero(x)).reshape(-1) for x in (gone > 0, gone < 0))
+        out.append(np.stack([np.full(len(a), k[i]), np.full(len(a), row[i]), a, b - 1 + WINDOW]))
     return pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(out, axis=1)], SPANS)
 
 
@@ -432,9 +433,9 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in slices(batch, "body"):
             k, row, start, more, body = (s.column(x).to_pylist() for x in ("k", "row", "start", "more", "body"))
             at = [(i, j) for i, b in enumerate(body) for j in range(len(b) - WINDOW + 1)]
-            cols = [pa.array([x[i] + j * y for i, j in at], pa.int64()) for x, y in ((k, 0), (row, 0), (start, 1))]
-            ends = [start[i] + j + WINDOW + more[i] for i, j in at]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(ends, pa.int64()), pa.array([body[i][j : j + WINDOW] for i, j in at], pa.binary())], ["k", "row", "a", "b", "window"])
+            cols = [pa.array([x[i] + j * y for i, j in at], pa.int64()) for x, y in ((k, 0), (row, 0), (start, 1), (more, 0))]
+            steps = pa.array([len(body[i]) - WINDOW + 1 for i, _ in at], pa.int64())
+            yield pa.RecordBatch.from_arrays([*cols, steps, pa.array([body[i][j : j + WINDOW] for i, j in at], pa.binary())], ["k", "row", "a", "more", "step", "window"])
 
 
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
@@ -510,9 +511,10 @@ def dedup_substrings(docs: DataFrame, with_text: bool = False, hot: int = HOT, s
         cold = pieces.join(known, "m", "left_anti")
     found = cold.repartition(n, "m").sortWithinPartitions("m", "body", "k").mapInArrow(_sorted_shards(shard_bytes), spans)
     if n_often:
-        windows = pieces.join(known, "m", "left_semi").select("k", "row", "start", "more", "body").mapInArrow(_windows, "k long, row long, a long, b long, window binary")
+        windows = pieces.join(known, "m", "left_semi").select("k", "row", "start", "more", "body").mapInArrow(_windows, "k long, row long, a long, more long, step long, window binary")
         lowest = windows.groupBy("window").agg(F.min("k").alias("low"))
-        found = found.union(windows.join(lowest, "window").filter("low < k").select("k", "row", "a", "b"))
+        each = F.explode(F.expr("sequence(a, a + more * step, step)")).alias("a")
+        found = found.union(windows.join(lowest, "window").filter("low < k").select("k", "row", each).select("k", "row", "a", (F.col("a") + WINDOW).alias("b")))
     found = found.union(copies.filter(F.col("n") >= WINDOW).select("k", "row", F.lit(0).cast("long"), "n"))
     by_row = found.groupBy("k").agg(F.collect_list(F.struct("row", "a", "b")).alias("found"))
     none = F.expr("cast(array() as array<struct<row: bigint, a: bigint, b: bigint>>)")

@@ -98,5 +98,7 @@ def test_copies_and_texts_of_one_letter(spark):
     rng = random.Random(9)
     base = "".join(rng.choices("abcdefgh ", k=600))
     rows = [(d, base) for d in range(40, 90)] + [(d, base[:300] + f"own {d}" + base[300:]) for d in range(30, 45)] + [(d, "z" * (200 + d % 3)) for d in range(20)] + [(d, "short") for d in range(100, 120)]
+    rows += [(d, f"own {d} words " + "Eronan " * (60 + d % 7) + "and more") for d in range(200, 230)] + [(199, "Eronan " * 9 + "Eron"), (231, "x" + "Eronan " * 20)]
     docs = spark.createDataFrame(rows, DOCS).repartition(5)
-    assert result(dedup_substrings(docs)) == brute(rows)
+    for hot in (20_000, 5):
+        assert result(dedup_substrings(docs, hot=hot)) == brute(rows)
