@@ -78,7 +78,7 @@ def test_reliabilities_follow_agreement():
     patterns = [("k", (1, 1, 1, 1), 50), ("k", (-1, -1, 0, -1), 50), ("k", (1, -1, 0, 1), 5)]
     post = estimate(patterns)
     assert post["k", (1, 1, 1, 1)] > 0.95 > 0.05 > post["k", (-1, -1, 0, -1)]
-    w = train_classifier(patterns, post)["k"]
+    w = train_classifier([(k, v, (), n) for k, v, n in patterns], post)["k"]
     assert sum(w) > 0 and w[0] - w[1] - w[2] - w[4] < 0
     assert estimate([]) == {} and train_classifier([], {}) == {}
     assert post == pytest.approx(estimate(patterns))
@@ -94,3 +94,21 @@ def test_candidates_of_any_length_are_whole(spark):
         docs = spark.createDataFrame([(f"see {text}; {text}",), ("x" * 200_000,)], "text string")
         got = [[(x["start"], x["end"]) for x in r["s"]] for r in docs.select(F.expr(spans_of("text", CANDIDATES[kind]["find"])).alias("s")).collect()]
         assert got == [[(4, 4 + len(text)), (6 + len(text), 6 + 2 * len(text))], []]
+
+
+def test_classifier_sees_the_span():
+    """Votes that say nothing leave the shape to decide, by what other spans of that shape are."""
+    sure, lost, unsure = (1, 1, 1, 1), (-1, -1, -1, -1), (1, 0, 0, -1)
+    rows = [("k", sure, (5, 4), 100), ("k", lost, (2, 0), 100), ("k", unsure, (5, 4), 30), ("k", unsure, (2, 0), 30)]
+    post = {("k", sure): 1.0, ("k", lost): 0.0, ("k", unsure): 0.5}
+    w = train_classifier(rows, post, steps=3000)["k"]
+    score = lambda v, shape: w[0] + sum(a * b for a, b in zip(w[1:], (*v, *(x / 8 for x in shape)), strict=True))
+    assert score(unsure, (5, 4)) > 0 > score(unsure, (2, 0))
+
+
+def test_planted_secrets_are_found_and_clean_texts_left(spark):
+    rows = [(i, f"words before token = \"{hashlib.sha1(str(i).encode()).hexdigest()}\" and after") for i in range(40)]
+    rows += [(i, f"export API_KEY=AKIAQXZTQXZT{i:04d} now") for i in range(40, 50)] + [(i, f"the token of page {i} is a word, key: none") for i in range(50, 150)]
+    got = rows_of(find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert all([s["kind"] for s in got[i]["extra"]] == ["secret"] for i in range(50))
+    assert all(not got[i]["extra"] and not got[i]["base"] for i in range(50, 150))
