@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from ..sources.bars import SCRIPTS
 from .candle_sql import OUTCOMES, seen
+from .machine_sql import band_exit, level_crossing, lows, rejection, swings, zone_crossing, zone_divergence, zone_turns
 
 ORACLES: dict[str, str] = {}
 P = "PARTITION BY symbol"
@@ -176,19 +177,19 @@ _RSI = [
     {"rsi": "CASE WHEN i < 14 THEN 50.0 ELSE coalesce(round_even(100.0 - 100.0 / (1.0 + rs), 6), 100.0) END"},
 ]
 ORACLES["rsi"] = chain(*_RSI, out=cells("rsi").replace(", 4)", ", 2)"))
-ORACLES["rsi_thresholds"] = chain(
+_RSI_LIMITS = [
     {"t": f"0.45 * ({slope('close', 42)}) + 0.33 * ({slope('close', 77)}) + 0.22 * ({slope('close', 112)})"},
     {"s": scaled("t")},
     {"oversold": "CASE WHEN s > 0.1 THEN 40.0 - 10.0 * exp(-15.0 * (s - 0.1)) ELSE 30.0 END", "overbought": "CASE WHEN s < -0.1 THEN 60.0 + 10.0 * exp(15.0 * (s + 0.1)) ELSE 70.0 END"},
-    out=cells("oversold", "overbought"),
-)
+]
+ORACLES["rsi_thresholds"] = chain(*_RSI_LIMITS, out=cells("oversold", "overbought"))
 _RATIO = lambda n: f"CASE WHEN i >= {n} THEN coalesce({over('sum(bp)', -n, 0)} / nullif({over('sum(tr)', -n, 0)}, 0), 0.0) ELSE 0.0 END"
-ORACLES["ultimate"] = chain(
+_ULTIMATE = [
     {"pc": lag("close")},
     {"bp": "CASE WHEN i > 0 THEN round_even(close - least(low, pc), 6) ELSE 0.0 END", "tr": "CASE WHEN i > 0 THEN round_even(greatest(high, pc) - least(low, pc), 6) ELSE 0.0 END"},
     {"ultimate": f"CASE WHEN i < 27 THEN 50.0 ELSE 100.0 * (4.0 * ({_RATIO(7)}) + 2.0 * ({_RATIO(14)}) + ({_RATIO(28)})) / 7.0 END"},
-    out=cells("ultimate"),
-)
+]
+ORACLES["ultimate"] = chain(*_ULTIMATE, out=cells("ultimate"))
 _MACD = [{"l": so_far("close")}, {"a": ema("close", "l", 12), "b": ema("close", "l", 26)}, {"macd": "CASE WHEN i < 26 THEN 0.0 ELSE a - b END"}, {"m": so_far("macd")}, {"signal_line": ema("macd", "m", 9)}, {"bar": "macd - signal_line"}]
 ORACLES["macd"] = chain(*_MACD, out=cells("macd", "signal_line", "bar"))
 _AWESOME = [{"mid": MID}, {"x": f"CASE WHEN i < 34 THEN 0.0 ELSE ({sma('mid', 5)}) - ({sma('mid', 34)}) END"}, {"m": sma("x", 14), "g": sma("x", 34)}, {"awesome": largest("x", "m", "g"), "medium": largest("m", "x", "g"), "long": largest("g", "x", "m")}]
@@ -212,12 +213,12 @@ ORACLES["momentum"] = chain(
     {"compared": "CAST(sign(momentum - momentum_line) AS DOUBLE)"},
     out=cells("momentum", "momentum_line", "compared"),
 )
-ORACLES["kst"] = chain(
+_KST = [
     {f"r{n}": f"CASE WHEN i < {n} THEN 0.0 ELSE (close / {lag('close', n)} - 1.0) * 100.0 END" for n in (10, 15, 20, 30)},
     {"kst": f"({sma('r10', 10)}) + 2.0 * ({sma('r15', 10)}) + 3.0 * ({sma('r20', 10)}) + 4.0 * ({sma('r30', 15)})"},
     {"kst_line": sma("kst", 9)},
-    out=cells("kst", "kst_line"),
-)
+]
+ORACLES["kst"] = chain(*_KST, out=cells("kst", "kst_line"))
 _N = (20, 40, 80)
 _CCI = [
     {"tp": TP},
@@ -327,6 +328,61 @@ ORACLES["support_clusters"] = chain(
     out="SELECT symbol, kind, round(round_even(avg(price), 2), 0) AS price, min(i) AS start, count(*) AS n_points FROM {last} WHERE chain < top GROUP BY symbol, kind, chain HAVING count(*) > 1",
 )
 
+# state machines: each list of stages makes the series, then machines go over it
+def recursive(stages: list, machines: list[str], found: str, out: str) -> str:
+    """machines are tables over base (the series with p, the close before); found: symbol, i, type, value, score of all signals."""
+    base = chain(*stages, {"p": lag("close")}, out=", base AS (SELECT *, close AS c FROM {last})").replace("\n, base", ",\nbase").replace("WITH ", "WITH RECURSIVE ", 1)
+    return f"{base},\n" + ",\n".join([*machines, f"found AS ({found})"]) + f"\n{out}"
+
+
+_EVENTS = "SELECT symbol, i, dt, type, value FROM found JOIN (SELECT symbol, i, dt FROM base) USING (symbol, i)"
+
+
+def metric_of(weights: tuple[float, ...]) -> str:
+    """The score series: impulses spread, averaged and scaled."""
+    return f""", q0 AS (SELECT symbol, i, n, coalesce(score, 0.0) AS x FROM base LEFT JOIN (SELECT symbol, i, sum(score) AS score FROM found GROUP BY 1, 2) USING (symbol, i)), q1 AS (SELECT *, {spread("x", weights)} AS y FROM q0),
+        q2 AS (SELECT *, {so_far("y")} AS l FROM q1), q3 AS (SELECT *, {ema("y", "l", 7)} AS e FROM q2) SELECT symbol, i, round({largest("e")}, 4) + 0.0 AS metric FROM q3"""
+
+
+def told(table: str, value: str, score: float) -> str:
+    return f"SELECT symbol, i, kind AS type, '{value}' AS value, CASE WHEN kind = 'bullish' THEN {score} ELSE -{score} END AS score FROM {table} WHERE kind IS NOT NULL"
+
+
+_PAIRS = [("fs", "fast_k", "smooth_k", "fast-smooth crossover"), ("sd", "smooth_k", "slow_d", "smooth-slow crossover")]
+_LINES = [("df", "fast_k", "fast divergence"), ("ds", "smooth_k", "smooth divergence"), ("dd", "slow_d", "slow divergence")]
+_M = [f"s_{t} AS (SELECT symbol, i, {x} AS x, {y} AS y FROM base), {zone_crossing(t, f's_{t}')}" for t, x, y, _ in _PAIRS] + [f"s_{t} AS (SELECT symbol, i, {x} AS x, c, p FROM base), {zone_divergence(t, f's_{t}')}" for t, x, _ in _LINES]
+_F = " UNION ALL ".join([told(t, v, 1.0) for t, _, _, v in _PAIRS] + [told(t, v, 1.5) for t, _, v in _LINES])
+ORACLES["stochastic_signals"] = recursive(_STOCHASTIC, _M, _F, _EVENTS)
+ORACLES["stochastic_metric"] = recursive(_STOCHASTIC, _M, _F, metric_of((1.0, 0.85, 0.55, 0.1)))
+_RSI_ALL = [*_RSI, *_RSI_LIMITS]
+_M = ["src AS (SELECT symbol, i, rsi AS x, c, oversold AS lo, overbought AS hi FROM base)", rejection("rej", "src"), zone_turns("turns", "src")]
+_F = told("rej", "swing rejection", 1.0) + " UNION ALL " + told("turns", "divergence", 1.0)
+ORACLES["rsi_signals"] = recursive(_RSI_ALL, _M, _F, _EVENTS)
+ORACLES["rsi_metric"] = recursive(_RSI_ALL, _M, _F, metric_of((1.0, 0.85, 0.55, 0.1)))
+_M = [
+    "src AS (SELECT symbol, i, ultimate AS x, c, p FROM base)", swings("swing", "src"), lows("low", "src"),
+    "final AS (SELECT symbol, z, d, max_by(low, i) AS low FROM low GROUP BY 1, 2, 3)",
+    "held AS (SELECT f.*, max(f.d * s.x) AS barrier, max(CASE WHEN s.i = f.z THEN s.x END) AS own, max(CASE WHEN s.i = f.low THEN s.x END) AS there FROM final f JOIN src s ON s.symbol = f.symbol AND s.i BETWEEN f.z AND f.low GROUP BY ALL)",
+    "broken AS (SELECT h.symbol, h.z, h.d, min(s.i) AS i FROM held h JOIN src s ON s.symbol = h.symbol AND s.i >= h.low AND h.d * s.x > h.barrier WHERE h.d * (h.there - h.own) > 0 GROUP BY 1, 2, 3)",
+    "every AS (SELECT symbol, i, CASE WHEN d > 0 THEN 'bullish' ELSE 'bearish' END AS type, 'divergence (original)' AS value, CAST(d AS DOUBLE) AS score, z FROM broken UNION ALL SELECT *, 1000000000 FROM (" + told("swing", "divergence", 1.0) + "))",
+]
+_F = "SELECT symbol, i, type, value, score FROM every QUALIFY row_number() OVER (PARTITION BY symbol, i ORDER BY z) = 1"
+ORACLES["ultimate_signals"] = recursive(_ULTIMATE, _M, _F, _EVENTS)
+ORACLES["ultimate_metric"] = recursive(_ULTIMATE, _M, _F, metric_of((1.0, 0.9, 0.75, 0.45)))
+_M = ["src AS (SELECT symbol, i, coalesce(kst, 0) AS x, coalesce(kst_line, 0) AS y, quantile_cont(kst, 0.85) OVER (PARTITION BY symbol) AS hi, quantile_cont(kst, 0.15) OVER (PARTITION BY symbol) AS lo FROM base)", band_exit("exits", "src")]
+_F = f"""SELECT symbol, i, kind AS type, CASE WHEN kind = 'bearish' THEN 'overbought signal_line crossed' ELSE 'oversold signal_line crossed' END AS value, 1.0 AS score FROM exits WHERE kind IS NOT NULL
+    UNION ALL SELECT symbol, i, CASE WHEN sd > 0 THEN 'bullish' ELSE 'bearish' END, 'signal_line crossover', 0.2 FROM (SELECT *, {lag('sd')} AS was FROM (SELECT *, {side('x - y')} AS sd FROM src)) WHERE sd <> was"""
+ORACLES["kst_signals"] = recursive(_KST, _M, _F, _EVENTS)
+_M = [f"s{n} AS (SELECT symbol, i, cci_{n} AS x FROM base), {level_crossing(f'm{n}', f's{n}')}" for n in (20, 40, 80)]
+_SAID = {"low": ("bearish", "crossover to -100", -1.0), "high": ("bullish", "crossover to +100", 1.0), "down": ("bearish", "zero crossover", -0.6), "up": ("bullish", "zero crossover", 0.6)}
+_F = " UNION ALL ".join(f"SELECT symbol, i, '{t}' AS type, '{v} ({n}d)' AS value, {w} AS score FROM m{n} WHERE kind = '{k}'" for n in (20, 40, 80) for k, (t, v, w) in _SAID.items())
+ORACLES["cci_signals"] = recursive(_CCI, _M, _F, _EVENTS)
+_LEVEL = " + ".join(f"CASE WHEN cci_{n} > 100 THEN 0.2 WHEN cci_{n} < -100 THEN -0.2 ELSE 0.0 END" for n in (20, 40, 80))
+ORACLES["cci_metric"] = recursive(
+    _CCI, _M, _F, f""", q0 AS (SELECT symbol, i, n, coalesce(score, 0.0) + {_LEVEL} AS y FROM base LEFT JOIN (SELECT symbol, i, sum(score) AS score FROM found GROUP BY 1, 2) USING (symbol, i)), q2 AS (SELECT *, {so_far("y")} AS l FROM q0),
+    q3 AS (SELECT *, {ema("y", "l", 7)} AS e FROM q2) SELECT symbol, i, round({largest("e")}, 4) + 0.0 AS metric FROM q3"""
+)
+
 # candles
 _CLASS = [
     {"size": "abs(open - close)", "rng": "abs(high - low)", "av": sma("close", 10)},
