@@ -431,41 +431,40 @@ def macd(bars: DataFrame, fast: int = 12, slow: int = 26, line: int = 9) -> Data
 
 
 def _macd_divergences(m: list[float], close: list[float], first: int) -> Iterator[Event]:
+    """Two lows below zero of which the second is higher while the close is lower (two peaks above it, the other way round).
+
+    Each row goes to the search for lows first and then to that for peaks, which may begin with what the first has just left.
+    """
     d = step = 0
     v0 = v1 = p0 = p1 = 0.0
     for i in range(first, len(m)):
-        v = m[i]
-        if d == 0:
-            if v != 0:
-                d, step, v0 = (1 if v < 0 else -1), 1, v
-        elif step == 1:
-            if d * (v - v0) < 0:
+        v, before = m[i], close[i - 1]
+        for side in (1, -1):
+            if d == 0 and side * v < 0:
+                d, step, v0 = side, 1, v
+            elif d != side:
+                continue
+            elif step == 1 and side * (v - v0) < 0:
                 v0 = v
-            else:
-                p0, v1, step = close[i - 1], v, 2
-        elif step == 2:
-            if d * (v - v1) > 0:
-                if d * v > 0:
-                    d, step, v0 = -d, 1, v
-                else:
-                    v1 = v
-            else:
+            elif step == 1:
+                p0, v1, step = before, v, 2
+            elif step == 2 and side * (v - v1) <= 0:
                 step = 3
-        elif step == 3:
-            if d * (v - v1) <= 0:
+            elif step == 2 and side * v > 0:
+                d, step, v0 = -side, 1, v
+            elif step == 2:
                 v1 = v
-                if d * (v - v0) <= 0:
-                    step = 1
-            else:
-                step, p1 = 4, close[i - 1]
-        elif d * (v - v1) >= 0:
-            if d * (p1 - p0) < 0 and v0 < v1:  # v0 < v1 on either side
-                yield i, BULLISH if d > 0 else BEARISH, "divergence", float(d)
+            elif step == 3 and side * (v - v1) > 0:
+                step, p1 = 4, before
+            elif step == 3:
+                v1, step = v, 1 if side * (v - v0) <= 0 else 3
+            elif side * (v - v1) < 0:
+                step = 3
+            elif side * (p1 - p0) < 0 and v0 < v1:  # v0 < v1 on either side
                 d = 0
+                yield i, BULLISH if side > 0 else BEARISH, "divergence", float(side)
             else:
                 step = 1
-        else:
-            step = 3
 
 
 def _macd_crossings(m: list[float], bar: list[float], first: int, compat: bool) -> Iterator[Event]:
@@ -538,27 +537,23 @@ def awesome_trigger() -> Column:
 
 
 def _twin_peaks(x: list[float]) -> Iterator[Event]:
+    """A peak, a saddle that stays above zero, and a second peak below the first (upside down below zero). Only the saddle and the
+    time after a signal look at zero."""
     d = 1 if x and x[0] > 0 else -1
     step, top = "move", 0.0
     for i in range(1, len(x)):
         v, was = x[i], x[i - 1]
-        if step == "move":
-            if d * v < 0:
-                d = -d
-            elif d * (v - was) < 0:
-                top, step = was, "saddle"
-        elif d * v < 0:
+        if step in ("saddle", "done") and d * v < 0:
             d, step = -d, "move"
-        elif step == "saddle":
-            if d * (v - was) > 0:
-                step = "again"
-        elif step == "again":
-            if d * (v - top) < 0:
-                if d * (v - was) < 0:
-                    yield i, BEARISH if d > 0 else BULLISH, "twin peaks", -float(d)
-                    step = "done"
-            else:
-                top, step = v, "move"
+        elif step == "move" and d * (v - was) < 0:
+            top, step = was, "saddle"
+        elif step == "saddle" and d * (v - was) > 0:
+            step = "again"
+        elif step == "again" and d * (v - top) >= 0:
+            top, step = v, "move"
+        elif step == "again" and d * (v - was) < 0:
+            yield i, BEARISH if d > 0 else BULLISH, "twin peaks", -float(d)
+            step = "done"
 
 
 def _saucers(x: list[float]) -> Iterator[Event]:

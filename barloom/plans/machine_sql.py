@@ -127,3 +127,76 @@ def lows(name: str, source: str, lo: str = "30", hi: str = "70") -> str:
         CASE WHEN d * (c - own) < 0 AND b < 2 OR b > 1 AND d * (c - track) < 0 THEN c ELSE track END, CASE WHEN d * (c - own) < 0 AND b < 2 OR b > 1 AND d * (c - track) < 0 THEN s.i ELSE m.at END,
         CASE WHEN d * (c - own) < 0 AND b < 2 THEN 1 WHEN b = 1 AND d * (c - track) > 0 THEN 2 WHEN b > 1 AND d * (c - track) < 0 THEN 3 WHEN b = 3 AND d * (c - track) > 0 THEN 4 ELSE b END,
         CASE WHEN b = 3 AND d * (c - track) > 0 THEN m.at ELSE low END FROM {name} m JOIN {source} s ON s.symbol = m.symbol AND s.i = m.i + 1)"""
+
+
+def two_lows(name: str, source: str, first: int = 26) -> str:
+    """Divergences of the MACD line x: in each row the chain for lows, then that for peaks."""
+    go = f"s.i >= {first}"
+    up = f"""SELECT m.st, m.v0, m.v1, m.p0, m.p1, s.symbol, s.i, s.x, s.p, {go} AS go,
+        CASE WHEN NOT {go} THEN m.st WHEN m.st = 'n' AND x < 0 THEN 'u1' WHEN m.st = 'u1' AND x >= m.v0 THEN 'u2' WHEN m.st = 'u2' THEN CASE WHEN x <= m.v1 THEN 'u3' WHEN x > 0 THEN 'e1' ELSE 'u2' END
+            WHEN m.st = 'u3' THEN CASE WHEN x > m.v1 THEN 'u4' WHEN x <= m.v0 THEN 'u1' ELSE 'u3' END WHEN m.st = 'u4' THEN CASE WHEN x < m.v1 THEN 'u3' WHEN m.p1 < m.p0 AND m.v0 < m.v1 THEN 'n' ELSE 'u1' END ELSE m.st END AS t,
+        CASE WHEN {go} AND (m.st = 'n' AND x < 0 OR m.st = 'u1' AND x < m.v0 OR m.st = 'u2' AND x > m.v1 AND x > 0) THEN x ELSE m.v0 END AS a0,
+        CASE WHEN {go} AND (m.st = 'u1' AND x >= m.v0 OR m.st = 'u2' AND x > m.v1 AND x <= 0 OR m.st = 'u3' AND x <= m.v1) THEN x ELSE m.v1 END AS a1,
+        CASE WHEN {go} AND m.st = 'u1' AND x >= m.v0 THEN p ELSE m.p0 END AS q0, CASE WHEN {go} AND m.st = 'u3' AND x > m.v1 THEN p ELSE m.p1 END AS q1,
+        {go} AND m.st = 'u4' AND x >= m.v1 AND m.p1 < m.p0 AND m.v0 < m.v1 AS bull
+        FROM {name} m JOIN {source} s ON s.symbol = m.symbol AND s.i = m.i + 1"""
+    return f"""{name} AS (SELECT symbol, CAST(-1 AS BIGINT) AS i, 'n' AS st, 0.0::DOUBLE AS v0, 0.0::DOUBLE AS v1, 0.0::DOUBLE AS p0, 0.0::DOUBLE AS p1, CAST(NULL AS VARCHAR) AS kind FROM (SELECT DISTINCT symbol FROM {source})
+        UNION ALL SELECT symbol, CAST(i AS BIGINT),
+        CASE WHEN NOT go THEN t WHEN t = 'n' AND x > 0 THEN 'e1' WHEN t = 'e1' AND x <= a0 THEN 'e2' WHEN t = 'e2' THEN CASE WHEN x >= a1 THEN 'e3' WHEN x < 0 THEN 'u1' ELSE 'e2' END
+            WHEN t = 'e3' THEN CASE WHEN x < a1 THEN 'e4' WHEN x >= a0 THEN 'e1' ELSE 'e3' END WHEN t = 'e4' THEN CASE WHEN x > a1 THEN 'e3' WHEN q1 > q0 AND a0 < a1 THEN 'n' ELSE 'e1' END ELSE t END,
+        CASE WHEN go AND (t = 'n' AND x > 0 OR t = 'e1' AND x > a0 OR t = 'e2' AND x < a1 AND x < 0) THEN x ELSE a0 END,
+        CASE WHEN go AND (t = 'e1' AND x <= a0 OR t = 'e2' AND x < a1 AND x >= 0 OR t = 'e3' AND x >= a1) THEN x ELSE a1 END,
+        CASE WHEN go AND t = 'e1' AND x <= a0 THEN p ELSE q0 END, CASE WHEN go AND t = 'e3' AND x < a1 THEN p ELSE q1 END,
+        CASE WHEN bull THEN 'bullish' WHEN go AND t = 'e4' AND x <= a1 AND q1 > q0 AND a0 < a1 THEN 'bearish' END FROM ({up}))"""
+
+
+def confirmed_sign(name: str, source: str, first: int = 26) -> str:
+    """The sign of x, told in the row after it has changed if it lasts."""
+    st = {
+        "n": "CASE WHEN x > 0 THEN 'u1' WHEN x < 0 THEN 'e1' ELSE 'n' END", "u1": "CASE WHEN x < 0 THEN 'e1' ELSE 'u2' END", "e1": "CASE WHEN x > 0 THEN 'u1' ELSE 'e2' END",
+        "u2": "CASE WHEN x < 0 THEN 'e1' ELSE 'u2' END", "e2": "CASE WHEN x > 0 THEN 'u1' ELSE 'e2' END",
+    }
+    emit = f"CASE WHEN s.i < {first} THEN NULL WHEN m.st = 'u1' AND x >= 0 THEN 'bullish' WHEN m.st = 'e1' AND x <= 0 THEN 'bearish' END"
+    return machine(name, source, {"st": "'n'"}, {"st": f"CASE WHEN s.i < {first} THEN m.st ELSE {case(st, 'm.st')} END"}, emit)
+
+
+def twin_peaks(name: str, source: str) -> str:
+    """A second peak of x below the first with a saddle above zero between (upside down below zero); w is x in the row before."""
+    st = {
+        "": "CASE WHEN x > 0 THEN 'rise' ELSE 'drop' END",
+        "rise": "CASE WHEN x < w THEN 'pos_saddle' ELSE 'rise' END", "pos_saddle": "CASE WHEN x < 0 THEN 'drop' WHEN x > w THEN 'rise_2' ELSE 'pos_saddle' END",
+        "rise_2": "CASE WHEN x >= a THEN 'rise' WHEN x < w THEN 'bear_peaks' ELSE 'rise_2' END", "bear_peaks": "CASE WHEN x < 0 THEN 'drop' ELSE 'bear_peaks' END",
+        "drop": "CASE WHEN x > w THEN 'neg_saddle' ELSE 'drop' END", "neg_saddle": "CASE WHEN x > 0 THEN 'rise' WHEN x < w THEN 'drop_2' ELSE 'neg_saddle' END",
+        "drop_2": "CASE WHEN x <= a THEN 'drop' WHEN x > w THEN 'bull_peaks' ELSE 'drop_2' END", "bull_peaks": "CASE WHEN x > 0 THEN 'rise' ELSE 'bull_peaks' END",
+    }
+    a = {"rise": "CASE WHEN x < w THEN w ELSE a END", "drop": "CASE WHEN x > w THEN w ELSE a END", "rise_2": "CASE WHEN x >= a THEN x ELSE a END", "drop_2": "CASE WHEN x <= a THEN x ELSE a END"}
+    emit = "CASE WHEN m.st = 'rise_2' AND x < a AND x < w THEN 'bearish' WHEN m.st = 'drop_2' AND x > a AND x > w THEN 'bullish' END"
+    return machine(name, source, {"st": "''", "a": "0"}, {"st": case(st, "m.st"), "a": case(a, "m.a")}, emit)
+
+
+def saucer(name: str, source: str) -> str:
+    """Two steps towards zero and one away, without crossing it."""
+    st = {
+        "": "CASE WHEN x > 0 THEN 'pos' ELSE 'neg' END",
+        "pos": "CASE WHEN x < 0 THEN 'neg' WHEN x < w THEN 'drop_1' ELSE 'pos' END", "drop_1": "CASE WHEN x < 0 THEN 'neg' WHEN x < w THEN 'drop_2' ELSE 'pos' END", "drop_2": "CASE WHEN x < 0 THEN 'neg' WHEN x > w THEN 'pos' ELSE 'drop_2' END",
+        "neg": "CASE WHEN x > 0 THEN 'pos' WHEN x > w THEN 'rise_1' ELSE 'neg' END", "rise_1": "CASE WHEN x > 0 THEN 'pos' WHEN x > w THEN 'rise_2' ELSE 'neg' END", "rise_2": "CASE WHEN x > 0 THEN 'pos' WHEN x < w THEN 'neg' ELSE 'rise_2' END",
+    }
+    return machine(name, source, {"st": "''"}, {"st": case(st, "m.st")}, "CASE WHEN m.st = 'drop_2' AND x >= 0 AND x > w THEN 'bullish' WHEN m.st = 'rise_2' AND x <= 0 AND x < w THEN 'bearish' END")
+
+
+def zone_exit(name: str, source: str) -> str:
+    """Beyond hi or lo, and back within."""
+    st = {"n": "CASE WHEN x > hi THEN 'u' WHEN x < lo THEN 'd' ELSE 'n' END", "u": "CASE WHEN x < hi THEN 'n' ELSE 'u' END", "d": "CASE WHEN x > lo THEN 'n' ELSE 'd' END"}
+    return machine(name, source, {"st": "'n'"}, {"st": case(st, "m.st")}, "CASE WHEN m.st = 'u' AND x < hi THEN 'bearish' WHEN m.st = 'd' AND x > lo THEN 'bullish' END")
+
+
+def zigzag(name: str, source: str, share: float) -> str:
+    """Extrema by reversals of a share; kind is max or min where a reversal shows in row i, which is the extremum of row at and value a."""
+    turn = f"(m.st = 'up' AND x < a - abs(a) * {share} OR m.st = 'down' AND x > a + abs(a) * {share})"
+    start = {"st": "''", "a": "0", "at": "0", "was": "0", "was_at": "0"}
+    further = "m.st = 'up' AND x > a OR m.st = 'down' AND x < a"
+    step = {
+        "st": f"CASE WHEN m.st = '' THEN CASE WHEN x > 0 THEN 'up' ELSE 'down' END WHEN {turn} THEN CASE m.st WHEN 'up' THEN 'down' ELSE 'up' END ELSE m.st END",
+        "a": f"CASE WHEN m.st = '' OR {further} OR {turn} THEN x ELSE a END", "at": f"CASE WHEN m.st = '' OR {further} OR {turn} THEN s.i ELSE at END", "was": "a", "was_at": "at",
+    }
+    return machine(name, source, start, step, f"CASE WHEN {turn} THEN CASE m.st WHEN 'up' THEN 'max' ELSE 'min' END END")

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from ..sources.bars import SCRIPTS
 from .candle_sql import OUTCOMES, seen
-from .machine_sql import band_exit, level_crossing, lows, rejection, swings, zone_crossing, zone_divergence, zone_turns
+from .machine_sql import band_exit, confirmed_sign, level_crossing, lows, rejection, saucer, swings, twin_peaks, two_lows, zigzag, zone_crossing, zone_divergence, zone_exit, zone_turns
 
 ORACLES: dict[str, str] = {}
 P = "PARTITION BY symbol"
@@ -383,6 +383,32 @@ ORACLES["cci_metric"] = recursive(
     q3 AS (SELECT *, {ema("y", "l", 7)} AS e FROM q2) SELECT symbol, i, round({largest("e")}, 4) + 0.0 AS metric FROM q3"""
 )
 
+def sign_changes(x: str, value: str, score: float, silent: bool = True) -> str:
+    """Rows of base from 26 on, or of all, where the last sign of x other than 0 changes; the first one is told unless silent."""
+    was = lag("sd") if silent else f"coalesce({lag('sd')}, 0)"
+    return f"SELECT symbol, i, CASE WHEN sd > 0 THEN 'bullish' ELSE 'bearish' END AS type, '{value}' AS value, sd * {score} AS score FROM (SELECT *, {was} AS before FROM (SELECT *, {side(x)} AS sd FROM base)) WHERE sd <> before"
+
+
+_M = ["src AS (SELECT symbol, i, coalesce(macd, 0) AS x, p FROM base)", two_lows("pair", "src"), confirmed_sign("line", "src")]
+_BARS = sign_changes("CASE WHEN i >= 26 THEN bar END", "bar crossover", 1.0, silent=False)
+ORACLES["macd_signals"] = recursive(_MACD, _M, " UNION ALL ".join([told("pair", "divergence", 1.0), told("line", "zero crossover", 1.0), _BARS]), _EVENTS)
+ORACLES["macd_metric"] = recursive(
+    _MACD, _M[:2], told("pair", "divergence", 1.0), f""", q0 AS (SELECT symbol, i, n, bar, coalesce(score, 0.0) * max(abs(bar)) OVER (PARTITION BY symbol) / 2.0 AS x FROM base LEFT JOIN (SELECT symbol, i, sum(score) AS score FROM found GROUP BY 1, 2) USING (symbol, i)),
+    q1 AS (SELECT *, bar + {spread("x", (1.0, 0.85, 0.55, 0.2))} AS y FROM q0), q2 AS (SELECT *, {so_far("y")} AS l FROM q1), q3 AS (SELECT *, {ema("y", "l", 7)} AS e FROM q2) SELECT symbol, i, round({largest("e")}, 4) + 0.0 AS metric FROM q3"""
+)
+_M = [f"src AS (SELECT symbol, i, coalesce(awesome, 0) AS x, coalesce({lag('awesome')}, 0) AS w FROM base)", twin_peaks("peaks", "src"), saucer("bowl", "src")]
+_F = " UNION ALL ".join([told("peaks", "twin peaks", 1.0), told("bowl", "saucer", 1.0), sign_changes("awesome", "zero crossover", 1.0)])
+ORACLES["awesome_signals"] = recursive(_AWESOME, _M, _F, _EVENTS)
+ORACLES["awesome_metric"] = recursive(
+    _AWESOME, _M, _F, f""", q0 AS (SELECT symbol, i, n, awesome, CAST(sign(coalesce(score, 0.0)) AS DOUBLE) AS x FROM base LEFT JOIN (SELECT symbol, i, sum(score) AS score FROM found GROUP BY 1, 2) USING (symbol, i)),
+    q1 AS (SELECT *, {spread("x", (1.0, 0.85, 0.5, 0.05))} AS y FROM q0), q2 AS (SELECT *, {so_far("y")} AS l FROM q1), q3 AS (SELECT *, {ema("y", "l", 7)} AS e FROM q2) SELECT symbol, i, round({largest("e")} + awesome, 4) + 0.0 AS metric FROM q3"""
+)
+_M = [f"s{n} AS (SELECT symbol, i, roc_{n} AS x, quantile_cont(roc_{n}, 0.9) OVER (PARTITION BY symbol) AS hi, quantile_cont(roc_{n}, 0.1) OVER (PARTITION BY symbol) AS lo FROM base), {zone_exit(f'm{n}', f's{n}')}" for n in (10, 20, 40)]
+_F = " UNION ALL ".join([f"SELECT symbol, i, kind AS type, CASE WHEN kind = 'bearish' THEN 'overbought' ELSE 'oversold' END || ' crossover {n}d' AS value, 1.0 AS score FROM m{n} WHERE kind IS NOT NULL" for n in (10, 20, 40)] + [sign_changes(f"roc_{n}", f"zero crossover {n}d", 1.0) for n in (10, 20, 40)])
+ORACLES["roc_signals"] = recursive([_ROC], _M, _F, _EVENTS)
+
+ORACLES["zigzag"] = recursive([], ["src AS (SELECT symbol, i, close AS x FROM base)", zigzag("z", "src", 0.05)], "SELECT 1 AS none", "SELECT symbol, CAST(was_at AS BIGINT) AS i, was AS value, kind FROM z WHERE kind IS NOT NULL")
+
 # candles
 _CLASS = [
     {"size": "abs(open - close)", "rng": "abs(high - low)", "av": sma("close", 10)},
