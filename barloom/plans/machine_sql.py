@@ -191,12 +191,42 @@ def zone_exit(name: str, source: str) -> str:
 
 
 def zigzag(name: str, source: str, share: float) -> str:
-    """Extrema by reversals of a share; kind is max or min where a reversal shows in row i, which is the extremum of row at and value a."""
+    """Extrema by reversals of a share; kind is max or min where a reversal shows in row i, which is the extremum of row place and value a."""
     turn = f"(m.st = 'up' AND x < a - abs(a) * {share} OR m.st = 'down' AND x > a + abs(a) * {share})"
-    start = {"st": "''", "a": "0", "at": "0", "was": "0", "was_at": "0"}
+    start = {"st": "''", "a": "0", "place": "0", "was": "0", "was_place": "0"}
     further = "m.st = 'up' AND x > a OR m.st = 'down' AND x < a"
     step = {
         "st": f"CASE WHEN m.st = '' THEN CASE WHEN x > 0 THEN 'up' ELSE 'down' END WHEN {turn} THEN CASE m.st WHEN 'up' THEN 'down' ELSE 'up' END ELSE m.st END",
-        "a": f"CASE WHEN m.st = '' OR {further} OR {turn} THEN x ELSE a END", "at": f"CASE WHEN m.st = '' OR {further} OR {turn} THEN s.i ELSE at END", "was": "a", "was_at": "at",
+        "a": f"CASE WHEN m.st = '' OR {further} OR {turn} THEN x ELSE a END", "place": f"CASE WHEN m.st = '' OR {further} OR {turn} THEN s.i ELSE place END", "was": "a", "was_place": "place",
     }
     return machine(name, source, start, step, f"CASE WHEN {turn} THEN CASE m.st WHEN 'up' THEN 'max' ELSE 'min' END END")
+
+
+def double_turn(name: str, source: str, first: int, d: int) -> str:
+    """A W at the lower band (d = 1) or an M at the upper one (-1): edge is the band, mid its middle."""
+    far = "s.c <= edge" if d > 0 else "s.c > edge"
+    near = "s.c <= edge" if d > 0 else "s.c >= edge"
+    below, above = (lambda x: f"{d} * (s.c - {x}) < 0"), (lambda x: f"{d} * (s.c - {x}) > 0")
+    st = {
+        "n": f"CASE WHEN {far} THEN 'w1' ELSE 'n' END", "w1": f"CASE WHEN {below('p0')} THEN 'w1' ELSE 'w2' END", "w2": f"CASE WHEN NOT {below('mid')} THEN 'w3' WHEN {below('p0')} THEN 'w1' ELSE 'w2' END",
+        "w3": f"CASE WHEN {above('p1')} THEN 'w3' ELSE 'w4' END", "w4": f"CASE WHEN {below('p0')} THEN 'w5' WHEN {near} THEN 'w1' WHEN {above('p1')} THEN 'w3' ELSE 'w4' END",
+        "w5": f"CASE WHEN {below('p2')} THEN CASE WHEN {near} THEN 'w1' ELSE 'w5' END ELSE 'w6' END", "w6": f"CASE WHEN {above('p1')} THEN 'n' WHEN {below('p2')} THEN CASE WHEN {near} THEN 'w1' ELSE 'w5' END ELSE 'w6' END",
+    }
+    p0 = {"n": f"CASE WHEN {far} THEN s.c ELSE p0 END", "w1": f"CASE WHEN {below('p0')} THEN s.c ELSE p0 END", "w2": f"CASE WHEN {below('mid')} AND {below('p0')} THEN s.c ELSE p0 END"}
+    p1 = {"w2": f"CASE WHEN NOT {below('mid')} THEN s.c ELSE p1 END", "w3": f"CASE WHEN {above('p1')} THEN s.c ELSE p1 END", "w4": f"CASE WHEN NOT {below('p0')} AND NOT {near} AND {above('p1')} THEN s.c ELSE p1 END"}
+    p2 = {"w4": f"CASE WHEN {below('p0')} THEN s.c ELSE p2 END", "w5": f"CASE WHEN {below('p2')} THEN s.c ELSE p2 END", "w6": f"CASE WHEN NOT {above('p1')} AND {below('p2')} THEN s.c ELSE p2 END"}
+    go = lambda x, other: f"CASE WHEN s.i < {first} THEN {other} ELSE {x} END"
+    step = {"st": go(case(st, "m.st"), "m.st"), "p0": go(case(p0, "m.p0"), "m.p0"), "p1": go(case(p1, "m.p1"), "m.p1"), "p2": go(case(p2, "m.p2"), "m.p2")}
+    kind = "bullish" if d > 0 else "bearish"
+    return machine(name, source, {"st": "'n'", "p0": "0", "p1": "0", "p2": "0"}, step, f"CASE WHEN s.i >= {first} AND m.st = 'w6' AND {above('p1')} THEN '{kind}' END")
+
+
+def band_extremes(name: str, source: str, first: int) -> str:
+    """Above or below the middle mid, then beyond hi or lo (kind with crossover), still so in the next row (with extreme), and back."""
+    st = {
+        "n": "CASE WHEN c < mid THEN 'e1' WHEN c > mid THEN 'u1' ELSE 'n' END",
+        "e1": "CASE WHEN c <= lo THEN 'e2' WHEN c > mid THEN 'u1' ELSE 'e1' END", "e2": "CASE WHEN c <= lo THEN 'e2' ELSE 'e3' END", "e3": "CASE WHEN c >= mid THEN 'u1' ELSE 'e3' END",
+        "u1": "CASE WHEN c >= hi THEN 'u2' WHEN c < mid THEN 'e1' ELSE 'u1' END", "u2": "CASE WHEN c >= hi THEN 'u2' ELSE 'u3' END", "u3": "CASE WHEN c <= mid THEN 'e1' ELSE 'u3' END",
+    }
+    emit = f"CASE WHEN s.i < {first} THEN NULL WHEN m.st = 'e1' AND c <= lo THEN 'lower band crossover' WHEN m.st = 'e2' AND c <= lo THEN 'lower band extreme' WHEN m.st = 'u1' AND c >= hi THEN 'upper band crossover' WHEN m.st = 'u2' AND c >= hi THEN 'upper band extreme' END"
+    return machine(name, source, {"st": "'n'"}, {"st": f"CASE WHEN s.i < {first} THEN m.st ELSE {case(st, 'm.st')} END"}, emit)

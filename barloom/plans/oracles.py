@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from ..sources.bars import SCRIPTS
 from .candle_sql import OUTCOMES, seen
-from .machine_sql import band_exit, confirmed_sign, level_crossing, lows, rejection, saucer, swings, twin_peaks, two_lows, zigzag, zone_crossing, zone_divergence, zone_exit, zone_turns
+from .machine_sql import band_exit, band_extremes, confirmed_sign, double_turn, level_crossing, lows, rejection, saucer, swings, twin_peaks, two_lows, zigzag, zone_crossing, zone_divergence, zone_exit, zone_turns
 
 ORACLES: dict[str, str] = {}
 P = "PARTITION BY symbol"
@@ -407,7 +407,20 @@ _M = [f"s{n} AS (SELECT symbol, i, roc_{n} AS x, quantile_cont(roc_{n}, 0.9) OVE
 _F = " UNION ALL ".join([f"SELECT symbol, i, kind AS type, CASE WHEN kind = 'bearish' THEN 'overbought' ELSE 'oversold' END || ' crossover {n}d' AS value, 1.0 AS score FROM m{n} WHERE kind IS NOT NULL" for n in (10, 20, 40)] + [sign_changes(f"roc_{n}", f"zero crossover {n}d", 1.0) for n in (10, 20, 40)])
 ORACLES["roc_signals"] = recursive([_ROC], _M, _F, _EVENTS)
 
-ORACLES["zigzag"] = recursive([], ["src AS (SELECT symbol, i, close AS x FROM base)", zigzag("z", "src", 0.05)], "SELECT 1 AS none", "SELECT symbol, CAST(was_at AS BIGINT) AS i, was AS value, kind FROM z WHERE kind IS NOT NULL")
+ORACLES["zigzag"] = recursive([], ["src AS (SELECT symbol, i, close AS x FROM base)", zigzag("z", "src", 0.05)], "SELECT 1 AS none", "SELECT symbol, CAST(was_place AS BIGINT) AS i, was AS value, kind FROM z WHERE kind IS NOT NULL")
+
+_BANDS = [{"tp": TP}, {"middle": sma("tp", 20), "sd": f"CASE WHEN i < 20 THEN 0.0 ELSE {over('stddev_pop(tp)', -20, -1)} END * 2.0"}, {"upper": "middle + sd", "lower": "middle - sd"}]
+_M = [
+    "src AS (SELECT symbol, i, c, middle AS mid, lower AS lo, upper AS hi, lower AS edge FROM base WHERE middle IS NOT NULL)", "top AS (SELECT symbol, i, c, mid, hi AS edge FROM src)",
+    double_turn("bottoms", "src", 20, 1), double_turn("tops", "top", 20, -1), band_extremes("bands", "src", 20),
+]
+_F = " UNION ALL ".join([told("bottoms", "W bottom", 1.0), told("tops", "M top", 1.0), "SELECT symbol, i, CASE WHEN kind LIKE 'lower%' THEN 'bearish' ELSE 'bullish' END AS type, kind AS value, CASE WHEN kind LIKE 'lower%' THEN -0.5 ELSE 0.5 END AS score FROM bands WHERE kind IS NOT NULL"])
+ORACLES["bollinger_signals"] = recursive(_BANDS, _M, _F, _EVENTS)
+ORACLES["bollinger_metric"] = recursive(
+    _BANDS, _M, _F, f""", q0 AS (SELECT symbol, i, n, close, middle, lower, coalesce(score, 0.0) AS x FROM base LEFT JOIN (SELECT symbol, i, sum(score) AS score FROM found GROUP BY 1, 2) USING (symbol, i)), q1 AS (SELECT *, {spread("x", (1.0, 0.6, 0.25, 0.0))} AS s FROM q0),
+    q2 AS (SELECT *, CASE WHEN abs(s) <= 0.6 THEN coalesce(round_even((close - middle) / nullif(middle - lower, 0), 4), 0.0) ELSE s END AS y FROM q1), q3 AS (SELECT *, {so_far("y")} AS l FROM q2), q4 AS (SELECT *, {ema("y", "l", 7)} AS e FROM q3)
+    SELECT symbol, i, round({largest("e")}, 4) + 0.0 AS metric FROM q4"""
+)
 
 # candles
 _CLASS = [
