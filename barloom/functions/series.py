@@ -134,6 +134,18 @@ def by_symbol(df: DataFrame, run: Callable[[pd.DataFrame], pd.DataFrame], schema
     return df.groupBy("symbol").applyInPandas(whole, schema)
 
 
+def by_symbol_with(df: DataFrame, other: DataFrame, run: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """run over the rows of each symbol of df in the order of i and the rows of other for it, each sent once."""
+    none = to_arrow_schema(StructType.fromDDL(schema)).empty_table().to_pandas()
+
+    def whole(pdf: pd.DataFrame, more: pd.DataFrame) -> pd.DataFrame:
+        out = run(pdf.sort_values("i", kind="stable", ignore_index=True), more) if len(pdf) else none
+        return out if len(out) else none
+
+    apart = other.withColumnRenamed("symbol", "_symbol")  # the two may stem from the same bars
+    return df.groupBy("symbol").cogroup(apart.groupBy("_symbol")).applyInPandas(whole, schema)
+
+
 def with_recurrences(df: DataFrame, **made: Callable[[pd.DataFrame], np.ndarray]) -> DataFrame:
     """df plus a double column for each function of a symbol's rows in order; NaN becomes null."""
 

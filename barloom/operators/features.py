@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.series import BEARISH, BULLISH, by_symbol, centred, lag, ordered, ratio, rows, scaled_trend, trend
+from ..functions.series import BEARISH, BULLISH, by_symbol, by_symbol_with, centred, lag, ordered, ratio, rows, scaled_trend, trend
 from .oscillators import zigzag
 
 GAP = 0.0075
@@ -183,13 +183,11 @@ def trend_lines(bars: DataFrame, sizes: tuple[int, ...] = (4, 8, 16, 32), window
     for size in sizes:
         one = extrema(bars, size).select("symbol", "i", "value", "kind")
         points = one if points is None else points.unionByName(one)
-    gathered = points.distinct().groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("i", "value", "kind"))).alias("points"))
-    df = bars.select("symbol", "i", "close").join(gathered, "symbol")
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
+    def run(p: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         close, out = p["close"].to_numpy(), []
-        found = p["points"].iloc[0]
-        at, value, top = np.array([int(q["i"]) for q in found]), np.array([float(q["value"]) for q in found]), np.array([q["kind"] == "max" for q in found])
+        found = found.sort_values(["i", "value", "kind"])
+        at, value, top = found["i"].to_numpy(), found["value"].to_numpy(), (found["kind"] == "max").to_numpy(bool)
         n, places = len(close), np.arange(len(close))
         for window in windows:
             for start in range(0, n - window + 1, window):
@@ -211,7 +209,7 @@ def trend_lines(bars: DataFrame, sizes: tuple[int, ...] = (4, 8, 16, 32), window
         names = ["term", "slope", "intercept", "start_i", "end_i", "type", "current"]
         return pd.DataFrame({"symbol": p["symbol"].iloc[:1].repeat(len(out)).to_numpy()} | {k: list(c) for k, c in zip(names, cols, strict=True)})
 
-    return by_symbol(df, run, LINES)
+    return by_symbol_with(bars.select("symbol", "i", "close"), points.distinct(), run, LINES)
 
 
 def line_forecast(lines: DataFrame, bars: DataFrame, ahead: tuple[int, ...] = (5, 10, 20)) -> DataFrame:

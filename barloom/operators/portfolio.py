@@ -32,15 +32,15 @@ def synthetic_fund(bars: DataFrame, weights: DataFrame, price: str = "close", st
 def read_ledger(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, str]]:
     """Trades of a ledger file and its header: title, start capital, ticker. Trades: stock, action, price, dt, amount, shares.
 
-    The header is what stands before the row that begins with Stock, within the first thousand lines; it alone is read on the driver.
+    The header is what stands before the first row that begins with Stock; it alone is read on the driver.
     """
     lines = spark.read.text(path)
     head: dict[str, str] = {}
-    top = [r["value"] for r in lines.limit(1000).collect()]
-    for k, line in enumerate(top):
+    placed = lines.select("value", F.monotonically_increasing_id().alias("at"))
+    titles = placed.filter(F.trim(F.split("value", ",")[0]) == "Stock").agg(F.min("at")).first()[0]
+    top = placed.filter(F.col("at") < (titles or 0)).orderBy("at").collect()
+    for k, line in enumerate(r["value"] for r in top):
         cells = [c.strip() for c in line.split(",")]
-        if cells[0] == "Stock":
-            break
         if k == 0:
             head["title"] = cells[0]
         elif cells[0]:
@@ -78,7 +78,9 @@ def holdings(trades: DataFrame, bars: DataFrame) -> DataFrame:
     df = shares.join(last, "symbol").withColumn("value", F.col("shares") * F.col("close"))
     total = F.broadcast(df.agg(F.sum("value").alias("total")))  # one row
     df = df.join(total).withColumn("percent", F.bround(ratio("value", "total") * 100.0, 2))
-    return df.select("symbol", "shares", "value", "percent", F.dense_rank().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("percent"))).alias("rank"))
+    # hundredths of a percent, of which there are ten thousand at most in a portfolio without debts: few rows to rank and to broadcast
+    ranks = df.select(F.col("percent").alias("_p")).distinct().withColumn("rank", F.dense_rank().over(Window.orderBy(F.desc("_p"))))
+    return df.join(ranks, F.col("percent").eqNullSafe(F.col("_p"))).select("symbol", "shares", "value", "percent", "rank")
 
 
 def dividends_quarterly(dividends: DataFrame, bars: DataFrame, shares: DataFrame) -> DataFrame:
@@ -168,7 +170,7 @@ def growth_curve(high: float, low: float, years: int) -> list[float]:
 
 def gap_withdrawal(savings: float, nominal: float, year: int, share: float = 0.04, inflation: float = 0.03) -> float:
     """The larger of a share of the savings and the nominal amount, both raised by inflation for each year."""
-    return max(savings * share, nominal) * (1.0 + year * inflation) if savings * share > nominal else nominal * (1.0 + inflation * year)
+    return max(savings * share, nominal) * (1.0 + inflation * year)
 
 
 def _retire(s: dict) -> list[tuple]:
