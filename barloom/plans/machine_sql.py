@@ -230,3 +230,10 @@ def band_extremes(name: str, source: str, first: int) -> str:
     }
     emit = f"CASE WHEN s.i < {first} THEN NULL WHEN m.st = 'e1' AND c <= lo THEN 'lower band crossover' WHEN m.st = 'e2' AND c <= lo THEN 'lower band extreme' WHEN m.st = 'u1' AND c >= hi THEN 'upper band crossover' WHEN m.st = 'u2' AND c >= hi THEN 'upper band extreme' END"
     return machine(name, source, {"st": "'n'"}, {"st": f"CASE WHEN s.i < {first} THEN m.st ELSE {case(st, 'm.st')} END"}, emit)
+
+
+def above_total(name: str, source: str) -> str:
+    """The total t above the bulls x or, which counts more, above the bears y; told when that one comes above the total again."""
+    held = "CASE WHEN t > y THEN -1 WHEN t > x THEN 1 ELSE m.a END"
+    over = f"CASE {held} WHEN 1 THEN x > t WHEN -1 THEN y > t ELSE false END"
+    return machine(name, source, {"a": "0"}, {"a": f"CASE WHEN {over} THEN 0 ELSE {held} END"}, f"CASE WHEN {over} THEN CASE {held} WHEN 1 THEN 'bullish' ELSE 'bearish' END END")

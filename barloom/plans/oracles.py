@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from ..sources.bars import SCRIPTS
 from .candle_sql import OUTCOMES, seen
-from .machine_sql import band_exit, band_extremes, confirmed_sign, double_turn, level_crossing, lows, rejection, saucer, swings, twin_peaks, two_lows, zigzag, zone_crossing, zone_divergence, zone_exit, zone_turns
+from .machine_sql import above_total, band_exit, band_extremes, confirmed_sign, double_turn, level_crossing, lows, rejection, saucer, swings, twin_peaks, two_lows, zigzag, zone_crossing, zone_divergence, zone_exit, zone_turns
 
 ORACLES: dict[str, str] = {}
 P = "PARTITION BY symbol"
@@ -293,14 +293,14 @@ ORACLES["bear_bull_signals"] = chain(
     {"type": f"coalesce({', '.join(f'k{k}' for k in _K)})", "k": "CASE " + " ".join(f"WHEN k{k} IS NOT NULL THEN {k}" for k in _K) + " END"},
     out="SELECT symbol, i, dt, type, type || ' divergence: ' || k || 'd interval' AS value FROM {last} WHERE type IS NOT NULL AND i > 0",
 )
-ORACLES["total_power"] = chain(
+_TOTAL = [
     {"l": so_far("close")},
     {"e": ema("close", "l", 10)},
     {"u": "CASE WHEN high > e THEN 1.0 ELSE 0.0 END", "d": "CASE WHEN low < e THEN 1.0 ELSE 0.0 END"},
     {c: f"CASE WHEN i < 44 THEN {over(f'sum({x})', None, 0)} ELSE {over(f'sum({x})', -44, -1)} END * 100.0 / 45.0" for c, x in (("bulls", "u"), ("bears", "d"))},
     {"total": "abs(bulls - bears)"},
-    out=cells("bulls", "bears", "total"),
-)
+]
+ORACLES["total_power"] = chain(*_TOTAL, out=cells("bulls", "bears", "total"))
 ORACLES["zone_islands"] = chain(
     _ROC, {"sd": side("roc_10")}, {"fresh": f"CASE WHEN sd <> coalesce({lag('sd')}, 0) THEN 1 ELSE 0 END"}, {"run": over("sum(fresh)", None, 0)}, out="SELECT symbol, sd AS sign, min(i) AS first_i, max(i) AS last_i, count(*) AS n_rows, round(max(abs(roc_10)), 4) + 0.0 AS extreme FROM {last} WHERE sd IS NOT NULL GROUP BY symbol, run, sd"
 )
@@ -422,6 +422,15 @@ ORACLES["bollinger_metric"] = recursive(
     SELECT symbol, i, round({largest("e")}, 4) + 0.0 AS metric FROM q4"""
 )
 
+_M = ["src AS (SELECT symbol, i, bulls AS x, bears AS y, total AS t FROM base)", above_total("above", "src")]
+_F = f"""SELECT symbol, i, 'bullish' AS type, 'full bullish signal: 100%' AS value, 3.0 AS score FROM base WHERE total >= 99 AND bulls >= 99 UNION ALL SELECT symbol, i, 'bearish', 'full bearish signal: 100%', -3.0 FROM base WHERE total >= 99 AND bears >= 99
+    UNION ALL SELECT symbol, i, CASE WHEN sd > 0 THEN 'bullish' ELSE 'bearish' END, 'bear-bull crossover', -1.0 FROM (SELECT *, {lag("sd")} AS was FROM (SELECT *, coalesce({side("bulls - bears")}, -1) AS sd FROM base)) WHERE sd <> was
+    UNION ALL SELECT symbol, i, kind, CASE kind WHEN 'bullish' THEN 'bull-total crossover' ELSE 'bear-total crossover' END, CASE kind WHEN 'bullish' THEN 1.0 ELSE -1.0 END FROM above WHERE kind IS NOT NULL
+    UNION ALL SELECT symbol, i, 'bullish', 'bull-adjustment level crossover', 1.0 FROM (SELECT *, {lag("bulls")} AS was FROM base) WHERE was < 72 AND bulls > 72
+    UNION ALL SELECT symbol, i, 'bearish', 'bear-adjustment level crossover', -1.0 FROM (SELECT *, {lag("bears")} AS was FROM base) WHERE was < 72 AND bears > 72"""
+ORACLES["total_power_signals"] = recursive(_TOTAL, _M, _F, _EVENTS)
+ORACLES["total_power_metric"] = recursive(_TOTAL, _M, _F, metric_of((1.0, 0.85, 0.6, 0.25)))
+
 # candles
 _CLASS = [
     {"size": "abs(open - close)", "rng": "abs(high - low)", "av": sma("close", 10)},
