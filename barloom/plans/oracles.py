@@ -431,6 +431,13 @@ _F = f"""SELECT symbol, i, 'bullish' AS type, 'full bullish signal: 100%' AS val
 ORACLES["total_power_signals"] = recursive(_TOTAL, _M, _F, _EVENTS)
 ORACLES["total_power_metric"] = recursive(_TOTAL, _M, _F, metric_of((1.0, 0.85, 0.6, 0.25)))
 
+_STATES = [*_POWER, {"e": slope("av", 12), "db": f"bears - {lag('bears')}", "du": f"bulls - {lag('bulls')}", "dc": f"close - {lag('close')}"} | {f"{a}{k}": slope(x, k - 1) for k in _K for a, x in (("b", "bears"), ("u", "bulls"))}]
+_F = " UNION ALL ".join(
+    f"SELECT symbol, i, 'x' AS type, 'x' AS value, CASE WHEN e > 0 AND bears < 0 AND b{k} > 0 THEN CASE WHEN du > 0 AND dc < 0 THEN 2.5 WHEN du > 0 THEN 1.5 ELSE 1.0 END WHEN e < 0 AND bulls > 0 AND u{k} < 0 THEN CASE WHEN db < 0 AND dc > 0 THEN -2.5 WHEN db < 0 THEN -1.5 ELSE -1.0 END ELSE 0.0 END AS score FROM base WHERE i > 0"
+    for k in _K
+)
+ORACLES["bear_bull_metric"] = recursive(_STATES, [], _F, metric_of((1.0, 0.75, 0.45, 0.1)))
+
 # candles
 _CLASS = [
     {"size": "abs(open - close)", "rng": "abs(high - low)", "av": sma("close", 10)},
