@@ -24,4 +24,18 @@ q AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a)
 t AS (SELECT q.doc_id, sum(b - a) AS removed, count(*) AS spans, string_agg(substr(x, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) AS head, max(b) AS last FROM q JOIN h ON q.doc_id = h.doc_id GROUP BY 1)
 SELECT h.doc_id, length(x) // 2 AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(CASE WHEN last IS NULL THEN x ELSE head || substr(x, 2 * last + 1) END)) AS kept_sha256 FROM h LEFT JOIN t ON h.doc_id = t.doc_id"""
 
-ORACLES = {"op2_minhash_near_dedup": NEAR_DEDUP, "op4_suffix_dedup": SUFFIX_DEDUP}
+COLLOCATIONS = rf"""WITH RECURSIVE p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+t AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY 1),
+g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS ph FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM (SELECT lang, w, unnest(range(1, 6)) AS k FROM w))),
+f AS (SELECT lang, k, ph, count(*) AS a FROM g GROUP BY 1, 2, 3 HAVING count(*) >= 100),
+c AS (SELECT f.lang, f.k, ph, a, n, string_split(ph, ' ') AS ws FROM f JOIN t USING (lang) WHERE f.k > 1),
+d AS (SELECT c.*, unnest(range(1, c.k)) AS cut FROM c),
+e AS (SELECT d.lang, d.ph, d.a, d.n, d.cut, x.a AS l, y.a AS r, CAST(1000::HUGEINT * d.a * d.n // (x.a::HUGEINT * y.a) AS BIGINT) AS score FROM d JOIN f x ON x.lang = d.lang AND x.ph = array_to_string(d.ws[:d.cut], ' ') JOIN f y ON y.lang = d.lang AND y.ph = array_to_string(d.ws[d.cut + 1:], ' ')),
+b AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY lang, ph ORDER BY score, cut) = 1),
+o AS (SELECT DISTINCT lang, array_to_string(ws[i:i + j - 1], ' ') AS ph, a FROM (SELECT lang, ws, a, j, unnest(range(1, k - j + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS j FROM c))),
+s AS (SELECT b.* FROM b WHERE NOT EXISTS (FROM o WHERE o.lang = b.lang AND o.ph = b.ph AND 100 * o.a >= 100 * b.a)),
+q AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, ph) AS rank FROM s)
+SELECT lang, rank, ph AS phrase, a, l, r, n, score FROM q WHERE rank <= 2000"""
+
+ORACLES = {"op2_minhash_near_dedup": NEAR_DEDUP, "op4_suffix_dedup": SUFFIX_DEDUP, "op11_collocations": COLLOCATIONS}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .collocations import op11_collocations
 from .decontaminate import op7_decontamination
 from .fingerprints import op5_multiset_fingerprint
 from .html_text import op6_html_extraction
@@ -25,4 +26,5 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_token_files": op10_token_files,
+    "op11_collocations": op11_collocations,
 }
