@@ -38,4 +38,9 @@ s AS (SELECT b.* FROM b WHERE NOT EXISTS (FROM o WHERE o.lang = b.lang AND o.ph
 q AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, ph) AS rank FROM s)
 SELECT lang, rank, ph AS phrase, a, l, r, n, score FROM q WHERE rank <= 2000"""
 
-ORACLES = {"op2_minhash_near_dedup": NEAR_DEDUP, "op4_suffix_dedup": SUFFIX_DEDUP, "op11_collocations": COLLOCATIONS}
+WARC = """WITH h AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS payload_bytes, sha256(b) AS payload_digest FROM h),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM f"""
+
+ORACLES = {"op2_minhash_near_dedup": NEAR_DEDUP, "op4_suffix_dedup": SUFFIX_DEDUP, "op11_collocations": COLLOCATIONS, "op13_warc": WARC}

@@ -14,6 +14,7 @@ from .pii import op1_personal_data
 from .suffix_dedup import op4_suffix_dedup
 from .token_files import op10_token_files
 from .toxicity import op9_toxicity
+from .warc import op13_warc
 
 QUERIES = {
     "op1_personal_data": op1_personal_data,
@@ -27,4 +28,5 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_token_files": op10_token_files,
     "op11_collocations": op11_collocations,
+    "op13_warc": op13_warc,
 }
