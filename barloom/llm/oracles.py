@@ -38,9 +38,22 @@ s AS (SELECT b.* FROM b WHERE NOT EXISTS (FROM o WHERE o.lang = b.lang AND o.ph
 q AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, ph) AS rank FROM s)
 SELECT lang, rank, ph AS phrase, a, l, r, n, score FROM q WHERE rank <= 2000"""
 
+DIVERGENCE = rf"""WITH d AS (SELECT row_number() OVER () AS k, coalesce(text, '') AS t, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+w AS (SELECT k, lang, source, unnest(regexp_extract_all(translate(t, '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+v AS (SELECT lang, term FROM w GROUP BY 1, 2 HAVING count(DISTINCT k) >= 30),
+c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN v USING (lang, term) GROUP BY 1, 2, 3),
+s AS (SELECT g.lang, g.source, coalesce(x.n, 0) AS n, coalesce(y.v, 0) AS v FROM (SELECT DISTINCT lang, source FROM d) g
+    LEFT JOIN (SELECT lang, source, sum(n) AS n FROM c GROUP BY 1, 2) x ON x.lang = g.lang AND x.source = g.source LEFT JOIN (SELECT lang, count(*) AS v FROM v GROUP BY 1) y ON y.lang = g.lang),
+m AS (SELECT s.lang, s.source, v.term, coalesce(c.n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 5) // (s.n + 5 * s.v) AS p FROM s JOIN v ON v.lang = s.lang LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.term = v.term),
+q AS (SELECT x.lang, x.term, 1 + 1000000000::HUGEINT * (x.n + 5) // (y.n + 5 * y.v) AS q FROM (SELECT lang, term, sum(n) AS n FROM c GROUP BY 1, 2) x JOIN (SELECT lang, sum(n) AS n, max(v) AS v FROM s GROUP BY 1) y ON x.lang = y.lang),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value FROM s a JOIN s b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN (SELECT a.lang, a.source AS x, b.source AS y, sum(abs(a.p - b.p)) AS value FROM m a JOIN m b ON a.lang = b.lang AND a.term = b.term GROUP BY 1, 2, 3) f ON f.lang = a.lang AND f.x = a.source AND f.y = b.source
+    UNION ALL SELECT m.lang, m.source, 'term', m.term, m.p - q.q FROM m JOIN q ON m.lang = q.lang AND m.term = q.term WHERE m.n > 0 AND m.p > q.q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r) WHERE part = 'pair' OR rank <= 50"""
+
 WARC = """WITH h AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
 d AS (SELECT page_id, octet_length(b) AS payload_bytes, sha256(b) AS payload_digest FROM h),
 f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM d)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM f"""
 
-ORACLES = {"op2_minhash_near_dedup": NEAR_DEDUP, "op4_suffix_dedup": SUFFIX_DEDUP, "op11_collocations": COLLOCATIONS, "op13_warc": WARC}
+ORACLES = {"op2_minhash_near_dedup": NEAR_DEDUP, "op4_suffix_dedup": SUFFIX_DEDUP, "op11_collocations": COLLOCATIONS, "op12_source_divergence": DIVERGENCE, "op13_warc": WARC}

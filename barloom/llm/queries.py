@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .collocations import op11_collocations
 from .decontaminate import op7_decontamination
+from .divergence import op12_source_divergence
 from .fingerprints import op5_multiset_fingerprint
 from .html_text import op6_html_extraction
 from .line_dedup import op8_line_dedup
@@ -28,5 +29,6 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_token_files": op10_token_files,
     "op11_collocations": op11_collocations,
+    "op12_source_divergence": op12_source_divergence,
     "op13_warc": op13_warc,
 }
