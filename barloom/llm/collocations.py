@@ -1,15 +1,17 @@
 """Operator 11: phrase collocations from vertical positional inverted lists.
 
-The corpus is cut into blocks of about a million words. A block holds, for each phrase, the ascending list of places where it begins:
+The corpus is cut into blocks of about half a million words. A block holds, for each phrase, the ascending list of places where it begins:
 the lists of a level (phrases of k words) stand one after the other by phrase. A level is extended by merging each list with the
 postings of the word that follows; the length of the new list is the phrase's exact count in the block, and a shuffle of (phrase,
 count) by ranges of phrase hashes adds the counts of all blocks up. Lists of phrases that are too rare go, and the rest is extended
-again. Blocks travel as rows, and no task holds more than a block or a range of hashes.
+again. Blocks are rows of tables that are bucketed by block, so that only what was counted and found is shuffled, and no task holds
+more than a block or a range of hashes.
 """
 
 from __future__ import annotations
 
 import io
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,12 +20,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import U64, discard, mix, read_table, seeds, slices, span_hashes, stored, utf8
+from .common import U64, mix, read_table, seeds, slices, span_hashes, stored, utf8
 
 #: Words of a block, counts from which a phrase is frequent, words of the longest phrase, and rows that each language reports.
-BLOCK_WORDS, LEAST, LONGEST, TOP = 1 << 20, 100, 5, 2000
+BLOCK_WORDS, LEAST, LONGEST, TOP = 1 << 19, 100, 5, 2000
 #: Entries (phrase, count) that one range of hashes is made for, and salts of a language's rows in joins and ranks.
 RANGE_WORDS, SALTS = 1 << 22, 32
+#: Most buckets that Spark allows by default.
+BUCKETS = 100_000
 _FACTORS = seeds(LONGEST + 1, 11) | U64(1)
 _BREAKS = np.zeros(256, bool)
 _BREAKS[[10, 11, 12, 13, *b".,;:!?"]] = True
@@ -271,22 +275,33 @@ def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(phrases, pa.string()), pa.array(a), *lists, pa.array(closed)], ["lang", "phrase", "a", "lefts", "rights", "closed"])
 
 
+def _bucketed(df: DataFrame, n: int) -> tuple[DataFrame, str]:
+    """df as a table of the warehouse in n buckets by block, and its name."""
+    name = f"barloom_phrases_{uuid.uuid4().hex}"
+    df.write.bucketBy(n, "block").option("compression", "zstd").format("parquet").saveAsTable(name)
+    return df.sparkSession.table(name), name
+
+
 def frequent_phrases(docs: DataFrame, least: int = LEAST, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame]:
     """All phrases of 2 to 5 words that come up least times or more in their language, and (lang, n), the words of each language.
 
     lefts and rights are the counts of the parts before and after each cut. Phrases are known by 64-bit hashes on the way.
     """
-    state = stored(blocks(docs, block_words), "phrase-blocks")
+    spark, made = docs.sparkSession, blocks(docs, block_words)
+    at_once = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_buckets = min(BUCKETS, max(at_once, 2 * docs.rdd.getNumPartitions()))
+    state, name = _bucketed(made, n_buckets)
     n_words = stored(state.select(F.explode(F.arrays_zip("langs", "n_words")).alias("x")).groupBy(F.col("x.langs").alias("lang")).agg(F.sum("x.n_words").alias("n")), "phrase-words")
-    spark, total = docs.sparkSession, n_words.agg(F.sum("n")).first()[0] or 0
-    n_ranges = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), total // RANGE_WORDS)
+    n_ranges = max(4 * at_once, (n_words.agg(F.sum("n")).first()[0] or 0) // RANGE_WORDS)
     for k in range(1, LONGEST + 1):
         counts = state.select("block", "body").mapInArrow(_counts(k, n_ranges), COUNTS)
-        found = counts.groupBy("range").applyInArrow(_add_up(least), FOUND)
-        following = stored(state.groupBy("block").cogroup(found.withColumnRenamed("block", "to").groupBy("to")).applyInArrow(_filter(k), BLOCKS), f"phrases-{k}")
-        discard(state)
-        state = following
-    return state.select("langs", "body").mapInArrow(_told, PHRASES), n_words
+        found = counts.groupBy("range").applyInArrow(_add_up(least), FOUND).withColumnRenamed("block", "to")
+        longer = state.groupBy("block").cogroup(found.groupBy("to")).applyInArrow(_filter(k), BLOCKS)
+        (state, name), before = _bucketed(longer, n_buckets), name
+        spark.sql(f"DROP TABLE {before}")
+    phrases = stored(state.select("langs", "body").mapInArrow(_told, PHRASES), "phrases")
+    spark.sql(f"DROP TABLE {name}")
+    return phrases, n_words
 
 
 def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, block_words: int = BLOCK_WORDS) -> DataFrame:
