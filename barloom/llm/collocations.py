@@ -1,6 +1,6 @@
 """Operator 11: phrase collocations from vertical positional inverted lists.
 
-The corpus is cut into blocks of about half a million words. A block holds, for each phrase, the ascending list of places where it begins:
+The corpus is cut into blocks of about a hundred thousand words. A block holds, for each phrase, the ascending list of places where it begins:
 the lists of a level (phrases of k words) stand one after the other by phrase. A level is extended by merging each list with the
 postings of the word that follows; the length of the new list is the phrase's exact count in the block, and a shuffle of (phrase,
 count) by ranges of phrase hashes adds the counts of all blocks up. Lists of phrases that are too rare go, and the rest is extended
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import U64, mix, read_table, seeds, slices, span_hashes, stored, utf8
 
 #: Words of a block, counts from which a phrase is frequent, words of the longest phrase, and rows that each language reports.
-BLOCK_WORDS, LEAST, LONGEST, TOP = 1 << 19, 100, 5, 2000
+BLOCK_WORDS, LEAST, LONGEST, TOP = 1 << 17, 100, 5, 2000
 #: Entries (phrase, count) that one range of hashes is made for, and salts of a language's rows in joins and ranks.
 RANGE_WORDS, SALTS = 1 << 22, 32
 #: Most buckets that Spark allows by default.
