@@ -1,13 +1,13 @@
-"""Chart features: price gaps, extrema, head and shoulders, support and resistance, trend lines."""
+"""Chart features: price gaps, extrema, head and shoulders, support and resistance."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.series import BEARISH, BULLISH, by_symbol, by_symbol_with, centred, lag, ordered, ratio, rows, scaled_trend, trend
+from ..functions.series import BEARISH, BULLISH, by_symbol, lag, ordered, ratio, rows, scaled_trend, trend
 from .oscillators import zigzag
 
 GAP = 0.0075
@@ -49,27 +49,79 @@ def filtered_extrema(df: DataFrame, x: str) -> DataFrame:
     return df.withColumn("kind", F.when((F.col("_d") > 0) & (F.col("_n") < 0), "max").when((F.col("_d") < 0) & (F.col("_n") > 0), "min")).drop("_s", "_d", "_n")
 
 
+def _averaged(x: np.ndarray, size: int, strength: float | None) -> np.ndarray:
+    """Centred average of size rows, exponential if it has a strength; ends pass through. Nothing for a series of size + 3 rows or
+    fewer."""
+    half, out = size // 2, x.copy()
+    if size >= len(x) - 3:
+        return out[:0]
+    if half:
+        total = np.lib.stride_tricks.sliding_window_view(x, 2 * half).sum(1)[: len(x) - 2 * half]
+        inner = x[half : len(x) - half]
+        weight = 0.0 if strength is None else min(strength / (size + 1), 1.0)
+        out[half : len(x) - half] = total / (2 * half) if strength is None else inner * weight + (total - inner) / (2 * half - 1) * (1 - weight)
+    return out
+
+
+def _turns(x: np.ndarray) -> list[tuple[int, bool]]:
+    """Places after which x turns, and whether they are maxima. A first step that isn't up counts as down; level steps keep the
+    direction."""
+    step = np.sign(np.diff(x))
+    if not len(step):
+        return []
+    step[0] = 1 if step[0] > 0 else -1
+    last = np.maximum.accumulate(np.where(step != 0, np.arange(len(step)), 0))
+    way = step[last]
+    return [(int(k) + 1, bool(way[k] > 0)) for k in np.flatnonzero(way[1:] != way[:-1])]
+
+
+EXTREMA = "symbol string, size long, seq long, i long, value double, kind string, volume double"
+
+
+def extrema_of(bars: DataFrame, sizes: dict[int, float | None]) -> DataFrame:
+    """Extrema of the closes found through centred averages, all sizes (and their strengths) in one pass over each symbol.
+
+    Around each turn of an average the highest (lowest) close within size / 2 rows counts, the first of equal ones; with size 0 or 1
+    the closes' own turns. seq is the order of a kind's turns; one close may come up several times.
+    """
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        close, volume, out = p["close"].to_numpy(float), p["volume"].to_numpy(float), []
+        for size, strength in sizes.items():
+            half = size // 2
+            for seq, (k, top) in enumerate(_turns(_averaged(close, size, strength))):
+                a, b = max(k - half, 0), min(k + max(half, 1), len(close)) if half else k + 1
+                at = a + int(np.argmax(close[a:b]) if top else np.argmin(close[a:b]))
+                out.append((p["symbol"][0], size, seq, at, close[at], "max" if top else "min", volume[at]))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in EXTREMA.split(", ")])
+
+    return by_symbol(bars.select("symbol", "i", "close", "volume"), run, EXTREMA)
+
+
+def without_duplicates(points: DataFrame, method: str = "threshold", threshold: float = 0.01) -> DataFrame:
+    """Extrema of a size and kind without repeats, in their order: point drops those at the place of the one before (and at row 0),
+    threshold the first one and those within threshold of the value before."""
+    w = Window.partitionBy("symbol", "size", "kind").orderBy("seq")
+    if method == "point":
+        return points.withColumn("_p", F.lag("i").over(w)).filter(F.col("i") != F.coalesce("_p", F.lit(0))).drop("_p")
+    was = F.col("_p")
+    return points.withColumn("_p", F.lag("value").over(w)).filter((F.col("value") > was * (1 + threshold)) | (F.col("value") < was * (1 - threshold))).drop("_p")
+
+
 def extrema(bars: DataFrame, size: int) -> DataFrame:
-    """Extrema of the closes found through a centred exponential average of size rows: symbol, i, value, kind, volume.
+    """Extrema through an average of size rows, each once: symbol, i, value, kind, volume."""
+    return extrema_of(bars, {size: 2.0}).select("symbol", "i", "value", "kind", "volume").distinct()
 
-    Around each turn of the average the highest (lowest) close within size / 2 rows counts; with size 0 the closes' own turns.
+
+def head_and_shoulders(bars: DataFrame, *sizes: int) -> DataFrame:
+    """Six extrema in a row that make a head between two shoulders and end beyond the neckline: filter_size, type, neckline and points.
+
+    Extrema are found through simple centred averages of the sizes; at the same row a minimum comes before a maximum.
     """
-    df = bars.withColumn("_f", centred("close", size, 2.0))
-    half = max(size // 2, 0)
-    w = rows(-half, half - 1) if half else rows(0, 0)
-    place = F.struct("close", F.negative("i").alias("i"))
-    low = F.struct("close", F.col("i"))
-    df = filtered_extrema(df.withColumns({"_top": F.max(place).over(w), "_low": F.min(low).over(w)}), "_f").filter("kind is not null")
-    at = F.when(F.col("kind") == "max", F.negative("_top.i")).otherwise(F.col("_low.i"))
-    found = df.select("symbol", at.cast("long").alias("i"), F.when(F.col("kind") == "max", F.col("_top.close")).otherwise(F.col("_low.close")).alias("value"), "kind").distinct()
-    return found.join(bars.select("symbol", "i", "volume"), ["symbol", "i"])
-
-
-def head_and_shoulders(bars: DataFrame, size: int = 10) -> DataFrame:
-    """Six extrema in a row that make a head between two shoulders and end beyond the neckline: type, neckline and its points."""
-    w = Window.partitionBy("symbol").orderBy("i", "kind")
+    w = Window.partitionBy("symbol", "size").orderBy("i", F.desc("kind"), "seq")
+    found = without_duplicates(extrema_of(bars, {n: None for n in sizes or (10,)}))
     p = F.struct("i", "value", "volume")
-    df = extrema(bars, size).withColumns({f"p{k}": (p if k == 5 else F.lag(p, 5 - k).over(w)) for k in range(6)}).filter("p0 is not null")
+    df = found.withColumns({f"p{k}": (p if k == 5 else F.lag(p, 5 - k).over(w)) for k in range(6)}).filter("p0 is not null")
     v = {k: F.col(f"p{k}.value") for k in range(6)}
     slope = ratio(v[3] - v[1], (F.col("p3.i") - F.col("p1.i")).cast("double"))
     line = v[1] + slope * (F.col("p5.i") - F.col("p1.i"))
@@ -78,7 +130,7 @@ def head_and_shoulders(bars: DataFrame, size: int = 10) -> DataFrame:
     df = df.withColumns({"type": F.when(bear, BEARISH).when(bull, BULLISH), "slope": slope}).filter("type is not null")
     mean = sum((v[k] for k in range(1, 6)), v[0]) / 6.0
     sd = F.sqrt(sum(((v[k] - mean) * (v[k] - mean) for k in range(1, 6)), (v[0] - mean) * (v[0] - mean)) / 6.0)
-    return df.select("symbol", "type", F.col("p0.i").alias("first_i"), F.col("p5.i").alias("last_i"), (F.col("p4.i") - F.col("p0.i")).alias("width"), "slope", (v[1] - F.col("slope") * F.col("p1.i")).alias("intercept"), F.bround(mean, 3).alias("avg"), F.bround(sd, 3).alias("stdev"), F.bround(sd * 100.0 / mean, 3).alias("percent"))
+    return df.select("symbol", F.col("size").alias("filter_size"), "type", F.col("p0.i").alias("first_i"), F.col("p5.i").alias("last_i"), (F.col("p4.i") - F.col("p0.i")).alias("width"), "slope", (v[1] - F.col("slope") * F.col("p1.i")).alias("intercept"), F.bround(mean, 3).alias("avg"), F.bround(sd, 3).alias("stdev"), F.bround(sd * 100.0 / mean, 3).alias("percent"))
 
 
 # Filter sizes of the whole search.
@@ -86,11 +138,7 @@ SIZES = (0, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 13, 14, 16, 17, 19, 26, 35, 51)
 
 
 def all_head_and_shoulders(bars: DataFrame, sizes: tuple[int, ...] = SIZES) -> DataFrame:
-    out = None
-    for size in sizes:
-        one = head_and_shoulders(bars, size).withColumn("filter_size", F.lit(size))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return head_and_shoulders(bars, *sizes)
 
 
 # --- support and resistance ----------------------------------------------------------------------------------------------------------
@@ -144,112 +192,3 @@ def support_resistance(bars: DataFrame, timeframes: tuple[int, ...] = (13, 21, 3
     df = df.withColumns({"state": F.when(F.col("price") > F.col("last_close"), "resistance").otherwise("support"), "percent": F.bround(ratio(F.col("price") - F.col("last_close"), "last_close") * 100.0, 3)})
     w = Window.partitionBy("symbol", "state").orderBy(F.abs(F.col("price") - F.col("last_close")), "price")
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= nearest).drop("last_close")
-
-
-# --- trend lines -------------------------------------------------------------------------------------------------------------------
-
-LINES = "symbol string, term string, slope double, intercept double, start_i long, end_i long, type string, current boolean"
-TERMS = {163: "long", 91: "intermediate", 56: "short", 27: "near"}
-
-
-def _line(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    dx = x - x.mean()
-    slope = float((dx * (y - y.mean())).sum() / (dx * dx).sum())
-    return slope, float(y.mean() - slope * x.mean())
-
-
-def _block_line(x: np.ndarray, y: np.ndarray, sign: int) -> tuple[float, float] | None:
-    """Line through the outer points of a block: refit on those below (sign 1) or above it while the slope keeps its sign."""
-    line = None
-    for _ in range(50):
-        if len(x) < 2:
-            break
-        fitted = _line(x, y)
-        if line is not None and sign * fitted[0] < 0:
-            break
-        line = fitted
-        keep = sign * (y - (line[0] * x + line[1])) < 0
-        x, y = x[keep], y[keep]
-    return line
-
-
-def trend_lines(bars: DataFrame, sizes: tuple[int, ...] = (4, 8, 16, 32), windows: tuple[int, ...] = (163, 91, 56, 27), volatility: float = 0.06) -> DataFrame:
-    """Lines along the minima of rising blocks and the maxima of falling ones, for each length of blocks.
-
-    Points are the extrema found through averages of the given sizes. A line is dropped if a close of its block is 1 percent
-    through it, and ends at the last close within volatility of it. current: it reaches the last row.
-    """
-    points = None
-    for size in sizes:
-        one = extrema(bars, size).select("symbol", "i", "value", "kind")
-        points = one if points is None else points.unionByName(one)
-
-    def run(p: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        close, out = p["close"].to_numpy(), []
-        found = found.sort_values(["i", "value", "kind"])
-        at, value, top = found["i"].to_numpy(), found["value"].to_numpy(), (found["kind"] == "max").to_numpy(bool)
-        n, places = len(close), np.arange(len(close))
-        for window in windows:
-            for start in range(0, n - window + 1, window):
-                end = start + window
-                sign = 1 if _line(places[start:end].astype(float), close[start:end])[0] >= 0 else -1
-                ok = (at >= start) & (at < end) & (top == (sign < 0))
-                line = _block_line(at[ok].astype(float), value[ok], sign)
-                if line is None:
-                    continue
-                y = line[0] * places + line[1]
-                if (sign * (close[start:end] - y[start:end] * (1 - sign * 0.01)) < 0).any():
-                    continue
-                reach = n if window > 100 or end + window > int(0.9 * n) else min(end, n)
-                near = np.flatnonzero(np.abs(close[start:reach] - y[start:reach]) <= volatility * np.abs(y[start:reach]))
-                if len(near):
-                    last = start + int(near[-1])
-                    out.append((TERMS.get(window, str(window)), line[0], line[1], start, last, "bull" if line[0] > 0 else "bear", last == n - 1))
-        cols = list(zip(*out, strict=True)) if out else [[]] * 7
-        names = ["term", "slope", "intercept", "start_i", "end_i", "type", "current"]
-        return pd.DataFrame({"symbol": p["symbol"].iloc[:1].repeat(len(out)).to_numpy()} | {k: list(c) for k, c in zip(names, cols, strict=True)})
-
-    return by_symbol_with(bars.select("symbol", "i", "close"), points.distinct(), run, LINES)
-
-
-def line_forecast(lines: DataFrame, bars: DataFrame, ahead: tuple[int, ...] = (5, 10, 20)) -> DataFrame:
-    """Current lines carried on: price, whether the last close is above it, and the direction."""
-    last = bars.groupBy("symbol").agg(F.max("i").alias("last_i"), F.max_by("close", "i").alias("last_close"))
-    df = lines.filter("current").join(last, "symbol").select("*", F.explode(F.array(*[F.lit(a) for a in ahead])).alias("ahead"))
-    price: Column = F.bround(F.col("slope") * (F.col("last_i") + F.col("ahead")) + F.col("intercept"), 2)
-    return df.select("symbol", "term", "start_i", "ahead", price.alias("price"), F.when(F.col("last_close") > price, "Above").otherwise("Below").alias("state"), F.when(F.col("slope") > 0, "UP").otherwise("DOWN").alias("direction"))
-
-
-def line_touches(lines: DataFrame, bars: DataFrame) -> DataFrame:
-    """Where closes cross or touch each line between its ends: an equi-join on the symbol, bounded by lines times their lengths."""
-    df = lines.join(bars.select("symbol", "i", "close"), "symbol").filter("i between start_i and end_i").withColumn("_y", F.col("slope") * F.col("i") + F.col("intercept"))
-    w = Window.partitionBy("symbol", "term", "start_i").orderBy("i")
-    df = df.withColumn("_side", F.last(F.when(F.col("close") > F.col("_y"), 1).when(F.col("close") < F.col("_y"), -1), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    df = df.withColumn("_was", F.lag("_side").over(w))
-    event = F.when(F.col("close") == F.col("_y"), "touch").when(F.col("_side") != F.col("_was"), "cross")
-    return df.withColumn("event", event).filter("event is not null").select("symbol", "term", "start_i", "i", "event", F.when(F.col("_side") > 0, "above").otherwise("below").alias("side"))
-
-
-def channel_lines(bars: DataFrame, divisors: tuple[int, ...] = (1, 2, 4, 8)) -> DataFrame:
-    """Regression channels: for each part of the series the lines through its upper and lower points, refit until four are left."""
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        close, out = p["close"].to_numpy(), []
-        n = len(close)
-        for d in divisors:
-            for k in range(d):
-                a, b = k * n // d, (k + 1) * n // d
-                for name, sign in (("upper", 1), ("lower", -1)):
-                    x, y = np.arange(a, b).astype(float), close[a:b]
-                    while len(x) > 4:
-                        s, c = _line(x, y)
-                        keep = sign * (y - s * x - c) > 0
-                        if keep.sum() < 2 or keep.all():
-                            break
-                        x, y = x[keep], y[keep]
-                    if len(x) >= 2:
-                        out.append((d, k, name, *_line(x, y), a, b - 1))
-        cols = list(zip(*out, strict=True)) if out else [[]] * 7
-        return pd.DataFrame({"symbol": p["symbol"].iloc[:1].repeat(len(out)).to_numpy()} | {k: list(c) for k, c in zip(["divisor", "part", "side", "slope", "intercept", "start_i", "end_i"], cols, strict=True)})
-
-    return by_symbol(bars.select("symbol", "i", "close"), run, "symbol string, divisor int, part int, side string, slope double, intercept double, start_i long, end_i long")

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from ..sources.bars import SCRIPTS
 from .candle_sql import OUTCOMES, seen
+from . import line_sql
 from .machine_sql import above_total, band_exit, band_extremes, confirmed_sign, double_turn, level_crossing, lows, rejection, saucer, swings, twin_peaks, two_lows, zigzag, zone_crossing, zone_divergence, zone_exit, zone_turns
 
 ORACLES: dict[str, str] = {}
@@ -578,3 +579,14 @@ ORACLES["recommendation_curve"] = """WITH g AS (SELECT o_orderpriority AS symbol
     h AS (SELECT *, least(lead(dt) OVER (PARTITION BY symbol, firm ORDER BY dt), CAST(dt + INTERVAL 24 MONTH AS DATE)) AS until FROM g)
     SELECT d.symbol, d.dt, count(*) AS firms, round(avg(h.g), 4) AS mean_grade FROM (SELECT DISTINCT symbol, dt FROM g) d JOIN h ON h.symbol = d.symbol AND h.dt <= d.dt AND d.dt < h.until GROUP BY 1, 2"""
 ORACLES["bars_6h"] = """SELECT event_type AS symbol, to_timestamp(CAST(floor(epoch(ts) / 21600) * 21600 AS BIGINT))::TIMESTAMP AS dt, round(min_by(value, ts), 4) + 0.0 AS open, round(max(value), 4) + 0.0 AS high, round(min(value), 4) + 0.0 AS low, round(max_by(value, ts), 4) + 0.0 AS close, count(*) AS volume FROM events GROUP BY 1, 2"""
+
+# extrema and lines: tables of their own over the bars
+_BARS = numbered("bars", raw_bars())
+_OBV_BARS = _BARS.replace("bars AS", "priced AS", 1) + f""",
+moved AS (SELECT *, coalesce(sign(close - {lag('close')}), 0) * volume AS mv FROM priced), bars AS (SELECT * REPLACE ({over('sum(mv)', None, 0)} AS close) FROM moved)"""
+for _name, _sql in (
+    ("extrema", line_sql.EXTREMA), ("head_shoulders", line_sql.head_and_shoulders([4], "")), ("head_shoulders_all", line_sql.head_and_shoulders(list(line_sql.SIZES), "size AS filter_size, ")), ("trend_lines", line_sql.TREND_LINES),
+    ("trend_forecast", line_sql.TREND_FORECAST), ("trend_touches", line_sql.TREND_TOUCHES), ("trend_periods", line_sql.TREND_PERIODS), ("obv_trend_lines", line_sql.OBV_LINES), ("channel_lines", line_sql.CHANNEL_LINES),
+    ("line_groups", line_sql.LINE_GROUPS), ("nearest_lines", line_sql.NEAREST_LINES),
+):
+    ORACLES[_name] = _sql.replace("{bars}", _BARS).replace("{obv}", _OBV_BARS)

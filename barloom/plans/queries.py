@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.series import neat, over_largest, slope
-from ..operators import candles, cross, features, fundamentals, oscillators, portfolio, report, trend, volatility
+from ..operators import candles, cross, features, fundamentals, lines, oscillators, portfolio, report, trend, volatility
 from ..sources import bars as src
 from ..streaming.bars import batch_bars
 
@@ -40,6 +40,11 @@ def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
     return df.select(*[neat(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
+def steady(df: DataFrame) -> DataFrame:
+    """One digit, and the noise of sums rounded off before: fits of prices lie between two of these often."""
+    return rounded(rounded(df, 6), 1)
+
+
 # sources
 on_bars("bars_weekly", lambda b: b, "open", "high", "low", "close", "volume")
 on_bars("bars_nation", lambda b: b, "open", "high", "low", "close", "volume", find=src.nation_bars)
@@ -154,16 +159,25 @@ on_bars("gap_trends", features.gap_trends, "trend_7", "trend_14", "trend_28")
 on_bars("zigzag", features.zigzag_extrema)
 on_bars("filtered_extrema", lambda b: features.filtered_extrema(b, "close").filter("kind is not null").select("symbol", "i", "kind"))
 on_bars("extrema", lambda b: features.extrema(b, 8).select("symbol", "i", neat("value").alias("value"), "kind"))
-on_bars("head_shoulders", lambda b: rounded(features.head_and_shoulders(b, 4)))
+on_bars("head_shoulders", lambda b: rounded(features.head_and_shoulders(b, 4)).drop("filter_size"))
 on_bars("head_shoulders_all", lambda b: rounded(features.all_head_and_shoulders(b)))
 on_bars("support_points", features.turning_points)
 on_bars("support_clusters", lambda b: features.price_clusters(features.turning_points(b)).withColumn("price", neat("price", 0)))
 on_bars("support_resistance", features.support_resistance)
-on_bars("trend_lines", lambda b: rounded(features.trend_lines(b)))
-on_bars("trend_forecast", lambda b: features.line_forecast(features.trend_lines(b), b))
-on_bars("trend_touches", lambda b: features.line_touches(features.trend_lines(b), b))
-on_bars("obv_trend_lines", lambda b: rounded(features.trend_lines(volatility.on_balance_volume(b).withColumn("close", F.col("obv")), (0, 2, 4, 7), (3, 15, 31, 85))))
-on_bars("channel_lines", lambda b: rounded(features.channel_lines(b)))
+on_bars("trend_lines", lambda b: steady(lines.trend_lines(b)))
+on_bars("trend_forecast", lambda b: steady(lines.line_forecast(lines.trend_lines(b), b)))
+on_bars("trend_touches", lambda b: rounded(lines.line_touches(lines.trend_lines(b), b)))
+on_bars("trend_periods", lambda b: lines.line_periods(lines.trend_lines(b), b))
+on_bars("obv_trend_lines", lambda b: steady(_obv_lines(b)))
+on_bars("channel_lines", lambda b: steady(lines.channel_lines(b)).drop("id"))
+on_bars("line_groups", lambda b: steady(lines.line_groups(lines.channel_lines(b), b)).drop("id"))
+on_bars("nearest_lines", lambda b: steady(lines.nearest_lines(lines.line_groups(lines.channel_lines(b), b), b)).drop("above_id", "below_id"))
+
+
+def _obv_lines(b: DataFrame) -> DataFrame:
+    obv = volatility.on_balance_volume(b).withColumn("close", F.col("obv"))
+    return lines.trend_lines(obv, (0, 2, 4, 7), (3, 15, 31, 0.25))
+
 
 # candles
 on_bars("candle_class", lambda b: candles.classify(b).select("symbol", "i", "trend", "body", "vol_body", "white", "doji", neat("shadow_ratio").alias("shadow_ratio")))

@@ -3,7 +3,7 @@ import datetime as d
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.operators import candles, cross, features, fundamentals, portfolio, report
+from barloom.operators import candles, cross, features, fundamentals, lines, portfolio, report
 from barloom.sources.config import fund_weights, parse_config, weights_table, with_indexes
 from barloom.streaming.bars import batch_bars, stream_bars, write_bars
 from tests.test_series import bars, values
@@ -99,9 +99,9 @@ def test_features(spark):
     assert features.filtered_extrema(b, "close").filter("kind = 'max' and i < 16").count() == 3
     assert features.turning_points(b).filter("timeframe = 13").count() == 2 * 8
     assert features.support_resistance(b).filter("rank > 7").count() == 0
-    lines = features.trend_lines(b, windows=(27,))
-    assert lines.filter("end_i < start_i").count() == 0
-    assert features.line_touches(lines, b).count() >= 0
+    found = lines.trend_lines(b, windows=(27,))
+    assert found.filter("end_i < start_i").count() == 0
+    assert lines.line_touches(found, b).count() >= 0
     gaps = features.price_gaps(bars(spark, [10.0, 20.0, 10.0])).orderBy("i").collect()
     assert [(r["direction"], r["difference"]) for r in gaps] == [("up", 10.0), ("down", -10.0)]
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom.functions import series as s
-from barloom.operators import features, oscillators, trend, volatility
+from barloom.operators import features, lines, oscillators, trend, volatility
 from barloom.sources.bars import aligned, from_wide, invalid, numbered, repair, resample
 
 
@@ -146,8 +146,8 @@ def test_symbols_without_a_result_row(spark):
     rng = np.random.default_rng(2)
     both = flat.unionByName(bars(spark, (100 + rng.normal(0, 2, 200).cumsum()).tolist(), "b"))
     for make in (
-        lambda b: features.trend_lines(b), lambda b: features.trend_lines(b, windows=(1000,)), lambda b: features.zigzag_extrema(b, threshold=1e9), lambda b: features.zigzag_extrema(b),
-        lambda b: features.channel_lines(b, (64,)), lambda b: features.line_forecast(features.trend_lines(b), b), lambda b: features.line_touches(features.trend_lines(b), b), oscillators.ultimate_signals,
+        lambda b: lines.trend_lines(b), lambda b: lines.trend_lines(b, windows=(1000,)), lambda b: features.zigzag_extrema(b, threshold=1e9), lambda b: features.zigzag_extrema(b),
+        lambda b: lines.channel_lines(b, (64,)), lambda b: lines.line_forecast(lines.trend_lines(b), b), lambda b: lines.line_touches(lines.trend_lines(b), b), oscillators.ultimate_signals,
         oscillators.rsi_signals, oscillators.macd_signals, volatility.bollinger_signals,
     ):
         make(flat).collect()
