@@ -1,6 +1,6 @@
 """Operator 11: phrase collocations from vertical positional inverted lists.
 
-The corpus is cut into blocks of about a hundred thousand words. A block holds, for each phrase, the ascending list of places where it begins:
+The corpus is cut into blocks of about half a million words. A block holds, for each phrase, the ascending list of places where it begins:
 the lists of a level (phrases of k words) stand one after the other by phrase. A level is extended by merging each list with the
 postings of the word that follows; the length of the new list is the phrase's exact count in the block, and a shuffle of (phrase,
 count) by ranges of phrase hashes adds the counts of all blocks up. Lists of phrases that are too rare go, and the rest is extended
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import U64, mix, read_table, seeds, slices, span_hashes, stored, utf8
 
 #: Words of a block, counts from which a phrase is frequent, words of the longest phrase, and rows that each language reports.
-BLOCK_WORDS, LEAST, LONGEST, TOP = 1 << 17, 100, 5, 2000
+BLOCK_WORDS, LEAST, LONGEST, TOP = 1 << 19, 100, 5, 2000
 #: Entries (phrase, count) that one range of hashes is made for, and salts of a language's rows in joins and ranks.
 RANGE_WORDS, SALTS = 1 << 22, 32
 #: Most buckets that Spark allows by default.
@@ -38,19 +38,38 @@ _LOWER[65:91] += 32
 
 BLOCKS = "block long, langs array<string>, n_words array<long>, body binary"
 COUNTS = "range int, block long, phrases binary, counts binary"
-FOUND = "block long, phrases binary, counts binary, defined binary"
+FOUND = "block long, range int, kept binary, totals binary, told binary"
 PHRASES = "lang string, phrase string, a long, lefts array<long>, rights array<long>, closed boolean"
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Steps of an array of integers, all first bytes before all second ones: small steps leave planes of zeros to the codec."""
+    step = x.copy()
+    step[1:] -= x[:-1]
+    return step.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def _whole(raw: bytes | np.ndarray, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(raw, np.uint8).reshape(size, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(kind)[:, 0], dtype=kind)
+
+
 def _packed(**arrays: np.ndarray) -> bytes:
     held = io.BytesIO()
-    np.savez(held, **arrays)
+    np.savez(held, **{f"{k}:{x.dtype.str}": x if x.itemsize == 1 else np.frombuffer(_planes(x), np.uint8) for k, x in arrays.items()})
     return held.getvalue()
 
 
 def _unpacked(body: bytes) -> dict[str, np.ndarray]:
     with np.load(io.BytesIO(body), allow_pickle=False) as f:
-        return {k: f[k] for k in f.files}
+        named = {k: k.split(":") for k in f.files}
+        return {name: f[k] if kind.endswith("1") else _whole(f[k], kind) for k, (name, kind) in named.items()}
+
+
+def _edges(keys: np.ndarray, n_ranges: int) -> np.ndarray:
+    """Where each range begins among ascending keys: ranges are stretches of the upper half of the hash."""
+    return np.searchsorted(((keys >> U64(32)) * U64(n_ranges)) >> U64(32), np.arange(n_ranges + 1, dtype=U64))
 
 
 def word_places(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -174,61 +193,61 @@ def _counts(k: int, n_ranges: int):
         for batch in batches:
             for block, body in zip(batch.column("block").to_pylist(), batch.column("body"), strict=True):
                 keys, lengths, _ = extended(_unpacked(body.as_py()), k)
-                # ranges are stretches of the upper half of the hash, so that ascending keys fall into them one after the other
-                edges = np.searchsorted(((keys >> U64(32)) * U64(n_ranges)) >> U64(32), np.arange(n_ranges + 1, dtype=U64))
+                edges = _edges(keys, n_ranges)
                 full = np.flatnonzero(np.diff(edges))
-                raw, n = keys.astype("<u8").tobytes(), lengths.astype("<u4").tobytes()
-                cut = [(int(edges[r]), int(edges[r + 1])) for r in full]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(full, pa.int32()), pa.array([block] * len(full), pa.int64()), pa.array([raw[8 * a : 8 * b] for a, b in cut], pa.binary()), pa.array([n[4 * a : 4 * b] for a, b in cut], pa.binary())], ["range", "block", "phrases", "counts"]
-                )
+                cut = lambda x: pa.array([_planes(x[edges[r] : edges[r + 1]]) for r in full], pa.binary())  # noqa: E731, B023
+                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([block] * len(full), pa.int64()), cut(keys), cut(lengths.astype(np.int32))], ["range", "block", "phrases", "counts"])
 
     return run
 
 
 def _add_up(least: int):
-    """Exact counts of the phrases of a range; each block hears of those it has that are frequent. One block, which the hash of
-    phrase and block picks, is to tell about the phrase in the end."""
-
-    def run(table: pa.Table) -> pa.Table:
-        blocks, parts = table.column("block").to_numpy(), table.column("phrases").to_pylist()
-        sizes = np.array([len(p) // 8 for p in parts])
-        keys, owner = np.frombuffer(b"".join(parts), "<u8"), np.repeat(np.arange(len(blocks)), sizes)
-        n = np.frombuffer(b"".join(table.column("counts").to_pylist()), "<u4").astype(np.int64)
+    """Exact counts of the phrases of a range; each block hears which of its own are frequent (a bit for each, in their order) and their
+    counts. One block, which the hash of phrase and block picks, is to tell about the phrase in the end."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        blocks = table.column("block").to_numpy()
+        parts = [_whole(p.as_buffer(), "<u8") for p in table.column("phrases")]
+        keys, owner = np.concatenate(parts), np.repeat(np.arange(len(blocks)), [len(p) for p in parts])
+        n = np.concatenate([_whole(p.as_buffer(), "<i4") for p in table.column("counts")]).astype(np.int64)
         order = np.argsort(keys, kind="stable")
         first = _firsts(keys[order])
         total = np.add.reduceat(n[order], first) if len(first) else n
-        group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(keys))))
+        group = np.empty(len(keys), np.int64)
+        group[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(keys))))
         kept = total[group] >= least
-        order, group = order[kept], group[kept]
-        chance = mix(keys[order] ^ mix(blocks[owner[order]].astype(U64)))
-        told = np.zeros(len(order), bool)
-        by = np.lexsort((owner[order], chance, group))
-        told[by[_firsts(group[by])]] = True
-        back = np.argsort(order)  # by block again, ascending keys within
-        order, group, told = order[back], group[back], told[back]
-        edges = np.searchsorted(owner[order], np.arange(len(blocks) + 1))
-        full = np.flatnonzero(np.diff(edges))
-        cut = lambda x, t: pa.array([x[edges[r] : edges[r + 1]].astype(t).tobytes() for r in full], pa.binary())
-        return pa.table([pa.array(blocks[full], pa.int64()), cut(keys[order], "<u8"), cut(total[group], "<i8"), cut(told, "u1")], ["block", "phrases", "counts", "defined"])
+        at = np.flatnonzero(kept)
+        chance = mix(keys[at] ^ mix(blocks[owner[at]].astype(U64)))
+        by = np.lexsort((owner[at], chance, group[at]))
+        told = np.zeros(len(keys), bool)
+        told[at[by[_firsts(group[at][by])]]] = True
+        edges = np.searchsorted(owner, np.arange(len(blocks) + 1))
+        rows = []
+        for r in range(len(blocks)):
+            own = slice(edges[r], edges[r + 1])
+            if kept[own].any():
+                rows.append((np.packbits(kept[own]).tobytes(), _planes(total[group[own][kept[own]]]), np.packbits(told[own][kept[own]]).tobytes(), int(blocks[r])))
+        return pa.table([pa.array([r[3] for r in rows], pa.int64()), pa.array([key[0].as_py()] * len(rows), pa.int32()), *[pa.array([r[j] for r in rows], pa.binary()) for j in range(3)]], ["block", "range", "kept", "totals", "told"])
 
     return run
 
 
-def _filter(k: int):
+def _filter(k: int, n_ranges: int):
     """A block with the lists of k words that are frequent. With those of two words, words go that no list holds any more."""
 
     def run(table: pa.Table, found: pa.Table) -> pa.Table:
         if not table.num_rows:
             return table.select(["block", "langs", "n_words", "body"])
         held = _unpacked(table.column("body")[0].as_py())
-        frequent = np.frombuffer(b"".join(found.column("phrases").to_pylist()), "<u8")
-        order = np.argsort(frequent)
-        totals = np.frombuffer(b"".join(found.column("counts").to_pylist()), "<i8")[order]
-        told = np.frombuffer(b"".join(found.column("defined").to_pylist()), "u1")[order]
         keys, sizes, places = extended(held, k)
-        stays = np.isin(keys, frequent[order], assume_unique=True)  # keys of a block are a superset of what it hears of
-        held |= {f"keys{k}": keys[stays], f"sizes{k}": sizes[stays].astype(np.int32), f"places{k}": places[np.repeat(stays, sizes)].astype(np.int32), f"total{k}": totals, f"told{k}": told}
+        edges = _edges(keys, n_ranges)
+        stays, totals, told = np.zeros(len(keys), bool), [np.zeros(0, np.int64)], [np.zeros(0, np.uint8)]
+        for r in found.sort_by("range").to_pylist():
+            a, b = edges[r["range"]], edges[r["range"] + 1]
+            stays[a:b] = np.unpackbits(np.frombuffer(r["kept"], np.uint8), count=b - a)
+            totals.append(_whole(r["totals"], "<i8"))
+            told.append(np.unpackbits(np.frombuffer(r["told"], np.uint8), count=len(totals[-1])))
+        held |= {f"keys{k}": keys[stays], f"sizes{k}": sizes[stays].astype(np.int32), f"places{k}": places[np.repeat(stays, sizes)].astype(np.int32), f"total{k}": np.concatenate(totals), f"told{k}": np.concatenate(told)}
         if k == 1:
             texts = held["words"].tobytes().split(b" ")
             held |= {"words": np.frombuffer(b" ".join([texts[x] for x in np.flatnonzero(stays).tolist()]), np.uint8), "lang": held["lang"][stays]}
@@ -292,11 +311,11 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, block_words: int = BLO
     n_buckets = min(BUCKETS, max(at_once, 2 * docs.rdd.getNumPartitions()))
     state, name = _bucketed(made, n_buckets)
     n_words = stored(state.select(F.explode(F.arrays_zip("langs", "n_words")).alias("x")).groupBy(F.col("x.langs").alias("lang")).agg(F.sum("x.n_words").alias("n")), "phrase-words")
-    n_ranges = max(4 * at_once, (n_words.agg(F.sum("n")).first()[0] or 0) // RANGE_WORDS)
+    n_ranges = max(at_once, (n_words.agg(F.sum("n")).first()[0] or 0) // RANGE_WORDS)
     for k in range(1, LONGEST + 1):
         counts = state.select("block", "body").mapInArrow(_counts(k, n_ranges), COUNTS)
         found = counts.groupBy("range").applyInArrow(_add_up(least), FOUND).withColumnRenamed("block", "to")
-        longer = state.groupBy("block").cogroup(found.groupBy("to")).applyInArrow(_filter(k), BLOCKS)
+        longer = state.groupBy("block").cogroup(found.groupBy("to")).applyInArrow(_filter(k, n_ranges), BLOCKS)
         (state, name), before = _bucketed(longer, n_buckets), name
         spark.sql(f"DROP TABLE {before}")
     phrases = stored(state.select("langs", "body").mapInArrow(_told, PHRASES), "phrases")
