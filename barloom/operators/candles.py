@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.series import lag, signal_rows, sma, whole, with_recurrences, ema
+from .oscillators import stochastic
 
 Rule = tuple[str, str, str]
 
@@ -178,3 +179,23 @@ def candle_signals(bars: DataFrame) -> DataFrame:
     net = F.aggregate("styles", F.lit(0), lambda a, x: a + x["value"])
     out = out.select("symbol", "i", "dt", net.alias("net"), F.explode(F.array_distinct(F.transform("styles", lambda x: F.concat_ws(": ", x["pattern"], x["style"])))).alias("style"))
     return signal_rows(out, F.when(F.col("net") > 0, "bullish").when(F.col("net") < 0, "bearish"), F.col("style"), F.col("net"))
+
+
+#: Patterns that count in an extreme of the stochastic oscillator alone.
+REVERSALS = ("dark cloud piercing line", "evening morning star")
+
+
+def reversal_patterns(bars: DataFrame, names: tuple[str, ...] = REVERSALS, high: float = 80.0, low: float = 20.0, confirmed: bool = True, compat: bool = False) -> DataFrame:
+    """symbol, i, dt, value and styles of rows where patterns of a reversal add up to something other than 0.
+
+    If confirmed, those stay whose smoothed stochastic is at high or above, or at low or below, in the row or the one before, and count
+    twice. The described test asks for both at once, so that nothing stays; compat does so.
+    """
+    seen = detected(classify(bars), list(names)).withColumn("value", F.aggregate("styles", F.lit(0), lambda a, x: a + x["value"]))
+    seen = seen.select("symbol", "i", "dt", "value", F.array_join(F.transform("styles", lambda x: F.concat_ws(": ", x["pattern"], x["style"])), ", ").alias("styles")).filter("value <> 0")
+    if not confirmed:
+        return seen
+    extreme = (F.col("smooth_k") >= high) & (F.col("smooth_k") <= low) if compat else (F.col("smooth_k") >= high) | (F.col("smooth_k") <= low)
+    zones = stochastic(bars).withColumn("_x", extreme)
+    zones = zones.select("symbol", "i", (F.col("_x") | F.coalesce(lag("_x"), F.lit(False))).alias("_x"))
+    return seen.join(zones, ["symbol", "i"]).filter("_x").withColumn("value", F.col("value") * 2).drop("_x")

@@ -160,35 +160,68 @@ def price_clusters(points: DataFrame, near: float = NEAR) -> DataFrame:
     df = points.select("symbol", "kind", "i", "price").distinct().withColumn("_before", F.lag("price").over(w))
     df = df.withColumn("_new", (F.col("_before").isNull() | (ratio(F.col("price") - F.col("_before"), "_before") >= near)).cast("int"))
     df = df.withColumn("_chain", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_last", F.max("_chain").over(Window.partitionBy("symbol", "kind")))
-    out = df.filter("_chain < _last").groupBy("symbol", "kind", "_chain").agg(F.bround(F.avg("price"), 2).alias("price"), F.min("i").alias("start"), F.count("*").alias("n_points"))
+    out = df.filter("_chain < _last").groupBy("symbol", "kind", "_chain").agg(F.bround(F.round(F.avg("price"), 6), 2).alias("price"), F.min("i").alias("start"), F.count("*").alias("n_points"))
     return out.filter("n_points > 1").drop("_chain")
 
 
-def merged_lines(lines: DataFrame, share: float = MERGED) -> DataFrame:
-    """Lines of either kind within share of each other become one, at their mean, until none are."""
+def united_levels(levels: DataFrame, share: float = MERGED) -> DataFrame:
+    """Levels of either kind that are near each other as one: symbol, price, start.
+
+    In each round every pair of neighbours (in the order of prices) within share of the higher one becomes a level at their mean, in
+    whole cents, from the earlier of their starts; rounds go on until no neighbours are near. A level in two pairs is in two means,
+    which then are neighbours themselves.
+    """
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
-        held = sorted(zip(p["price"], p["start"], p["n_points"], strict=True))
+        held = sorted(zip((p["price"] * 100).round().astype(int), p["start"], strict=True))
         while True:
-            out: list[tuple[float, int, int]] = []
-            for price, start, n in held:
-                if out and (price - out[-1][0]) / out[-1][0] < share:
-                    a = out.pop()
-                    out.append((round((a[0] * a[2] + price * n) / (a[2] + n), 2), min(a[1], start), a[2] + n))
-                else:
-                    out.append((price, start, n))
-            if len(out) == len(held):
+            near = [a[0] > b[0] * (1 - share) for a, b in zip(held, held[1:])]
+            if not any(near):
                 break
+            out: list[tuple[int, int]] = []
+            for k, (cents, start) in enumerate(held):
+                if k < len(near) and near[k]:
+                    twice = cents + held[k + 1][0]
+                    out.append((twice // 2 + (twice % 2) * (twice // 2 % 2), min(start, held[k + 1][1])))  # half a cent goes to the even one
+                elif k == 0 or not near[k - 1]:
+                    out.append((cents, start))
             held = out
-        return pd.DataFrame({"symbol": p["symbol"].iloc[0], "price": [x[0] for x in held], "start": [x[1] for x in held], "n_points": [x[2] for x in held]})
+        return pd.DataFrame({"symbol": p["symbol"].iloc[0], "price": [c / 100 for c, _ in held], "start": [s for _, s in held]})
+
+    return levels.groupBy("symbol").applyInPandas(run, "symbol string, price double, start long")
+
+
+def levels_of(bars: DataFrame, timeframes: tuple[int, ...] = (13, 21, 34, 55)) -> DataFrame:
+    """The levels of support and resistance of each symbol."""
+    return united_levels(price_clusters(turning_points(bars, timeframes)))
 
-    return lines.groupBy("symbol").applyInPandas(run, "symbol string, price double, start long, n_points long")
+
+def level_analysis(levels: DataFrame, bars: DataFrame, nearest: int = NEAREST) -> DataFrame:
+    """Levels against the last close of each symbol, in three lists: the nearest supports below it, the nearest resistances above it,
+    and all of them as major, highest first; with the distance in percent and what the level is to the close."""
+    closes = bars.filter(F.col("close").isNotNull() & ~F.isnan("close")).groupBy("symbol").agg(F.max_by("close", "i").alias("_last"))
+    df = levels.join(closes, "symbol").withColumn("percent", F.bround(ratio(F.col("price") - F.col("_last"), "_last") * 100.0, 3))
+    df = df.withColumn("state", F.when(F.col("percent") < 0, "support").otherwise("resistance"))
+    lists = F.array_compact(F.array(F.lit("major"), F.when(F.col("price") < F.col("_last"), "support").when(F.col("price") > F.col("_last"), "resistance")))
+    df = df.select("*", F.explode(lists).alias("list"))
+    far = F.when(F.col("list") == "major", -F.col("price")).otherwise(F.abs(F.col("price") - F.col("_last")))
+    df = df.withColumn("rank", F.row_number().over(Window.partitionBy("symbol", "list").orderBy(far, "start")))
+    return df.filter((F.col("list") == "major") | (F.col("rank") <= nearest)).select("symbol", "list", "rank", "price", "start", "percent", "state")
 
 
 def support_resistance(bars: DataFrame, timeframes: tuple[int, ...] = (13, 21, 34, 55), nearest: int = NEAREST) -> DataFrame:
-    """The nearest merged lines above and below the last close of each symbol, with their distance in percent."""
-    last = bars.groupBy("symbol").agg(F.max_by("close", "i").alias("last_close"))
-    df = merged_lines(price_clusters(turning_points(bars, timeframes))).join(last, "symbol")
-    df = df.withColumns({"state": F.when(F.col("price") > F.col("last_close"), "resistance").otherwise("support"), "percent": F.bround(ratio(F.col("price") - F.col("last_close"), "last_close") * 100.0, 3)})
-    w = Window.partitionBy("symbol", "state").orderBy(F.abs(F.col("price") - F.col("last_close")), "price")
-    return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= nearest).drop("last_close")
+    return level_analysis(levels_of(bars, timeframes), bars, nearest)
+
+
+def nearest_levels(levels: DataFrame, bars: DataFrame) -> DataFrame:
+    """For each row the level at or next below its close (support) and the one next above it (resistance).
+
+    An as-of join in the order of prices: levels and closes are one table, and each close sees the last level before it and the first
+    one after it, so that rows never meet levels pair by pair.
+    """
+    both = levels.select("symbol", F.lit(None).cast("long").alias("i"), F.lit(None).cast("date").alias("dt"), F.col("price").alias("_p"), F.col("price").alias("_level")).union(
+        bars.select("symbol", "i", "dt", F.col("close").alias("_p"), F.lit(None).cast("double"))
+    )
+    w = Window.partitionBy("symbol").orderBy("_p", F.col("_level").isNull())  # a level at the very price comes before the close
+    below, above = F.last("_level", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first("_level", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    return both.withColumns({"support": below, "resistance": above}).filter("i is not null").select("symbol", "i", "dt", F.col("_p").alias("close"), "support", "resistance")

@@ -401,6 +401,11 @@ def cluster_oscillators(bars: DataFrame, function: str = "all") -> DataFrame:
     return out.select(*bars.columns, "clustered")
 
 
+def cluster_dates(bars: DataFrame, function: str = "all", least: float = 0.0) -> DataFrame:
+    """The rows where events pile up to something other than 0, and to least or more either way: symbol, i, dt, close, clustered."""
+    return cluster_oscillators(bars, function).filter((F.col("clustered") != 0) & (F.abs("clustered") >= least)).select("symbol", "i", "dt", "close", "clustered")
+
+
 def cluster_metric(bars: DataFrame, function: str = "all") -> DataFrame:
     """cluster_oscillators plus metric: spread, averaged and scaled."""
     return smooth_metric(cluster_oscillators(bars, function), "clustered", SPREADS["cluster"])
@@ -505,19 +510,61 @@ def macd_metric(bars: DataFrame) -> DataFrame:
     return with_ema(df, _e=("_bars", 7)).withColumn("metric", over_largest("_e")).drop("_half", "_x", "_bars", "_e", "impulse")
 
 
-def macd_statistics(bars: DataFrame) -> DataFrame:
-    """For each symbol: the last value in percent of the largest, the length and share of its run of one sign, and its state."""
-    df = macd(bars).withColumn("_sign", F.when(F.col("macd") > 0, 1).when(F.col("macd") < 0, -1).otherwise(0))
-    df = df.withColumn("_turn", (F.col("_sign") != F.coalesce(lag("_sign"), F.lit(9))).cast("int")).withColumn("_run", F.sum("_turn").over(rows(Window.unboundedPreceding, 0)))
-    df = with_ema(df, _e3=("macd", 3))
-    last = df.withColumns({"_last_run": F.max("_run").over(whole()), "_top": F.max(F.abs("macd")).over(whole()), "_change": F.col("macd") - lag("macd")}).filter("_run = _last_run")
-    out = last.groupBy("symbol").agg(
-        F.max_by("macd", "i").alias("macd"), F.max("_top").alias("top"), F.count("*").alias("run_rows"), F.max_by("_sign", "i").alias("sign"), F.max(F.abs("macd")).alias("run_top"), F.max_by("_change", "i").alias("change"), F.max_by("_e3", "i").alias("average")
-    )
-    percent, group = ratio("macd", "top") * 100.0, ratio(F.abs("macd"), "run_top") * 100.0
-    rising = F.col("change") * F.col("sign") > 0
-    state = F.when(F.col("run_rows") <= 2, "crossover").when(rising, "strongly").otherwise("weakly")
-    return out.select("symbol", "macd", percent.alias("percent_of_top"), group.alias("percent_of_run"), "run_rows", (F.col("macd") - F.col("average")).alias("change_to_average"), F.concat(state, F.when(F.col("sign") >= 0, "_bullish").otherwise("_bearish")).alias("state"))
+def sign_runs(df: DataFrame, x: str) -> DataFrame:
+    """df plus run_start, run_end and run_rows: the rows around each one without a value of the other sign.
+
+    A row at 0 breaks no run, and its own run is that of a value below 0.
+    """
+    up, i = F.col(x) > 0, F.col("i")
+    before, after = rows(Window.unboundedPreceding, 0), rows(0, Window.unboundedFollowing)
+    below, above = F.when(F.col(x) < 0, i), F.when(F.col(x) > 0, i)
+    start = F.coalesce(F.when(up, F.max(below).over(before)).otherwise(F.max(above).over(before)), F.lit(-1)) + 1
+    end = F.coalesce(F.when(up, F.min(below).over(after)).otherwise(F.min(above).over(after)), F.col("n")) - 1
+    return df.withColumns({"run_start": start, "run_end": end}).withColumn("run_rows", F.col("run_end") - F.col("run_start") + 1)
+
+
+# How much of a factor depends on the length of a run, and the factor where no run came before.
+FACTORS, NO_RUN_BEFORE = {"signal": 0.25, "score": 0.1, "state": 0.5}, 1.25
+
+
+def macd_runs(bars: DataFrame, kind: str = "state") -> DataFrame:
+    """macd with its runs of one sign, group_value (percent of the run's largest value), and factor, which is the smaller the longer the
+    run of two rows ago is against the one that came before it."""
+    df = sign_runs(macd(bars), "macd")
+    df = df.withColumn("_top", F.max(F.abs("macd")).over(Window.partitionBy("symbol", F.col("macd") > 0, "run_start")))
+    df = df.withColumns({"group_value": F.coalesce(ratio("macd", "_top") * 100.0, F.lit(0.0)), "_rows": lag("run_rows", 2), "_at": lag("run_start", 2) - 2})
+    earlier = df.select("symbol", F.col("i").alias("_at"), F.col("run_rows").alias("_before"))
+    df = df.join(earlier, ["symbol", "_at"], "left")
+    share = FACTORS[kind]
+    factor = F.lit(1.0 + share) - F.col("_rows") / F.greatest("_rows", "_before") * share
+    known = (F.col("i") > 2) & (F.col("_at") > 0)
+    return df.withColumn("factor", F.when(known, factor).otherwise(NO_RUN_BEFORE)).drop("_rows", "_at", "_before")
+
+
+def macd_statistics(bars: DataFrame, compat: bool = False) -> DataFrame:
+    """How each symbol's line stands at its last row.
+
+    period_value: in percent of its largest; group_value: of its run's largest; change: from its average of three rows, in percent of
+    the run's largest; current_trend: against the row before; group_trend: against the average of three rows within the run, where it
+    is long enough (compat: of runs above 0 alone); state: crossover within three rows, else strongly or weakly by group_value over
+    factor, beyond 70.
+    """
+    df = with_ema(macd_runs(bars), _e=("macd", 3)).withColumns({"_all": F.max(F.abs("macd")).over(whole()), "_last": F.col("i") == F.col("n") - 1, "_m1": lag("macd"), "_m3": lag("macd", 3)})
+    up = F.max(F.when(F.col("_last"), F.col("macd") > 0)).over(whole())
+    other = F.max(F.when(~F.col("_last") & ((F.col("macd") > 0) != up), F.col("i"))).over(whole())
+    within = df.withColumn("_from", F.coalesce(other, F.lit(0))).filter("i >= _from").groupBy("symbol").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "macd"))), lambda r: r["macd"]).alias("_run"))
+    at = lambda k: F.get("_run", F.lit(k))
+    average = F.when(F.size("_run") > 6, F.aggregate(F.slice("_run", 4, F.greatest(F.size("_run"), F.lit(1))), (at(0) + at(1) + at(2)) / 3.0, lambda e, v: e * 0.5 + v * 0.5))
+    last = df.filter("_last").join(within, "symbol")
+    way = lambda c: F.when(c, "rising").otherwise("falling")
+    m, strength = F.col("macd"), F.col("group_value") / F.col("factor")
+    crossed = F.when((m > 0) & (F.col("_m3") < 0), "crossover_bullish").when((m < 0) & (F.col("_m3") > 0), "crossover_bearish")
+    state = F.coalesce(crossed, F.concat(F.when(F.abs(strength) > 70, "strongly").otherwise("weakly"), F.when(strength > 0, "_bullish").otherwise("_bearish")))
+    told = F.lit(True) if not compat else m > 0
+    return last.select(
+        "symbol", "macd", (ratio("macd", "_all") * 100.0).alias("period_value"), "group_value", F.coalesce(ratio(m - F.col("_e"), "_top") * 100.0, F.lit(0.0)).alias("change"), "run_start", "run_rows", "factor",
+        way(m > F.col("_m1")).alias("current_trend"), F.when(told & average.isNotNull(), way(m > average)).alias("group_trend"), state.alias("state"),
+    )
 
 
 # --- awesome, momentum ---------------------------------------------------------------------------------------------------------------

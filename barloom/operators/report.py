@@ -22,6 +22,16 @@ def last_signals(found: DataFrame, bars: DataFrame, lookback: int = 10) -> DataF
     return df.select("symbol", "indicator", "i", "dt", "type", "value", (F.col("last_i") - F.col("i")).alias("days_ago"))
 
 
+def merged_signals(found: DataFrame, gap: str = "21 days") -> DataFrame:
+    """Signals of one type that follow one another within gap as one: their span, how many they were, and of which indicators.
+
+    Session windows over the signals of each symbol and type: a signal more than gap after the one before begins anew.
+    """
+    session = F.session_window(F.col("dt").cast("timestamp"), gap)
+    out = found.groupBy("symbol", "type", session.alias("_s")).agg(F.min("i").alias("first_i"), F.max("i").alias("last_i"), F.min("dt").alias("first_dt"), F.max("dt").alias("last_dt"), F.count("*").alias("n_signals"), F.concat_ws(",", F.array_sort(F.collect_set("indicator"))).alias("indicators"))
+    return out.drop("_s")
+
+
 def overall_metric(metrics: dict[str, tuple[str, DataFrame, str]]) -> DataFrame:
     """Sum of score series by symbol and row: oscillators whole, trends a tenth. metrics: name -> (kind, table, column)."""
     parts = [df.select("symbol", "i", (F.col(c) * (1.0 if kind == "oscillator" else 0.1)).alias("x")) for kind, df, c in metrics.values()]

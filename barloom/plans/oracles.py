@@ -6,7 +6,7 @@ chain() builds one statement: bars, then a stage for each dict of new columns, t
 from __future__ import annotations
 
 from ..sources.bars import SCRIPTS
-from .candle_sql import OUTCOMES, seen
+from .candle_sql import OUTCOMES, seen, seen_by_body
 from . import line_sql
 from .machine_sql import above_total, band_exit, band_extremes, confirmed_sign, double_turn, level_crossing, lows, rejection, saucer, swings, twin_peaks, two_lows, zigzag, zone_crossing, zone_divergence, zone_exit, zone_turns
 
@@ -590,3 +590,66 @@ for _name, _sql in (
     ("line_groups", line_sql.LINE_GROUPS), ("nearest_lines", line_sql.NEAREST_LINES),
 ):
     ORACLES[_name] = _sql.replace("{bars}", _BARS).replace("{obv}", _OBV_BARS)
+
+# runs of one sign, as ranges around each row
+_RUNS = [
+    *_MACD,
+    {"ln": f"max(CASE WHEN macd < 0 THEN i END) OVER ({O} ROWS UNBOUNDED PRECEDING)", "lp": f"max(CASE WHEN macd > 0 THEN i END) OVER ({O} ROWS UNBOUNDED PRECEDING)", "nn": f"min(CASE WHEN macd < 0 THEN i END) OVER ({O} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)", "np": f"min(CASE WHEN macd > 0 THEN i END) OVER ({O} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"},
+    {"run_start": "coalesce(CASE WHEN macd > 0 THEN ln ELSE lp END + 1, 0)", "run_end": "coalesce(CASE WHEN macd > 0 THEN nn ELSE np END - 1, n - 1)"},
+    "SELECT a.*, a.run_end - a.run_start + 1 AS run_rows, (SELECT max(abs(b.macd)) FROM {last} b WHERE b.symbol = a.symbol AND b.i BETWEEN a.run_start AND a.run_end) AS top FROM {last} a",
+    {"group_value": "CASE WHEN top = 0 THEN 0.0 ELSE macd / top * 100.0 END", "rows1": lag("run_rows", 2), "at": f"{lag('run_start', 2)} - 2"},
+    "SELECT a.*, CASE WHEN a.i > 2 AND a.at > 0 THEN 1.5 - a.rows1 * 1.0 / greatest(a.rows1, b.run_rows) * 0.5 ELSE 1.25 END AS factor FROM {last} a LEFT JOIN {last} b ON b.symbol = a.symbol AND b.i = a.at",
+]
+ORACLES["macd_runs"] = chain(*_RUNS, out="SELECT symbol, i, run_start, run_end, run_rows, round(group_value, 4) + 0.0 AS group_value, round(factor, 4) + 0.0 AS factor FROM {last}")
+_STATS = [*_RUNS, {"mm": so_far("macd")}, {"e3": ema("macd", "mm", 3), "m1": lag("macd"), "m3": lag("macd", 3), "largest": f"max(abs(macd)) OVER ({P})", "up": f"max_by(macd, i) OVER ({P}) > 0"}, {"bound": f"coalesce(max(CASE WHEN i < n - 1 AND (macd > 0) <> up THEN i END) OVER ({P}), 0)"}, {"seg": f"list(macd) FILTER (WHERE i >= bound) OVER ({O} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"}]
+ORACLES["macd_stats"] = chain(
+    *_STATS,
+    "SELECT *, CASE WHEN len(seg) > 6 THEN list_reduce(list_prepend(list_avg(seg[1:3]), seg[4:]), lambda e, v: e * 0.5 + v * 0.5) END AS se, group_value / factor AS strength FROM {last} WHERE i = n - 1",
+    out="""SELECT symbol, round(macd, 4) + 0.0 AS macd, round(macd / nullif(largest, 0) * 100.0, 4) + 0.0 AS period_value, round(group_value, 4) + 0.0 AS group_value, round(CASE WHEN top = 0 THEN 0.0 ELSE (macd - e3) / top * 100.0 END, 4) + 0.0 AS change, run_start, run_rows, round(factor, 4) + 0.0 AS factor,
+    CASE WHEN macd > m1 THEN 'rising' ELSE 'falling' END AS current_trend, CASE WHEN se IS NULL THEN NULL WHEN macd > se THEN 'rising' ELSE 'falling' END AS group_trend,
+    CASE WHEN macd > 0 AND m3 < 0 THEN 'crossover_bullish' WHEN macd < 0 AND m3 > 0 THEN 'crossover_bearish' ELSE CASE WHEN abs(strength) > 70 THEN 'strongly' ELSE 'weakly' END || CASE WHEN strength > 0 THEN '_bullish' ELSE '_bearish' END END AS state FROM {last}""",
+)
+
+# levels: clusters as above, united pair by pair, round by round
+_LEVELS = """clusters AS (SELECT symbol, CASE WHEN 2 * (x % n) = n THEN x // n + x // n % 2 WHEN 2 * (x % n) > n THEN x // n + 1 ELSE x // n END AS c, s FROM (SELECT symbol, CAST(sum(CAST(round(price * 100) AS BIGINT)) AS BIGINT) AS x, count(*) AS n, min(i) AS s FROM ({chains}) WHERE chain < top GROUP BY symbol, kind, chain HAVING count(*) > 1)),
+near AS (SELECT 0 AS step, symbol, c, s FROM clusters UNION ALL SELECT step + 1, symbol, unnest(cs), unnest(ss) FROM (SELECT step, symbol, more,
+    CASE WHEN c / 100.0 > nc / 100.0 * (1 - 0.011) THEN [CASE WHEN (c + nc) % 2 = 0 THEN (c + nc) // 2 ELSE (c + nc) // 2 + (c + nc) // 2 % 2 END] WHEN coalesce(pc / 100.0 > c / 100.0 * (1 - 0.011), false) THEN [] ELSE [c] END AS cs,
+    CASE WHEN c / 100.0 > nc / 100.0 * (1 - 0.011) THEN [least(s, ns)] WHEN coalesce(pc / 100.0 > c / 100.0 * (1 - 0.011), false) THEN [] ELSE [s] END AS ss
+    FROM (SELECT *, bool_or(coalesce(c / 100.0 > nc / 100.0 * (1 - 0.011), false)) OVER (PARTITION BY symbol) AS more FROM (SELECT *, lead(c) OVER w AS nc, lead(s) OVER w AS ns, lag(c) OVER w AS pc FROM near WINDOW w AS (PARTITION BY symbol ORDER BY c, s)))) WHERE more),
+levels AS (SELECT symbol, c / 100.0 AS price, s AS start FROM near QUALIFY step = max(step) OVER (PARTITION BY symbol))"""
+_CHAINS = chain(
+    _POINTS, "SELECT *, lag(price) OVER (" + _KIND + ") AS b FROM (SELECT DISTINCT symbol, kind, i, price FROM {last})",
+    "SELECT *, sum(CASE WHEN b IS NULL OR (price - b) / b >= 0.007 THEN 1 ELSE 0 END) OVER (" + _KIND + " ROWS UNBOUNDED PRECEDING) AS chain FROM {last}", "SELECT *, max(chain) OVER (PARTITION BY symbol, kind) AS top FROM {last}", out="SELECT * FROM {last}",
+)
+_LEVELS = "WITH RECURSIVE " + _BARS + ",\n" + _LEVELS.replace("{chains}", _CHAINS)
+ORACLES["support_levels"] = _LEVELS + "\nSELECT * FROM levels"
+ORACLES["support_resistance"] = (
+    _LEVELS
+    + """,
+closes AS (SELECT symbol, max_by(close, i) AS last FROM bars GROUP BY 1),
+against AS (SELECT l.symbol, price, start, last, round_even((price - last) / last * 100.0, 3) AS percent FROM levels l JOIN closes c ON c.symbol = l.symbol),
+lists AS (SELECT *, 'major' AS list, -price AS far FROM against UNION ALL SELECT *, CASE WHEN price < last THEN 'support' ELSE 'resistance' END, abs(price - last) FROM against WHERE price <> last)
+SELECT symbol, list, row_number() OVER (PARTITION BY symbol, list ORDER BY far, start) AS rank, price, start, round(percent, 2) + 0.0 AS percent, CASE WHEN percent < 0 THEN 'support' ELSE 'resistance' END AS state FROM lists QUALIFY list = 'major' OR rank <= 7"""
+)
+ORACLES["nearest_levels"] = _LEVELS + """
+SELECT b.symbol, b.i, b.dt, b.close, (SELECT max(price) FROM levels l WHERE l.symbol = b.symbol AND price <= b.close) AS support, (SELECT min(price) FROM levels l WHERE l.symbol = b.symbol AND price > b.close) AS resistance FROM bars b"""
+
+# reversals in an extreme of the stochastic oscillator
+_SEEN = " UNION ALL ".join(f"SELECT symbol, i, {k} AS k, j, '{p}: ' || s AS style, v FROM (SELECT *, row_number() OVER (PARTITION BY symbol, i ORDER BY body) AS j FROM ({seen_by_body(p)})) WHERE s IS NOT NULL" for k, p in enumerate(("dark cloud piercing line", "evening morning star")))
+_ADDED = f", found AS ({_SEEN}), net AS (SELECT symbol, i, sum(v) AS value, string_agg(style, ', ' ORDER BY k, j) AS styles FROM found GROUP BY 1, 2 HAVING sum(v) <> 0)"
+ORACLES["candle_reversals_unconfirmed"] = candle_sql(_ADDED + " SELECT symbol, i, dt, CAST(value AS INTEGER) AS value, styles FROM net JOIN (SELECT symbol, i, dt FROM candles) USING (symbol, i)", LINES)
+ORACLES["candle_reversals"] = chain(
+    *_STOCHASTIC, *_CLASS, {"zone": "smooth_k >= 80 OR smooth_k <= 20"}, {"zones": f"zone OR coalesce({lag('zone')}, false)"}, "SELECT zones, " + _CANDLES.removeprefix("SELECT "),
+    out=f", candles AS (SELECT * FROM {{last}}) {_ADDED} SELECT symbol, i, dt, CAST(value * 2 AS INTEGER) AS value, styles FROM net JOIN (SELECT symbol, i, dt, zones FROM candles) USING (symbol, i) WHERE zones", source=LINES,
+).replace("\n, candles", ",\ncandles")
+
+# signals of four indicators, as sessions of three weeks
+_FOUR = {"average": "ma_crossovers", "stochastic": "stochastic_signals", "rsi": "rsi_signals", "macd": "macd_signals"}
+ORACLES["merged_signals"] = (
+    "WITH found AS ("
+    + " UNION ALL ".join(f"SELECT symbol, i, dt, type, '{k}' AS indicator FROM ({ORACLES[q]})" for k, q in _FOUR.items())
+    + """),
+fresh AS (SELECT *, CASE WHEN dt <= lag(dt) OVER w + INTERVAL 21 DAY THEN 0 ELSE 1 END AS f FROM found WINDOW w AS (PARTITION BY symbol, type ORDER BY dt)),
+session AS (SELECT *, sum(f) OVER (PARTITION BY symbol, type ORDER BY dt, f DESC ROWS UNBOUNDED PRECEDING) AS s FROM fresh)
+SELECT symbol, type, min(i) AS first_i, max(i) AS last_i, min(dt) AS first_dt, max(dt) AS last_dt, count(*) AS n_signals, string_agg(DISTINCT indicator, ',' ORDER BY indicator) AS indicators FROM session GROUP BY symbol, type, s"""
+)

@@ -105,12 +105,14 @@ on_signals("ultimate_signals", oscillators.ultimate_signals)
 on_bars("ultimate_metric", oscillators.ultimate_metric, "metric")
 for _f in ("all", "market", "full_stochastic", "ultimate", "rsi"):
     on_bars(f"cluster_{_f}", lambda b, f=_f: oscillators.cluster_oscillators(b, f), "clustered")
+on_bars("cluster_dates", lambda b: rounded(oscillators.cluster_dates(b)))
 on_bars("cluster_metric", oscillators.cluster_metric, "metric")
 on_signals("cluster_signals", oscillators.cluster_signals)
 on_bars("macd", oscillators.macd, "macd", "signal_line", "bar")
 on_signals("macd_signals", oscillators.macd_signals)
 on_bars("macd_metric", oscillators.macd_metric, "metric")
 on_bars("macd_stats", lambda b: rounded(oscillators.macd_statistics(b)))
+on_bars("macd_runs", lambda b: rounded(oscillators.macd_runs(b)).select("symbol", "i", "run_start", "run_end", "run_rows", "group_value", "factor"))
 on_bars("awesome", oscillators.awesome, "awesome", "medium", "long")
 on_bars("awesome_trigger", lambda b: oscillators.awesome(b).select("symbol", "i", oscillators.awesome_trigger().alias("trigger")))
 on_signals("awesome_signals", oscillators.awesome_signals)
@@ -163,7 +165,9 @@ on_bars("head_shoulders", lambda b: rounded(features.head_and_shoulders(b, 4)).d
 on_bars("head_shoulders_all", lambda b: rounded(features.all_head_and_shoulders(b)))
 on_bars("support_points", features.turning_points)
 on_bars("support_clusters", lambda b: features.price_clusters(features.turning_points(b)).withColumn("price", neat("price", 0)))
-on_bars("support_resistance", features.support_resistance)
+on_bars("support_levels", features.levels_of)
+on_bars("support_resistance", lambda b: rounded(features.support_resistance(b), 2))
+on_bars("nearest_levels", lambda b: features.nearest_levels(features.levels_of(b), b))
 on_bars("trend_lines", lambda b: steady(lines.trend_lines(b)))
 on_bars("trend_forecast", lambda b: steady(lines.line_forecast(lines.trend_lines(b), b)))
 on_bars("trend_touches", lambda b: rounded(lines.line_touches(lines.trend_lines(b), b)))
@@ -184,6 +188,8 @@ on_bars("candle_class", lambda b: candles.classify(b).select("symbol", "i", "tre
 on_bars("candle_patterns", candles.all_patterns)
 on_bars("candle_patterns_line", candles.all_patterns, find=src.line_candles)
 on_signals("candle_signals", candles.candle_signals)
+on_bars("candle_reversals", candles.reversal_patterns, find=src.line_candles)
+on_bars("candle_reversals_unconfirmed", lambda b: candles.reversal_patterns(b, confirmed=False), find=src.line_candles)
 for _p in candles.PATTERNS:
     on_bars(f"candle_{_p.replace(' ', '_')}", lambda b, p=_p: candles.pattern(b, p), find=src.line_candles)
 
@@ -227,6 +233,7 @@ def _series(b: DataFrame) -> DataFrame:
 
 
 on_bars("last_signals", lambda b: report.last_signals(_found(b), b))
+on_bars("merged_signals", lambda b: report.merged_signals(report.all_signals({"average": trend.crossovers(trend.triple_average(b)), "stochastic": oscillators.stochastic_signals(b), "rsi": oscillators.rsi_signals(b), "macd": oscillators.macd_signals(b)})))
 on_bars("overall_metric", lambda b: rounded(report.overall_metric({"bands": ("trend", volatility.bollinger_metric(b), "metric"), "rsi": ("oscillator", oscillators.rsi_metric(b), "metric")})))
 on_bars("synopsis", lambda b: rounded(report.synopsis(_series(b), {"average": "trend", "atr": "oscillator"})))
 on_bars("export_pivot", lambda b: rounded(report.export_pivot(_series(b), ["average-short", "average-medium", "atr-atr"])))

@@ -10,7 +10,7 @@ from barloom.plans.oracles import ORACLES
 from barloom.plans.queries import QUERIES
 
 #: One of each kind; the driver compares all of them. Set BARLOOM_ALL=1 to do so here.
-SOME = ["bars_weekly", "nan_repair", "ema_triple", "ma_crossovers", "hull", "rsi", "ultimate", "macd", "cci", "adx", "demand_index", "bear_bull_signals", "stochastic_signals", "rsi_metric", "ultimate_signals", "macd_signals", "awesome_signals", "bollinger_signals", "zigzag", "head_shoulders", "trend_lines", "trend_periods", "line_groups", "nearest_lines", "candle_patterns", "candle_ladder", "candle_signals", "support_clusters", "beta", "correlation_index", "synopsis", "ledger_sim", "altman_z", "recommendation_curve", "bars_6h"]
+SOME = ["bars_weekly", "nan_repair", "ema_triple", "ma_crossovers", "hull", "rsi", "ultimate", "macd", "cci", "adx", "demand_index", "bear_bull_signals", "stochastic_signals", "rsi_metric", "ultimate_signals", "macd_signals", "awesome_signals", "bollinger_signals", "zigzag", "head_shoulders", "trend_lines", "trend_periods", "line_groups", "nearest_lines", "macd_stats", "macd_runs", "support_resistance", "nearest_levels", "candle_reversals", "merged_signals", "candle_patterns", "candle_ladder", "candle_signals", "support_clusters", "beta", "correlation_index", "synopsis", "ledger_sim", "altman_z", "recommendation_curve", "bars_6h"]
 
 
 @pytest.fixture(scope="module")
