@@ -79,15 +79,16 @@ def repeated_lines(rows: DataFrame) -> DataFrame:
     return again.groupBy("_id", "_hash").agg(F.collect_set(F.struct("_at", "_to")).alias("_gone")).withColumn("_gone", F.expr("array_distinct(flatten(transform(_gone, p -> sequence(p._at, p._to))))"))
 
 
-def dedup_lines(docs: DataFrame, drop_emptied: bool = True) -> DataFrame:
-    """docs without repeated runs of lines, with the columns of docs plus n_lines_removed; n_chars follows where it is there.
+def dedup_lines(docs: DataFrame, drop_emptied: bool = True, count: str | None = "n_lines_removed") -> DataFrame:
+    """docs without repeated runs of lines, with the columns of docs plus the lines removed; n_chars follows where it is there.
 
     Every run of two or more lines that aren't blank goes, with the blank lines within, wherever the same bytes stood before in docs,
     by doc_id, in the whole table (its own document included, but for a run that overlaps the first). The rest stays as it was, line
     for line. A document that keeps no line but blank ones goes, unless drop_emptied is False; texts that are empty or null from the
     start stay as they are. Rows with equal doc_id and text share one fate. A null doc_id counts as the lowest. An empty table gives
     an empty one. Texts may be of any length, with any number of lines, and docs may have any other columns: they travel as one
-    struct, so that no name clashes.
+    struct, so that no name clashes. count is the name of the column with the lines removed, which takes the place of one of docs with
+    that name; with None there is none, and docs keep all of theirs.
     """
     key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST).cast("long")).alias("_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_hash")]
     gone = repeated_lines(docs.select(*key, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
@@ -100,7 +101,8 @@ def dedup_lines(docs: DataFrame, drop_emptied: bool = True) -> DataFrame:
     if drop_emptied:
         out = out.filter((F.col("_lost") == 0) | F.col("_text").rlike(r"\S"))
     new = {"text": F.col("_text"), "n_chars": F.when(F.col("_lost") > 0, F.length("_text").cast("long")).otherwise(F.col("_row.n_chars"))} if "n_chars" in docs.columns else {"text": F.col("_text")}
-    return out.select(*[new.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns], F.col("_lost").alias("n_lines_removed"))
+    kept = [new.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns if c != count]
+    return out.select(*kept, *([F.col("_lost").alias(count)] if count else []))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,6 +95,13 @@ def test_columns_of_any_name(spark):
     assert dedup_lines(docs).columns == [*docs.columns, "n_lines_removed"]
 
 
+def test_the_count_takes_the_place_of_a_column_or_is_left_out(spark):
+    docs = spark.createDataFrame([(1, "a\nb\nc", "x"), (2, "a\nb\nd", "y")], "doc_id long, text string, n_lines_removed string")
+    counted = {r["doc_id"]: r for r in dedup_lines(docs).collect()}
+    assert dedup_lines(docs).columns == docs.columns and (counted[1]["n_lines_removed"], counted[2]["n_lines_removed"]) == (0, 2)
+    assert {(r["doc_id"], r["text"], r["n_lines_removed"]) for r in dedup_lines(docs, count=None).collect()} == {(1, "a\nb\nc", "x"), (2, "d", "y")}
+
+
 def test_one_very_long_text(spark):
     lines = [f"line {i % 4000} of many" for i in range(12_000)]
     docs = spark.createDataFrame([(1, "\n".join(lines)), (2, "y" * 2_000_000), (3, "y" * 2_000_000)], "doc_id long, text string")

@@ -26,3 +26,20 @@ def test_odd_documents(spark, sf):
             table = stage(spark, table, sf)
             assert table.columns == docs.columns
         corpus_pipeline.STAGES[-1][1](spark, table, sf).count()
+
+
+def test_clashing_columns_repeated_rows_and_a_long_text(spark, sf):
+    long = " ".join(f"word{k} of a long text" for k in range(60_000))
+    rows = [(1, "first line here\nsecond line here\nthird one of it"), (2, long), (3, "some other words that stand for themselves\nand a second line"), (3, "some other words that stand for themselves\nand a second line")]
+    more = ["n_lines_removed", "score", "kept", "row", "_row", "_id", "_hash", "_lost", "salt", "item_ids", "a.b", "count", "node", "root", "component_id", "n_chars"]
+    docs = spark.createDataFrame([(*r, *["x"] * (len(more) - 1), len(r[1])) for r in rows], "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in more[:-1]) + ", n_chars long")
+    table = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        table = stage(spark, table, sf)
+        assert table.columns == docs.columns, name
+        got = [tuple(r) for r in table.collect()]
+        # nothing here is toxic, contaminated or a copy of another document; equal rows are one after near-dedup
+        assert sorted(r[0] for r in got) == ([1, 2, 3, 3] if name in ("toxicity", "line_dedup") else [1, 2, 3]), name
+        assert all(r[2:-1] == ("x",) * (len(more) - 1) for r in got), name
+    pieces = corpus_pipeline.STAGES[-1][1](spark, table, sf).collect()
+    assert {r["doc_id"] for r in pieces} == {1, 2, 3} and all(r["length"] <= 4096 for r in pieces)
