@@ -24,7 +24,7 @@ def _named(docs: DataFrame) -> list[F.Column]:
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.3 stay, by a classifier fitted on this stage's own documents. A null text is scored as an empty
-    one, and repeated rows score alike."""
+    one, and repeated rows score alike. Other columns travel as a struct."""
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = docs.select(F.struct(*_named(docs)).alias("row"), score_column(spark, model).alias("score"))
     return scored.filter("score < 0.3").select("row.*")
@@ -33,7 +33,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated runs of two or more lines go; a document that loses its whole text goes too. Null and empty texts stay as they are,
     and rows with equal doc_id and text share one fate."""
-    return dedup_lines(docs).select(*_named(docs))
+    return dedup_lines(docs, count=None)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,14 +49,15 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a copy of a benchmark item go, each row on its own. A null or empty text holds none."""
+    """Documents that hold a copy of a benchmark item go, each row on its own, repeated ones alike. A null or empty text holds none. Other
+    columns travel as a struct."""
     found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.filter(F.size("item_ids") == 0).select("row.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their sequence of 4096 ids, and their ids as little-endian unsigned 32-bit integers. A null or
-    empty text is one piece with the end id alone."""
+    empty text is one piece with the end id alone; repeated rows are packed each. Other columns are left out."""
     return pack_documents(docs, with_ids=True)
 
 
