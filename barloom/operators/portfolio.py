@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.series import by_symbol, lag, ratio
+from ..sources.files import read_head, register
 from .cross import returns
 from .oscillators import cluster_oscillators
 
@@ -30,25 +31,13 @@ def synthetic_fund(bars: DataFrame, weights: DataFrame, price: str = "close", st
 
 
 def read_ledger(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, str]]:
-    """Trades of a ledger file and its header: title, start capital, ticker. Trades: stock, action, price, dt, amount, shares.
+    """Trades of a ledger file (stock, action, price, dt, amount, shares) and its header: title, start capital, ticker.
 
-    The header is what stands before the first row that begins with Stock; it alone is read on the driver.
+    The header alone is read on the driver.
     """
-    lines = spark.read.text(path)
-    head: dict[str, str] = {}
-    placed = lines.select("value", F.monotonically_increasing_id().alias("at"))
-    titles = placed.filter(F.trim(F.split("value", ",")[0]) == "Stock").agg(F.min("at")).first()[0]
-    top = placed.filter(F.col("at") < (titles or 0)).orderBy("at").collect()
-    for k, line in enumerate(r["value"] for r in top):
-        cells = [c.strip() for c in line.split(",")]
-        if k == 0:
-            head["title"] = cells[0]
-        elif cells[0]:
-            head[cells[0].lower().replace(" ", "_")] = cells[1] if len(cells) > 1 else ""
-    c = F.split("value", ",")
-    number = lambda k: F.expr(f"try_cast(regexp_replace(trim(get(split(value, ','), {k})), '[$ ]', '') as double)")
-    rows = lines.select(F.trim(c[0]).alias("stock"), F.trim(c[1]).alias("action"), number(2).alias("price"), F.expr("try_to_timestamp(trim(get(split(value, ','), 3)), 'M/d/yyyy')").cast("date").alias("dt"), number(4).alias("amount"), number(5).alias("shares"))
-    return rows.filter(F.col("action").isin("Buy", "Sell", "Deposit", "Withdraw", "Dividend") & F.col("dt").isNotNull()), head
+    register(spark)
+    trades = spark.read.format("ledger").load(path).select("stock", "action", "price", "dt", "amount", "shares")
+    return trades, read_head(path)
 
 
 def ledger_simulation(trades: DataFrame, bars: DataFrame, start_cash: float = 1_000_000.0) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.series import over_largest
+from . import candles, oscillators, trend, volatility
 
 
 def all_signals(named: dict[str, DataFrame]) -> DataFrame:
@@ -15,6 +17,40 @@ def all_signals(named: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [df.withColumn("indicator", F.lit(name)) for name, df in named.items()])
 
 
+#: The signals of each indicator, by its name.
+INDICATORS: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "average": lambda b: trend.crossovers(trend.triple_average(b)),
+    "exponential_average": lambda b: trend.crossovers(trend.triple_average(b, (9, 20, 50), "ema"), (9, 20, 50)),
+    "swing": trend.swing_signals,
+    "parabolic_sar": trend.sar_signals,
+    "stochastic": oscillators.stochastic_signals,
+    "rsi": oscillators.rsi_signals,
+    "ultimate": oscillators.ultimate_signals,
+    "macd": oscillators.macd_signals,
+    "awesome": oscillators.awesome_signals,
+    "momentum": oscillators.momentum_signals,
+    "rate_of_change": oscillators.roc_signals,
+    "know_sure_thing": oscillators.kst_signals,
+    "commodity_channel": oscillators.cci_signals,
+    "bear_bull": volatility.bear_bull_signals,
+    "total_power": volatility.total_power_signals,
+    "bollinger": volatility.bollinger_signals,
+    "true_range": volatility.atr_signals,
+    "directional": volatility.adx_signals,
+    "balance_volume": volatility.obv_signals,
+    "demand": volatility.demand_signals,
+    "candlesticks": candles.candle_signals,
+}
+
+
+def indicator_signals(bars: DataFrame, names: Iterable[str] = tuple(INDICATORS)) -> DataFrame:
+    """One table of the signals of all indicators: symbol, i, dt, type, value, score, indicator.
+
+    The indicators' branches begin with the same bars, whose shuffle Spark makes once and uses again.
+    """
+    return all_signals({name: INDICATORS[name](bars) for name in names})
+
+
 def last_signals(found: DataFrame, bars: DataFrame, lookback: int = 10) -> DataFrame:
     """Signals of the last rows of each symbol, with how many rows ago they were."""
     last = bars.groupBy("symbol").agg(F.max("i").alias("last_i"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from ..sources.bars import SCRIPTS
 from .candle_sql import OUTCOMES, seen, seen_by_body
 from . import line_sql
-from .machine_sql import above_total, band_exit, band_extremes, confirmed_sign, double_turn, level_crossing, lows, rejection, saucer, swings, twin_peaks, two_lows, zigzag, zone_crossing, zone_divergence, zone_exit, zone_turns
+from .machine_sql import above_total, band_exit, band_extremes, confirmed_sign, double_turn, level_crossing, lows, machine, rejection, saucer, swings, twin_peaks, two_lows, zigzag, zone_crossing, zone_divergence, zone_exit, zone_turns
 
 ORACLES: dict[str, str] = {}
 P = "PARTITION BY symbol"
@@ -107,8 +107,10 @@ ORACLES["symbol_list"] = "SELECT DISTINCT upper(o_orderpriority) AS symbol FROM
 ORACLES["validity_gate"] = chain(out="SELECT symbol, count(*) AS n_missing, count(*) AS n_rows FROM {last} WHERE symbol = '5-LOW' GROUP BY 1")
 ORACLES["repair_log"] = chain({"status": "CASE WHEN i % 7 = 3 OR i % 50 BETWEEN 20 AND 22 OR i = 0 THEN 'repaired' ELSE 'complete' END"}, out="SELECT symbol, status, count(*) AS n_rows FROM {last} GROUP BY 1, 2")
 _GAP = {c: f"CASE WHEN i % 7 = 3 OR i % 50 BETWEEN 20 AND 22 OR i = 0 THEN NULL ELSE {c} END" for c in ("open", "high", "low", "close")}
+_TWICE = f"(CAST(round(b_{{c}} * 100) AS BIGINT) + CAST(round(lead({{v}}) OVER ({O}) * 100) AS BIGINT))"  # in whole cents, half a cent to the even one
+_MEAN = f"({_TWICE} // 2 + {_TWICE} % 2 * ({_TWICE} // 2 % 2)) / 100.0"
 _FIX = {
-    f"f_{c}": f"CASE WHEN g_{c} IS NOT NULL THEN g_{c} WHEN b_{c} IS NULL THEN first_value(g_{c} IGNORE NULLS) OVER ({O} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) WHEN lead(g_{c}) OVER ({O}) IS NOT NULL THEN round_even((b_{c} + lead(g_{c}) OVER ({O})) / 2, 2) ELSE b_{c} END"
+    f"f_{c}": f"CASE WHEN g_{c} IS NOT NULL THEN g_{c} WHEN b_{c} IS NULL THEN first_value(g_{c} IGNORE NULLS) OVER ({O} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) WHEN lead(g_{c}) OVER ({O}) IS NOT NULL THEN {_MEAN.replace('{v}', f'g_{c}').replace('{c}', c)} ELSE b_{c} END"
     for c in _GAP
 }
 ORACLES["nan_repair"] = chain({f"g_{c}": e for c, e in _GAP.items()}, {f"b_{c}": f"last_value(g_{c} IGNORE NULLS) OVER ({O} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)" for c in _GAP}, _FIX, out=cells(*_GAP, of={c: f"f_{c}" for c in _GAP}).replace(", 4)", ", 0)"))
@@ -653,3 +655,123 @@ fresh AS (SELECT *, CASE WHEN dt <= lag(dt) OVER w + INTERVAL 21 DAY THEN 0 ELSE
 session AS (SELECT *, sum(f) OVER (PARTITION BY symbol, type ORDER BY dt, f DESC ROWS UNBOUNDED PRECEDING) AS s FROM fresh)
 SELECT symbol, type, min(i) AS first_i, max(i) AS last_i, min(dt) AS first_dt, max(dt) AS last_dt, count(*) AS n_signals, string_agg(DISTINCT indicator, ',' ORDER BY indicator) AS indicators FROM session GROUP BY symbol, type, s"""
 )
+
+# the calendar: missing rows inserted and repaired
+_GRID = f"""WITH raw AS ({NATION}), numbers AS (SELECT *, row_number() OVER ({P} ORDER BY dt) - 1 AS j FROM raw), held AS (SELECT * FROM numbers WHERE j % 5 <> 2),
+days AS (SELECT DISTINCT dt FROM raw), months AS (SELECT CAST(unnest(generate_series(min(dt), max(dt), INTERVAL 1 MONTH)) AS DATE) AS dt FROM raw), names AS (SELECT DISTINCT symbol FROM held)"""
+_HOLES = {c: f"CASE WHEN {c} IS NOT NULL THEN {c} WHEN b_{c} IS NULL THEN first_value({c} IGNORE NULLS) OVER ({O} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) WHEN lead({c}) OVER ({O}) IS NOT NULL THEN {_MEAN.replace('{v}', c).replace('{c}', c)} ELSE b_{c} END" for c in ("open", "close")}
+ORACLES["calendar_align"] = f"""{_GRID},
+grid AS (SELECT s.symbol, d.dt, h.open, h.close, row_number() OVER (PARTITION BY s.symbol ORDER BY d.dt) - 1 AS i FROM names s CROSS JOIN days d LEFT JOIN held h ON h.symbol = s.symbol AND h.dt = d.dt),
+before AS (SELECT *, {', '.join(f"last_value({c} IGNORE NULLS) OVER ({O} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b_{c}" for c in _HOLES)} FROM grid)
+SELECT symbol, i, {', '.join(f"round({e}, 4) + 0.0 AS {c}" for c, e in _HOLES.items())} FROM before"""
+ORACLES["calendar_inserted"] = f"""{_GRID},
+grid AS (SELECT s.symbol, d.dt, h.close, row_number() OVER (PARTITION BY s.symbol ORDER BY d.dt) - 1 AS i, h.symbol IS NULL AS missing FROM names s CROSS JOIN months d LEFT JOIN held h ON h.symbol = s.symbol AND h.dt = d.dt)
+SELECT symbol, i, dt FROM grid WHERE missing"""
+
+# files
+ORACLES["ledger_files"] = """SELECT 'FUND' || l_suppkey % 7 AS ticker, 'Fund of part, ' || l_suppkey % 7 AS title, 1e6::DOUBLE AS start_capital, 'P' || l_partkey % 50 AS stock, CASE WHEN l_returnflag = 'R' THEN 'Sell' ELSE 'Buy' END AS action, count(*) AS n_trades,
+    min(o_orderdate)::DATE AS first_dt, max(o_orderdate)::DATE AS last_dt, round(sum(l_quantity::DECIMAL(18, 2))::DOUBLE, 2) + 0.0 AS shares, round(sum(l_extendedprice::DECIMAL(18, 2))::DOUBLE, 2) + 0.0 AS amount FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2, 3, 4, 5"""
+ORACLES["config_files"] = """SELECT upper(n_name) AS symbol, p AS period, m AS months, i AS interval, CASE WHEN r_regionkey % 2 = 0 AND r_regionkey > 2 THEN 'bci,mci' WHEN r_regionkey % 2 = 0 THEN 'mci' WHEN r_regionkey > 2 THEN 'bci' ELSE '' END AS indexes,
+    CASE WHEN r_regionkey > 0 THEN lower(r_name) ELSE '' END AS export FROM nation JOIN region ON n_regionkey = r_regionkey CROSS JOIN (VALUES ('2y', 24, '1wk'), ('5y', 60, '1d')) t(p, m, i)"""
+ORACLES["export_csv"] = ORACLES["export_pivot"]
+_THREE = {"average": "ma_crossovers", "awesome": "awesome_zero", "atr": "atr_signals"}
+ORACLES["export_json"] = (
+    "WITH found AS (" + " UNION ALL ".join(f"SELECT symbol, '{k}' AS indicator FROM ({ORACLES[q]})" for k, q in _THREE.items())
+    + f"), counted AS (SELECT symbol, indicator, count(*) AS n FROM found GROUP BY 1, 2), series AS ({chain(*_ATR, _SMA3, out='SELECT symbol, i, short, medium, atr FROM {last}')}), "
+    + """cells AS (SELECT symbol, 'average' AS indicator, 'short' AS component, i, short AS v FROM series UNION ALL SELECT symbol, 'average', 'medium', i, medium FROM series UNION ALL SELECT symbol, 'atr', 'atr', i, atr FROM series)
+SELECT c.symbol, c.indicator, component, coalesce(max(n), 0) AS n_signals, count(*) AS n_values, round(arg_max(v, i), 4) + 0.0 AS last FROM cells c LEFT JOIN counted d ON d.symbol = c.symbol AND d.indicator = c.indicator GROUP BY 1, 2, 3"""
+)
+
+# stop and reverse: the slow pass goes on with the side and the extreme that the fast one ended with
+def _sar(name: str, base: float, first: str) -> str:
+    """first: symbol, sar, ext and up at row 4."""
+    now = "(m.sar + m.fac * (m.ext - m.sar))"
+    broke, along = f"CASE WHEN m.up THEN s.low < {now} ELSE s.high > {now} END", "CASE WHEN m.up THEN s.high > m.ext ELSE s.low < m.ext END"
+    return f"""{name} AS (SELECT symbol, CAST(4 AS BIGINT) AS i, sar, ext, {base!r}::DOUBLE AS fac, up, false AS turn FROM ({first}) UNION ALL SELECT s.symbol, CAST(s.i AS BIGINT), CASE WHEN {broke} THEN m.ext ELSE {now} END,
+    CASE WHEN {broke} THEN CASE WHEN m.up THEN s.low ELSE s.high END WHEN {along} THEN CASE WHEN m.up THEN s.high ELSE s.low END ELSE m.ext END, CASE WHEN {broke} THEN {base!r} WHEN {along} THEN least(m.fac + {base!r}, 0.2) ELSE m.fac END, CASE WHEN {broke} THEN NOT m.up ELSE m.up END, {broke}
+    FROM {name} m JOIN bars s ON s.symbol = m.symbol AND s.i = m.i + 1)"""
+
+
+_SAR = f"""WITH RECURSIVE {_BARS},
+start AS (SELECT symbol, max(high) AS top, min(low) AS bottom, regr_slope(close, i) FILTER (WHERE i < 4) > 0 AS up FROM bars WHERE i < 5 GROUP BY 1 HAVING count(*) = 5),
+{_sar("fast", 0.02, "SELECT symbol, CASE WHEN up THEN bottom ELSE top END AS sar, CASE WHEN up THEN top ELSE bottom END AS ext, up FROM start")},
+ended AS (SELECT symbol, arg_max(ext, i) AS ext, arg_max(up, i) AS up FROM fast GROUP BY 1),
+{_sar("slow", 0.01, "SELECT e.symbol, CASE WHEN s.up THEN s.bottom ELSE s.top END AS sar, e.ext, e.up FROM ended e JOIN start s ON s.symbol = e.symbol")}"""
+_PASSES = [("fast", "f"), ("slow", "g")]
+ORACLES["psar"] = f"""{_SAR}
+SELECT b.symbol, b.i, {', '.join(f"round(coalesce({t}.sar, close), 4) + 0.0 AS sar_{n}, round(round_even((close - coalesce({t}.sar, close)) / nullif(coalesce({t}.sar, close), 0) * 100.0, 3), 4) + 0.0 AS sar_{n}_pct" for n, t in _PASSES)}
+FROM bars b LEFT JOIN fast f ON f.symbol = b.symbol AND f.i = b.i LEFT JOIN slow g ON g.symbol = b.symbol AND g.i = b.i"""
+ORACLES["psar_signals"] = f"{_SAR}\n" + " UNION ALL ".join(f"SELECT t.symbol, t.i, b.dt, CASE WHEN up THEN 'bullish' ELSE 'bearish' END AS type, CASE WHEN up THEN 'downtrend broken-{n}' ELSE 'upward broken-{n}' END AS value FROM {n} t JOIN bars b ON b.symbol = t.symbol AND b.i = t.i WHERE turn" for n, _ in _PASSES)
+
+# swings: st is the block, kind the event, v the score
+_STATE = "CASE WHEN i < {n} THEN 'n' WHEN short > medium AND medium > long THEN 'u3' WHEN short > medium AND short > long THEN 'u2' WHEN short > medium OR short > long THEN 'u1' WHEN short < medium AND medium < long THEN 'e3' WHEN short < medium AND short < long THEN 'e2' WHEN short < medium OR short < long THEN 'e1' ELSE 'n' END"
+_SWUNG = "WHEN now = 'u2' THEN CASE WHEN was LIKE 'e%' THEN {a} ELSE {z} END WHEN now = 'u3' AND was <> 'u3' AND m.st <> 'u' THEN {b} WHEN c > y THEN {c} WHEN now = 'e2' THEN CASE WHEN was LIKE 'u%' THEN {d} ELSE {z} END WHEN now = 'e3' AND was <> 'e3' AND m.st <> 'e' THEN {e} WHEN c < y THEN {f}"
+
+
+def swung(**k: str) -> str:
+    return "CASE WHEN s.i = 0 THEN {z} ".format(**k) + _SWUNG.format(**k) + f" ELSE {k['z']} END"
+
+
+_SWINGS = machine("swung", "sw", {"st": "''", "v": "0"}, {"st": swung(a="'u1'", b="'u'", c="m.st", d="'e1'", e="'e'", f="m.st", z="m.st"), "v": swung(a="0.5", b="1.0", c="0.1", d="-0.5", e="-1.0", f="-0.1", z="0.0")}, swung(a="'bullish'", b="'bullish'", c="NULL", d="'bearish'", e="'bearish'", f="NULL", z="NULL"))
+
+
+def swing_series(stages: list, after: int, scaled_first: bool) -> str:
+    head = chain(*stages, {"now": _STATE.replace("{n}", str(after))}, {"was": lag("now")}, out=", sw AS (SELECT symbol, i, n, dt, now, was, close AS c, long AS y FROM {last})").replace("\n, sw", ",\nsw").replace("WITH ", "WITH RECURSIVE ", 1)
+    whole_scale = largest("y0") if scaled_first else "y0"
+    return f"{head},\n{_SWINGS},\ng0 AS (SELECT s.symbol, s.i, s.n, s.dt, v, w.kind FROM swung w JOIN sw s ON s.symbol = w.symbol AND s.i = w.i), g1 AS (SELECT *, {spread('v', (1.0, 0.55, 0.25, 0.1))} AS y0 FROM g0), g2 AS (SELECT *, {whole_scale} AS y1 FROM g1), g3 AS (SELECT *, {sma('y1', 7)} AS metric FROM g2)\n"
+
+
+_HULL = [{f"h{n}": f"2.0 * ({wma('close', n // 2)}) - ({wma('close', n)})" for n in (9, 16, 36)}, {"short": wma("h9", 3), "medium": wma("h16", 4), "long": wma("h36", 6)}]
+_SHOWN = "SELECT symbol, i, round(v, 4) + 0.0 AS swing, round(metric, 4) + 0.0 AS metric FROM g3"
+ORACLES["swing_trade"] = swing_series([_SWING], 18, False) + _SHOWN
+ORACLES["hull_swing"] = swing_series(_HULL, 36, True) + _SHOWN
+ORACLES["swing_signals"] = swing_series([_SWING], 18, False) + "SELECT symbol, i, dt, kind AS type, CASE WHEN abs(v) = 0.5 THEN 'swing crossover' WHEN v > 0 THEN 'confirmed bull trend' ELSE 'confirmed bear trend' END || ' (4-9-18)' AS value FROM g3 WHERE kind IS NOT NULL"
+
+# volume: one side is carried through the averages of 10, 20 and 40 rows
+_SIDES = " UNION ALL ".join(f"SELECT symbol, i, dt, {n} AS k, CASE WHEN obv > s{n} THEN 1 WHEN obv < s{n} THEN -1 END AS sg FROM {{last}}" for n in (10, 20, 40))
+ORACLES["obv_signals"] = chain(
+    *_OBV, {f"s{n}": sma("obv", n) for n in (10, 20, 40)}, {"d": f"obv - s20"}, {"spike": f"CASE WHEN abs(d) > max(abs(d)) OVER ({P}) / 2.5 THEN d ELSE 0.0 END"},
+    out=f"SELECT symbol, i, dt, CASE WHEN sg > 0 THEN 'bullish' ELSE 'bearish' END AS type, 'obv crossover (' || k || 'd)' AS value FROM (SELECT *, last_value(sg IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY k, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS held FROM ({_SIDES})) WHERE sg <> held UNION ALL SELECT symbol, i, dt, 'bullish', 'significant spike: ' || CAST(trunc(spike) AS BIGINT) FROM {{last}} WHERE spike > 0",
+)
+_DEMAND = [
+    {"v": f"CASE WHEN i > 0 THEN greatest(high, {lag('high')}) - least(low, {lag('low')}) ELSE 0.0 END"}, {"a": sma("v", 10)}, {"k": "coalesce(3.0 * close / nullif(a, 0), 0.0)"}, {"p": "(close - open) / nullif(open, 0) * k"},
+    {"b": "CASE WHEN p = 0 THEN 0.0 WHEN p > 0 THEN volume ELSE volume / p END", "s": "CASE WHEN p = 0 THEN 0.0 WHEN p > 0 THEN volume / p ELSE volume END"}, {"x": "coalesce(CASE WHEN abs(b) > abs(s) THEN s / nullif(b, 0) ELSE b / nullif(s, 0) END, 0.0)"},
+    {"l": so_far("x")}, {"di": f"coalesce({ema('x', 'l', 10)}, 0.0)"}, {f"d{w}": f"coalesce({sma('di', w)}, 0.0)" for w in (3, 4, 5, 7, 10)} | {f"c{w}": f"coalesce({sma('close', w)}, 0.0)" for w in (3, 4, 5, 7, 10)},
+]
+
+
+def turned(x: str, line: str) -> list[str]:
+    """The side of x to line, the first one down unless it is above; and where it changes."""
+    side_now = f"CASE WHEN {x} > {line} THEN 1 WHEN i = 0 OR {x} < {line} THEN -1 END"
+    return [side_now, f"CASE WHEN {{c}} <> last_value({{c}} IGNORE NULLS) OVER ({O} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN {{c}} END"]
+
+
+_TURNS = {"z": ("di", "0.0")} | {f"td{w}": ("di", f"d{w}") for w in (3, 4, 5, 7, 10)} | {f"tc{w}": ("close", f"c{w}") for w in (3, 4, 5, 7, 10)}
+_NAMED = "CASE WHEN {t} > 0 THEN 'bullish' ELSE 'bearish' END"
+ORACLES["demand_signals"] = chain(
+    *_DEMAND, {k: turned(*xy)[0] for k, xy in _TURNS.items()}, {f"{k}_t": turned(*xy)[1].replace("{c}", k) for k, xy in _TURNS.items()},
+    {f"q{w}": f"close - c{w}" for w in (5, 10)}, {f"first{w}": f"first_value(q{w}) OVER ({O})" for w in (5, 10)},
+    {f"held{w}": f"coalesce(last_value(CASE WHEN td{w}_t IS NOT NULL THEN q{w} END IGNORE NULLS) OVER ({O} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), first{w})" for w in (5, 10)},
+    out=" UNION ALL ".join(
+        [f"SELECT symbol, i, dt, {_NAMED.format(t='z_t')} AS type, 'zero crossover' AS value FROM {{last}} WHERE z_t IS NOT NULL"]
+        + [f"SELECT symbol, i, dt, {_NAMED.format(t=f'td{w}_t')}, 'dual-signal-line {w}d divergence' FROM {{last}} WHERE td{w}_t * tc{w}_t < 0" for w in (3, 4, 5, 7, 10)]
+        + [f"SELECT symbol, i, dt, {_NAMED.format(t=f'-td{w}_t')}, 'signal-line zone {w}d divergence' FROM {{last}} WHERE td{w}_t * held{w} > 0 AND td{w}_t * q{w} > 0" for w in (5, 10)]
+    ),
+)
+_MOMENTUM = [{"d": f"coalesce(close - {lag('close')}, 0.0)"}, {"u": over("sum(greatest(d, 0.0))", -18, -1), "w": over("sum(greatest(-d, 0.0))", -18, -1)}, {"momentum": "coalesce(CASE WHEN i < 19 THEN 0.0 ELSE (u - w) / nullif(u + w, 0) * 100.0 END, 0.0)"}]
+ORACLES["momentum_signals"] = recursive(
+    _MOMENTUM, ["src AS (SELECT symbol, i, momentum AS x FROM base)", zigzag("z", "src", 0.0).replace("abs(a) * 0.0", "10.0"), f"ends AS (SELECT z.symbol, CAST(z.was_place AS BIGINT) AS i, z.was AS v, z.kind, b.close FROM z JOIN base b ON b.symbol = z.symbol AND b.i = CAST(z.was_place AS BIGINT) WHERE z.kind IS NOT NULL)",
+    "pairs AS (SELECT *, lag(v) OVER w AS v0, lag(close) OVER w AS c0 FROM ends WINDOW w AS (PARTITION BY symbol, kind ORDER BY i))"],
+    "SELECT symbol, i, CASE WHEN kind = 'max' THEN 'bearish' ELSE 'bullish' END AS type, 'divergence' AS value, 1.0 AS score FROM pairs WHERE CASE WHEN kind = 'max' THEN v < v0 AND close > c0 ELSE v > v0 AND close < c0 END", _EVENTS,
+)
+
+# the last ten rows of every indicator
+_ALL = {
+    "average": "ma_crossovers", "exponential_average": "ema_crossovers", "swing": "swing_signals", "parabolic_sar": "psar_signals", "stochastic": "stochastic_signals", "rsi": "rsi_signals", "ultimate": "ultimate_signals", "macd": "macd_signals", "awesome": "awesome_signals",
+    "rate_of_change": "roc_signals", "know_sure_thing": "kst_signals", "commodity_channel": "cci_signals", "bear_bull": "bear_bull_signals", "total_power": "total_power_signals", "bollinger": "bollinger_signals", "true_range": "atr_signals", "directional": "adx_signals",
+    "balance_volume": "obv_signals", "demand": "demand_signals",
+}
+_EACH = {k: ORACLES[q] for k, q in _ALL.items()} | {"candlesticks": ORACLES["candle_signals"].replace(LINES, raw_bars()), "momentum": ORACLES["momentum_signals"].replace("10.0 OR", "40.0 OR").replace("+ 10.0", "+ 40.0").replace("- 10.0", "- 40.0")}
+ORACLES["last_signals"] = "WITH found AS (" + " UNION ALL ".join(f"SELECT symbol, i, dt, type, value, '{k}' AS indicator FROM ({q})" for k, q in _EACH.items()) + f"""),
+lasts AS (SELECT symbol, count(*) - 1 AS last_i FROM ({raw_bars()}) GROUP BY 1)
+SELECT f.symbol, indicator, i, dt, type, value, last_i - i AS days_ago FROM found f JOIN lasts l ON l.symbol = f.symbol WHERE i >= last_i - 10"""

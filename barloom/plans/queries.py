@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.series import neat, over_largest, slope
 from ..operators import candles, cross, features, fundamentals, lines, oscillators, portfolio, report, trend, volatility
 from ..sources import bars as src
+from ..sources import files
 from ..streaming.bars import batch_bars
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +65,7 @@ on_bars("nan_repair", lambda b: src.repair(_gappy(b)).select("symbol", "i", *[ne
 on_bars("repair_log", lambda b: src.repair_log(_gappy(b)).select("symbol", "status", "n_rows"))
 on_bars("validity_gate", lambda b: src.invalid(b.withColumn("close", F.when(F.col("symbol") != "5-LOW", F.col("close")))).select("symbol", "n_missing", "n_rows"))
 QUERIES["calendar_align"] = lambda spark, sf: series(src.aligned(src.nation_bars(spark, sf).filter("i % 5 <> 2"), src.nation_bars(spark, sf)), "open", "close")
+QUERIES["calendar_inserted"] = lambda spark, sf: src.inserted((b := src.nation_bars(spark, sf)).filter("i % 5 <> 2"), src.calendar_of(b))
 on_bars("wide_to_long", lambda b: src.from_wide(b.groupBy("dt").pivot("symbol", ["1-URGENT", "5-LOW"]).agg(*[F.first(c).alias(c) for c in ("open", "high", "low", "close", "adj_close", "volume")]), ["1-URGENT", "5-LOW"]).select("symbol", "dt", neat("close").alias("close")))
 on_bars("stats_high_level", cross.head_statistics)
 
@@ -119,7 +121,7 @@ on_signals("awesome_signals", oscillators.awesome_signals)
 on_signals("awesome_zero", lambda b: oscillators.zero_crossings(oscillators.awesome(b), "awesome"))
 on_bars("awesome_metric", oscillators.awesome_metric, "metric")
 on_bars("momentum", oscillators.momentum, "momentum", "momentum_line", "compared")
-on_signals("momentum_signals", oscillators.momentum_signals)
+on_signals("momentum_signals", lambda b: oscillators.momentum_signals(b, 0.1))
 on_bars("momentum_metric", oscillators.momentum_metric, "metric", "change")
 on_bars("roc", oscillators.rate_of_change, "roc_10", "roc_20", "roc_40")
 on_signals("roc_signals", oscillators.roc_signals)
@@ -232,7 +234,7 @@ def _series(b: DataFrame) -> DataFrame:
     return report.long_series(trend.triple_average(b), "average", "short", "medium").unionByName(report.long_series(volatility.average_true_range(b), "atr", "atr"))
 
 
-on_bars("last_signals", lambda b: report.last_signals(_found(b), b))
+on_bars("last_signals", lambda b: report.last_signals(report.indicator_signals(b), b))
 on_bars("merged_signals", lambda b: report.merged_signals(report.all_signals({"average": trend.crossovers(trend.triple_average(b)), "stochastic": oscillators.stochastic_signals(b), "rsi": oscillators.rsi_signals(b), "macd": oscillators.macd_signals(b)})))
 on_bars("overall_metric", lambda b: rounded(report.overall_metric({"bands": ("trend", volatility.bollinger_metric(b), "metric"), "rsi": ("oscillator", oscillators.rsi_metric(b), "metric")})))
 on_bars("synopsis", lambda b: rounded(report.synopsis(_series(b), {"average": "trend", "atr": "oscillator"})))
@@ -254,6 +256,58 @@ def _dividends(spark: SparkSession, sf: str) -> DataFrame:
     return b.select("symbol", "dt", F.bround(F.col("close") * 0.01, 2).alias("dividend"))
 
 
+def _ledger_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The trades with a fund for each ship mode of their suppliers: a ledger file each."""
+    o, x = src.read_table(spark, sf, "orders"), src.read_table(spark, sf, "lineitem")
+    df = x.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    return df.select(
+        F.concat(F.lit("FUND"), (F.col("l_suppkey") % 7).cast("string")).alias("ticker"), F.concat(F.lit("Fund of part, "), (F.col("l_suppkey") % 7).cast("string")).alias("title"), F.lit(1e6).alias("start_capital"), F.concat(F.lit("P"), F.col("l_partkey") % 50).alias("stock"),
+        F.when(F.col("l_returnflag") == "R", "Sell").otherwise("Buy").alias("action"), F.round(F.col("l_extendedprice") / F.col("l_quantity"), 2).alias("price"), F.col("o_orderdate").cast("date").alias("dt"), F.col("l_extendedprice").alias("amount"), F.col("l_quantity").alias("shares"),
+    )
+
+
+def ledger_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Write ledgers, read them back, and sum up what each stock did in each fund."""
+    path = files.shared_path(spark, "ledgers")
+    files.write_ledgers(_ledger_rows(spark, sf), path)
+    back = spark.read.format("ledger").load(path)
+    return rounded(back.groupBy("ticker", "title", "start_capital", "stock", "action").agg(F.count("*").alias("n_trades"), F.min("dt").alias("first_dt"), F.max("dt").alias("last_dt"), F.sum(F.col("shares").cast("decimal(18,2)")).cast("double").alias("shares"), F.sum(F.col("amount").cast("decimal(18,2)")).cast("double").alias("amount")), 2)
+
+
+def config_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Write a run configuration for each region, of its nations, and read what is to run."""
+    n, r = src.read_table(spark, sf, "nation"), src.read_table(spark, sf, "region")
+    symbols = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name", "r_regionkey").agg(F.array_sort(F.collect_list(F.lower("n_name"))).alias("symbols"))
+    indexes = F.struct((F.col("r_regionkey") % 2 == 0).alias("mci"), (F.col("r_regionkey") > 2).alias("bci"))
+    own = F.struct(F.array(F.lit("2y"), F.lit("5y")).alias("Period"), F.array(F.lit("1w")).alias("Interval"), indexes.alias("Indexes"))
+    text = F.to_json(F.struct(own.alias("Properties"), F.struct((F.col("r_regionkey") > 0).alias("run"), F.lower("r_name").alias("fields")).alias("Exports"), F.col("symbols").alias("Ticker Symbols")))
+    path = files.shared_path(spark, "configs")
+    symbols.select(text.alias("value")).write.text(path)
+    files.register(spark)
+    found = spark.read.format("run_config").load(path)
+    return found.select("symbol", "period", "months", "interval", F.array_join("indexes", ",").alias("indexes"), "export")
+
+
+def exported_csv(spark: SparkSession, sf: str) -> DataFrame:
+    path = files.shared_path(spark, "export")
+    report.write_csv(report.export_pivot(_series(src.weekly_bars(spark, sf)), ["average-short", "average-medium", "atr-atr"]), path)
+    back = spark.read.option("header", True).csv(path)
+    return rounded(back.select("symbol", F.col("i").cast("long").alias("i"), *[F.col(f"`{c}`").cast("double").alias(c) for c in ("average-short", "average-medium", "atr-atr")]))
+
+
+def exported_json(spark: SparkSession, sf: str) -> DataFrame:
+    path = files.shared_path(spark, "export")
+    report.write_json(report.document(_series(src.weekly_bars(spark, sf)), _found(src.weekly_bars(spark, sf))), path)
+    shape = "struct<tabular: map<string, array<double>>, signals: array<struct<i: long, type: string>>>"
+    back = spark.read.schema("symbol string, indicator string, document string").json(path).select("symbol", "indicator", F.from_json("document", shape).alias("d"))
+    cells = back.select("symbol", "indicator", F.size("d.signals").alias("n_signals"), F.explode("d.tabular").alias("component", "v"))
+    return rounded(cells.select("symbol", "indicator", "component", F.greatest("n_signals", F.lit(0)).alias("n_signals"), F.size("v").alias("n_values"), F.element_at("v", -1).alias("last")))
+
+
+QUERIES["ledger_files"] = ledger_files
+QUERIES["config_files"] = config_files
+QUERIES["export_csv"] = exported_csv
+QUERIES["export_json"] = exported_json
 QUERIES["synthetic_fund"] = lambda spark, sf: _logs(portfolio.synthetic_fund(src.nation_bars(spark, sf), _weights(spark, sf).withColumnRenamed("name", "fund").withColumn("weight", F.col("weight") * 0.9).unionByName(src.read_table(spark, sf, "region").select(F.col("r_name").alias("fund"), F.lit(portfolio.CASH).alias("symbol"), F.lit(0.1).alias("weight")))), "fund")
 QUERIES["ledger_sim"] = lambda spark, sf: rounded(portfolio.ledger_simulation(_trades(spark, sf), src.weekly_bars(spark, sf)), 2)
 QUERIES["holdings"] = lambda spark, sf: rounded(portfolio.holdings(_trades(spark, sf), src.weekly_bars(spark, sf)), 2)

@@ -114,7 +114,7 @@ def repaired(x: str, order: str = "i") -> Column:
     after = F.first(v, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
     prev, following = F.lag(v).over(w), F.lead(v).over(w)
     # within a longer gap all rows but the last repeat the price before it; the last has a repaired neighbour and a real one
-    return F.coalesce(v, F.when(before.isNull(), after).when(following.isNotNull(), F.bround((F.coalesce(prev, before) + following) / 2, 2)).otherwise(before))
+    return F.coalesce(v, F.when(before.isNull(), after).when(following.isNotNull(), F.bround(F.round((F.coalesce(prev, before) + following) / 2, 6), 2)).otherwise(before))
 
 
 def repair(bars: DataFrame) -> DataFrame:
@@ -146,6 +146,18 @@ def aligned(bars: DataFrame, calendar: DataFrame) -> DataFrame:
     return repair(numbered(grid.join(bars.drop("i", "n"), ["symbol", "dt"], "left")))
 
 
+def calendar_of(bars: DataFrame, interval: str = "1 month") -> DataFrame:
+    """dt of every period from the first to the last bar, whether or not a symbol has one."""
+    ends = bars.agg(F.min("dt").alias("a"), F.max("dt").alias("b"))
+    return ends.filter("a is not null").select(F.explode(F.expr(f"sequence(a, b, interval {interval})")).alias("dt"))
+
+
+def inserted(bars: DataFrame, calendar: DataFrame) -> DataFrame:
+    """The rows that aligned() inserts: symbol, i (the place in the aligned series) and dt, for dates of calendar without a bar."""
+    have = bars.select("symbol", "dt")
+    return aligned(bars, calendar).select("symbol", "i", "dt").join(have, ["symbol", "dt"], "left_anti").select("symbol", "i", "dt")
+
+
 def symbols_of(bars: DataFrame) -> DataFrame:
     return bars.select(F.upper("symbol").alias("symbol")).distinct()
 
