@@ -243,18 +243,14 @@ def contribution_race(scenarios: DataFrame, months: int = 504, switch: int = 120
     return df.select("scenario", "month", first.alias("early"), second.alias("late"))
 
 
-def stochastic_race(spark: SparkSession, runs: int = 100, months: int = 504, switch: int = 120, contribution: float = 6_000.0, mean: float = 0.06, deviation: float = 0.12, seed: int = 7) -> DataFrame:
-    """The race with growth drawn for each month from a normal distribution, by run; a run's draws follow from seed and run."""
-
-    def play(pdf: pd.DataFrame) -> pd.DataFrame:
-        rng = np.random.default_rng([seed, int(pdf["run"].iloc[0])])
-        early = late = 0.0
-        for k, g in enumerate(rng.normal(mean, deviation, months)):
-            early = early * (1 + g / 12) + (contribution / 12 if k < switch else 0.0)
-            late = late * (1 + g / 12) + (contribution / 12 if k >= switch else 0.0)
-        return pd.DataFrame({"run": pdf["run"], "early": [early], "late": [late]})
-
-    return spark.range(runs).withColumnRenamed("id", "run").groupBy("run").applyInPandas(play, "run long, early double, late double")
+def race_over(bars: DataFrame, switch: int = 24, payment: float = 500.0) -> DataFrame:
+    """Two savers over each symbol's own prices: one buys for a payment at each of the first closes, the other at all later ones.
+
+    What they hold in the end is what they paid, grown by the symbol's changes from row to row: symbol, n_rows, early, late.
+    """
+    bought = F.lit(payment) / F.nullif("close", F.lit(0.0))
+    sums = bars.groupBy("symbol").agg(F.count("*").alias("n_rows"), F.max_by("close", "i").alias("_last"), F.sum(F.when(F.col("i") < switch, bought)).alias("_a"), F.sum(F.when(F.col("i") >= switch, bought)).alias("_b"))
+    return sums.select("symbol", "n_rows", *[(F.coalesce(x, F.lit(0.0)) * F.col("_last")).alias(name) for x, name in (("_a", "early"), ("_b", "late"))])
 
 
 def change_of(df: DataFrame, x: str) -> DataFrame:

@@ -5,7 +5,7 @@ chain() builds one statement: bars, then a stage for each dict of new columns, t
 
 from __future__ import annotations
 
-from ..sources.bars import SCRIPTS
+from .candle_rows import SCRIPTS
 from .candle_sql import OUTCOMES, seen, seen_by_body
 from . import line_sql
 from .machine_sql import above_total, band_exit, band_extremes, confirmed_sign, double_turn, level_crossing, lows, machine, rejection, saucer, swings, twin_peaks, two_lows, zigzag, zone_crossing, zone_divergence, zone_exit, zone_turns
@@ -775,3 +775,9 @@ _EACH = {k: ORACLES[q] for k, q in _ALL.items()} | {"candlesticks": ORACLES["can
 ORACLES["last_signals"] = "WITH found AS (" + " UNION ALL ".join(f"SELECT symbol, i, dt, type, value, '{k}' AS indicator FROM ({q})" for k, q in _EACH.items()) + f"""),
 lasts AS (SELECT symbol, count(*) - 1 AS last_i FROM ({raw_bars()}) GROUP BY 1)
 SELECT f.symbol, indicator, i, dt, type, value, last_i - i AS days_ago FROM found f JOIN lasts l ON l.symbol = f.symbol WHERE i >= last_i - 10"""
+
+# savers
+_SAVED = "CASE WHEN g = 0 THEN pay * {n} ELSE pay * (pow(g + 1.0, {n}) - 1.0) / g END"
+_SAVERS = "SELECT c_custkey AS scenario, c_custkey % 10 / 100.0 / 12.0 AS g, (c_custkey % 10 * 1000.0 + 5000.0) / 12.0 AS pay, unnest(range(1, 61)) AS month FROM customer"
+ORACLES["contribution_race"] = f"SELECT scenario, month, round(({_SAVED.format(n='least(month, 24)')}) * pow(g + 1.0, greatest(month - 24, 0)), 2) + 0.0 AS early, round({_SAVED.format(n='greatest(month - 24, 0)')}, 2) + 0.0 AS late FROM (SELECT scenario, month, g::DOUBLE AS g, pay::DOUBLE AS pay FROM ({_SAVERS}))"
+ORACLES["price_race"] = chain(out="SELECT symbol, count(*) AS n_rows, round(coalesce(sum(500.0 / close) FILTER (WHERE i < 24), 0.0) * max_by(close, i), 1) + 0.0 AS early, round(coalesce(sum(500.0 / close) FILTER (WHERE i >= 24), 0.0) * max_by(close, i), 1) + 0.0 AS late FROM {last} GROUP BY 1", source=NATION)

@@ -12,6 +12,7 @@ from ..operators import candles, cross, features, fundamentals, lines, oscillato
 from ..sources import bars as src
 from ..sources import files
 from ..streaming.bars import batch_bars
+from .candle_rows import line_candles
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -188,12 +189,12 @@ def _obv_lines(b: DataFrame) -> DataFrame:
 # candles
 on_bars("candle_class", lambda b: candles.classify(b).select("symbol", "i", "trend", "body", "vol_body", "white", "doji", neat("shadow_ratio").alias("shadow_ratio")))
 on_bars("candle_patterns", candles.all_patterns)
-on_bars("candle_patterns_line", candles.all_patterns, find=src.line_candles)
+on_bars("candle_patterns_line", candles.all_patterns, find=line_candles)
 on_signals("candle_signals", candles.candle_signals)
-on_bars("candle_reversals", candles.reversal_patterns, find=src.line_candles)
-on_bars("candle_reversals_unconfirmed", lambda b: candles.reversal_patterns(b, confirmed=False), find=src.line_candles)
+on_bars("candle_reversals", candles.reversal_patterns, find=line_candles)
+on_bars("candle_reversals_unconfirmed", lambda b: candles.reversal_patterns(b, confirmed=False), find=line_candles)
 for _p in candles.PATTERNS:
-    on_bars(f"candle_{_p.replace(' ', '_')}", lambda b, p=_p: candles.pattern(b, p), find=src.line_candles)
+    on_bars(f"candle_{_p.replace(' ', '_')}", lambda b, p=_p: candles.pattern(b, p), find=line_candles)
 
 # across symbols
 on_market("beta", lambda b, m: rounded(cross.beta(b, m)))
@@ -314,10 +315,18 @@ QUERIES["holdings"] = lambda spark, sf: rounded(portfolio.holdings(_trades(spark
 QUERIES["dividends_quarterly"] = lambda spark, sf: rounded(portfolio.dividends_quarterly(_dividends(spark, sf), (b := src.weekly_bars(spark, sf)), b.groupBy("symbol").agg(F.lit(100.0).alias("shares"))))
 QUERIES["buy_hold"] = lambda spark, sf: portfolio.buy_and_hold(src.weekly_bars(spark, sf), _dividends(spark, sf), 10_000_000.0)
 on_bars("cluster_strategy", lambda b: portfolio.cluster_strategy(b, 100_000_000.0))
-QUERIES["retirement_sim"] = lambda spark, sf: rounded(portfolio.retirement(portfolio.scenario_grid(spark)), 2)
+
+
+def _savers(spark: SparkSession, sf: str) -> DataFrame:
+    """A scenario for each customer."""
+    c = src.read_table(spark, sf, "customer").select(F.col("c_custkey").alias("scenario"), (F.col("c_custkey") % 10).alias("k"))
+    return c.select("scenario", (F.col("k") / 100.0).alias("rate"), (F.col("k") * 1000.0 + 5000.0).alias("contribution"), (0.05 + F.col("k") / 200.0).alias("growth_high"), F.lit(0.04).alias("growth_low"), F.lit(40_000.0).alias("withdrawal"), F.lit(43).alias("years_worked"), (F.col("k") / 10.0).alias("roth_share"))
+
+
+QUERIES["retirement_sim"] = lambda spark, sf: rounded(portfolio.retirement(_savers(spark, sf).select("scenario", "contribution", "growth_high", "growth_low", "withdrawal", "years_worked", "roth_share")), 2)
 QUERIES["tax_brackets"] = lambda spark, sf: rounded(portfolio.income_tax(src.read_table(spark, sf, "orders").select("o_orderkey", F.col("o_totalprice").alias("income")))).withColumn("effective_rate", neat("effective_rate", 1))
-QUERIES["contribution_race"] = lambda spark, sf: rounded(portfolio.contribution_race(spark.createDataFrame([(1, 0.06, 6000.0), (2, 0.09, 12000.0), (3, 0.0, 6000.0)], "scenario long, rate double, contribution double")), 2)
-QUERIES["stochastic_race"] = lambda spark, sf: portfolio.stochastic_race(spark)
+QUERIES["contribution_race"] = lambda spark, sf: rounded(portfolio.contribution_race(_savers(spark, sf), 60, 24), 2)
+QUERIES["price_race"] = lambda spark, sf: rounded(portfolio.race_over(src.nation_bars(spark, sf)), 1)
 
 # fundamentals: suppliers as companies, with items made from their parts
 

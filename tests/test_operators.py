@@ -70,7 +70,8 @@ def test_retirement_and_taxes(spark):
     assert out.filter("roth < 0 or trad < 0 or brokerage < 0").count() == 0
     race = portfolio.contribution_race(spark.createDataFrame([(1, 0.0, 1200.0)], "scenario long, rate double, contribution double")).filter("month = 504").collect()[0]
     assert (race["early"], race["late"]) == (12000.0, 38400.0)
-    assert portfolio.stochastic_race(spark, 3).orderBy("run").collect() == portfolio.stochastic_race(spark, 3).orderBy("run").collect()
+    held = portfolio.race_over(bars(spark, [10.0, 20.0, 40.0]), 2, 100.0).first()
+    assert (held["n_rows"], held["early"], held["late"]) == (3, 600.0, 100.0)
 
 
 def test_fundamentals(spark):

@@ -77,7 +77,7 @@ def test_nearest_levels(spark):
 
 def test_reversals_are_confirmed_by_the_oscillator(spark, sf):
     from barloom.plans.queries import QUERIES
-    from barloom.sources.bars import line_candles
+    from barloom.plans.candle_rows import line_candles
 
     every = {(r["symbol"], r["i"]): r["value"] for r in QUERIES["candle_reversals_unconfirmed"](spark, sf).collect()}
     kept = {(r["symbol"], r["i"]): r["value"] for r in QUERIES["candle_reversals"](spark, sf).collect()}
