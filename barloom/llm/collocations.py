@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import U64, mix, read_table, seeds, slices, span_hashes, stored, utf8
+from .common import U64, mix, read_table, seeds, shuffles_deleted, slices, span_hashes, stored, utf8
 
 #: Words of a block, counts from which a phrase is frequent, words of the longest phrase, and rows that each language reports.
 BLOCK_WORDS, LEAST, LONGEST, TOP = 1 << 19, 100, 5, 2000
@@ -297,7 +297,8 @@ def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _bucketed(df: DataFrame, n: int) -> tuple[DataFrame, str]:
     """df as a table of the warehouse in n buckets by block, and its name."""
     name = f"barloom_phrases_{uuid.uuid4().hex}"
-    df.write.bucketBy(n, "block").option("compression", "zstd").format("parquet").saveAsTable(name)
+    with shuffles_deleted(df.sparkSession):
+        df.write.bucketBy(n, "block").option("compression", "zstd").format("parquet").saveAsTable(name)
     return df.sparkSession.table(name), name
 
 

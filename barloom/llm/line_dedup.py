@@ -70,7 +70,7 @@ def repeated_lines(rows: DataFrame) -> DataFrame:
     places = left.groupBy("_id", "_hash").agg(F.flatten(F.collect_list("_found")).alias("_places"))
     placed = rows.join(places, ["_id", "_hash"]).withColumn("_lines", F.split("text", "\n", -1))
     bodies = placed.select("_id", "_hash", F.expr(f"inline(array_distinct(transform(_places, p -> struct(p._at, p._to, {_BODY} as _body))))"))
-    bodies = stored(bodies, "bodies").withColumn("_key", F.xxhash64("_body")).withColumn("_salt", F.expr(_SALT))
+    bodies = stored(bodies, "bodies", clean=True).withColumn("_key", F.xxhash64("_body")).withColumn("_salt", F.expr(_SALT))
     first = bodies.groupBy("_body").agg(F.min(F.struct("_id", "_hash", "_at", "_to")).alias("_first"), F.count("*").alias("_n"))
     same = first.groupBy(F.xxhash64("_body").alias("_key")).agg(F.collect_list(F.struct("_body", "_first", "_n")).alias("_same"))
     first = same.select("_key", F.expr("inline(transform(_same, x -> struct(if(size(_same) > 1, x._body, null) as _only, x._first, x._n)))")).filter("_n > 1")
