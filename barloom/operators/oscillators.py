@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.series import BEARISH, BULLISH, Event, ema, impulses, lag, over_largest, ratio, rows, scaled_trend, side, signal_rows, signals, sma, smooth_metric, spread, trend, whole, with_ema, with_recurrences
+from ..functions.series import BEARISH, BULLISH, Event, ema, impulses, lag, neat, over_largest, ratio, rows, scaled_trend, side, signal_rows, signals, sma, smooth_metric, spread, trend, whole, with_ema, with_recurrences
 from .trend import mid_price, percent_change, typical_price
 
 #: Weights by which an event spreads to its row and to the three on either side.
@@ -416,7 +416,7 @@ def cluster_signals(bars: DataFrame, function: str = "all") -> DataFrame:
     df = with_ema(cluster_oscillators(bars, function), _e=("clustered", 3)).withColumn("_x", F.when(F.col("_e") != 0, F.col("_e")))
     df = df.withColumns({"_top": F.percentile("_x", 0.9).over(whole()), "_low": F.percentile("_x", 0.1).over(whole())})
     kind = F.when(F.col("_x") > F.col("_top"), BULLISH).when(F.col("_x") < F.col("_low"), BEARISH)
-    return signal_rows(df, kind, F.round("_x", 4), F.col("_x"))
+    return signal_rows(df, kind, neat("_x", 2), F.col("_x"))
 
 
 # --- MACD ----------------------------------------------------------------------------------------------------------------------------

@@ -781,3 +781,119 @@ _SAVED = "CASE WHEN g = 0 THEN pay * {n} ELSE pay * (pow(g + 1.0, {n}) - 1.0) /
 _SAVERS = "SELECT c_custkey AS scenario, c_custkey % 10 / 100.0 / 12.0 AS g, (c_custkey % 10 * 1000.0 + 5000.0) / 12.0 AS pay, unnest(range(1, 61)) AS month FROM customer"
 ORACLES["contribution_race"] = f"SELECT scenario, month, round(({_SAVED.format(n='least(month, 24)')}) * pow(g + 1.0, greatest(month - 24, 0)), 2) + 0.0 AS early, round({_SAVED.format(n='greatest(month - 24, 0)')}, 2) + 0.0 AS late FROM (SELECT scenario, month, g::DOUBLE AS g, pay::DOUBLE AS pay FROM ({_SAVERS}))"
 ORACLES["price_race"] = chain(out="SELECT symbol, count(*) AS n_rows, round(coalesce(sum(500.0 / close) FILTER (WHERE i < 24), 0.0) * max_by(close, i), 1) + 0.0 AS early, round(coalesce(sum(500.0 / close) FILTER (WHERE i >= 24), 0.0) * max_by(close, i), 1) + 0.0 AS late FROM {last} GROUP BY 1", source=NATION)
+
+# clusters: the events of each member in turn are piled up, one by one, on a list with a cell for each row
+_SPEEDS = {"stochastic": {"fast": (10, 3, 3), "medium": (14, 3, 3), "slow": (20, 5, 5)}, "ultimate": {"fast": (4, 8, 16), "medium": (7, 14, 28), "slow": (10, 20, 40)}, "rsi": {"fast": 8, "medium": 14, "slow": 20}}
+_WHOLE = {"stochastic": (1, 2, 1), "rsi": (1, 3, 2), "ultimate": (3, 7, 4)}
+_CLUSTERS = {"full_stochastic": ["stochastic"], "ultimate": ["ultimate"], "rsi": ["rsi"], "all": ["stochastic", "ultimate", "rsi"], "market": ["stochastic", "ultimate", "rsi"]}
+
+
+def _member(kind: str, speed: str, tag: str, n: object) -> tuple[list[dict[str, str]], list[str], str]:
+    """Stages that make a member's series, its machines, and its events: symbol, i, sign and o, their order."""
+    source = lambda columns: f"src_{tag} AS MATERIALIZED (SELECT symbol, i, c, p, {columns} FROM base)"
+    signed = lambda t, o: f"SELECT symbol, i, CASE WHEN kind = 'bullish' THEN 1 ELSE -1 END AS sign, {o} + i AS o FROM {t} WHERE kind IS NOT NULL"
+    if kind == "stochastic":
+        k, smooth, slow = n  # type: ignore[misc]
+        low, high = over("min(low)", 1 - k, 0), over("max(high)", 1 - k, 0)
+        flat = lambda x: f"CASE WHEN i < {k - 1} THEN 50.0 ELSE {x} END"
+        stages = [{f"{tag}f": flat(f"coalesce((close - {low}) / nullif({high} - {low}, 0) * 100.0, 50.0)")}, {f"{tag}s": flat(over(f"avg({tag}f)", 1 - smooth, 0))}, {f"{tag}d": flat(over(f"avg({tag}s)", 1 - slow, 0))}]
+        parts = [f"x_{tag} AS MATERIALIZED (SELECT symbol, i, {tag}f AS x, {tag}s AS y FROM base)", zone_crossing(f"zx_{tag}", f"x_{tag}"), f"y_{tag} AS MATERIALIZED (SELECT symbol, i, {tag}s AS x, {tag}d AS y FROM base)", zone_crossing(f"zy_{tag}", f"y_{tag}"), source(f"{tag}s AS x"), zone_divergence(f"zd_{tag}", f"src_{tag}")]
+        return stages, parts, " UNION ALL ".join([signed(f"zx_{tag}", "0"), signed(f"zy_{tag}", "1000000"), signed(f"zd_{tag}", "2000000")])
+    if kind == "rsi":
+        limits = [{f"{tag}t": f"0.45 * ({slope('close', n * 3)}) + 0.33 * ({slope('close', int(n * 5.5))}) + 0.22 * ({slope('close', n * 8)})"}, {f"{tag}z": scaled(f"{tag}t")}]
+        zones = {f"{tag}lo": f"CASE WHEN {tag}z > 0.1 THEN 40.0 - 10.0 * exp(-15.0 * ({tag}z - 0.1)) ELSE 30.0 END", f"{tag}hi": f"CASE WHEN {tag}z < -0.1 THEN 60.0 + 10.0 * exp(15.0 * ({tag}z + 0.1)) ELSE 70.0 END"}
+        means = {f"{tag}{a}{j}": f"round_even({over(f'sum({a})', -n - j, -1 - j)} / {n}, 6)" for a in "gw" for j in (0, 1)}
+        rs = f"CASE WHEN i = {n} THEN {tag}g0 / nullif({tag}w0, 0) WHEN {tag}w1 <> 0 THEN (({tag}g1 * {n - 1} + g) / {n}.0) / nullif(({tag}w1 * {n - 1} + w) / {n}.0, 0) END"
+        stages = [means, {f"{tag}q": rs}, {f"{tag}r": f"CASE WHEN i < {n} THEN 50.0 ELSE coalesce(round_even(100.0 - 100.0 / (1.0 + {tag}q), 6), 100.0) END"}, *limits, zones]
+        return stages, [source(f"{tag}r AS x, {tag}lo AS lo, {tag}hi AS hi"), rejection(f"rej_{tag}", f"src_{tag}"), zone_turns(f"turn_{tag}", f"src_{tag}")], signed(f"rej_{tag}", "0") + " UNION ALL " + signed(f"turn_{tag}", "1000000")
+    a, b, c = n  # type: ignore[misc]
+    parts = [
+        source(f"{tag}u AS x"), swings(f"swing_{tag}", f"src_{tag}"), lows(f"low_{tag}", f"src_{tag}"), f"final_{tag} AS (SELECT symbol, z, d, max_by(low, i) AS low FROM low_{tag} GROUP BY 1, 2, 3)",
+        f"held_{tag} AS (SELECT f.*, max(f.d * s.x) AS barrier, max(CASE WHEN s.i = f.z THEN s.x END) AS own, max(CASE WHEN s.i = f.low THEN s.x END) AS there FROM final_{tag} f JOIN src_{tag} s ON s.symbol = f.symbol AND s.i BETWEEN f.z AND f.low GROUP BY ALL)",
+        f"broken_{tag} AS (SELECT h.symbol, h.z, h.d, min(s.i) AS i FROM held_{tag} h JOIN src_{tag} s ON s.symbol = h.symbol AND s.i >= h.low AND h.d * s.x > h.barrier WHERE h.d * (h.there - h.own) > 0 GROUP BY 1, 2, 3)",
+        f"every_{tag} AS (SELECT symbol, i, d AS sign, z AS o FROM broken_{tag} UNION ALL {signed(f'swing_{tag}', '1000000')})",
+    ]
+    # a row's first event counts, where its last one stands
+    return [{f"{tag}u": f"CASE WHEN i < {c - 1} THEN 50.0 ELSE 100.0 * (4.0 * ({_RATIO(a)}) + 2.0 * ({_RATIO(b)}) + ({_RATIO(c)})) / 7.0 END"}], parts, f"SELECT symbol, i, arg_min(sign, o) AS sign, max(o) AS o FROM every_{tag} GROUP BY 1, 2"
+
+
+def clusters(function: str, out: str, source: str | None = None) -> str:
+    """cells(symbol, i, n, dt, close, clustered), then out."""
+    speeds = ("medium",) if function == "market" else ("fast", "medium", "slow")
+    stages: list = [{"pc": lag("close")}, {"bp": _ULTIMATE[1]["bp"], "tr": _ULTIMATE[1]["tr"], "d": f"round({CHANGE}, 6)"}, {"g": "greatest(d, 0.0)", "w": "greatest(-d, 0.0)"}, _TREND, {"calm": f"abs({scaled('t')}) <= 0.1"}]
+    parts, events = [], []
+    for m, (kind, speed) in enumerate((k, x) for k in _CLUSTERS[function] for x in speeds):
+        n = (5, 10, 20) if (function, kind, speed) == ("all", "ultimate", "fast") else _SPEEDS[kind][speed]
+        more, tables, found = _member(kind, speed, f"{kind[0]}{speed[0]}_", n)
+        stages, parts = stages + more, parts + tables
+        weight = {"stochastic": "CAST(b.calm AS INTEGER)", "rsi": "CAST(NOT b.calm AS INTEGER)", "ultimate": "0"}[kind]
+        whole_weight = _WHOLE[kind][("fast", "medium", "slow").index(speed)]
+        events.append(f"SELECT e.symbol, e.i, e.sign, {whole_weight} + {weight} AS weight, {m} * 100000000 + e.o AS o FROM ({found}) e JOIN base b ON b.symbol = e.symbol AND b.i = e.i")
+    head = chain(*stages, {"p": lag("close")}, out=", base AS (SELECT *, close AS c FROM {last})", source=source).replace("\n, base", ",\nbase").replace("WITH ", "WITH RECURSIVE ", 1)
+    near = " ".join(f"WHEN v <> 0 AND (k - 1 = e.i + {k} OR k - 1 = CASE WHEN e.i < {k} THEN e.i - {k} + p.n ELSE e.i - {k} END) THEN v + e.sign * {share} * e.weight" for k, share in ((1, 5.0), (2, 3.0), (3, 2.0)))
+    piled = f"list_transform(p.cell, lambda v, k: CASE WHEN k - 1 = e.i THEN v + e.sign * CASE WHEN v <> 0 THEN 8.0 * e.weight ELSE 1.0 END {near} ELSE v END)"
+    return f"""{head},\n{(","+chr(10)).join(parts)},
+events AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY o) AS q FROM ({' UNION ALL '.join(events)})),
+pile AS (SELECT symbol, CAST(0 AS BIGINT) AS q, max(n) AS n, list_transform(range(0, max(n)), lambda x: 0.0::DOUBLE) AS cell FROM base GROUP BY 1 UNION ALL SELECT p.symbol, p.q + 1, p.n, {piled} FROM pile p JOIN events e ON e.symbol = p.symbol AND e.q = p.q + 1),
+done AS (SELECT symbol, arg_max(cell, q) AS cell FROM pile GROUP BY 1),
+cells AS (SELECT b.symbol, b.i, b.n, b.dt, b.close, d.cell[b.i + 1] AS clustered FROM base b JOIN done d ON d.symbol = b.symbol)
+{out}"""
+
+
+for _f in _CLUSTERS:
+    ORACLES[f"cluster_{_f}"] = clusters(_f, "SELECT symbol, i, round(clustered, 4) + 0.0 AS clustered FROM cells")
+ORACLES["cluster_dates"] = clusters("all", "SELECT symbol, i, dt, round(close, 4) + 0.0 AS close, round(clustered, 4) + 0.0 AS clustered FROM cells WHERE clustered <> 0")
+ORACLES["cluster_metric"] = clusters(
+    "all", f", q1 AS (SELECT *, {spread('clustered', (1.0, 0.85, 0.55, 0.1))} AS y FROM cells), q2 AS (SELECT *, {so_far('y')} AS l FROM q1), q3 AS (SELECT *, {ema('y', 'l', 7)} AS e FROM q2) SELECT symbol, i, round({largest('e')}, 4) + 0.0 AS metric FROM q3"
+).replace("\n, q1", ",\nq1")
+ORACLES["cluster_signals"] = clusters(
+    "all",
+    f""", q1 AS (SELECT *, {so_far('clustered')} AS l FROM cells), q2 AS (SELECT *, nullif({ema('clustered', 'l', 3)}, 0) AS e FROM q1), q3 AS (SELECT *, quantile_cont(e, 0.9) OVER ({P}) AS top, quantile_cont(e, 0.1) OVER ({P}) AS low FROM q2)
+SELECT symbol, i, dt, CASE WHEN e > top THEN 'bullish' ELSE 'bearish' END AS type, CAST(round(e, 2) + 0.0 AS VARCHAR) AS value FROM q3 WHERE e > top OR e < low""",
+).replace("\n, q1", ",\nq1")
+ORACLES["mci"] = clusters(
+    "market",
+    """, sums AS (SELECT dt, sum(clustered) AS x FROM cells GROUP BY 1), placed AS (SELECT *, row_number() OVER (ORDER BY dt) - 1 AS i, count(*) OVER () AS n FROM sums),
+smooth AS (SELECT *, CASE WHEN i >= 1 AND i < n - 1 THEN avg(x) OVER (ORDER BY i ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) ELSE x END AS y FROM placed)
+SELECT i, dt, round(CASE WHEN max(abs(y)) OVER () > 0 THEN y / max(abs(y)) OVER () ELSE y END, 4) + 0.0 AS composite FROM smooth""",
+    NATION,
+).replace("\n, sums", ",\nsums")
+ORACLES["tci"] = clusters(
+    "all",
+    """, sums AS (SELECT r_name AS name, dt, sum(clustered * 0.2) AS x FROM cells JOIN nation ON symbol = CAST(n_nationkey AS VARCHAR) JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2)
+SELECT name, dt, round(CASE WHEN max(abs(x)) OVER (PARTITION BY name) > 0 THEN x / max(abs(x)) OVER (PARTITION BY name) ELSE x END, 4) + 0.0 AS cluster FROM sums""",
+    NATION,
+).replace("\n, sums", ",\nsums")
+
+# returns against benchmarks
+_YEAR = {"y": "CASE WHEN n <= 250 THEN 200 ELSE 250 END", "k": "n - i"}
+_AT = {f"a{k}": f"max(CASE WHEN k = {k} THEN close END) OVER ({P})" for k in (1, 62, 63, 125, 126, 187, 188, 250)} | {"old": f"max(CASE WHEN k = y THEN close END) OVER ({P})", "was": f"CASE WHEN y = 200 THEN {lag('close', 200)} ELSE {lag('close', 250)} END"}
+_GAIN = lambda a, b: f"coalesce(({a} - {b}) / nullif({b}, 0) * 100.0, 0.0)"
+_RETURNED = f"SELECT symbol, (max({_GAIN('a1', 'old')}) + max({' + '.join(_GAIN(f'a{a}', f'a{b}') for a, b in ((1, 62), (63, 125), (126, 187), (188, 250)))})) / 2.0 AS annual_return, coalesce(stddev_pop(CASE WHEN i > 0 AND i % y = 0 THEN (close - was) / nullif(was, 0) * 100.0 END), 0.0) / 2.0 AS deviation FROM {{last}} GROUP BY 1"
+ORACLES["annual_returns"] = chain(_YEAR, _AT, _RETURNED, out="SELECT symbol, round(annual_return, 4) + 0.0 AS annual_return, round(deviation, 4) + 0.0 AS deviation FROM {last}")
+_SPREAD_OF = f"SELECT symbol, stddev_pop(r) AS dev FROM (SELECT symbol, coalesce((close - {lag('close')}) / nullif({lag('close')}, 0), 0.0) AS r FROM (SELECT * FROM {{last}} WHERE i >= n - 250)) GROUP BY 1"
+_PART = lambda name, stage, source=None: f"{name} AS ({chain(*stage, out='SELECT * FROM {last}', source=source)})"
+_RISK = ",\n".join([_PART("own", [_YEAR, _AT, _RETURNED]), _PART("all_market", [_YEAR, _AT, _RETURNED], MARKET), _PART("own_spread", [_SPREAD_OF]), _PART("market_spread", [_SPREAD_OF], MARKET)])
+_BETA = chain(*_BOTH, more=_MKT, out="SELECT symbol, regr_slope(ret, market_ret) AS b, regr_r2(ret, market_ret) AS r2 FROM {last} GROUP BY 1")
+ORACLES["risk_ratios"] = f"""WITH {_RISK}, slopes AS ({_BETA}),
+one AS (SELECT o.symbol, o.annual_return AS a, o.deviation AS d, round_even(b, 4) AS beta, round_even(r2, 4) AS r_squared, m.annual_return AS ma, m.deviation AS md, s.dev / nullif(t.dev, 0) AS ratio FROM own o JOIN slopes x ON x.symbol = o.symbol JOIN own_spread s ON s.symbol = o.symbol CROSS JOIN all_market m CROSS JOIN market_spread t),
+two AS (SELECT *, round_even((a - 2.5) / nullif(d, 0), 4) AS sharpe, round_even((ma - 2.5) / nullif(md, 0), 4) AS ms FROM one)
+SELECT symbol, round(round_even(a - 2.5 - beta * (ma - 2.5), 4), 4) + 0.0 AS alpha, round(beta, 4) + 0.0 AS beta, round(r_squared, 4) + 0.0 AS r_squared, round(sharpe, 4) + 0.0 AS sharpe, round(round_even(sharpe / nullif(ms, 0), 4), 4) + 0.0 AS market_sharpe,
+    round(round_even(d, 4), 4) + 0.0 AS standard_deviation, round(round_even(ratio, 4), 4) + 0.0 AS standard_dev_ratio FROM two"""
+ORACLES["relative_strength"] = f"""WITH {_BARS}, bench AS (SELECT 'market' AS benchmark, dt, close AS m FROM ({MARKET}) UNION ALL SELECT 'peer', dt, close FROM bars WHERE symbol = '5-LOW'),
+met AS (SELECT symbol, i, b.dt, benchmark, close / nullif(m, 0) AS q FROM bars b JOIN bench ON bench.dt = b.dt), based AS (SELECT *, round_even(first_value(q) OVER (PARTITION BY symbol, benchmark ORDER BY i), 6) AS q0 FROM met)
+SELECT symbol, i, dt, benchmark, round(round_even(q / nullif(q0, 0) - 1.0, 6), 6) + 0.0 AS ratio FROM based"""
+
+# bought once, dividends into shares one after the other
+ORACLES["buy_hold"] = f"""WITH RECURSIVE {_BARS},
+paid AS (SELECT symbol, i, close, round_even(round(close * 0.01, 6), 2) AS d, row_number() OVER ({O}) AS q FROM bars WHERE i % 13 = 6),
+bought AS (SELECT symbol, floor(10000000.0 / arg_min(close, i)) AS s0, arg_min(close, i) AS c0, arg_max(close, i) AS last FROM bars GROUP BY 1),
+held AS (SELECT symbol, CAST(0 AS BIGINT) AS q, s0::DOUBLE AS shares FROM bought UNION ALL SELECT h.symbol, p.q, round(h.shares * (p.d / p.close + 1.0), 3) FROM held h JOIN paid p ON p.symbol = h.symbol AND p.q = h.q + 1)
+SELECT b.symbol, s0::DOUBLE AS init_shares, round(10000000.0 - s0 * c0, 2) AS cash, h.shares AS final_shares, round(last * h.shares + round(10000000.0 - s0 * c0, 2), 2) AS final_amount FROM bought b JOIN (SELECT symbol, arg_max(shares, q) AS shares FROM held GROUP BY 1) h ON h.symbol = b.symbol"""
+
+# score series of the rate of change
+_ROC_WEIGHT = {10: 0.65, 20: 1.0, 40: 0.4}
+_ROC_M = [f"s{n} AS (SELECT symbol, i, roc_{n} AS x, quantile_cont(roc_{n}, 0.9) OVER (PARTITION BY symbol) AS hi, quantile_cont(roc_{n}, 0.1) OVER (PARTITION BY symbol) AS lo FROM base), {zone_exit(f'm{n}', f's{n}')}" for n in (10, 20, 40)]
+_ROC_F = " UNION ALL ".join([told(f"m{n}", "exit", w) for n, w in _ROC_WEIGHT.items()] + [sign_changes(f"roc_{n}", "zero", 0.75 * w) for n, w in _ROC_WEIGHT.items()])
+ORACLES["roc_metric"] = recursive([_ROC], _ROC_M, _ROC_F, f""", q0 AS (SELECT symbol, i, n, coalesce(score, 0.0) AS x FROM base LEFT JOIN (SELECT symbol, i, sum(score) AS score FROM found GROUP BY 1, 2) USING (symbol, i)),
+    q2 AS (SELECT *, {so_far("x")} AS l FROM q0), q3 AS (SELECT *, {ema("x", "l", 7)} AS e FROM q2) SELECT symbol, i, round({largest("e")}, 4) + 0.0 AS metric FROM q3""").replace("\n, q0", ",\nq0")

@@ -203,7 +203,7 @@ on_bars("annual_returns", lambda b: rounded(cross.annual_returns(b)))
 on_bars("interval_deviation", lambda b: rounded(cross.interval_deviation(b)))
 on_market("normalized_ratio", lambda b, m: series(cross.normalized_ratio(b, m), "ratio"))
 on_market("period_strength", lambda b, m: rounded(cross.period_strength(b, m)))
-QUERIES["relative_strength"] = lambda spark, sf: rounded(cross.relative_strength(b := src.weekly_bars(spark, sf), {"market": src.market_bars(spark, sf), "peer": src.one_fund(b, "5-LOW")}))
+QUERIES["relative_strength"] = lambda spark, sf: rounded(cross.relative_strength(b := src.weekly_bars(spark, sf), {"market": src.market_bars(spark, sf), "peer": src.one_fund(b, "5-LOW")}), 6)
 on_bars("future_returns", cross.future_returns, "future_5", "future_15", "future_45", "future_90")
 QUERIES["mci"] = lambda spark, sf: rounded(cross.market_composite(src.nation_bars(spark, sf)))
 on_market("mci_correlation", cross.composite_correlation)
