@@ -26,6 +26,13 @@ def beta(bars: DataFrame, market: DataFrame) -> DataFrame:
     return against(bars, market).groupBy("symbol").agg(F.regr_slope("ret", "market_ret").alias("beta"), F.regr_r2("ret", "market_ret").alias("r_squared"))
 
 
+def beta_lists(series: DataFrame, benchmark: DataFrame, x: str = "close") -> DataFrame:
+    """beta of any column of each symbol over that of a benchmark, row by row from the first on, whatever their dates."""
+    change = F.coalesce(ratio(F.col(x) - lag(x), lag(x)) * 100.0, F.lit(0.0))
+    own, other = (df.select("symbol", "i", change.alias(name)) for df, name in ((series, "ret"), (benchmark, "market_ret")))
+    return own.join(other.drop("symbol"), "i").groupBy("symbol").agg(F.regr_slope("ret", "market_ret").alias("beta"), F.regr_r2("ret", "market_ret").alias("r_squared"))
+
+
 def annual_returns(bars: DataFrame, interval: int = 250) -> DataFrame:
     """For each symbol: mean of the last year's return and the sum of four trailing quarters', and the mean deviation of both.
 
@@ -98,6 +105,28 @@ def relative_strength(bars: DataFrame, benchmarks: dict[str, DataFrame]) -> Data
     return out
 
 
+def sector_funds(assigned: DataFrame, sectors: DataFrame) -> DataFrame:
+    """symbol, sector, etf and peers of each symbol whose sector is known, by its name without regard to case.
+
+    assigned: symbol, sector; sectors: sector, etf, peers (see sources.config.sector_table), a dimension that is joined by key.
+    """
+    known = sectors.select(F.lower("sector").alias("_s"), "etf", "peers")
+    out = assigned.withColumn("_s", F.lower("sector")).join(known, "_s").drop("_s")
+    return out.withColumn("peers", F.array_except("peers", F.array("symbol")))
+
+
+def sector_strength(bars: DataFrame, members: DataFrame) -> DataFrame:
+    """The ratio of each symbol to its sector's fund and to each of its peers, relative to the first common date, less 1.
+
+    members: what sector_funds gives. Symbols meet their funds by (symbol of the fund, date).
+    """
+    against_all = members.select("symbol", F.explode(F.concat(F.array(F.struct(F.col("etf").alias("fund"), F.lit("sector").alias("kind"))), F.transform("peers", lambda p: F.struct(p.alias("fund"), F.lit("peer").alias("kind"))))).alias("x")).select("symbol", "x.*").filter("symbol <> fund")
+    funds = bars.select(F.col("symbol").alias("fund"), "dt", F.col("adj_close").alias("_m"))
+    df = bars.select("symbol", "i", "dt", "adj_close").join(against_all, "symbol").join(funds, ["fund", "dt"]).withColumn("_q", ratio("adj_close", "_m"))
+    first = F.bround(F.first("_q").over(Window.partitionBy("symbol", "kind", "fund").orderBy("i")), 6)
+    return df.select("symbol", "kind", "fund", "i", "dt", F.bround(ratio("_q", first) - 1.0, 6).alias("ratio"))
+
+
 def future_returns(bars: DataFrame, ahead: tuple[int, ...] = (5, 15, 45, 90)) -> DataFrame:
     """bars plus future_n: the change in percent n rows on, three digits, 0 at the tail."""
     return bars.withColumns({f"future_{k}": F.coalesce(F.bround(ratio(lag("close", -k) - F.col("close"), "close") * 100.0, 3), F.lit(0.0)) for k in ahead})

@@ -897,3 +897,15 @@ _ROC_M = [f"s{n} AS (SELECT symbol, i, roc_{n} AS x, quantile_cont(roc_{n}, 0.9)
 _ROC_F = " UNION ALL ".join([told(f"m{n}", "exit", w) for n, w in _ROC_WEIGHT.items()] + [sign_changes(f"roc_{n}", "zero", 0.75 * w) for n, w in _ROC_WEIGHT.items()])
 ORACLES["roc_metric"] = recursive([_ROC], _ROC_M, _ROC_F, f""", q0 AS (SELECT symbol, i, n, coalesce(score, 0.0) AS x FROM base LEFT JOIN (SELECT symbol, i, sum(score) AS score FROM found GROUP BY 1, 2) USING (symbol, i)),
     q2 AS (SELECT *, {so_far("x")} AS l FROM q0), q3 AS (SELECT *, {ema("x", "l", 7)} AS e FROM q2) SELECT symbol, i, round({largest("e")}, 4) + 0.0 AS metric FROM q3""").replace("\n, q0", ",\nq0")
+
+# series against series by row, and symbols against the funds of their sectors
+_SMA_OF = lambda source: chain({"x": sma("close", 20)}, {"ret": f"coalesce((x - {lag('x')}) / nullif({lag('x')}, 0) * 100.0, 0.0)"}, out="SELECT symbol, i, ret FROM {last}", source=source)
+ORACLES["beta_lists"] = f"WITH a AS ({_SMA_OF(raw_bars())}), m AS ({_SMA_OF(MARKET)}) SELECT a.symbol, round(regr_slope(a.ret, m.ret), 4) + 0.0 AS beta, round(regr_r2(a.ret, m.ret), 4) + 0.0 AS r_squared FROM a JOIN m ON m.i = a.i GROUP BY 1"
+_PLACED = "placed AS (SELECT n_nationkey AS k, r_name, row_number() OVER (PARTITION BY r_name ORDER BY n_nationkey) AS place FROM nation JOIN region ON n_regionkey = r_regionkey)"
+ORACLES["sector_funds"] = f"""WITH {_PLACED} SELECT CAST(a.k AS VARCHAR) AS symbol, lower(a.r_name) AS sector, CAST(max(CASE WHEN b.place = 1 THEN b.k END) AS VARCHAR) AS etf, string_agg(CASE WHEN b.place BETWEEN 2 AND 4 AND b.k <> a.k THEN CAST(b.k AS VARCHAR) END, ',' ORDER BY b.place) AS peers
+FROM placed a JOIN placed b ON a.r_name = b.r_name GROUP BY 1, 2"""
+ORACLES["sector_strength"] = f"""WITH {numbered("bars", NATION)}, {_PLACED},
+pairs AS (SELECT CAST(a.k AS VARCHAR) AS symbol, CASE WHEN b.place = 1 THEN 'sector' ELSE 'peer' END AS kind, CAST(b.k AS VARCHAR) AS fund FROM placed a JOIN placed b ON a.r_name = b.r_name AND b.place <= 4 AND a.k <> b.k),
+met AS (SELECT p.symbol, kind, fund, b.i, b.dt, b.close / nullif(f.close, 0) AS q FROM pairs p JOIN bars b ON b.symbol = p.symbol JOIN bars f ON f.symbol = p.fund AND f.dt = b.dt),
+based AS (SELECT *, round_even(first_value(q) OVER (PARTITION BY symbol, kind, fund ORDER BY i), 6) AS q0 FROM met)
+SELECT symbol, kind, fund, i, dt, round(round_even(q / nullif(q0, 0) - 1.0, 6), 6) + 0.0 AS ratio FROM based"""

@@ -198,6 +198,7 @@ for _p in candles.PATTERNS:
 
 # across symbols
 on_market("beta", lambda b, m: rounded(cross.beta(b, m)))
+on_market("beta_lists", lambda b, m: rounded(cross.beta_lists(trend.simple_average(b), trend.simple_average(m), "sma")))
 on_market("risk_ratios", lambda b, m: rounded(cross.risk(b, m, 2.5)))
 on_bars("annual_returns", lambda b: rounded(cross.annual_returns(b)))
 on_bars("interval_deviation", lambda b: rounded(cross.interval_deviation(b)))
@@ -224,6 +225,19 @@ def _logs(df: DataFrame, key: str) -> DataFrame:
 QUERIES["bci"] = lambda spark, sf: _logs(cross.weighted_index(src.nation_bars(spark, sf), _weights(spark, sf)), "name")
 QUERIES["tci"] = lambda spark, sf: rounded(cross.weighted_clusters(src.nation_bars(spark, sf), _weights(spark, sf)))
 
+
+def _members(spark: SparkSession, sf: str) -> DataFrame:
+    """Nations with the first nation of their region as its fund and the next three as peers."""
+    n, r = src.read_table(spark, sf, "nation"), src.read_table(spark, sf, "region")
+    both = n.join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+    keys = F.array_sort(F.collect_list("n_nationkey"))
+    sectors = both.groupBy(F.col("r_name").alias("sector")).agg(keys.alias("k")).select("sector", F.get("k", F.lit(0)).cast("string").alias("etf"), F.transform(F.slice("k", 2, 3), lambda x: x.cast("string")).alias("peers"))
+    return cross.sector_funds(both.select(F.col("n_nationkey").cast("string").alias("symbol"), F.lower("r_name").alias("sector")), sectors)
+
+
+QUERIES["sector_funds"] = lambda spark, sf: _members(spark, sf).select("symbol", "sector", "etf", F.array_join("peers", ",").alias("peers"))
+QUERIES["sector_strength"] = lambda spark, sf: rounded(cross.sector_strength(src.nation_bars(spark, sf), _members(spark, sf)), 6)
+
 # reports
 
 

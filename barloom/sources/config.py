@@ -64,3 +64,8 @@ def sector_etf(sectors: dict[str, str], name: str) -> str | None:
 
 def peers(comparison: dict[str, list[str]], etf: str) -> list[str]:
     return comparison.get(etf, [])
+
+
+def sector_table(spark: SparkSession, sectors: dict[str, str], comparison: dict[str, list[str]]) -> DataFrame:
+    """sector, etf and peers from the mappings of a sectors file: a dimension of as many rows as the file has sectors."""
+    return spark.createDataFrame([(s, e, peers(comparison, e)) for s, e in sectors.items()], "sector string, etf string, peers array<string>")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom.operators import candles, cross, features, fundamentals, lines, portfolio, report
-from barloom.sources.config import fund_weights, parse_config, weights_table, with_indexes
+from barloom.sources.config import fund_weights, parse_config, sector_table, weights_table, with_indexes
 from barloom.streaming.bars import batch_bars, stream_bars, write_bars
 from tests.test_series import bars, values
 
@@ -107,6 +107,18 @@ def test_features(spark):
     assert [(r["direction"], r["difference"]) for r in gaps] == [("up", 10.0), ("down", -10.0)]
 
 
+def test_sectors(spark):
+    sectors = sector_table(spark, {"Technology": "T", "Energy": "E"}, {"T": ["a", "b", "c"]})
+    assigned = spark.createDataFrame([("a", "technology"), ("z", "Energy"), ("y", "none")], "symbol string, sector string")
+    got = {r["symbol"]: (r["etf"], r["peers"]) for r in cross.sector_funds(assigned, sectors).collect()}
+    assert got == {"a": ("T", ["b", "c"]), "z": ("E", [])}
+    both = bars(spark, [10.0, 20.0, 30.0]).unionByName(bars(spark, [10.0, 10.0, 15.0], "T"))
+    ratios = cross.sector_strength(both, cross.sector_funds(assigned, sectors)).orderBy("i").collect()
+    assert [(r["kind"], r["fund"], r["ratio"]) for r in ratios] == [("sector", "T", 0.0), ("sector", "T", 1.0), ("sector", "T", 1.0)]
+    line = cross.beta_lists(bars(spark, [10.0, 12.0, 9.0, 9.9]), bars(spark, [10.0, 11.0, 9.625, 10.10625], "m")).first()
+    assert line["beta"] == pytest.approx(2.0) and line["r_squared"] == pytest.approx(1.0)
+
+
 def test_config():
     c = parse_config('{"Properties": {"Period": ["2y", "5y"], "Interval": ["1w"], "Indexes": {"mci": true}}, "Exports": {"run": true, "fields": "vti rsi"}, "Ticker Symbols": ["vti"]}')
     assert (c.symbols, c.intervals, c.export) == (["VTI"], ["1wk", "1d"], "vti rsi")
