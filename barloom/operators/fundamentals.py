@@ -29,9 +29,10 @@ def altman_z(statements: DataFrame, market_caps: DataFrame) -> DataFrame:
     return df.select("symbol", F.round(z, 4).alias("z"), F.when(z >= 3.0, "green").when(z > 1.8, "yellow").when(z.isNotNull(), "red").alias("colour"))
 
 
-def earnings_per_share(earnings: DataFrame, shares: DataFrame) -> DataFrame:
-    """earnings (symbol, period, earnings) over shares (symbol, shares), three digits."""
-    return earnings.join(shares, "symbol").select("symbol", "period", F.bround(ratio("earnings", "shares"), 3).alias("eps"))
+def earnings_per_share(earnings: DataFrame, shares: DataFrame, digits: int | None = 3) -> DataFrame:
+    """earnings (symbol, period, earnings) over shares (symbol, shares), three digits, or unrounded if digits is None."""
+    eps = ratio("earnings", "shares")
+    return earnings.join(shares, "symbol").select("symbol", "period", (eps if digits is None else F.bround(eps, digits)).alias("eps"))
 
 
 def grade_number(grade: str) -> F.Column:

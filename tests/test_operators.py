@@ -84,6 +84,19 @@ def test_fundamentals(spark):
     assert [(r["firms"], r["mean_grade"]) for r in got] == [(1, 1.0), (2, 2.5), (2, 3.5), (2, 2.5)]
 
 
+def test_earnings_per_share_are_rounded_once(spark, tmp_path):
+    from barloom.plans.queries import QUERIES
+
+    e = spark.createDataFrame([("7", "2001", 44.9996), ("8", "2001", 16.5)], "symbol string, period string, earnings double")
+    shares = spark.createDataFrame([("7", 10.0), ("8", 0.0)], "symbol string, shares double")
+    assert [r["eps"] for r in fundamentals.earnings_per_share(e, shares).orderBy("symbol").collect()] == [4.5, None]
+    assert [r["eps"] for r in fundamentals.earnings_per_share(e, shares, None).orderBy("symbol").collect()] == [4.49996, None]
+    # 418.47 over 93 shares is 4.49968: three digits first would make it 4.5, and 5 in the end
+    spark.createDataFrame([(90, d.datetime(2001, 5, 1), 418.47)], "o_custkey long, o_orderdate timestamp, o_totalprice double").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame([(90,)], "c_custkey long").write.parquet(str(tmp_path / "customer.parquet"))
+    assert QUERIES["eps"](spark, str(tmp_path)).first()["eps"] == 4.0
+
+
 def test_reports(spark, tmp_path):
     b = bars(spark, [float(k) for k in range(30)])
     series = report.long_series(b, "price", "open", "close")
