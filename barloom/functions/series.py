@@ -10,10 +10,11 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 #: Signals of an operator: place, bullish or bearish, what was seen, and the score that its metrics spread.
 SIGNALS = "symbol string, i long, dt date, type string, value string, score double"
@@ -159,9 +160,59 @@ def with_recurrences(df: DataFrame, **made: Callable[[pd.DataFrame], np.ndarray]
     return out.withColumns({name: F.nanvl(F.col(name), F.lit(None).cast("double")) for name in made})
 
 
+class EmaRun:
+    """ema() over a symbol whose rows come in pieces: holds the first n values until their mean is known, then one number."""
+
+    def __init__(self, n: int, rows: int, factor: float = 2.0):
+        self.n, self.k, self.none, self.first, self.e = n, factor / (n + 1), n >= rows - 3, np.empty(0), None
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        if self.none:
+            return np.full(len(x), np.nan)
+        out = np.array(x, float)
+        at = 0
+        if self.e is None:
+            at = min(self.n - len(self.first), len(out))
+            self.first = np.concatenate([self.first, out[:at]])
+            if len(self.first) < self.n:
+                return out
+            self.e = out[at - 1] = float(np.mean(self.first))
+        e, k, rest = self.e, self.k, out[at:].tolist()
+        for j, v in enumerate(rest):
+            e = rest[j] = e * (1 - k) + v * k
+        self.e, out[at:] = e, rest
+        return out
+
+
 def with_ema(df: DataFrame, **made: tuple[str, int]) -> DataFrame:
-    """df plus exponential averages: name=(column, rows), all in one pass."""
-    return with_recurrences(df, **{name: (lambda pdf, x=x, n=n: ema(pdf[x].to_numpy(), n)) for name, (x, n) in made.items()})
+    """df plus exponential averages: name=(column, rows), all in one pass.
+
+    Rows are streamed in the order of (symbol, i), and only a symbol's last averages are carried from one batch to the next, so that a
+    worker's memory doesn't grow with the symbol.
+    """
+    schema = StructType(df.schema.fields + [StructField(name, DoubleType()) for name in made])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        symbol, runs = None, {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = batch.column("symbol").dictionary_encode("encode")
+            names, codes = own.dictionary.to_pylist(), own.indices.to_numpy(zero_copy_only=False)
+            starts = [0, *(np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist(), len(codes)]
+            values = {x: batch.column(x).to_numpy(zero_copy_only=False).astype(float) for x, _ in made.values()}
+            out = {name: np.empty(len(codes)) for name in made}
+            for a, b in zip(starts[:-1], starts[1:], strict=True):
+                if not runs or names[codes[a]] != symbol:
+                    symbol, size = names[codes[a]], batch.column("_rows")[a].as_py()
+                    runs = {name: EmaRun(n, size) for name, (_, n) in made.items()}
+                for name, (x, _) in made.items():
+                    out[name][a:b] = runs[name](values[x][a:b])
+            columns = [pa.array(v, pa.float64(), from_pandas=True) for v in out.values()]
+            yield pa.RecordBatch.from_arrays(batch.columns[:-1] + columns, names=schema.names)
+
+    counted = df.withColumn("_rows", F.count("*").over(whole()))
+    return counted.repartition("symbol").sortWithinPartitions("symbol", "i").mapInArrow(run, schema)
 
 
 Event = tuple[int, str, str, float]

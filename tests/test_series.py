@@ -36,6 +36,33 @@ def test_averages_on_a_ramp(spark):
     assert values(trend.auto_trend(b, (4,), (1.0,), normalize=False), "trend")[10] == pytest.approx(1.0)
 
 
+def test_exponential_averages_hold_one_batch_at_a_time(spark):
+    from barloom.operators import candles
+
+    rng = np.random.default_rng(3)
+    parts = {"a": 137, "b": 9, "c": 8, "d": 23, "": 5, None: 64}
+    x = {k: rng.normal(100, 5, n).tolist() for k, n in parts.items()}
+    b = bars(spark, x["a"], "a").limit(0)
+    for k in x:
+        b = b.unionByName(bars(spark, x[k], k))
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    try:
+        for rows in (1, 7, 10000):
+            spark.conf.set(size, rows)
+            got = trend.exponential_average(b.repartition(5), 5).collect()
+            for k, v in x.items():
+                mine = [r["ema"] for r in sorted((r for r in got if r["symbol"] == k), key=lambda r: r["i"])]
+                want = s.ema(np.array(v), 5)
+                assert mine == ([None] * len(v) if np.isnan(want).all() else want.tolist())
+    finally:
+        spark.conf.set(size, before)
+    # neither averages nor candles gather a symbol's rows in a worker, whose memory would grow with it
+    for df in (trend.exponential_average(b, 5), candles.pattern(b, "engulfing")):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "FlatMapGroupsInPandas" not in plan and "MapInArrow" in plan
+
+
 @pytest.mark.parametrize("n", [36, 37])
 def test_short_series_have_no_average(spark, n):
     b = bars(spark, [float(k) for k in range(40)])
