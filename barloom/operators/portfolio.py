@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -144,80 +146,113 @@ def income_tax(incomes: DataFrame, year: int = 1) -> DataFrame:
     return df.withColumn("effective_rate", F.coalesce(F.bround(ratio(F.bround("tax", 2), x) * 100.0, 2), F.lit(0.0)))
 
 
-def _tax(income: float, year: int = 1) -> float:
-    low = total = 0.0
+def _least(a: np.ndarray | float, b: np.ndarray | float) -> np.ndarray:
+    return np.where(b < a, b, a)
+
+
+def _greatest(a: np.ndarray | float, b: np.ndarray | float) -> np.ndarray:
+    return np.where(b > a, b, a)
+
+
+def _tax(income: np.ndarray, year: int = 1) -> np.ndarray:
+    low, total = 0.0, np.zeros(len(income))
     for high, rate in BRACKETS[year]:
-        total += max(min(income, high) - low, 0.0) * rate
+        total += _greatest(_least(income, high) - low, 0.0) * rate
         low = high
     return total
 
 
-def growth_curve(high: float, low: float, years: int) -> list[float]:
+def growth_curve(high: np.ndarray, low: np.ndarray, years: int) -> list[np.ndarray]:
     """Growth by year, falling from high to low along a logistic curve."""
     return [(high - low) / (1.0 + math.exp((y - years * 0.6) / 5)) + low for y in range(years)]
 
 
-def gap_withdrawal(savings: float, nominal: float, year: int, share: float = 0.04, inflation: float = 0.03) -> float:
+def gap_withdrawal(savings: np.ndarray, nominal: np.ndarray, year: int, share: float = 0.04, inflation: float = 0.03) -> np.ndarray:
     """The larger of a share of the savings and the nominal amount, both raised by inflation for each year."""
-    return max(savings * share, nominal) * (1.0 + inflation * year)
+    return _greatest(savings * share, nominal) * (1.0 + inflation * year)
+
 
+BALANCES = ("roth", "trad", "brokerage", "savings", "missed", "taxes")
 
-def _retire(s: dict) -> list[tuple]:
-    """Yearly balances of one scenario: work, then gap years, then years with required withdrawals.
+
+def _retire(s: dict[str, np.ndarray], years: int) -> tuple[list[str], dict[str, np.ndarray]]:
+    """Phase by year, and yearly balances (scenario, year) of scenarios of equally many years of work: work, then gap years, then
+    years with required withdrawals.
 
     Withdrawals come from the two accounts by the mix, what one lacks from the other, then from brokerage; taxes on money from the
     traditional account come out of it, then of the others. The required amount is the balance times the expectancy in percent.
     """
-    growth = growth_curve(s["growth_high"], s["growth_low"], s["years_worked"])
-    box = {"trad": 0.0, "roth": 0.0, "brokerage": 0.0}
-    missed, taxes, out = 0.0, 0.0, []
-
-    def take(amount: float, *order: str) -> None:
+    growth = growth_curve(s["growth_high"], s["growth_low"], years)
+    gap = max(0, RMD_AGE - (years + START_AGE))
+    phases = ["work"] * years + ["gap"] * gap + ["rmd"] * len(LIFE_EXPECTANCY)
+    size = len(s["contribution"])
+    out = {name: np.empty((size, len(phases))) for name in BALANCES}
+    box = {"trad": np.zeros(size), "roth": np.zeros(size), "brokerage": np.zeros(size)}
+    missed, taxes = np.zeros(size), np.zeros(size)
+
+    def take(amount: np.ndarray, *order: str) -> None:
         for name in order:
-            part = min(box[name], amount)
-            box[name] -= part
-            amount -= part
+            part = _least(box[name], amount)
+            box[name] = box[name] - part
+            amount = amount - part
 
-    def year_end(rate: float, year: int, phase: str) -> None:
+    def year_end(rate: np.ndarray, year: int) -> None:
         for name in box:
-            box[name] *= 1.0 + rate
-        out.append((s["scenario"], year, phase, box["roth"], box["trad"], box["brokerage"], box["roth"] + box["trad"], missed, taxes))
-
-    for y in range(s["years_worked"]):
-        roth = s["roth_share"] * s["contribution"]
-        missed = (missed + _tax(roth)) * (1.0 + growth[y])
-        box["roth"] += roth
-        box["trad"] += (1.0 - s["roth_share"]) * s["contribution"]
-        year_end(growth[y], y, "work")
-    gap = max(0, RMD_AGE - (s["years_worked"] + START_AGE))
+            box[name] = box[name] * (1.0 + rate)
+        for name, v in zip(BALANCES, (box["roth"], box["trad"], box["brokerage"], box["roth"] + box["trad"], missed, taxes), strict=True):
+            out[name][:, year] = v
+
+    roth = s["roth_share"] * s["contribution"]
+    missing = _tax(roth)
+    for y in range(years):
+        missed = (missed + missing) * (1.0 + growth[y])
+        box["roth"] = box["roth"] + roth
+        box["trad"] = box["trad"] + (1.0 - s["roth_share"]) * s["contribution"]
+        year_end(growth[y], y)
     for k, required in enumerate([0.0] * gap + list(LIFE_EXPECTANCY)):
         wanted = gap_withdrawal(box["roth"] + box["trad"], s["withdrawal"], k)
-        share = s["roth_share"] if box["roth"] > 0 and box["trad"] > 0 else 1.0 if box["roth"] > 0 else 0.0
+        share = np.where(box["roth"] > 0, np.where(box["trad"] > 0, s["roth_share"], 1.0), 0.0)
         due = box["trad"] * required / 100.0
         from_trad = wanted * (1.0 - share)
-        more = max(0.0, min(due, box["trad"]) - from_trad)
-        owed = _tax(min(from_trad + more, box["trad"]))
+        more = _greatest(0.0, _least(due, box["trad"]) - from_trad)
+        owed = _tax(_least(from_trad + more, box["trad"]))
         take(from_trad + more, "trad", "roth", "brokerage")
         take(wanted * share, "roth", "trad", "brokerage")
-        box["brokerage"] += more
+        box["brokerage"] = box["brokerage"] + more
         take(owed, "trad", "brokerage", "roth")
-        taxes += owed
-        year_end(growth[-1], s["years_worked"] + k, "gap" if k < gap else "rmd")
-    return out
+        taxes = taxes + owed
+        year_end(growth[-1], years + k)
+    return phases, out
 
 
 RETIREMENT = "scenario long, year int, phase string, roth double, trad double, brokerage double, savings double, missed double, taxes double"
+#: Scenarios that are worked out at once.
+AT_ONCE = 1000
 
 
 def retirement(scenarios: DataFrame) -> DataFrame:
-    """Yearly balances for a table of scenarios: scenario, contribution, growth_high, growth_low, withdrawal, years_worked, roth_share."""
+    """Yearly balances for a table of scenarios: scenario, contribution, growth_high, growth_low, withdrawal, years_worked, roth_share.
 
-    def run(batches):
-        for pdf in batches:
-            rows = [r for s in pdf.to_dict("records") for r in _retire(s)]
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in RETIREMENT.split(", ")])
-
-    return scenarios.mapInPandas(run, RETIREMENT)
+    A scenario makes about eighty rows, so that scenarios are spread over all tasks first, however few files they come from.
+    """
+    inputs = ("contribution", "growth_high", "growth_low", "withdrawal", "roth_share")
+    names = [x.split()[0] for x in RETIREMENT.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            worked = np.array(batch.column("years_worked").to_pylist(), dtype=int)
+            values = {x: batch.column(x).to_numpy(zero_copy_only=False).astype(float) for x in inputs}
+            for years in np.unique(worked).tolist():
+                own = np.flatnonzero(worked == years)
+                for start in range(0, len(own), AT_ONCE):
+                    at = own[start : start + AT_ONCE]
+                    phases, out = _retire({x: v[at] for x, v in values.items()}, years)
+                    scenario = batch.column("scenario").cast(pa.int64()).take(pa.array(np.repeat(at, len(phases))))
+                    year = np.tile(np.arange(len(phases), dtype=np.int32), len(at))
+                    columns = [scenario, pa.array(year), pa.array(phases, pa.string()).take(pa.array(year))]
+                    yield pa.RecordBatch.from_arrays(columns + [pa.array(out[x].ravel(), from_pandas=True) for x in BALANCES], names=names)
+
+    return scenarios.repartition("scenario").mapInArrow(run, RETIREMENT)
 
 
 def scenario_grid(spark: SparkSession, contributions: tuple[float, ...] = (5_000.0, 10_000.0, 20_500.0), mixes: tuple[float, ...] = (0.0, 0.5, 1.0), growths: tuple[tuple[float, float], ...] = ((0.09, 0.05),), withdrawal: float = 60_000.0, years: int = 43) -> DataFrame:

@@ -1,4 +1,5 @@
 import datetime as d
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -74,6 +75,26 @@ def test_retirement_and_taxes(spark):
     assert (held["n_rows"], held["early"], held["late"]) == (3, 600.0, 100.0)
 
 
+def test_scenarios_are_worked_out_together_and_spread(spark):
+    shape = "scenario long, contribution double, growth_high double, growth_low double, withdrawal double, years_worked int, roth_share double"
+    rows = [(k, 1000.0 * (k % 7), 0.05 + k % 9 / 100, 0.03, 10_000.0 * (k % 4), 1 + k % 60, k % 11 / 10) for k in range(300)] + [(None, None, 0.09, 0.05, 60_000.0, 43, 0.5)]
+    # one partition, as a small file gives: without spreading, one task would make all rows
+    out = portfolio.retirement(spark.createDataFrame(rows, shape).coalesce(1))
+    assert "RepartitionByExpression" in out._jdf.queryExecution().optimizedPlan().toString()
+    got = out.collect()
+    assert len(got) == sum(y + max(0, 50 - y) + 29 for *_, y, _ in rows)
+    for s in rows[:300:13]:
+        mine = sorted((r for r in got if r["scenario"] == s[0]), key=lambda r: r["year"])
+        assert [r["year"] for r in mine] == list(range(len(mine)))
+        assert [r["phase"] for r in mine].count("work") == s[5] and mine[-1]["phase"] == "rmd"
+        roth = trad = 0.0
+        for y, r in enumerate(mine[: s[5]]):
+            rate = (s[2] - s[3]) / (1 + math.exp((y - s[5] * 0.6) / 5)) + s[3]
+            roth, trad = (roth + s[1] * s[6]) * (1 + rate), (trad + s[1] * (1 - s[6])) * (1 + rate)
+            assert (r["roth"], r["trad"], r["savings"]) == pytest.approx((roth, trad, roth + trad))
+    assert all(r["roth"] is None for r in got if r["scenario"] is None)
+
+
 def test_fundamentals(spark):
     items = {"Total Assets": 100.0, "Current Assets": 50.0, "Current Liabilities": 25.0, "Retained Earnings": 50.0, "EBIT": 20.0, "Total Revenue": 80.0}
     s = spark.createDataFrame([("a", "balance", d.date(2020, 1, 1), k, v) for k, v in items.items()], "symbol string, statement string, dt date, item string, value double")
