@@ -272,7 +272,7 @@ def _dividends(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _ledger_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """The trades with a fund for each ship mode of their suppliers: a ledger file each."""
+    """The trades, with a fund for every seventh supplier."""
     o, x = src.read_table(spark, sf, "orders"), src.read_table(spark, sf, "lineitem")
     df = x.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
     return df.select(
@@ -284,7 +284,7 @@ def _ledger_rows(spark: SparkSession, sf: str) -> DataFrame:
 def ledger_files(spark: SparkSession, sf: str) -> DataFrame:
     """Write ledgers, read them back, and sum up what each stock did in each fund."""
     path = files.shared_path(spark, "ledgers")
-    files.write_ledgers(_ledger_rows(spark, sf), path)
+    files.write_ledgers(_ledger_rows(spark, sf), path, by_year=True)
     back = spark.read.format("ledger").load(path)
     return rounded(back.groupBy("ticker", "title", "start_capital", "stock", "action").agg(F.count("*").alias("n_trades"), F.min("dt").alias("first_dt"), F.max("dt").alias("last_dt"), F.sum(F.col("shares").cast("decimal(18,2)")).cast("double").alias("shares"), F.sum(F.col("amount").cast("decimal(18,2)")).cast("double").alias("amount")), 2)
 

@@ -14,10 +14,14 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import islice
 
+import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, Row, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from .config import PERIODS, parse_config
@@ -27,6 +31,8 @@ CONFIG = "file string, symbol string, period string, months int, interval string
 # The head of a ledger's rows, what a row may do, and the lines within which the head must come.
 HEAD = ("Stock", "Action", "Price of Action", "Date", "Actual Amt", "Shares", "", "Cash Available")
 ACTIONS, HEAD_WITHIN = ("Buy", "Sell", "Deposit", "Withdraw", "Dividend"), 1000
+#: Rows of a ledger that are read at once.
+AT_ONCE = 10_000
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -67,12 +73,17 @@ def _opened(path: str) -> io.TextIOWrapper:
 
 
 def _number(cell: str) -> float | None:
+    try:
+        return float(cell)
+    except ValueError:
+        pass
     try:
         return float(cell.replace("$", "").replace(",", "").replace(" ", ""))
     except ValueError:
         return None
 
 
+@lru_cache(maxsize=100_000)
 def _day(cell: str) -> d.date | None:
     try:
         return d.datetime.strptime(cell.strip(), "%m/%d/%Y").date()
@@ -80,6 +91,20 @@ def _day(cell: str) -> d.date | None:
         return None
 
 
+@lru_cache(maxsize=100_000)
+def _shown(day: d.date | None) -> str | None:
+    return day and f"{day.month}/{day.day}/{day.year}"
+
+
+def _values(column: pa.Array) -> list:
+    """column.to_pylist(), with repeated texts and dates made once."""
+    if pa.types.is_string(column.type) or pa.types.is_date(column.type):
+        own = column.dictionary_encode("encode")
+        made = own.dictionary.to_pylist()
+        return [made[k] for k in own.indices.to_numpy().tolist()]
+    return column.to_numpy().tolist() if pa.types.is_floating(column.type) and not column.null_count else column.to_pylist()
+
+
 def ledger_head(rows: Iterator[list[str]], path: str = "") -> dict[str, str]:
     """The header of a ledger: title, and the named values below it, up to the row of column names, which is consumed."""
     head: dict[str, str] = {}
@@ -110,16 +135,21 @@ class LedgerReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         return [FilePartition(f) for f in _files(self.path, ".csv")]
 
-    def read(self, partition: FilePartition) -> Iterator[tuple]:
+    def read(self, partition: FilePartition) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([(x.split()[0], {"string": pa.string(), "double": pa.float64(), "date": pa.date32()}[x.split()[1]]) for x in LEDGER.split(", ")])
         with _opened(partition.path) as file:
             rows = csv.reader(file)
             head = ledger_head(rows, partition.path)
             ticker = head.get("ticker") or partition.path.rsplit("/", 1)[-1].removesuffix(".csv")
-            for row in rows:
-                cells = [c.strip() for c in row] + [""] * 6
-                day = _day(cells[3])
-                if cells[1] in ACTIONS and day:
-                    yield ticker, head.get("title"), _number(head.get("start_capital", "")), cells[0], cells[1], _number(cells[2]), day, _number(cells[4]), _number(cells[5])
+            same = (ticker, head.get("title"), _number(head.get("start_capital", "")))
+            while some := list(islice(rows, AT_ONCE)):
+                found = []
+                for row in some:
+                    stock, action, price, day, amount, shares, *_ = [c.strip() for c in row] + [""] * 6
+                    if action in ACTIONS and (on := _day(day)):
+                        found.append((stock, action, _number(price), on, _number(amount), _number(shares)))
+                if found:
+                    yield pa.RecordBatch.from_arrays([*(pa.array([x] * len(found), f.type) for x, f in zip(same, schema, strict=False)), *(pa.array(v, f.type) for v, f in zip(zip(*found, strict=True), list(schema)[3:], strict=True))], schema=schema)
 
 
 @dataclass
@@ -127,31 +157,35 @@ class Written(WriterCommitMessage):
     files: list[tuple[str, str]]
 
 
-class LedgerWriter(DataSourceWriter):
+class LedgerWriter(DataSourceArrowWriter):
     """A file for each run of rows of one ticker. Tasks write under hidden names, and the commit shows those of the tasks that count."""
 
     def __init__(self, path: str, schema: StructType):
         self.path, self.names = path, schema.names
 
-    def write(self, rows: Iterator[Row]) -> Written:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         where, inner = fs.FileSystem.from_uri(self.path)
         where.create_dir(inner, recursive=True)
         files: list[tuple[str, str]] = []
         file, ticker = None, None
-        for row in rows:
-            r = dict(zip(self.names, row, strict=True))
-            if file is None or r["ticker"] != ticker:
-                if file:
-                    file.close()
-                ticker, key = r["ticker"], uuid.uuid4().hex
-                safe = "".join(c if c.isalnum() or c in "-_" else "_" for c in ticker or "none")
-                files.append((f"{inner}/_{key}.csv", f"{inner}/{safe}-{key[:8]}.csv"))
-                file = io.TextIOWrapper(where.open_output_stream(files[-1][0]), "utf-8", newline="")
-                out = csv.writer(file, lineterminator="\n")
-                blank = [""] * len(HEAD)
-                out.writerows([[r["title"], *blank[1:]], blank, ["Start Capital", r["start_capital"], *blank[2:]], ["Ticker", ticker, *blank[2:]], blank, HEAD])
-            day = r["dt"] and f"{r['dt'].month}/{r['dt'].day}/{r['dt'].year}"
-            out.writerow([r["stock"], r["action"], r["price"], day, r["amount"], r["shares"], "", ""])
+        for batch in batches:
+            r = dict(zip(self.names, batch.columns, strict=True))
+            tickers = _values(r["ticker"])
+            ends = [k for k in range(1, len(tickers)) if tickers[k] != tickers[k - 1]] + [len(tickers)] * bool(tickers)
+            empty = [""] * len(tickers)
+            cells = list(zip(*[_values(r[x]) for x in ("stock", "action", "price")], map(_shown, _values(r["dt"])), _values(r["amount"]), _values(r["shares"]), empty, empty, strict=True))
+            for start, end in zip([0, *ends], ends, strict=False):
+                if file is None or tickers[start] != ticker:
+                    if file:
+                        file.close()
+                    ticker, key = tickers[start], uuid.uuid4().hex
+                    safe = "".join(c if c.isalnum() or c in "-_" else "_" for c in ticker or "none")
+                    files.append((f"{inner}/_{key}.csv", f"{inner}/{safe}-{key[:8]}.csv"))
+                    file = io.TextIOWrapper(where.open_output_stream(files[-1][0]), "utf-8", newline="")
+                    out = csv.writer(file, lineterminator="\n")
+                    blank = [""] * len(HEAD)
+                    out.writerows([[r["title"][start].as_py(), *blank[1:]], blank, ["Start Capital", r["start_capital"][start].as_py(), *blank[2:]], ["Ticker", ticker, *blank[2:]], blank, HEAD])
+                out.writerows(cells[start:end])
         if file:
             file.close()
         return Written(files)
@@ -184,11 +218,17 @@ class LedgerSource(DataSource):
         return LedgerWriter(self.options["path"], schema)
 
 
-def write_ledgers(trades: DataFrame, path: str) -> None:
-    """Ledger files of trades (the columns of LEDGER), those of one ticker in one file, by date."""
+def write_ledgers(trades: DataFrame, path: str, by_year: bool = False) -> None:
+    """Ledger files of trades (the columns of LEDGER), those of one ticker in one file, by date.
+
+    A file is written and read by one task. With by_year a ticker's years go to tasks of their own, so that it may have several files,
+    each with whole years.
+    """
     register(trades.sparkSession)
     order = ["ticker", "dt", "stock", "action", "shares", "price"]
-    trades.select(*[c.split()[0] for c in LEDGER.split(", ")]).repartition("ticker").sortWithinPartitions(*order).write.format("ledger").mode("append").save(path)
+    rows = trades.select(*[c.split()[0] for c in LEDGER.split(", ")])
+    spread = rows.repartition("ticker", F.year("dt")) if by_year else rows.repartition("ticker")
+    spread.sortWithinPartitions(*order).write.format("ledger").mode("append").save(path)
 
 
 # --- configurations ----------------------------------------------------------------------------------------------------------------------

@@ -25,6 +25,28 @@ def test_ledgers_come_back_as_they_went(spark, tmp_path):
     files.write_ledgers(trades(spark).limit(0), str(tmp_path / "none"))
 
 
+def test_a_large_ledger_is_spread_over_tasks(spark, tmp_path):
+    rows = [(t, f"Fund, {t}", 1e6, f"P{k % 5}", "Buy", None if k % 97 == 0 else k / 8, d.date(1992 + k % 7, 1 + k % 12, 1 + k % 28), k * 1e5, 1.0 + k % 3) for t in ("A", "B") for k in range(11_000)]
+    made = spark.createDataFrame(rows, files.LEDGER)
+    merge = "spark.sql.adaptive.coalescePartitions.enabled"  # so little would be one task's again
+    spark.conf.set(merge, False)
+    try:
+        files.write_ledgers(made, str(tmp_path / "l"), by_year=True)
+    finally:
+        spark.conf.unset(merge)
+    back = spark.read.format("ledger").load(str(tmp_path / "l"))
+    assert sorted(map(str, back.collect())) == sorted(map(str, made.collect()))
+    names = [p.name for p in (tmp_path / "l").iterdir()]
+    assert len(names) > 2 and {n[0] for n in names} == {"A", "B"}
+    files.write_ledgers(made, str(tmp_path / "one"))
+    assert len(list((tmp_path / "one").iterdir())) == 2
+    first = next(str(p) for p in (tmp_path / "one").iterdir() if p.name.startswith("A-"))
+    # read in batches, as written: head, then rows by date with numbers as Python shows them
+    assert [type(b).__name__ for b in files.LedgerReader(first).read(files.FilePartition(first))] == ["RecordBatch"] * 2
+    lines = open(first).read().splitlines()
+    assert lines[0] == '"Fund, A",,,,,,,' and lines[2] == "Start Capital,1000000.0,,,,,," and lines[6].split(",")[1:4:2] == ["Buy", "1/1/1992"]
+
+
 def test_odd_ledgers(spark, tmp_path):
     files.register(spark)
     (tmp_path / "a.csv").write_text("Mine\r\n,,\r\nTicker,\r\nStock,Action\r\n,,,,0\r\nz,Buy,$1 000,2/30/2024,1\r\nz,Buy,$1 000,2/3/2024\r\n")
