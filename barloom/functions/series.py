@@ -7,6 +7,7 @@ each calendar period at most, so a symbol's rows are bounded by the calendar how
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -21,12 +22,16 @@ SIGNALS = "symbol string, i long, dt date, type string, value string, score doub
 BULLISH, BEARISH = "bullish", "bearish"
 
 
-def ordered() -> WindowSpec:
-    return Window.partitionBy("symbol").orderBy("i")
+#: Rows of a stretch.
+STRETCH = 1 << 16
 
 
-def rows(a: int, b: int) -> WindowSpec:
-    return ordered().rowsBetween(a, b)
+def ordered(*within: str) -> WindowSpec:
+    return Window.partitionBy("symbol", *within).orderBy("i")
+
+
+def rows(a: int, b: int, *within: str) -> WindowSpec:
+    return ordered(*within).rowsBetween(a, b)
 
 
 def whole() -> WindowSpec:
@@ -37,8 +42,18 @@ def col(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def lag(x: str | Column, k: int = 1) -> Column:
-    return F.lag(x, k).over(ordered()) if k >= 0 else F.lead(x, -k).over(ordered())
+def lag(x: str | Column, k: int = 1, *within: str) -> Column:
+    return F.lag(x, k).over(ordered(*within)) if k >= 0 else F.lead(x, -k).over(ordered(*within))
+
+
+def stretches(df: DataFrame, back: int) -> DataFrame:
+    """df in stretches of STRETCH rows of a symbol, numbered in _part: a window by (symbol, _part) holds one of them, however long a symbol is.
+
+    The last back rows of a stretch stand once more ahead of the next one, with _own false, for windows that look back so far.
+    """
+    own = F.expr(f"i div {STRETCH}")
+    parts = F.when(F.col("i") % STRETCH >= STRETCH - back, F.array(own, own + 1)).otherwise(F.array(own))
+    return df.withColumn("_part", F.explode(parts)).withColumn("_own", F.col("_part") == own)
 
 
 def neat(x: str | Column, digits: int = 4) -> Column:
@@ -51,9 +66,9 @@ def ratio(a: str | Column, b: str | Column) -> Column:
     return col(a) / F.nullif(col(b), F.lit(0.0))
 
 
-def sma(x: str | Column, n: int) -> Column:
+def sma(x: str | Column, n: int, *within: str) -> Column:
     """Simple moving average: the value itself before n values are there, null for a symbol of n + 3 rows or fewer."""
-    return F.when(F.col("n") > n + 3, F.when(F.col("i") < n - 1, col(x)).otherwise(F.avg(x).over(rows(1 - n, 0))))
+    return F.when(F.col("n") > n + 3, F.when(F.col("i") < n - 1, col(x)).otherwise(F.avg(x).over(rows(1 - n, 0, *within))))
 
 
 def wma(x: str | Column, n: int) -> Column:
@@ -161,7 +176,10 @@ def with_recurrences(df: DataFrame, **made: Callable[[pd.DataFrame], np.ndarray]
 
 
 class EmaRun:
-    """ema() over a symbol whose rows come in pieces: holds the first n values until their mean is known, then one number."""
+    """ema() over a symbol whose rows come in pieces: holds the first n values until their mean is known, then one number.
+
+    rows: of the symbol, or n + 4 if there are more.
+    """
 
     def __init__(self, n: int, rows: int, factor: float = 2.0):
         self.n, self.k, self.none, self.first, self.e = n, factor / (n + 1), n >= rows - 3, np.empty(0), None
@@ -188,31 +206,38 @@ def with_ema(df: DataFrame, **made: tuple[str, int]) -> DataFrame:
     """df plus exponential averages: name=(column, rows), all in one pass.
 
     Rows are streamed in the order of (symbol, i), and only a symbol's last averages are carried from one batch to the next, so that a
-    worker's memory doesn't grow with the symbol.
+    worker's memory doesn't grow with the symbol. A symbol's first rows wait until so many are there that it is known to have averages.
     """
     schema = StructType(df.schema.fields + [StructField(name, DoubleType()) for name in made])
+    enough = max(n for _, n in made.values()) + 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbol, runs = None, {}
-        for batch in batches:
-            if not batch.num_rows:
+        symbol, runs, waiting = None, {}, None
+        for batch in chain(batches, [None]):
+            now = waiting if batch is None else batch if waiting is None else pa.Table.from_batches([waiting, batch]).combine_chunks().to_batches()[0]
+            waiting = None
+            if now is None or not now.num_rows:
                 continue
-            own = batch.column("symbol").dictionary_encode("encode")
+            own = now.column("symbol").dictionary_encode("encode")
             names, codes = own.dictionary.to_pylist(), own.indices.to_numpy(zero_copy_only=False)
             starts = [0, *(np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist(), len(codes)]
-            values = {x: batch.column(x).to_numpy(zero_copy_only=False).astype(float) for x, _ in made.values()}
-            out = {name: np.empty(len(codes)) for name in made}
+            follows = len(starts) == 2 and runs and names[codes[0]] == symbol
+            if batch is not None and not follows and starts[-1] - starts[-2] < enough:
+                starts.pop()
+                now, waiting = now.slice(0, starts[-1]), now.slice(starts[-1])
+            values = {x: now.column(x).to_numpy(zero_copy_only=False).astype(float) for x, _ in made.values()}
+            out = {name: np.empty(now.num_rows) for name in made}
             for a, b in zip(starts[:-1], starts[1:], strict=True):
                 if not runs or names[codes[a]] != symbol:
-                    symbol, size = names[codes[a]], batch.column("_rows")[a].as_py()
-                    runs = {name: EmaRun(n, size) for name, (_, n) in made.items()}
+                    symbol = names[codes[a]]
+                    runs = {name: EmaRun(n, b - a) for name, (_, n) in made.items()}
                 for name, (x, _) in made.items():
                     out[name][a:b] = runs[name](values[x][a:b])
-            columns = [pa.array(v, pa.float64(), from_pandas=True) for v in out.values()]
-            yield pa.RecordBatch.from_arrays(batch.columns[:-1] + columns, names=schema.names)
+            if now.num_rows:
+                columns = [pa.array(v, pa.float64(), from_pandas=True) for v in out.values()]
+                yield pa.RecordBatch.from_arrays(now.columns + columns, names=schema.names)
 
-    counted = df.withColumn("_rows", F.count("*").over(whole()))
-    return counted.repartition("symbol").sortWithinPartitions("symbol", "i").mapInArrow(run, schema)
+    return df.repartition("symbol").sortWithinPartitions("symbol", "i").mapInArrow(run, schema)
 
 
 Event = tuple[int, str, str, float]

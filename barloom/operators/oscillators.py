@@ -26,13 +26,13 @@ def _v(pdf: pd.DataFrame, *columns: str) -> list[list[float]]:
 # --- stochastic ----------------------------------------------------------------------------------------------------------------------
 
 
-def stochastic(bars: DataFrame, k: int = 14, smooth: int = 3, slow: int = 3) -> DataFrame:
-    """bars plus fast_k (50 for the first rows and where the range is flat), smooth_k and slow_d."""
-    low, high = F.min("low").over(rows(1 - k, 0)), F.max("high").over(rows(1 - k, 0))
+def stochastic(bars: DataFrame, k: int = 14, smooth: int = 3, slow: int = 3, within: tuple[str, ...] = ()) -> DataFrame:
+    """bars plus fast_k (50 for the first rows and where the range is flat), smooth_k and slow_d. Windows are by symbol and within."""
+    low, high = F.min("low").over(rows(1 - k, 0, *within)), F.max("high").over(rows(1 - k, 0, *within))
     fast = F.when(F.col("i") < k - 1, F.lit(50.0)).otherwise(F.coalesce(ratio(F.col("close") - low, high - low) * 100.0, F.lit(50.0)))
     df = bars.withColumn("fast_k", fast)
-    df = df.withColumn("smooth_k", F.when(F.col("i") < k - 1, F.lit(50.0)).otherwise(F.avg("fast_k").over(rows(1 - smooth, 0))))
-    return df.withColumn("slow_d", F.when(F.col("i") < k - 1, F.lit(50.0)).otherwise(F.avg("smooth_k").over(rows(1 - slow, 0))))
+    df = df.withColumn("smooth_k", F.when(F.col("i") < k - 1, F.lit(50.0)).otherwise(F.avg("fast_k").over(rows(1 - smooth, 0, *within))))
+    return df.withColumn("slow_d", F.when(F.col("i") < k - 1, F.lit(50.0)).otherwise(F.avg("smooth_k").over(rows(1 - slow, 0, *within))))
 
 
 def _zone_crossings(fast: list[float], slow: list[float], name: str, high: float = 80.0, low: float = 20.0) -> Iterator[Event]:

@@ -18,6 +18,20 @@ def numbered(bars: DataFrame) -> DataFrame:
     return bars.withColumn("i", (F.row_number().over(w.orderBy("dt")) - 1).cast("long")).withColumn("n", F.count("*").over(w))
 
 
+def placed(df: DataFrame, by: str, part: str, *order: str) -> DataFrame:
+    """df plus t, the place of each row among those with its value of by, and n, how many these are; neither by nor part has nulls.
+
+    part ascends with the order, and no value of it has many rows: each is sorted on its own and only counts are added up, so that no
+    window holds all rows of a value of by.
+    """
+    w = Window.partitionBy(by)
+    counts = df.groupBy(by, part).agg(F.count("*").alias("_count"))
+    before = F.coalesce(F.sum("_count").over(w.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(by, part, before.alias("_before"), F.sum("_count").over(w).alias("n"))
+    own = df.withColumn("t", F.row_number().over(Window.partitionBy(by, part).orderBy(*order)) - 1)
+    return own.join(starts, [by, part]).withColumn("t", F.col("_before") + F.col("t")).drop("_before")
+
+
 def bars_from_ticks(ticks: DataFrame, symbol: Column, at: Column, price: Column, order: Column, interval: str = "week", size: Column | None = None) -> DataFrame:
     """One bar for each symbol and interval. Ticks are combined before the shuffle, so a hot symbol costs no more than any other."""
     t = ticks.select(symbol.cast("string").alias("symbol"), F.date_trunc(interval, at).cast("date").alias("dt"), price.cast("double").alias("p"), order.alias("o"), (F.lit(1.0) if size is None else size).alias("v"))

@@ -46,3 +46,22 @@ def test_same_rows(spark, sf, con, name):
     columns = [d[0] for d in want.description]
     assert sorted(got.columns) == sorted(columns)
     assert table(got.columns, got.collect()) == table(columns, want.fetchall())
+
+
+def test_candles_come_in_stretches(spark, sf, con, monkeypatch):
+    """No window of theirs holds a whole symbol, and rows at the edges of stretches are as right as others."""
+    from barloom.functions import series
+    from barloom.plans import candle_rows
+
+    monkeypatch.setattr(series, "STRETCH", 24)
+    monkeypatch.setattr(candle_rows, "ORDERS", 16)
+    for name in ("candle_patterns_line", "candle_three_line_strike", "candle_doji", "candle_reversals"):
+        got = QUERIES[name](spark, sf)
+        want = con.execute(ORACLES[name])
+        columns = [d[0] for d in want.description]
+        assert table(got.columns, got.collect()) == table(columns, want.fetchall())
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        windows = [line for line in plan.splitlines() if " Window [" in line]
+        assert windows
+        for line in windows:  # by stretch, by order keys, or over the counts of these
+            assert "_part#" in line or "_orders#" in line or "_count#" in line
