@@ -26,8 +26,8 @@ from .common import U64, mix, read_table, seeds, shuffles_deleted, slices, span_
 BLOCK_WORDS, LEAST, LONGEST, TOP = 1 << 19, 100, 5, 2000
 #: Entries (phrase, count) that one range of hashes is made for, and salts of a language's rows in joins and ranks.
 RANGE_WORDS, SALTS = 1 << 22, 32
-#: Most buckets that Spark allows by default.
-BUCKETS = 100_000
+#: Bytes of text for each word of a block that a bucket gets (two blocks or so), and most buckets that Spark allows by default.
+BUCKET_BYTES, BUCKETS = 16, 100_000
 _FACTORS = seeds(LONGEST + 1, 11) | U64(1)
 _BREAKS = np.zeros(256, bool)
 _BREAKS[[10, 11, 12, 13, *b".,;:!?"]] = True
@@ -309,7 +309,9 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, block_words: int = BLO
     """
     spark, made = docs.sparkSession, blocks(docs, block_words)
     at_once = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n_buckets = min(BUCKETS, max(at_once, 2 * docs.rdd.getNumPartitions()))
+    # a task holds the blocks of a bucket, so there are as many as the text asks for, however it is split
+    n_bytes = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    n_buckets = min(BUCKETS, max(at_once, n_bytes // (BUCKET_BYTES * block_words)))
     state, name = _bucketed(made, n_buckets)
     n_words = stored(state.select(F.explode(F.arrays_zip("langs", "n_words")).alias("x")).groupBy(F.col("x.langs").alias("lang")).agg(F.sum("x.n_words").alias("n")), "phrase-words")
     n_ranges = max(at_once, (n_words.agg(F.sum("n")).first()[0] or 0) // RANGE_WORDS)

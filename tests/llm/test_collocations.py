@@ -78,3 +78,13 @@ def test_places_skip_a_number_between_pieces():
 
     starts, ends, row, places = co.word_places(*utf8(text))
     assert row.tolist() == [0, 0, 0, 3, 3, 3] and np.diff(places).tolist() == [1, 2, 2, 2, 1]
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_buckets_follow_the_text_not_its_partitions(spark, monkeypatch, parts):
+    """A task holds a bucket: its blocks are few however much text there is."""
+    docs, made, bucketed = documents(), [], co._bucketed
+    monkeypatch.setattr(co, "_bucketed", lambda df, n: made.append(n) or bucketed(df, n))
+    df = spark.createDataFrame([(t, g) for g, t in docs], "text string, lang string").repartition(parts)
+    assert {tuple(r) for r in co.collocations(df, least=20, block_words=300).collect()} == plain(docs, 20)
+    assert min(made) >= sum(len((t or "").encode()) for _, t in docs) // (16 * 300) > 10
